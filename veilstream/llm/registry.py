@@ -1,9 +1,17 @@
 """The registered queries of this subpackage, and the SQL for those that SQL can express."""
 
+from .decontamination import op7_decontamination
+from .licenses import op6_license_scan
+from .mixing import op9_mixing
 from .quality import op8_quality_rules
+from .sharding import op10_sharding
 
 QUERIES = {
+    "op6_license_scan": op6_license_scan,
+    "op7_decontamination": op7_decontamination,
     "op8_quality_rules": op8_quality_rules,
+    "op9_mixing": op9_mixing,
+    "op10_sharding": op10_sharding,
 }
 
 ORACLE_SQL: dict[str, str] = {}
