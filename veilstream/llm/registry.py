@@ -1,12 +1,18 @@
 """The registered queries of this subpackage, and the SQL for those that SQL can express."""
 
 from .decontamination import op7_decontamination
+from .jaccard import op1_jaccard_join
 from .licenses import op6_license_scan
 from .mixing import op9_mixing
 from .quality import op8_quality_rules
 from .sharding import op10_sharding
+from .suffixes import op5_suffix_dedup
+from .urls import op3_url_filters
 
 QUERIES = {
+    "op1_jaccard_join": op1_jaccard_join,
+    "op3_url_filters": op3_url_filters,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_license_scan": op6_license_scan,
     "op7_decontamination": op7_decontamination,
     "op8_quality_rules": op8_quality_rules,

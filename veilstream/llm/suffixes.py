@@ -188,7 +188,7 @@ def _region_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     every = hashes(np.frombuffer(t, np.uint8)[lo : hi + LENGTH], LENGTH)
                     # offsets before the anchor, cut at the same ones in every text
                     cuts = sorted({lo, hi + 1, *(at - o for o in range(0, at - lo + 1, PIECE) if lo < at - o <= hi)})
-                    rows = [(True, int(S.mixed(np.array([a], np.int64).view(np.uint64) + _U((at - s) // PIECE + 1)).view(np.int64)[0]), key, s, every[s - lo : e - lo].tobytes()) for s, e in zip(cuts, cuts[1:], strict=False)]
+                    rows = [(True, int(S.mixed(np.array([a], np.int64).view(np.uint64) + _U(1 - (s - at) // PIECE)).view(np.int64)[0]), key, s, every[s - lo : e - lo].tobytes()) for s, e in zip(cuts, cuts[1:], strict=False)]
                 for r in rows:
                     for to, v in zip(out, r, strict=True):
                         to.append(v)
