@@ -7,10 +7,12 @@ from .mixing import op9_mixing
 from .quality import op8_quality_rules
 from .sharding import op10_sharding
 from .suffixes import op5_suffix_dedup
+from .tokens import op2_token_counts
 from .urls import op3_url_filters
 
 QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
+    "op2_token_counts": op2_token_counts,
     "op3_url_filters": op3_url_filters,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_license_scan": op6_license_scan,
