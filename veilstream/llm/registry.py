@@ -3,6 +3,7 @@
 from .decontamination import op7_decontamination
 from .jaccard import op1_jaccard_join
 from .licenses import op6_license_scan
+from .lines import op4_line_dedup
 from .mixing import op9_mixing
 from .quality import op8_quality_rules
 from .sharding import op10_sharding
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_token_counts": op2_token_counts,
     "op3_url_filters": op3_url_filters,
+    "op4_line_dedup": op4_line_dedup,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_license_scan": op6_license_scan,
     "op7_decontamination": op7_decontamination,
