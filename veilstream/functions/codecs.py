@@ -152,4 +152,5 @@ def verified(candidates: Column) -> Column:
     def check(rows: pd.Series) -> pd.Series:
         return rows.map(lambda xs: [CHECKS[x["rule"]](x["value"]) for x in xs])
 
-    return check(candidates)
+    # non-deterministic to the optimiser: it must not be copied into a generator or a filter, where no UDF can run
+    return check.asNondeterministic()(candidates)
