@@ -77,7 +77,7 @@ def test_stream(spark, tmp_path):
     assert window == "new" and held == [("new", 1020)]
     spark.createDataFrame([("c", i, t) for i, t in enumerate(["a b", "...", "c!", "d", "e"])], "conv_id string, turn long, text string").coalesce(1).write.parquet(str(tmp_path / "in"))
     source = spark.readStream.schema("conv_id string, turn long, text string").parquet(str(tmp_path / "in"))
-    q = stream.windows(source).writeStream.format("memory").queryName("turn_windows").option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+    q = stream.windows(source, drop_idle=False).writeStream.format("memory").queryName("turn_windows").option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
     assert q.awaitTermination(60)
     assert [r["window"] for r in spark.sql("select * from turn_windows order by turn").collect()] == ["a b", "a b c", "a b c d", "c d e"]
 

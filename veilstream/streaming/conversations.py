@@ -30,8 +30,12 @@ def append_turn(held: list[tuple[str, int]], text: str, now: int, ttl: int, n: i
     return live, " ".join(t for t, _ in live[-n:])
 
 
-def windows(turns: DataFrame, n: int = TURNS, ttl: int = TTL_SECONDS, now: Callable[[], int] | None = None) -> DataFrame:
-    """(conv_id, turn, window) for a stream of (conv_id string, turn long, text string); blank turns give no row."""
+def windows(turns: DataFrame, n: int = TURNS, ttl: int = TTL_SECONDS, now: Callable[[], int] | None = None, drop_idle: bool = True) -> DataFrame:
+    """(conv_id, turn, window) for a stream of (conv_id string, turn long, text string); blank turns give no row.
+
+    drop_idle: the state of a conversation goes after `ttl` seconds without a turn. Its timer keeps a query running
+    batches without data; a run over what is there (availableNow) has no use for it.
+    """
     n, ttl = min(n if n > 0 else TURNS, MOST_TURNS), ttl if ttl > 0 else TTL_SECONDS
     clock = now or (lambda: int(time.time() * 1000))
 
@@ -49,10 +53,11 @@ def windows(turns: DataFrame, n: int = TURNS, ttl: int = TTL_SECONDS, now: Calla
                     held, window = append_turn(held, norm, clock(), ttl, n)
                     out.append((key[0], turn, window))
         state.update(([t for t, _ in held], [int(e) for _, e in held]))
-        state.setTimeoutDuration(ttl * 1000)
+        if drop_idle:
+            state.setTimeoutDuration(ttl * 1000)
         yield pd.DataFrame(out, columns=["conv_id", "turn", "window"])
 
-    return turns.groupBy("conv_id").applyInPandasWithState(step, "conv_id string, turn long, window string", "texts array<string>, ends array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return turns.groupBy("conv_id").applyInPandasWithState(step, "conv_id string, turn long, window string", "texts array<string>, ends array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout if drop_idle else GroupStateTimeout.NoTimeout)
 
 
 def cross_turn(turns: DataFrame, wordlist: DataFrame | None = None, **options) -> DataFrame:
