@@ -42,6 +42,10 @@ FREQUENT_MOST = 1_000_000
 MODES = ((False, 1.15), (False, 1.7), (False, 3.0), (True, 1.15), (True, 1.7), (True, 3.0), (True, 0.0))
 #: Signatures that one block of the signature shuffle holds, about.
 BLOCK_SIGNATURES = 1_000_000
+#: Bytes kept of a signature beside its block. Chance matches grow with the input, as blocks do, and are verified.
+KEPT_BYTES = 5
+#: A list of up to this many documents is broadcast to fetch their texts; a longer one is joined by shuffling.
+BROADCAST_DOCUMENTS = 2_000_000
 #: Sets in one piece of a hot group.
 PIECE = 256
 
@@ -148,7 +152,8 @@ def _sign(frequent, blocks: int):
             sig, of = np.concatenate(sigs), np.repeat(np.arange(len(hs)), lens)
             block = (sig % _U(blocks)).astype(np.int64)
             order = np.argsort(block, kind="stable")
-            sig, of, block = sig[order], of[order], block[order]
+            of, block = of[order], block[order]
+            sig = (sig[order] // _U(blocks)).view(np.uint8).reshape(-1, 8)[:, :KEPT_BYTES]
             edges = np.searchsorted(block, np.arange(blocks + 1))
             h, n = np.array(hs, np.int64), np.array(ns, np.int64)
             out: list[list] = [[], [], [], [], []]
@@ -188,10 +193,13 @@ def _share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     by: dict[int, list] = {}
     for batch in batches:
         for b, *row in zip(batch.column("block").to_pylist(), *(batch.column(k) for k in ("sets", "sizes", "counts", "sigs")), strict=True):
-            by.setdefault(b, []).append([np.frombuffer(x.as_py(), t) for x, t in zip(row, (np.int64, np.int32, np.int32, np.uint64), strict=True)])
+            by.setdefault(b, []).append([np.frombuffer(x.as_py(), t) for x, t in zip(row, (np.int64, np.int32, np.int32, np.uint8), strict=True)])
     for rows in by.values():
         sets = np.concatenate([np.repeat(r[0], r[2]) for r in rows])
-        sigs = np.concatenate([r[3] for r in rows])
+        kept = np.concatenate([r[3] for r in rows]).reshape(-1, KEPT_BYTES)
+        sigs = np.zeros((len(kept), 8), np.uint8)
+        sigs[:, :KEPT_BYTES] = kept
+        sigs = sigs.view(np.uint64).ravel()
         order = np.lexsort((sets, sigs))
         sets, sigs = sets[order], sigs[order]
         new = np.concatenate(([True], (sigs[1:] != sigs[:-1]) | (sets[1:] != sets[:-1])))
@@ -209,10 +217,46 @@ def _share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array([np.frombuffer(k, np.int64) for k in part], pa.list_(pa.int64())), pa.array([found[k] for k in part], pa.int64())], names=["members", "weight"])
 
 
+def sketch(found: np.ndarray) -> np.ndarray:
+    """How many elements begin with each pattern of bits; about two a pattern, so it's much smaller than the set."""
+    bits = max(0, (len(found) // 2).bit_length() - 1)
+    while True:
+        counts = np.bincount((found >> _U(64 - bits)).astype(np.int64), minlength=1 << bits) if bits else np.array([len(found)])
+        if counts.max(initial=0) < 256:
+            return counts.astype(np.uint8)
+        bits += 1
+
+
+def most_shared(a: np.ndarray, b: np.ndarray) -> int:
+    """No two sets with these sketches share more elements than this."""
+    while len(a) != len(b):
+        if len(a) > len(b):
+            a, b = b, a
+        b = b.astype(np.int64).reshape(-1, 2).sum(axis=1)
+    return int(np.minimum(a, b).sum())
+
+
 def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [shingles(t.as_py()) for t in batch.column("text")]
-        yield pa.record_batch([batch.column("set"), pa.array([x.tobytes() for x in found], pa.binary())], names=["set", "elements"])
+        found = [(h, shingles(t.as_py())) for h, t in zip(batch.column("set").to_pylist(), batch.column("text"), strict=True)]
+        found = [(h, x) for h, x in found if len(x) and identity(x) == h]  # rows of one id may hold other texts
+        yield pa.record_batch([pa.array([h for h, _ in found], pa.int64()), pa.array([x.tobytes() for _, x in found], pa.binary()), pa.array([sketch(x).tobytes() for _, x in found], pa.binary())], names=["set", "elements", "sketch"])
+
+
+def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keep = []
+        for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+            x, y = np.frombuffer(x.as_py(), np.uint8), np.frombuffer(y.as_py(), np.uint8)
+            keep.append(bool(linked(int(x.sum(dtype=np.int64)), int(y.sum(dtype=np.int64)), most_shared(x, y))))
+        yield batch.filter(pa.array(keep, pa.bool_())).select(["group", "set"])
+
+
+def _close(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (group: a set, set) that their sketches don't rule out, before any set is moved."""
+    of = lambda key, name: sets.select(F.col("set").alias(key), F.col("sketch").alias(name)).dropDuplicates([key])
+    both = pairs.join(of("group", "x"), "group").join(of("set", "y"), "set").select("group", "set", "x", "y")
+    return materialize(both.mapInArrow(_possible, "group long, set long"), "jaccard-close")
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,8 +292,35 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def _verify(bases: DataFrame, probes: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
-    """Links (a, b) between bases (group, set) and probes (group, set) of one group, by their elements.
+def _may_link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows as for `_compare`, with sketches; (group, side, set) of bases and probes that have a partner they may link with."""
+    key, names, parts, found = None, [], [], set()
+
+    def out() -> pa.RecordBatch:
+        rows = [(key[0], side, h) for side, h in found]
+        return pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int64())], names=["group", "side", "set"])
+
+    for batch in batches:
+        for group, piece, side, h, raw in zip(*(batch.column(k).to_pylist() for k in ("group", "piece", "side", "set")), batch.column("elements"), strict=True):
+            if (group, piece) != key:
+                if found:
+                    yield out()
+                key, names, parts, found = (group, piece), [], [], set()
+            mine = np.frombuffer(raw.as_py(), np.uint8)
+            size = int(mine.sum(dtype=np.int64))
+            if side == 0:
+                names.append(h)
+                parts.append((mine, size))
+                continue
+            for name, (other, n) in zip(names, parts, strict=True):
+                if name != h and 4 * min(size, n) >= 3 * max(size, n) and linked(size, n, most_shared(mine, other)):
+                    found |= {(0, name), (1, h)}
+    if found:
+        yield out()
+
+
+def _dealt(bases: DataFrame, probes: DataFrame, payload: DataFrame, parts: int) -> DataFrame:
+    """Rows (group, piece, side, set, elements), sorted: bases (side 0) and probes (side 1) of a group, with the payload (set, elements).
 
     A group is cut into pieces of bounded size on both sides; each base piece meets each probe piece once.
     """
@@ -259,10 +330,14 @@ def _verify(bases: DataFrame, probes: DataFrame, sets: DataFrame, parts: int) ->
     right = right.withColumn("pp", F.pmod(F.xxhash64("set"), F.col("np")).cast("int"))
     left = left.join(right.select("group", "np").distinct(), "group").withColumn("pp", F.explode(F.sequence(F.lit(0), F.col("np") - 1)))
     right = right.join(left.select("group", "nb").distinct(), "group").withColumn("pb", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    piece = F.struct("pb", "pp")
-    rows = left.select("group", F.hash(piece).alias("piece"), F.lit(0).alias("side"), "set").union(right.select("group", F.hash(piece).alias("piece"), F.lit(1).alias("side"), "set"))
-    rows = rows.join(sets, "set").select("group", "piece", "side", "set", "elements").repartition(parts, "group", "piece").sortWithinPartitions("group", "piece", "side")
-    return rows.mapInArrow(_compare, "a long, b long").distinct()
+    piece = F.xxhash64("pb", "pp").alias("piece")
+    rows = left.select("group", piece, F.lit(0).alias("side"), "set").union(right.select("group", piece, F.lit(1).alias("side"), "set"))
+    return rows.join(payload, "set").select("group", "piece", "side", "set", "elements").repartition(parts, "group", "piece").sortWithinPartitions("group", "piece", "side")
+
+
+def _verify(bases: DataFrame, probes: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
+    """Links (a, b) between bases (group, set) and probes (group, set) of one group, by their elements."""
+    return _dealt(bases, probes, sets.select("set", "elements"), parts).mapInArrow(_compare, "a long, b long").distinct()
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -294,26 +369,26 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     pairs = materialize(member.join(hubs, "group").where((F.col("set") != F.col("hub.set")) & size_ok).select(F.col("hub.set").alias("group"), "set").distinct(), "jaccard-pairs")
     # the elements of the sets that take part, from one document of each
     chosen = materialize(weights.select("rep", "set"), "jaccard-chosen")
-    sets = texts.join(chosen, F.col("doc_id") == F.col("rep")).select("set", "text").mapInArrow(_elements, "set long, elements binary")
-    sets = materialize(sets.dropDuplicates(["set"]), "jaccard-elements")
-    links = materialize(_verify(pairs.select("group", F.col("group").alias("set")).distinct(), pairs, sets, parts), "jaccard-links")
+    few = F.broadcast(chosen) if chosen.count() <= BROADCAST_DOCUMENTS else chosen
+    sets = texts.join(few, F.col("doc_id") == F.col("rep")).select("set", "text").mapInArrow(_elements, "set long, elements binary, sketch binary")
+    sets = materialize(sets, "jaccard-elements")
+    close = _close(pairs, sets)
+    links = materialize(_verify(close.select("group", F.col("group").alias("set")).distinct(), close, sets, parts), "jaccard-links")
     label = components(links)
-    # groups that still hold several components: larger component as base, members of the smaller as probes
-    label = materialize(weights.select("set", "x").join(label.withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("component", "set")), "jaccard-labels")
-    inside = member.select("group", "set").join(label, "set").groupBy("group", "component").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
-    apart = inside.groupBy("group").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("group")
-    inside = inside.join(apart, "group")
-    size = label.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    inside = materialize(inside.join(size, "component"), "jaccard-apart")
-    p, q = inside.alias("p"), inside.alias("q")
-    rank = lambda t: F.struct(F.col(f"{t}.n"), F.col(f"{t}.component"))
-    meet = p.join(q, "group").where((rank("p") > rank("q")) & (F.col("p.lo") * 3 <= F.col("q.hi") * 4) & (F.col("q.lo") * 3 <= F.col("p.hi") * 4))
-    meet = materialize(meet.select(F.col("p.component").alias("base"), F.col("q.component").alias("probe")).distinct(), "jaccard-meet")
+    # Groups that still hold several components: what isn't in the hub's component is held against that component
+    # and each other, once for all groups of that hub. That covers every two sets of a group that are still apart.
+    label = materialize(weights.select("set").join(label.withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("component", "set")), "jaccard-labels")
+    home = hubs.select("group", F.col("hub.set").alias("set")).join(label, "set").select("group", F.col("component").alias("home"))
+    probes = member.select("group", "set").join(label, "set").join(home, "group").where("component != home").select(F.col("home").alias("group"), "set").distinct()
+    probes = materialize(probes, "jaccard-probes")
     of = label.select("set", "component")
-    probes = meet.join(of, F.col("probe") == F.col("component")).select(F.col("base").alias("group"), "set").distinct()
-    bases = of.join(meet.select("base").distinct(), F.col("component") == F.col("base")).select(F.col("base").alias("group"), "set")
-    more = materialize(_verify(bases, probes, sets, parts), "jaccard-links")
+    bases = of.join(probes.select(F.col("group").alias("component")).distinct(), "component").select(F.col("component").alias("group"), "set").union(probes)
+    able = _dealt(bases, probes, sets.select("set", F.col("sketch").alias("elements")), parts).mapInArrow(_may_link, "group long, side int, set long").distinct()
+    able = materialize(able, "jaccard-able")
+    more = materialize(_verify(able.where("side = 0").select("group", "set"), able.where("side = 1").select("group", "set"), sets, parts), "jaccard-links")
     label = components(links.union(more)) if not more.isEmpty() else of.withColumnRenamed("set", "node")
+    # sets that no link reaches are components of their own
+
     named = label.join(classes.select(F.col("set").alias("node"), "rep"), "node")
     named = named.join(named.groupBy("component").agg(F.min("rep").alias("component_id")), "component").select(F.col("node").alias("set"), "component_id")
     out = rows.join(classes.select("set", "rep"), "set", "left").join(named, "set", "left")
