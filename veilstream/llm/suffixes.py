@@ -2,15 +2,16 @@
 
 Every 400-byte string is filed under one anchor: the 32-byte gram in it with the least hash (the leftmost of
 equals). Equal strings have equal anchors at equal offsets, so only texts that share an anchor need comparing. A
-text's starts that fall to one anchor are consecutive; with 400 bytes after the last they are a region.
+text's starts that fall to one anchor are consecutive, and so are those of anchors that repeat in a row, as in text
+with a period; with 400 bytes after the last they are a region.
 
 Regions of one anchor go to one shard. Of each shard a Burrows-Wheeler transform is made, and a breadth-first
 expansion of its intervals by backward extension derives the common prefixes of neighbouring suffixes by increasing
 length. It stops at 400: what has no value by then shares 400 bytes or more, and that is all that is asked.
 
-An anchor with very many occurrences (a common passage, a large group of near copies) isn't gathered: its regions
-are cut into pieces of 64 starts, equal pieces are counted by an aggregate, and only distinct ones are compared, by
-hashes of their 400-byte strings. Equal texts are one text with a count, from the start.
+An anchor with very many occurrences (a common passage, a large group of near copies) isn't gathered: the more it
+has, the smaller the pieces into which its regions' starts are cut, by their distance from the anchor; equal pieces
+are counted by an aggregate, and only distinct ones are compared, by hashes of their 400-byte strings. Equal texts are one text with a count, from the start.
 
 Defined results: a null text is empty; shorter texts than 400 bytes lose nothing. Equal texts of 400 bytes or more
 lose everything, rows that repeat a document too. An empty table gives an empty result. Only the id and what is
@@ -32,10 +33,10 @@ from .common import materialize, table
 
 LENGTH = 400
 GRAM = 32
-#: Anchors with more occurrences than this are compared by pieces.
-GATHERED = 256
-#: Starts in a piece.
-PIECE = 64
+#: Anchors with more regions than this, or more bytes in them, are compared by pieces.
+GATHERED, GATHERED_BYTES = 256, 2_000_000
+#: Bytes of hashes that a task gathers of such an anchor, about: its starts are cut into as many pieces as that takes.
+PIECE_BYTES = 16_000_000
 #: Bytes of regions in a shard, about.
 SHARD_BYTES = 1_000_000
 #: Positions of a text that are searched for anchors at a time.
@@ -129,22 +130,29 @@ def shared_prefixes(data: np.ndarray, ends: np.ndarray, length: int = LENGTH) ->
     lo = np.concatenate((np.arange(r), r + np.flatnonzero(np.concatenate(([True], first_byte[r:][1:] != first_byte[r:][:-1]))))) if n > r else np.arange(r)
     hi = np.append(lo[1:], n) - 1
     known[hi + 1] = True
+    # rows in a row with the same byte before them extend together, so an interval is taken run by run
+    change = np.concatenate(([True], symbol[1:] != symbol[:-1]))
+    run = np.cumsum(change) - 1
+    run_first = np.flatnonzero(change)
+    run_last = np.append(run_first[1:], n) - 1
     for _ in range(1, length):
         if not len(lo):
             break
-        size = hi - lo + 1
-        which = np.repeat(np.arange(len(lo)), size)
-        rows = np.repeat(lo - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
-        go = ~stop[rows]
-        which, rows = which[go], rows[go]
-        key = which * 257 + symbol[rows]
-        by = np.argsort(key, kind="stable")
-        key, rows = key[by], rows[by]
-        if not len(key):
+        r0 = run[lo]
+        many = run[hi] - r0 + 1
+        which = np.repeat(np.arange(len(lo)), many)
+        runs = np.repeat(r0 - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(many.sum())
+        first, last = np.maximum(run_first[runs], lo[which]), np.minimum(run_last[runs], hi[which])
+        go = ~stop[first]
+        which, first, last = which[go], first[go], last[go]
+        if not len(which):
             break
-        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        last = np.append(first[1:], len(key)) - 1
-        lo, hi = to[rows[first]], to[rows[last]]
+        key = which * 257 + symbol[first]
+        by = np.argsort(key, kind="stable")
+        key, first, last = key[by], first[by], last[by]
+        head = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        tail = np.append(head[1:], len(key)) - 1
+        lo, hi = to[first[head]], to[last[tail]]
         new = ~known[hi + 1]
         lo, hi = lo[new], hi[new]
         known[hi + 1] = True
@@ -166,12 +174,26 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, t in zip(batch.column("key").to_pylist(), batch.column("text"), strict=True):
             if key not in seen:
                 seen.add(key)
-                for part in anchors(t.as_py()):
-                    keys.append(np.full(len(part[0]), key))
-                    parts.append(part)
+                for a, _, lo, hi in anchors(t.as_py()):
+                    first = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1])))
+                    last = np.append(first[1:], len(a)) - 1
+                    keys.append(np.full(len(first), key))
+                    parts.append((a[first], lo[first], hi[last], last - first + 1))
         if parts:
-            a, p, lo, hi = (np.concatenate(x) for x in zip(*parts, strict=True))
-            yield pa.record_batch([pa.array(x, pa.int64()) for x in (a, np.concatenate(keys), p, lo, hi)], names=["anchor", "key", "at", "lo", "hi"])
+            a, lo, hi, times = (np.concatenate(x) for x in zip(*parts, strict=True))
+            yield pa.record_batch([pa.array(x, pa.int64()) for x in (a, np.concatenate(keys), lo, hi, times)], names=["anchor", "key", "lo", "hi", "times"])
+
+
+def _pieces(key: int, begin: int, data: bytes, cut_into: int) -> Iterator[tuple]:
+    """Hashes of a region's strings, cut at the same offsets before the anchor in every text."""
+    width = -(-(LENGTH - GRAM + 1) // cut_into)
+    every = hashes(np.frombuffer(data, np.uint8), LENGTH)
+    for part in anchors(data):
+        for a, at, lo, hi in zip(*(x.tolist() for x in part), strict=True):
+            cuts = sorted({lo, hi + 1, *(at - o for o in range(0, at - lo + 1, width) if lo < at - o <= hi)})
+            for s, e in zip(cuts, cuts[1:], strict=False):
+                route = S.mixed(np.array([a], np.int64).view(np.uint64) + _U(1 - (s - at) // width))
+                yield True, int(route.view(np.int64)[0]), key, begin + s, every[s:e].tobytes()
 
 
 def _region_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,15 +203,9 @@ def _region_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, t, found in zip(batch.column("key").to_pylist(), batch.column("text"), batch.column("found").to_pylist(), strict=True):
             t = t.as_py()
             for x in found:
-                a, at, lo, hi = x["anchor"], x["at"], x["lo"], x["hi"]
-                if not x["hot"]:
-                    rows = [(False, a, key, lo, t[lo : hi + LENGTH])]
-                else:
-                    every = hashes(np.frombuffer(t, np.uint8)[lo : hi + LENGTH], LENGTH)
-                    # offsets before the anchor, cut at the same ones in every text
-                    cuts = sorted({lo, hi + 1, *(at - o for o in range(0, at - lo + 1, PIECE) if lo < at - o <= hi)})
-                    rows = [(True, int(S.mixed(np.array([a], np.int64).view(np.uint64) + _U(1 - (s - at) // PIECE)).view(np.int64)[0]), key, s, every[s - lo : e - lo].tobytes()) for s, e in zip(cuts, cuts[1:], strict=False)]
-                for r in rows:
+                lo, hi = x["lo"], x["hi"]
+                data = t[lo : hi + LENGTH]
+                for r in _pieces(key, lo, data, x["hot"]) if x["hot"] else ((False, x["anchor"], key, lo, data),):
                     for to, v in zip(out, r, strict=True):
                         to.append(v)
         yield pa.record_batch([pa.array(x, k) for x, k in zip(out, (pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["hot", "route", "key", "lo", "data"])
@@ -207,9 +223,9 @@ def _spans_of_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             starts.append(at)
             at += len(data) + 1
             owners.append(owner)
-        if len(owners) < 2:
+        if not owners:
             return
-        ends = np.append(starts[1:], at) - 1
+        ends = np.array([*starts[1:], at], np.int64) - 1
         shared = shared_prefixes(np.concatenate(parts), ends)
         for s, e, owner in zip(starts, ends.tolist(), owners, strict=True):
             if len(owner) == 1:
@@ -265,13 +281,15 @@ def repeated_spans(texts: DataFrame, parts: int) -> DataFrame:
 
     Rows with the same key must have the same text; only one of them counts.
     """
-    found = materialize(texts.where(F.octet_length("text") >= LENGTH).select("key", "text").mapInArrow(_anchor_rows, "anchor long, key long, at long, lo long, hi long"), "suffix-anchors")
-    often = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = found.join(often.select("anchor"), "anchor", "left_semi").dropDuplicates(["anchor", "key", "at"])
-    shared = materialize(shared, "suffix-shared")
-    many = shared.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
-    shared = shared.join(many.where("n > 1").select("anchor", (F.col("n") > GATHERED).alias("hot")), "anchor")
-    per_text = shared.groupBy("key").agg(F.collect_list(F.struct("anchor", "at", "lo", "hi", "hot")).alias("found"))
+    found = materialize(texts.where(F.octet_length("text") >= LENGTH).select("key", "text").mapInArrow(_anchor_rows, "anchor long, key long, lo long, hi long, times long"), "suffix-anchors")
+    # copies of a text in other tasks count again here; that costs, but what is one text alone falls away below
+    often = found.groupBy("anchor").agg(F.sum("times").alias("n")).where("n > 1").select("anchor")
+    shared = materialize(found.join(often, "anchor", "left_semi").dropDuplicates(["anchor", "key", "lo"]), "suffix-shared")
+    many = shared.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.sum("times").alias("times"), F.sum(F.col("hi") - F.col("lo") + LENGTH).alias("bytes")).where("times > 1")
+    cut_into = F.least(F.ceil(F.col("bytes") * 8 / PIECE_BYTES), F.lit(LENGTH - GRAM + 1)).cast("int")
+    hot = F.when((F.col("n") > GATHERED) | (F.col("bytes") > GATHERED_BYTES), cut_into).otherwise(F.lit(0))
+    shared = shared.join(many.select("anchor", hot.alias("hot")), "anchor")
+    per_text = shared.groupBy("key").agg(F.collect_list(F.struct("anchor", "lo", "hi", "hot")).alias("found"))
     one = texts.select("key", "text").join(per_text, "key").dropDuplicates(["key"])
     rows = materialize(one.mapInArrow(_region_rows, "hot boolean, route long, key long, lo long, data binary"), "suffix-regions")
     cold = rows.where("not hot").select("route", "key", "lo", "data").repartition(parts, "route").sortWithinPartitions("route")
