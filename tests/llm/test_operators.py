@@ -233,6 +233,51 @@ def test_lines(spark, docs, empty):
     assert [lines.blocks_for(n) for n in (2, 10**6, 10**10)] == sorted(lines.blocks_for(n) for n in (2, 10**6, 10**10))
 
 
+def _edit_similarity(x, y):
+    row = np.arange(len(y) + 1)
+    codes, steps = np.array([ord(c) for c in y]), np.arange(len(y) + 1)
+    for i, c in enumerate(x, 1):
+        new = np.concatenate(([i], np.minimum(row[1:] + 1, row[:-1] + (codes != ord(c)))))
+        row = np.minimum.accumulate(new - steps) + steps
+    return 1 - row[-1] / max(len(x), len(y), 1)
+
+
+def _fuzzy_pairs(seed, each):
+    """(kind, line, changed line) with an edit similarity of 0.75 at least: typos, an inserted word, a changed number, several words."""
+    rng = random.Random(seed)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda: "".join(rng.choice(letters) for _ in range(rng.randint(2, 9)))
+    out = []
+    for n in (3, 6, 12, 20, 50):
+        for kind in ("typo", "insert", "number", "words"):
+            while sum(k == (kind, n) for k, _, _ in out) < each:
+                w = [word() for _ in range(n)]
+                w[rng.randrange(n)] = str(rng.randrange(10**4, 10**6))
+                v = list(w)
+                if kind == "insert":
+                    v.insert(rng.randrange(n + 1), word())
+                elif kind == "number":
+                    v[next(i for i, x in enumerate(v) if x.isdigit())] = str(rng.randrange(10**4, 10**6))
+                else:
+                    for i in rng.sample(range(n), 1 if kind == "typo" else max(1, n // 6)):
+                        j = rng.randrange(len(v[i]))
+                        v[i] = v[i][:j] + rng.choice(letters) + v[i][j + 1 :] if kind == "typo" else word()
+                if w != v and _edit_similarity(" ".join(w), " ".join(v)) >= 0.75:
+                    out.append(((kind, n), " ".join(w), " ".join(v)))
+    return out
+
+
+def test_fuzzy_lines(spark):
+    pairs = _fuzzy_pairs(5, 10)
+    texts = [x for _, a, b in pairs for x in (a, b)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    group = {r["doc_id"]: r["group"] for r in lines.line_groups(df).collect()}
+    found = Counter(kind for k, (kind, _, _) in enumerate(pairs) if group[2 * k] == group[2 * k + 1])
+    assert sum(found.values()) >= 0.95 * len(pairs), found
+    assert all(found[kind, n] == 10 for kind in ("typo", "insert", "number") for n in (12, 20, 50)), found
+    assert len({group[2 * k] for k in range(len(pairs))}) == len(pairs)  # nothing else is linked
+
+
 def test_tokens(spark, docs, empty):
     assert tokens.attribute(np.array([2, 5, 9]), np.array([0, 3, 3, 9]))[0].tolist() == [1, 0, 2]
     assert [x.tolist() for x in tokens.attribute(np.array([4]), np.array([0, 2, 4]))] == [[1, 0], [1, 0]]
