@@ -223,6 +223,26 @@ def test_sharding(docs, rows, empty):
     assert sharding.shard(empty).count() == 0
 
 
+def _cut(out):
+    """Groups of several rows: how many shards each is in."""
+    per = {}
+    for r in out:
+        if r["group"] is not None:
+            per.setdefault(r["group"], []).append(r["shard"])
+    return {g: (len(s), len(set(s))) for g, s in per.items() if len(s) > 1}
+
+
+def test_sharding_whole_groups(spark):
+    """Two-copy groups with few free rows stay whole, and a group of a third of all rows is in 6 of 16 shards."""
+    pairs = spark.range(3600).selectExpr("id doc_id", "concat('t', id div 2) text").union(spark.range(3600, 4000).selectExpr("id", "cast(null as string)"))
+    third = spark.range(4000).selectExpr("id doc_id", "case when id < 1334 then 'x' when id < 3600 then concat('t', id div 2) end text")
+    for df in (pairs, third):
+        out = sharding.shard(df).collect()
+        assert len({r["doc_id"] for r in out}) == len(out) == 4000 and set(Counter(r["shard"] for r in out).values()) == {250}
+        cut = [(n, in_) for n, in_ in _cut(out).values() if in_ > 1]
+        assert cut == ([] if df is pairs else [(1334, 6)])
+
+
 def test_lines(spark, docs, empty):
     out = lines.line_groups(docs).collect()
     assert len(out) == sum((t or "").count("\n") + 1 for t in TEXTS if t is not None)
