@@ -321,3 +321,12 @@ def test_urls(spark):
         (4, "", "", None, "allow"), (5, "", "", None, "allow"), (6, "example.com", "", None, "allow"), (7, "net", "", None, "allow"), (7, "net", "", None, "allow"), (8, "bad.example.org", "/spam/1", None, "block"),
     ]
     assert urls.judge(df.limit(0), urls.RULES, urls.mine(urls.label_pages(df.limit(0), labels))).count() == 0
+
+
+def test_urls_support_at_every_size(spark):
+    """Five bad pages make a rule among 20 labelled pages and among 5,000; four don't."""
+    for others in (20, 5000):
+        bad = [(f"http://bad.org/spam/{i}", True) for i in range(5)] + [(f"http://few.org/x/{i}", True) for i in range(4)]
+        df = spark.createDataFrame(bad + [(f"http://good{i % 7}.com/ham/{i}", False) for i in range(others)], "url string, bad boolean")
+        rules = {tuple(r["antecedent"]): (r["confidence"], r["support"]) for r in urls.mine(df).collect()}
+        assert rules["p:spam",] == (1.0, 5 / (others + 9)) and rules["h:bad", "p:spam"][0] == 1.0 and not any("h:few" in k for k in rules)

@@ -1,7 +1,8 @@
 """URL filters: listed rules first, then association rules that FP-growth mines from labelled pages.
 
 A URL becomes a set of tokens (host labels, path segments, query parts). FP-growth finds token sets that go along
-with bad labels; rules below the support and confidence bounds are dropped. Each rule that is left is filed in an
+with bad labels; rules on fewer than MIN_PAGES bad pages or below the confidence bound are dropped, whatever the table's
+size. A rule can hold only tokens of that many bad pages, so others are left out before mining. Each rule that is left is filed in an
 inverted index under the rarest token of its antecedent, so a URL meets only rules that share such a token.
 
 Defined results: a null URL, and one without `://`, have an empty host and path, no listed rule, no tokens, and
@@ -20,8 +21,7 @@ from .common import ascii_lower, materialize, table
 
 #: Listed rules: host and path, verdict.
 RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
-MIN_SUPPORT = 0.002
-#: A rule rests on this many labelled pages at least, however few there are.
+#: A rule rests on this many bad pages at least, however many pages are labelled.
 MIN_PAGES = 5
 MIN_CONFIDENCE = 0.6
 BAD = "!bad"
@@ -54,20 +54,35 @@ def tokens_of(url: Column) -> Column:
     return F.array_distinct(F.concat(parts(host_of(url), "\\.", "h:"), parts(path_of(url), "/", "p:"), parts(rest, "&", "q:")))
 
 
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_pages: int = MIN_PAGES) -> DataFrame:
+def mine(labelled: DataFrame, min_confidence: float = MIN_CONFIDENCE, min_pages: int = MIN_PAGES) -> DataFrame:
     """(token, antecedent, confidence, support) from labelled (url, bad boolean); token is the antecedent's rarest one."""
     spark = labelled.sparkSession
     none = spark.createDataFrame([], "token string, antecedent array<string>, confidence double, support double")
-    sets = labelled.select(F.concat(tokens_of(F.col("url")), F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>"))).alias("items")).where(F.size("items") > 0)
-    sets = materialize(sets, "url-tokens")
-    rows, bad = sets.agg(F.count(F.lit(1)), F.count_if(F.array_contains("items", BAD))).first()
-    if not bad:
+    sets = labelled.select(tokens_of(F.col("url")).alias("tokens"), F.coalesce("bad", F.lit(False)).alias("bad")).where((F.size("tokens") > 0) | F.col("bad"))
+    sets = materialize(sets.withColumn("id", F.expr("uuid()")), "url-tokens")
+    rows, bad = sets.agg(F.count(F.lit(1)), F.count_if("bad")).first()
+    if bad < min_pages:
         return none
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_support, min_pages / rows)), minConfidence=min_confidence).fit(sets)
-    rules = model.associationRules.where(F.col("consequent")[0] == BAD).where(F.col("lift") > 1)
-    single = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
-    filed = rules.withColumn("token", F.explode("antecedent")).join(single, "token")
-    return materialize(filed.groupBy(F.array_sort("antecedent").alias("antecedent")).agg(F.min_by("token", F.struct("freq", "token")).alias("token"), F.max("confidence").alias("confidence"), F.max("support").alias("support")).select("token", "antecedent", "confidence", "support"), "url-rules")
+    # tokens of enough bad pages; the sets that make rules are frequent among bad pages, which alone are mined
+    use = sets.select("id", "bad", F.explode("tokens").alias("token"))
+    single = use.groupBy("token").agg(F.count(F.lit(1)).alias("freq"), F.count_if("bad").alias("_bad")).where(F.col("_bad") >= min_pages)
+    single = materialize(single.select("token", "freq"), "url-frequent")
+    used = materialize(use.join(single, "token").groupBy("id", "bad").agg(F.collect_list("token").alias("items")), "url-used")
+    mined = used.where("bad").select("items")
+    held = mined.count()
+    if not held:
+        return none
+    # half a page less, so that rounding never asks for one more
+    found = FPGrowth(itemsCol="items", minSupport=(min_pages - 0.5) / held).fit(mined).freqItemsets
+    found = materialize(found.select(F.array_sort("items").alias("antecedent"), F.col("freq").alias("_bad")), "url-sets")
+    filed = found.withColumn("token", F.explode("antecedent")).join(single, "token").groupBy("antecedent", "_bad").agg(F.min_by("token", F.struct("freq", "token")).alias("token"))
+    # the good pages of a set are found by its rarest token
+    good = used.where("not bad").groupBy(F.array_sort("items").alias("items")).agg(F.count(F.lit(1)).alias("_n"))
+    good = good.select("items", "_n", F.explode("items").alias("token"))
+    met = filed.select("token", "antecedent").join(good, "token").where(F.size(F.array_except("antecedent", "items")) == 0).groupBy("antecedent").agg(F.sum("_n").alias("_good"))
+    rules = filed.join(met, "antecedent", "left").withColumn("confidence", F.col("_bad") / (F.col("_bad") + F.coalesce("_good", F.lit(0))))
+    rules = rules.where((F.col("confidence") >= min_confidence) & (F.col("confidence") > bad / rows))
+    return materialize(rules.select("token", "antecedent", "confidence", (F.col("_bad") / rows).alias("support")), "url-rules")
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]], mined: DataFrame, id_col: str = "page_id", url: str = "url") -> DataFrame:
