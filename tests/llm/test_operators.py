@@ -126,24 +126,42 @@ def test_jaccard_signatures():
             assert len(np.intersect1d(jaccard.signatures(a, frequent), jaccard.signatures(b, frequent))), (len(a), len(b), both)
 
 
-@pytest.mark.parametrize("gathered", [256, 1])
-def test_suffixes(docs, rows, empty, gathered, monkeypatch):
-    monkeypatch.setattr(suffixes, "GATHERED", gathered)
+def _repeated(rows):
     raw = [(r[0], (r[1] or "").encode()) for r in rows]
     many = Counter(t[i : i + 400] for _, t in raw for i in range(len(t) - 399))
-    expected = []
     for i, t in raw:
         gone = np.zeros(len(t) + 1, np.int8)
         for s in range(len(t) - 399):
             if many[t[s : s + 400]] > 1:
                 gone[s : s + 400] = 1
         kept = bytes(b for b, g in zip(t, gone, strict=False) if not g)
-        expected.append((i, len(t), int(gone.sum()), int((np.diff(np.concatenate(([0], gone))) == 1).sum()), hashlib.sha256(kept).hexdigest()))
-    same(suffixes.dedup(docs), expected, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-    if gathered == 256:
+        yield i, len(t), int(gone.sum()), int((np.diff(np.concatenate(([0], gone))) == 1).sum()), hashlib.sha256(kept).hexdigest()
+
+
+SPAN_COLUMNS = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+
+
+@pytest.mark.parametrize("file_bytes", [1_000_000, 3000, 1])  # 1: every file goes down to the last level
+def test_suffixes(docs, rows, empty, file_bytes, monkeypatch):
+    monkeypatch.setattr(suffixes, "FILE_BYTES", file_bytes)
+    same(suffixes.dedup(docs), _repeated(rows), SPAN_COLUMNS)
+    if file_bytes == 3000:
         assert suffixes.dedup(empty).count() == 0
 
 
+def test_suffixes_passage_and_periods(spark, monkeypatch):
+    """A passage between texts that differ, in more of them than a file holds; texts with a period; no ids."""
+    rng = random.Random(4)
+    noise = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = noise(700)
+    texts = [noise(rng.randrange(60)) + passage + noise(rng.randrange(500)) for _ in range(40)]
+    texts += ["a" * 900, "b" + "a" * 650 + "c", "xyz" * 300, "q" + "xyz" * 170 + noise(90), noise(399), passage[:399], passage[5:405], passage[:350] + "!" + passage[350:]]
+    rows = [(i if i % 3 else None, t) for i, t in enumerate(texts)]
+    for file_bytes in (1_000_000, 5000, 1):
+        monkeypatch.setattr(suffixes, "FILE_BYTES", file_bytes)
+        same(suffixes.dedup(spark.createDataFrame(rows, "doc_id long, text string")), _repeated(rows), SPAN_COLUMNS)
+
+
 def test_licenses(docs, rows, empty):
     out = {(r["doc_id"]): r for r in licenses.scan(docs).collect()}
     for r in rows:

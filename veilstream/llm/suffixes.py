@@ -3,19 +3,23 @@
 Every 400-byte string is filed under one anchor: the 32-byte gram in it with the least hash (the leftmost of
 equals). Equal strings have equal anchors at equal offsets, so only texts that share an anchor need comparing. A
 text's starts that fall to one anchor are consecutive, and so are those of anchors that repeat in a row, as in text
-with a period; with 400 bytes after the last they are a region.
+with a period; with 400 bytes after the last they are a region. A text that occurs more than once is, in stretches
+of bounded length, a region as well.
 
-Regions of one anchor go to one shard. Of each shard a Burrows-Wheeler transform is made, and a breadth-first
-expansion of its intervals by backward extension derives the common prefixes of neighbouring suffixes by increasing
-length. It stops at 400: what has no value by then shares 400 bytes or more, and that is all that is asked.
+Regions of one anchor go to one shard; regions of equal bytes enter it twice at most, which is all that a repeat
+takes. Of each shard a Burrows-Wheeler transform is made, and a breadth-first expansion of its intervals by backward
+extension derives the common prefixes of neighbouring suffixes by increasing length. It stops at 400: what has no
+value by then shares 400 bytes or more, and that is all that is asked.
 
-An anchor with very many occurrences (a common passage, a large group of near copies) isn't gathered: the more it
-has, the smaller the pieces into which its regions' starts are cut, by their distance from the anchor; equal pieces
-are counted by an aggregate, and only distinct ones are compared, by hashes of their 400-byte strings. Equal texts are one text with a count, from the start.
+An anchor whose distinct regions are too many for a shard (a common passage between texts that differ) is filed
+more finely: by the bytes that all strings with the anchor at about the same offset have in common, at last by the
+whole string, of which there is one. Every level goes through the same transform, so no string is judged otherwise.
+
+Texts and regions are equal when their lengths and MD5 sums are.
 
 Defined results: a null text is empty; shorter texts than 400 bytes lose nothing. Equal texts of 400 bytes or more
 lose everything, rows that repeat a document too. An empty table gives an empty result. Only the id and what is
-found come back.
+found come back. Very long texts are searched in stretches, so memory doesn't grow with their length alone.
 """
 
 from __future__ import annotations
@@ -33,14 +37,16 @@ from .common import materialize, table
 
 LENGTH = 400
 GRAM = 32
-#: Anchors with more regions than this, or more bytes in them, are compared by pieces.
-GATHERED, GATHERED_BYTES = 256, 2_000_000
-#: Bytes of hashes that a task gathers of such an anchor, about: its starts are cut into as many pieces as that takes.
-PIECE_BYTES = 16_000_000
+#: How finely strings are filed, level by level: by the anchor alone, then also by its offset, cut into ranges so wide.
+LEVELS = (None, 64, 8, 1)
+#: Distinct regions of one file have about so many bytes at most, else they are filed anew on the next level.
+FILE_BYTES = 1_000_000
 #: Bytes of regions in a shard, about.
-SHARD_BYTES = 1_000_000
+SHARD_BYTES = 250_000
 #: Positions of a text that are searched for anchors at a time.
-CHUNK = 4_000_000
+CHUNK = 1_000_000
+#: Bytes of regions in one record batch, about.
+BATCH_BYTES = 8_000_000
 
 _U = np.uint64
 _AT = _U((1 << 24) - 1)
@@ -53,20 +59,23 @@ def _sums(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def hashes(data: np.ndarray, width: int) -> np.ndarray:
-    """Of every string of `width` bytes in data."""
-    sums, n = _sums(data), len(data) - width + 1
-    return S.mixed((sums[width:] - sums[:n]) * S._inverses[:n])
+def _between(sums: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the strings from begin to end, by the sums of the powers of their text."""
+    return S.mixed((sums[end] - sums[begin]) * S._inverses[begin] + (end - begin).astype(np.uint64))
+
 
+def regions(text: bytes, width: int | None = None, length: int = LENGTH, gram: int = GRAM) -> Iterator[tuple[np.ndarray, ...]]:
+    """(file, first start, last start, how many files in a row, hash of the bytes), as arrays, stretch by stretch.
 
-def anchors(text: bytes, length: int = LENGTH, gram: int = GRAM) -> list[tuple[np.ndarray, ...]]:
-    """(hash of the anchor, its position, first and last start that fall to it), as arrays, chunk by chunk."""
-    out = []
+    width None: a string's file is its anchor. Else it's what all strings share that have the anchor at an offset in
+    the same range of that width.
+    """
     w = length - gram + 1
     for begin in range(0, max(0, len(text) - length + 1), CHUNK):
         data = np.frombuffer(text, np.uint8)[begin : begin + CHUNK + length - 1]
-        grams = hashes(data, gram)
-        n, starts = len(grams), len(data) - length + 1
+        sums = _sums(data)
+        n, starts = len(data) - gram + 1, len(data) - length + 1
+        grams = S.mixed((sums[gram:] - sums[:n]) * S._inverses[:n])
         key = (grams & ~_AT) | np.arange(n, dtype=np.uint64)
         blocks = np.full(-(-n // w) * w, ~_U(0))
         blocks[:n] = key
@@ -74,35 +83,61 @@ def anchors(text: bytes, length: int = LENGTH, gram: int = GRAM) -> list[tuple[n
         ahead = np.minimum.accumulate(blocks, axis=1).ravel()
         back = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
         at = (np.minimum(back[:starts], ahead[w - 1 : w - 1 + starts]) & _AT).astype(np.int64)
-        first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-        last = np.append(first[1:], starts) - 1
-        out.append((grams[at[first]].view(np.int64), at[first] + begin, first + begin, last + begin))
-    return out
+        lo = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+        hi, at = np.append(lo[1:], starts) - 1, at[lo]
+        if width is None:
+            file = grams[at]
+        else:
+            least, most = (at - hi) // width, (at - lo) // width
+            many = most - least + 1
+            of = np.repeat(np.arange(len(at)), many)
+            # ranges of a region come by falling offset, so starts rise
+            k = np.repeat(most, many) - (np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many))
+            at, near, far = at[of], k * width, np.minimum((k + 1) * width, w) - 1
+            lo, hi = np.maximum(lo[of], at - far), np.minimum(hi[of], at - near)
+            file = S.mixed(_between(sums, at - near, at - far + length) + k.astype(np.uint64))
+        first = np.flatnonzero(np.concatenate(([True], file[1:] != file[:-1])))
+        last = np.append(first[1:], len(file)) - 1
+        lo, hi = lo[first], hi[last]
+        yield file[first].view(np.int64), lo + begin, hi + begin, last - first + 1, _between(sums, lo, hi + length).view(np.int64)
 
 
 def suffix_array(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Of regions that end before positions `ends` (separators); prefix doubling. Separators order by position."""
+    """Of regions that end before positions `ends` (separators); prefix doubling. Separators order by position.
+
+    Only suffixes that aren't apart yet are sorted again.
+    """
     n = len(data)
-    left = ends[np.searchsorted(ends, np.arange(n))] - np.arange(n)  # bytes before the separator
+    left = np.repeat(ends, np.diff(np.concatenate(([-1], ends)))) - np.arange(n)  # bytes before the separator
     key = np.zeros(n, np.int64)
     padded = np.concatenate((data.astype(np.int64), np.zeros(8, np.int64)))
-    for k in range(5):
+    step = 7
+    for k in range(step):
         key = key * 257 + np.where(left > k, padded[k : k + n] + 1, 0)
-    short = left < 5
-    key = (key << 22) | np.where(short, np.searchsorted(ends, np.arange(n)) + 1, 0)
-    order = np.argsort(key, kind="stable")
-    step = 5
+    order = np.argsort(key)
+    rank = np.empty(n, np.int64)
+    open_, value, start = order, key[order], np.zeros(n, np.int64)
     while True:
-        sorted_key = key[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.concatenate(([0], np.cumsum(sorted_key[1:] != sorted_key[:-1])))
-        if rank[order[-1]] == n - 1:
-            return order
-        ahead = np.zeros(n, np.int64)
-        ahead[: max(0, n - step)] = rank[step:] + 1
-        key = rank * (n + 1) + np.where(left >= step, ahead, 0)
-        order = np.argsort(key, kind="stable")
+        # open_: suffixes by value; start: the rank of the first of those that were alike before
+        new = np.concatenate(([True], value[1:] != value[:-1]))
+        place = np.arange(len(open_))
+        group = np.concatenate(([True], start[1:] != start[:-1]))
+        now = start + np.maximum.accumulate(np.where(new, place, 0)) - np.maximum.accumulate(np.where(group, place, 0))
+        rank[open_] = now
+        alone = new & np.append(new[1:], True)
+        open_, now = open_[~alone], now[~alone]
+        if not len(open_):
+            break
+        # those that end within `step` bytes are alike in all that is left, so their places in the data part them
+        ahead = np.where(left[open_] >= step, rank[np.minimum(open_ + step, n - 1)], open_)
+        value = (now << 32) | ahead
+        by = np.argsort(value)
+        open_, value = open_[by], value[by]
+        start = value >> 32
         step *= 2
+    order = np.empty(n, np.int64)
+    order[rank] = np.arange(n)
+    return order
 
 
 def shared_prefixes(data: np.ndarray, ends: np.ndarray, length: int = LENGTH) -> np.ndarray:
@@ -167,147 +202,143 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True))
 
 
-def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: set[int] = set()  # equal texts in one task give their anchors once
+def _file_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Regions of whole texts by their anchors."""
+    seen: set[bytes] = set()  # equal texts in one task are filed once
     for batch in batches:
-        keys, parts = [], []
         for key, t in zip(batch.column("key").to_pylist(), batch.column("text"), strict=True):
             if key not in seen:
                 seen.add(key)
-                for a, _, lo, hi in anchors(t.as_py()):
-                    first = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1])))
-                    last = np.append(first[1:], len(a)) - 1
-                    keys.append(np.full(len(first), key))
-                    parts.append((a[first], lo[first], hi[last], last - first + 1))
-        if parts:
-            a, lo, hi, times = (np.concatenate(x) for x in zip(*parts, strict=True))
-            yield pa.record_batch([pa.array(x, pa.int64()) for x in (a, np.concatenate(keys), lo, hi, times)], names=["anchor", "key", "lo", "hi", "times"])
-
-
-def _pieces(key: int, begin: int, data: bytes, cut_into: int) -> Iterator[tuple]:
-    """Hashes of a region's strings, cut at the same offsets before the anchor in every text."""
-    width = -(-(LENGTH - GRAM + 1) // cut_into)
-    every = hashes(np.frombuffer(data, np.uint8), LENGTH)
-    for part in anchors(data):
-        for a, at, lo, hi in zip(*(x.tolist() for x in part), strict=True):
-            cuts = sorted({lo, hi + 1, *(at - o for o in range(0, at - lo + 1, width) if lo < at - o <= hi)})
-            for s, e in zip(cuts, cuts[1:], strict=False):
-                route = S.mixed(np.array([a], np.int64).view(np.uint64) + _U(1 - (s - at) // width))
-                yield True, int(route.view(np.int64)[0]), key, begin + s, every[s:e].tobytes()
+                for found in regions(t.as_py()):
+                    yield pa.record_batch([pa.array([key] * len(found[0]), pa.binary()), *(pa.array(x, pa.int64()) for x in found)], names=["key", "file", "lo", "hi", "times", "bytes"])
+
+
+def _finer(width: int):
+    """Regions of a text's regions, filed more finely."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, t, found in zip(batch.column("key").to_pylist(), batch.column("text"), batch.column("found").to_pylist(), strict=True):
+                t = t.as_py()
+                for x in found:
+                    for file, lo, hi, times, same in regions(t[x["lo"] : x["hi"] + LENGTH], width):
+                        yield pa.record_batch([pa.array([key] * len(file), pa.binary()), *(pa.array(c, pa.int64()) for c in (file, lo + x["lo"], hi + x["lo"], times, same))], names=["key", "file", "lo", "hi", "times", "bytes"])
+
+    return run
 
 
 def _region_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Regions of gathered anchors (hot false), and pieces of the others (hot true; data: hashes)."""
+    """The bytes of every region. On the last level all strings of a region are one string, so that is what it has."""
+    names = ["file", "key", "lo", "hi", "n", "same", "data"]
+    kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+    out: list[tuple] = []
+    held = 0
     for batch in batches:
-        out: list[list] = [[], [], [], [], []]
         for key, t, found in zip(batch.column("key").to_pylist(), batch.column("text"), batch.column("found").to_pylist(), strict=True):
             t = t.as_py()
             for x in found:
-                lo, hi = x["lo"], x["hi"]
-                data = t[lo : hi + LENGTH]
-                for r in _pieces(key, lo, data, x["hot"]) if x["hot"] else ((False, x["anchor"], key, lo, data),):
-                    for to, v in zip(out, r, strict=True):
-                        to.append(v)
-        yield pa.record_batch([pa.array(x, k) for x, k in zip(out, (pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["hot", "route", "key", "lo", "data"])
-
-
-def _spans_of_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by anchor. (key, start, end) of what repeats. Equal regions enter a shard once, with a count."""
-
-    def expanded(groups: dict[bytes, list]) -> Iterator[tuple[int, int, int]]:
-        parts, starts, owners, at = [], [], [], 0
-        for data, owner in groups.items():
-            if len(owner) > 1:  # all of its strings repeat, whatever else is here; it stays for the others
-                yield from ((key, lo, lo + len(data)) for key, lo in owner)
-            parts += [np.frombuffer(data, np.uint8), np.zeros(1, np.uint8)]
-            starts.append(at)
-            at += len(data) + 1
-            owners.append(owner)
-        if not owners:
-            return
-        ends = np.array([*starts[1:], at], np.int64) - 1
+                lo, hi, n = x["lo"], x["hi"], x["n"]
+                data = t[lo : lo + LENGTH] if x["one"] else t[lo : hi + LENGTH]
+                out.append((x["file"], key, lo, hi, n, hashlib.md5(data).digest(), data))
+                held += len(data)
+                if held >= BATCH_BYTES:
+                    yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+                    out, held = [], 0
+    if out:
+        yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+
+
+def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (file, same, n, data) come sorted by file; (file, same, runs) of the regions of which starts repeat."""
+
+    def flush(rows: list) -> pa.RecordBatch:
+        parts, starts, at = [], [], 0
+        for k, (_, _, n, data) in enumerate(rows):
+            for _ in range(min(n, 2)):
+                parts += [np.frombuffer(data, np.uint8), np.zeros(1, np.uint8)]
+                starts.append((at, k))
+                at += len(data) + 1
+        ends = np.array([*(s for s, _ in starts[1:]), at], np.int64) - 1
         shared = shared_prefixes(np.concatenate(parts), ends)
-        for s, e, owner in zip(starts, ends.tolist(), owners, strict=True):
-            if len(owner) == 1:
-                key, lo = owner[0]
-                yield from ((key, lo + i, lo + j - 1 + LENGTH) for i, j in _runs(shared[s : max(s, e - LENGTH + 1)]))
-
-    def flush(groups: dict[bytes, list]) -> pa.RecordBatch:
-        rows = list(expanded(groups))
-        return pa.record_batch([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], names=["key", "start", "end"])
-
-    groups: dict[bytes, list] = {}
+        out, last = [], None
+        for (s, k), e in zip(starts, ends.tolist(), strict=True):
+            if k != last and (runs := _runs(shared[s : max(s, e - LENGTH + 1)])):
+                out.append((*rows[k][:2], runs))
+            last = k
+        return pa.record_batch([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary()), pa.array([[list(r) for r in x[2]] for x in out], pa.list_(pa.list_(pa.int64())))], names=["file", "same", "runs"])
+
+    rows: list[tuple] = []
     size, last = 0, None
     for batch in batches:
-        for route, key, lo, data in zip(*(batch.column(k).to_pylist() for k in ("route", "key", "lo", "data")), strict=True):
-            if route != last and size >= SHARD_BYTES:
-                yield flush(groups)
-                groups, size = {}, 0
-            last = route
-            if data not in groups:
-                size += len(data) + 1
-            groups.setdefault(data, []).append((key, lo))
-    yield flush(groups)
-
-
-def _runs_of_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (route, piece, many, data) come sorted by route; (route, piece, runs) of the pieces of which starts repeat."""
-
-    def flush(route: int, rows: list) -> pa.RecordBatch:
-        every = np.concatenate([r[2] for r in rows])
-        values, counts = np.unique(every, return_counts=True)
-        out = []
-        for piece, many, hs in rows:
-            flags = np.full(len(hs), many > 1) | (counts[np.searchsorted(values, hs)] > 1)
-            if flags.any():
-                out.append((piece, [list(x) for x in _runs(flags)]))
-        return pa.record_batch([pa.array([route] * len(out), pa.int64()), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.list_(pa.list_(pa.int64())))], names=["route", "piece", "runs"])
-
-    rows: list = []
-    last = None
-    for batch in batches:
-        for route, piece, many, data in zip(*(batch.column(k).to_pylist() for k in ("route", "piece", "many", "data")), strict=True):
-            if route != last and rows:
-                yield flush(last, rows)
-                rows = []
-            last = route
-            rows.append((piece, many, np.frombuffer(data, np.uint64)))
+        for file, same, n, data in zip(batch.column("file").to_pylist(), batch.column("same").to_pylist(), batch.column("n").to_pylist(), batch.column("data"), strict=True):
+            if file != last and size >= SHARD_BYTES:
+                yield flush(rows)
+                rows, size = [], 0
+            last = file
+            rows.append((file, same, n, data.as_py()))
+            size += len(rows[-1][3]) + 1
     if rows:
-        yield flush(last, rows)
+        yield flush(rows)
+
+
+_ROWS = "key binary, file long, lo long, hi long, times long, bytes long"
+
+
+def _with_texts(found: DataFrame, texts: DataFrame) -> DataFrame:
+    """(key, text, found): each text once, with its rows of found as an array of structs."""
+    per_text = found.groupBy("key").agg(F.collect_list(F.struct(*(c for c in found.columns if c != "key"))).alias("found"))
+    return texts.select("key", "text").join(per_text, "key").dropDuplicates(["key"])
 
 
 def repeated_spans(texts: DataFrame, parts: int) -> DataFrame:
-    """(key, start, end): byte spans of distinct texts (key, text binary) that strings repeated in them cover; may overlap.
+    """(key, start, end): byte spans of texts (key binary, text binary) that strings repeated in them cover; may overlap.
 
-    Rows with the same key must have the same text; only one of them counts.
+    Rows with the same key must have the same text.
     """
-    found = materialize(texts.where(F.octet_length("text") >= LENGTH).select("key", "text").mapInArrow(_anchor_rows, "anchor long, key long, lo long, hi long, times long"), "suffix-anchors")
-    # copies of a text in other tasks count again here; that costs, but what is one text alone falls away below
-    often = found.groupBy("anchor").agg(F.sum("times").alias("n")).where("n > 1").select("anchor")
-    shared = materialize(found.join(often, "anchor", "left_semi").dropDuplicates(["anchor", "key", "lo"]), "suffix-shared")
-    many = shared.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.sum("times").alias("times"), F.sum(F.col("hi") - F.col("lo") + LENGTH).alias("bytes")).where("times > 1")
-    cut_into = F.least(F.ceil(F.col("bytes") * 8 / PIECE_BYTES), F.lit(LENGTH - GRAM + 1)).cast("int")
-    hot = F.when((F.col("n") > GATHERED) | (F.col("bytes") > GATHERED_BYTES), cut_into).otherwise(F.lit(0))
-    shared = shared.join(many.select("anchor", hot.alias("hot")), "anchor")
-    per_text = shared.groupBy("key").agg(F.collect_list(F.struct("anchor", "lo", "hi", "hot")).alias("found"))
-    one = texts.select("key", "text").join(per_text, "key").dropDuplicates(["key"])
-    rows = materialize(one.mapInArrow(_region_rows, "hot boolean, route long, key long, lo long, data binary"), "suffix-regions")
-    cold = rows.where("not hot").select("route", "key", "lo", "data").repartition(parts, "route").sortWithinPartitions("route")
-    spans = cold.mapInArrow(_spans_of_shards, "key long, start long, end long")
-    pieces = rows.where("hot").withColumn("piece", F.xxhash64("data"))
-    distinct = pieces.groupBy("route", "piece").agg(F.count(F.lit(1)).alias("many"), F.first("data").alias("data"))
-    runs = distinct.repartition(parts, "route").sortWithinPartitions("route").mapInArrow(_runs_of_pieces, "route long, piece long, runs array<array<long>>")
-    more = pieces.select("route", "piece", "key", "lo").join(runs, ["route", "piece"]).select("key", "lo", F.explode("runs").alias("run"))
-    return spans.union(more.select("key", (F.col("lo") + F.col("run")[0]).alias("start"), (F.col("lo") + F.col("run")[1] - 1 + LENGTH).alias("end")))
+    long = texts.where(F.octet_length("text") >= LENGTH)
+    found = long.select("key", "text").mapInArrow(_file_rows, _ROWS)
+    # on the last level a region is one string, as many times as it starts there
+    plain = lambda df, one: df.select("key", "file", "lo", "hi", F.col("times" if one else "once").alias("n"), F.lit(one).alias("one"))
+    filed = []
+    for level, width in enumerate(LEVELS):
+        last = level == len(LEVELS) - 1
+        found = materialize(found, "suffix-files")
+        # copies of a text in other tasks count again here; that costs, but what is one text alone falls away below
+        often = found.groupBy("file").agg(F.sum("times").alias("n")).where("n > 1").select("file")
+        shared = materialize(found.join(often, "file", "left_semi").dropDuplicates(["file", "key", "lo"]).withColumn("once", F.lit(1).cast("long")), "suffix-shared")
+        size = F.max(F.col("hi") - F.col("lo") + LENGTH)
+        files = shared.groupBy("file", "bytes").agg(F.sum("times").alias("times"), size.alias("size")).groupBy("file").agg(F.sum("times").alias("times"), F.sum("size").alias("size")).where("times > 1")
+        files = materialize(files.select("file", (F.col("size") > FILE_BYTES).alias("hot")), "suffix-sizes")
+        if last or not files.where("hot").count():
+            filed.append(plain(shared.join(files.select("file"), "file", "left_semi"), last))
+            break
+        filed.append(plain(shared.join(files.where("not hot").select("file"), "file", "left_semi"), False))
+        hot = shared.join(files.where("hot").select("file"), "file", "left_semi").select("key", "lo", "hi")
+        found = _with_texts(hot, long).mapInArrow(_finer(LEVELS[level + 1]), _ROWS)
+    # texts that occur more than once are regions as they are, in stretches
+    copies = long.groupBy("key").agg(F.count(F.lit(1)).alias("n"), (F.max(F.octet_length("text")) - LENGTH).cast("long").alias("most")).where("n > 1")
+    stretch = copies.withColumn("lo", F.explode(F.sequence(F.lit(0).cast("long"), "most", F.lit(SHARD_BYTES).cast("long"))))
+    filed.append(stretch.select("key", F.xxhash64("key", "lo").alias("file"), "lo", F.least(F.col("lo") + SHARD_BYTES - 1, "most").alias("hi"), "n", F.lit(False).alias("one")))
+    chosen = filed[0]
+    for x in filed[1:]:
+        chosen = chosen.unionByName(x)
+    rows = materialize(_with_texts(chosen, long).mapInArrow(_region_rows, "file long, key binary, lo long, hi long, n long, same binary, data binary"), "suffix-regions")
+    distinct = rows.groupBy("file", "same").agg(F.sum("n").alias("n"), F.first("data").alias("data"))
+    runs = distinct.repartition(parts, "file").sortWithinPartitions("file").mapInArrow(_repeats, "file long, same binary, runs array<array<long>>")
+    runs = materialize(runs, "suffix-runs")
+    spans = rows.select("file", "same", "key", "lo", "hi", F.octet_length("data").alias("size")).join(runs, ["file", "same"]).select("key", "lo", "hi", "size", F.explode("runs").alias("run"))
+    whole = F.col("hi") - F.col("lo") + LENGTH > F.col("size")  # one string that starts everywhere in the region
+    end = F.when(whole, F.col("hi") + LENGTH).otherwise(F.col("lo") + F.col("run")[1] - 1 + LENGTH)
+    return spans.select("key", (F.col("lo") + F.col("run")[0]).alias("start"), end.alias("end"))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out: list[tuple] = []
-        for t, copies, spans in zip(batch.column("text"), batch.column("copies").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+        for t, spans in zip(batch.column("text"), batch.column("spans").to_pylist(), strict=True):
             t = t.as_py() or b""
             merged: list[list[int]] = []
-            for s, e in [(0, len(t))] if (copies or 0) > 1 and len(t) >= LENGTH else sorted((x["start"], x["end"]) for x in spans or ()):
+            for s, e in sorted((x["start"], x["end"]) for x in spans or ()):
                 if merged and s <= merged[-1][1]:
                     merged[-1][1] = max(merged[-1][1], e)
                 else:
@@ -326,11 +357,10 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans array<array<long>>) for every row of docs."""
     spark = docs.sparkSession
     raw = F.coalesce(F.col(text).cast("string").cast("binary"), F.lit(b""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), raw.alias("text")).withColumn("key", F.xxhash64("text", F.octet_length("text")))
-    copies = rows.groupBy("key").agg(F.count(F.lit(1)).alias("copies"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), raw.alias("text")).withColumn("key", F.unhex(F.md5("text")))
     spans = repeated_spans(rows, int(spark.conf.get("spark.sql.shuffle.partitions"))).groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    facts = materialize(copies.join(spans, "key", "left").where("copies > 1 or spans is not null"), "suffix-spans")
-    return rows.join(facts, "key", "left").select("doc_id", "text", "copies", "spans").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>")
+    facts = materialize(spans, "suffix-spans")
+    return rows.join(facts, "key", "left").select("doc_id", "text", "spans").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>")
 
 
 def op5_suffix_dedup(spark, sf_dir: str) -> DataFrame:
