@@ -113,6 +113,16 @@ def test_jaccard(docs, rows, empty, frequent, monkeypatch):
         assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i in label if label[i] == i) and kept.columns == docs.columns
 
 
+def test_drop_near_duplicates(spark):
+    """Rows without id, one id with two texts, repeated rows, and columns with the names that joins like to use."""
+    prose = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    rows = [(None, prose(1)), (None, prose(2)), (3, prose(1) + " end"), (4, prose(3)), (4, prose(4)), (4, prose(4)), (5, None), (6, ""), (6, ""), (7, prose(4) + " end"), (None, prose(5))]
+    docs = spark.createDataFrame([(*r, k, 1, 1) for k, r in enumerate(rows)], "doc_id long, text string, of_id int, of_key int, set int")
+    kept = jaccard.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r["doc_id"] or 0, r["text"] or "") for r in kept.collect())) == sorted([(0, prose(2)), (0, prose(5)), (3, prose(1) + " end"), (4, prose(3)), (4, prose(4)), (5, ""), (6, "")])
+
+
 def test_jaccard_signatures():
     rng = np.random.default_rng(3)
     for _ in range(300):

@@ -16,6 +16,8 @@ SPACES = "[\\x20\\x09-\\x0D]+"
 LOWER_BYTES = bytes.maketrans(UPPER.encode(), LOWER.encode())
 #: Bytes: A-Z to lower case; ASCII other than letters and digits to a space.
 WORD_BYTES = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256)).translate(LOWER_BYTES)
+#: The most bytes of a record batch for Python in intermediate steps, about, and the setting for it.
+ARROW_BYTES, ARROW_LIMIT = 8_000_000, "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,13 +34,29 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """df, written to the shared folder and read again: lineage ends there, and a lost executor costs no recomputation."""
+    """df, written to the shared folder and read again: lineage ends there, and a lost executor costs no recomputation.
+
+    While it is written, record batches for Python are kept to ARROW_BYTES.
+    """
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(at)
+    before = spark.conf.get(ARROW_LIMIT, None)
+    try:
+        spark.conf.set(ARROW_LIMIT, str(ARROW_BYTES))
+        df.write.parquet(at)
+    finally:
+        spark.conf.unset(ARROW_LIMIT) if before is None else spark.conf.set(ARROW_LIMIT, before)
     return spark.read.schema(df.schema).parquet(at)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like this one that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"{name}_"
+    return name
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
@@ -73,17 +91,16 @@ def running_totals(df: DataFrame, keys: list[str], bucket: str, order: list, wei
     return df.join(starts, on).withColumn(name, F.col("_start") + F.coalesce(F.sum(weight).over(inner), F.lit(0))).drop("_start", *(f"_k_{k}" for k in [*keys, bucket]))
 
 
-def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of edges (a long, b long); component is the smallest node reachable.
 
-    Alternating large-star and small-star steps; each ends in the shared folder. Hubs are found by an aggregate
-    and joined back, so a node with very many neighbours is a skewed join that Spark splits, not one group.
-    Raises if the labels still move after `rounds` rounds. Self-loops are allowed; an empty table gives no rows.
+    Alternating large-star and small-star steps until nothing moves; each ends in the shared folder. Hubs are found
+    by an aggregate and joined back, so a node with very many neighbours is a skewed join that Spark splits, not one
+    group. Self-loops are allowed; an empty table gives no rows.
     """
     state = materialize(edges.select(F.greatest("a", "b").cast("long").alias("v"), F.least("a", "b").cast("long").alias("m")).distinct(), "edges")
-    nodes = state
     last = None
-    for _ in range(rounds):
+    while True:
         # large star: every larger neighbour of a node moves to the smallest neighbour
         both = state.select(F.col("v").alias("u"), F.col("m").alias("n")).union(state.select(F.col("m").alias("u"), F.col("v").alias("n")))
         low = both.groupBy("u").agg(F.least(F.min("n"), F.col("u")).alias("m"))
@@ -94,9 +111,5 @@ def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
         state = materialize(small, "stars")
         now = state.agg(F.count(F.lit(1)), F.sum(F.xxhash64("v", "m").cast("decimal(20,0)"))).first()
         if now == last:
-            break
+            return state.groupBy(F.col("v").alias("node")).agg(F.min("m").alias("component"))
         last = now
-    else:
-        raise RuntimeError(f"components didn't settle in {rounds} rounds")
-    del nodes
-    return state.groupBy(F.col("v").alias("node")).agg(F.min("m").alias("component"))

@@ -1,53 +1,60 @@
 """N-gram Jaccard join by PartEnum signatures, and the classes of near duplicates that it links.
 
-Two sets of x <= y shingles with a Jaccard similarity of 3/4 or more differ in at most (x + y) / 7 elements. Sizes
-fall into bands [l, 4l/3], so similar sets lie in one band or in neighbouring ones. For each band the domain of
-hashes is cut into more partitions than that bound, so two similar sets are equal on at least one partition: the
-hash of a set's elements in a partition is its signature there.
-
-A partition in which both sets are empty tells nothing, and one that holds only very frequent shingles tells
-little. So only partitions that hold an element which isn't frequent give signatures, and the guarantee asks for
-more of those than elements that may differ. Where a set hasn't that many, it also gives signatures for the next
-mode (more partitions, at last frequent elements too, at last single elements). Two sets meet in the first mode
-that is enough for either, so no link is lost.
+Two sets of x <= y shingles with a Jaccard similarity of 3/4 or more differ in k = (x + y) / 7 elements at most. Sizes
+fall into bands [l, 4l/3], so similar sets lie in one band or in neighbouring ones. For each band the domain of hashes
+is cut into partitions, and each of these into three parts. In some partition two similar sets differ in one element
+at most, where there are more than k / 2 of them; so they agree on two of its three parts. Every choice of two parts
+is a signature: the hash of a set's elements in them.
+
+Parts in which both sets are empty tell nothing, and parts that hold only very frequent shingles tell little. So only
+choices that hold an element which isn't frequent give signatures, and only partitions in which every choice does
+count for the guarantee. Where a set hasn't enough of those, it also gives signatures for the next mode (more
+partitions, at last frequent elements too, at last single elements). Two sets meet in the first mode that is enough
+for either, so no link is lost.
 
 Sets that are equal are one class from the start, found by an aggregate; only classes are joined. The classes that
-share a signature aren't compared all with all: first each with its group's hub (the class that shares most), then
-only with members of components that the group still holds apart. Members of a hot hub are dealt over many tasks.
+share a signature aren't compared all with all: first each with the least of its group, the hub, then only members
+of different components that the group still holds. Large groups are dealt over many tasks in pieces of bounded
+size, and a piece gives one link for each set and component at most.
 
 Defined results: without words or text a set is empty and linked with nothing. Rows that repeat a document are in
-its class. An empty table gives an empty result. Only the id and what the join finds come back from `near_classes`.
+its class; so are rows without id. A very long text is one set like others, hashed in stretches. An empty table
+gives an empty result. Only the id and what the join finds come back from `near_classes`.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialize, table
+from .common import components, fresh, materialize, table
 from .shingles import identity, mixed, shingles
 
 #: Shingles in this many documents or more are frequent. Whatever counts as frequent, results are the same.
 FREQUENT = 256
 #: A task counts shingles over this many elements at a time, and reports those found this often.
-COUNT_CHUNK, COUNT_LEAST = 4_000_000, 8
+COUNT_CHUNK, COUNT_LEAST = 2_000_000, 8
 #: The list of frequent shingles that is broadcast has this many entries at most: its size bound is 8 bytes times that.
 FREQUENT_MOST = 1_000_000
-#: Modes: whether frequent elements count, and partitions as a multiple of those needed at least (0: one an element).
-MODES = ((False, 1.15), (False, 1.7), (False, 3.0), (True, 1.15), (True, 1.7), (True, 3.0), (True, 0.0))
-#: Signatures that one block of the signature shuffle holds, about.
-BLOCK_SIGNATURES = 1_000_000
+#: Modes: whether frequent elements count; partitions times elements that may differ in one, as a multiple of those needed
+#: at least (0: one an element); parts of a partition; elements that may differ in one.
+MODES = ((False, 1.15, 3, 1), (False, 1.7, 3, 1), (False, 3.0, 1, 0), (True, 1.15, 3, 1), (True, 1.7, 3, 1), (True, 3.0, 1, 0), (True, 0.0, 1, 0))
+#: Signatures that one block of the signature shuffle holds, about, and those that a task holds before it deals them.
+BLOCK_SIGNATURES, HELD_SIGNATURES = 500_000, 1_000_000
 #: Bytes kept of a signature beside its block. Chance matches grow with the input, as blocks do, and are verified.
 KEPT_BYTES = 5
 #: A list of up to this many documents is broadcast to fetch their texts; a longer one is joined by shuffling.
 BROADCAST_DOCUMENTS = 2_000_000
-#: Sets in one piece of a hot group.
-PIECE = 256
+#: Sets, and elements of sets, in one piece of a group, about.
+PIECE, PIECE_ELEMENTS = 1024, 1_000_000
+#: Rows in a record batch.
+BATCH = 50_000
 
 _U = np.uint64
 
@@ -74,24 +81,31 @@ def bounds(n: int) -> np.ndarray:
 def _instance(found: np.ndarray, sums: np.ndarray, rare: np.ndarray, end: int, differ: int, probe: bool) -> list[np.ndarray]:
     """Signatures of a set in the band that ends at `end`, when it differs from partners in `differ` elements at most."""
     out = []
-    for mode, (every, factor) in enumerate(MODES):
-        if factor:
-            n = int(np.ceil(factor * (2 * end // 7 + 1)))
-            at = np.concatenate(([0], np.searchsorted(found, bounds(n)), [len(found)]))
-            full = at[1:] > at[:-1] if every else rare[at[1:]] > rare[at[:-1]]
-            parts = np.flatnonzero(full)
-            values = sums[at[parts + 1]] - sums[at[parts]]
-        else:
-            parts = values = found
-        enough = len(parts) > differ
-        if enough and probe:  # partners give all of theirs, so any differ + 1 will do
-            parts, values = parts[: differ + 1], values[: differ + 1]
-        out.append(mixed(values + mixed(parts.astype(np.uint64) * _U(64) + _U(mode)) + mixed(np.array([end], np.uint64))))
+    for mode, (every, factor, parts, apart) in enumerate(MODES):
+        if not factor:
+            out.append(_named(found, found, mode, end))
+            break
+        n = int(np.ceil(factor * (2 * end // 7 + 1) / (apart + 1)))
+        at = np.concatenate(([0], np.searchsorted(found, bounds(n * parts)), [len(found)]))
+        values = (sums[at[1:]] - sums[at[:-1]]).reshape(n, parts)
+        full = (at[1:] > at[:-1] if every else rare[at[1:]] > rare[at[:-1]]).reshape(n, parts)
+        strong = full.sum(axis=1) > apart
+        enough = int(strong.sum()) * (apart + 1) > differ
+        if enough and probe:  # partners give all of theirs, so partitions that are just enough will do
+            strong[np.flatnonzero(strong)[differ // (apart + 1) + 1 :]] = False
+            full &= strong[:, None]
+        for k, chosen in enumerate(combinations(range(parts), parts - apart)):
+            use = np.flatnonzero(full[:, chosen].any(axis=1))
+            out.append(_named(values[:, chosen].sum(axis=1, dtype=np.uint64)[use], (use * 16 + k).astype(np.uint64), mode, end))
         if enough:
             break
     return out
 
 
+def _named(values: np.ndarray, choice: np.ndarray, mode: int, end: int) -> np.ndarray:
+    return mixed(values + mixed(choice * _U(64) + _U(mode)) + mixed(np.array([end], np.uint64)))
+
+
 def signatures(found: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     x = len(found)
     if x < 2:
@@ -112,17 +126,18 @@ def signatures(found: np.ndarray, frequent: np.ndarray) -> np.ndarray:
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """kind 0: a document's (id, n_shingles, set); kind 1: a shingle (as set) and how many documents here have it."""
+    """kind 0: a document's (id, key of the text, n_shingles, set); kind 1: a shingle (as set) and how many documents here have it."""
     held: list = []
     size = 0
 
-    def rows(kind, ids, ns, hs) -> pa.RecordBatch:
-        return pa.record_batch([pa.array([kind] * len(ids), pa.int32()), pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(hs, pa.int64())], names=["kind", "doc_id", "n", "set"])
+    def rows(kind, ids, keys, ns, hs) -> pa.RecordBatch:
+        return pa.record_batch([pa.array([kind] * len(ids), pa.int32()), *(pa.array(x, pa.int64()) for x in (ids, keys, ns, hs))], names=["kind", "doc_id", "key", "n", "set"])
 
     def counted() -> pa.RecordBatch:
         values, counts = np.unique(np.concatenate(held), return_counts=True)
         often = counts >= COUNT_LEAST
-        return rows(1, np.zeros(often.sum(), np.int64), counts[often], values[often].view(np.int64))
+        none = np.zeros(often.sum(), np.int64)
+        return rows(1, none, none, counts[often], values[often].view(np.int64))
 
     for batch in batches:
         ns, hs = [], []
@@ -135,7 +150,7 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if size >= COUNT_CHUNK:
                 yield counted()
                 held, size = [], 0
-        yield rows(0, batch.column("doc_id"), ns, hs)
+        yield rows(0, batch.column("doc_id"), batch.column("key"), ns, hs)
     if size:
         yield counted()
 
@@ -149,20 +164,18 @@ def _sign(frequent, blocks: int):
         held = 0
 
         def flush() -> pa.RecordBatch:
-            sig, of = np.concatenate(sigs), np.repeat(np.arange(len(hs)), lens)
-            block = (sig % _U(blocks)).astype(np.int64)
+            sig, of = np.concatenate(sigs), np.repeat(np.arange(len(hs), dtype=np.uint32), lens)
+            block = (sig % _U(blocks)).astype(np.uint32)
             order = np.argsort(block, kind="stable")
             of, block = of[order], block[order]
             sig = (sig[order] // _U(blocks)).view(np.uint8).reshape(-1, 8)[:, :KEPT_BYTES]
-            edges = np.searchsorted(block, np.arange(blocks + 1))
-            h, n = np.array(hs, np.int64), np.array(ns, np.int64)
+            h, n = np.array(hs, np.int64), np.array(ns, np.int32)
             out: list[list] = [[], [], [], [], []]
-            for b in range(blocks):
-                s, e = edges[b], edges[b + 1]
-                if s < e:
-                    docs, counts = np.unique(of[s:e], return_counts=True)
-                    for to, x in zip(out, (b, h[docs].tobytes(), n[docs].astype(np.int32).tobytes(), counts.astype(np.int32).tobytes(), sig[s:e].tobytes()), strict=True):
-                        to.append(x)
+            edges = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1], [True])))
+            for s, e in zip(edges, edges[1:], strict=False):
+                docs, counts = np.unique(of[s:e], return_counts=True)
+                for to, x in zip(out, (block[s], h[docs].tobytes(), n[docs].tobytes(), counts.astype(np.int32).tobytes(), sig[s:e].tobytes()), strict=True):
+                    to.append(x)
             return pa.record_batch([pa.array(out[0], pa.int32()), *(pa.array(x, pa.binary()) for x in out[1:])], names=["block", "sets", "sizes", "counts", "sigs"])
 
         for batch in batches:
@@ -179,7 +192,7 @@ def _sign(frequent, blocks: int):
                     lens.append(len(got))
                     sigs.append(got)
                     held += len(got)
-                if held >= 4 * BLOCK_SIGNATURES:
+                if held >= HELD_SIGNATURES:
                     yield flush()
                     hs, ns, lens, sigs, held = [], [], [], [], 0
         if held:
@@ -189,32 +202,51 @@ def _sign(frequent, blocks: int):
 
 
 def _share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (members, weight): sorted sets of one shared signature, and how many signatures share just these."""
-    by: dict[int, list] = {}
-    for batch in batches:
-        for b, *row in zip(batch.column("block").to_pylist(), *(batch.column(k) for k in ("sets", "sizes", "counts", "sigs")), strict=True):
-            by.setdefault(b, []).append([np.frombuffer(x.as_py(), t) for x, t in zip(row, (np.int64, np.int32, np.int32, np.uint8), strict=True)])
-    for rows in by.values():
+    """Rows come sorted by block. (grp, hub, hub_x, set, x, many) for every set of a group that shares a signature.
+
+    Groups of the same sets have the same name; such a group comes once a block. x: the set's size.
+    """
+
+    def flush(rows: list) -> Iterator[pa.RecordBatch]:
         sets = np.concatenate([np.repeat(r[0], r[2]) for r in rows])
+        xs = np.concatenate([np.repeat(r[1], r[2]) for r in rows])
         kept = np.concatenate([r[3] for r in rows]).reshape(-1, KEPT_BYTES)
         sigs = np.zeros((len(kept), 8), np.uint8)
         sigs[:, :KEPT_BYTES] = kept
         sigs = sigs.view(np.uint64).ravel()
+        order = np.argsort(sigs)
+        alike = sigs[order[1:]] == sigs[order[:-1]]
+        order = order[np.concatenate(([False], alike)) | np.append(alike, False)]
+        if not len(order):
+            return
+        sets, xs, sigs = sets[order], xs[order], sigs[order]
         order = np.lexsort((sets, sigs))
-        sets, sigs = sets[order], sigs[order]
+        sets, xs, sigs = sets[order], xs[order], sigs[order]
         new = np.concatenate(([True], (sigs[1:] != sigs[:-1]) | (sets[1:] != sets[:-1])))
-        sets, sigs = sets[new], sigs[new]
+        sets, xs, sigs = sets[new], xs[new], sigs[new]
         starts = np.flatnonzero(np.concatenate(([True], sigs[1:] != sigs[:-1])))
-        ends = np.append(starts[1:], len(sigs))
-        many = ends - starts > 1
-        found: dict[bytes, int] = {}
-        for s, e in zip(starts[many], ends[many], strict=True):
-            key = sets[s:e].tobytes()
-            found[key] = found.get(key, 0) + 1
-        keys = list(found)
-        for at in range(0, len(keys), 10_000):
-            part = keys[at : at + 10_000]
-            yield pa.record_batch([pa.array([np.frombuffer(k, np.int64) for k in part], pa.list_(pa.int64())), pa.array([found[k] for k in part], pa.int64())], names=["members", "weight"])
+        many = np.diff(np.append(starts, len(sigs)))
+        name = mixed(np.add.reduceat(mixed(sets.view(np.uint64)), starts) + many.astype(np.uint64)).view(np.int64)
+        _, once = np.unique(name, return_index=True)
+        once = once[many[once] > 1]
+        starts, many, name = starts[once], many[once], name[once]
+        of = np.repeat(np.arange(len(starts)), many)
+        at = np.repeat(starts - (np.cumsum(many) - many), many) + np.arange(len(of))
+        cols = (name[of], sets[starts][of], xs[starts][of], sets[at], xs[at], many[of])
+        for k in range(0, len(of), BATCH):
+            yield pa.record_batch([pa.array(c[k : k + BATCH], pa.int64()) for c in cols], names=["grp", "hub", "hub_x", "set", "x", "many"])
+
+    rows: list = []
+    last = None
+    for batch in batches:
+        for b, *row in zip(batch.column("block").to_pylist(), *(batch.column(k) for k in ("sets", "sizes", "counts", "sigs")), strict=True):
+            if b != last and rows:
+                yield from flush(rows)
+                rows = []
+            last = b
+            rows.append([np.frombuffer(x.as_py(), t) for x, t in zip(row, (np.int64, np.int32, np.int32, np.uint8), strict=True)])
+    if rows:
+        yield from flush(rows)
 
 
 def sketch(found: np.ndarray) -> np.ndarray:
@@ -237,115 +269,162 @@ def most_shared(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen: set[int] = set()
     for batch in batches:
-        found = [(h, shingles(t.as_py())) for h, t in zip(batch.column("set").to_pylist(), batch.column("text"), strict=True)]
-        found = [(h, x) for h, x in found if len(x) and identity(x) == h]  # rows of one id may hold other texts
+        found = []
+        for h, t in zip(batch.column("set").to_pylist(), batch.column("text"), strict=True):
+            if h not in seen and identity(x := shingles(t.as_py())) == h:
+                seen.add(h)
+                found.append((h, x))
         yield pa.record_batch([pa.array([h for h, _ in found], pa.int64()), pa.array([x.tobytes() for _, x in found], pa.binary()), pa.array([sketch(x).tobytes() for _, x in found], pa.binary())], names=["set", "elements", "sketch"])
 
 
 def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = []
-        for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+        for x, y in zip(batch.column("p"), batch.column("q"), strict=True):
             x, y = np.frombuffer(x.as_py(), np.uint8), np.frombuffer(y.as_py(), np.uint8)
             keep.append(bool(linked(int(x.sum(dtype=np.int64)), int(y.sum(dtype=np.int64)), most_shared(x, y))))
-        yield batch.filter(pa.array(keep, pa.bool_())).select(["group", "set"])
+        yield batch.filter(pa.array(keep, pa.bool_())).select(["hub", "hub_x", "set"])
 
 
 def _close(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (group: a set, set) that their sketches don't rule out, before any set is moved."""
+    """The pairs (hub, hub_x, set) that their sketches don't rule out, before any set is moved."""
     of = lambda key, name: sets.select(F.col("set").alias(key), F.col("sketch").alias(name)).dropDuplicates([key])
-    both = pairs.join(of("group", "x"), "group").join(of("set", "y"), "set").select("group", "set", "x", "y")
-    return materialize(both.mapInArrow(_possible, "group long, set long"), "jaccard-close")
+    both = pairs.join(of("hub", "p"), "hub").join(of("set", "q"), "set").select("hub", "hub_x", "set", "p", "q")
+    return materialize(both.mapInArrow(_possible, "hub long, hub_x long, set long"), "jaccard-close")
+
+
+_DEALT = ("grp", "piece", "side", "set", "comp")
+
+
+class _Bases:
+    """The bases of a piece: elements in one sorted array."""
+
+    def __init__(self, names: list[int], comps: list[int], parts: list[np.ndarray]):
+        self.names, self.comps, self.sizes = np.array(names), np.array(comps), np.array([len(p) for p in parts])
+        every, of = np.concatenate(parts), np.repeat(np.arange(len(names), dtype=np.int32), self.sizes)
+        order = np.argsort(every)
+        self.every, self.of = every[order], of[order]
+
+    def links(self, found: np.ndarray, comp: int) -> np.ndarray:
+        """Names of bases that link with a set, one of each component other than its own."""
+        lo, hi = np.searchsorted(self.every, found, "left"), np.searchsorted(self.every, found, "right")
+        many = hi - lo
+        at = np.repeat(lo - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        both = np.bincount(self.of[at], minlength=len(self.names))
+        k = np.flatnonzero(linked(self.sizes, len(found), both) & (self.comps != comp))
+        return self.names[k[np.unique(self.comps[k], return_index=True)[1]]]
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by (group, piece, side): bases (side 0), then the probes that are held against them."""
-    key, names, sizes, parts = None, [], [], []
-    ready: tuple | None = None
+    """Rows come sorted by (grp, piece, side): bases (side 0), then the probes that are held against them."""
+    key, bases, ready = None, ([], [], []), None
     for batch in batches:
         a, b = [], []
-        for group, piece, side, h, raw in zip(*(batch.column(k).to_pylist() for k in ("group", "piece", "side", "set")), batch.column("elements"), strict=True):
-            if (group, piece) != key:
-                key, names, sizes, parts, ready = (group, piece), [], [], [], None
+        for grp, piece, side, h, comp, raw in zip(*(batch.column(k).to_pylist() for k in _DEALT), batch.column("payload"), strict=True):
+            if (grp, piece) != key:
+                key, bases, ready = (grp, piece), ([], [], []), None
             found = np.frombuffer(raw.as_py(), np.uint64)
             if side == 0:
-                names.append(h)
-                sizes.append(len(found))
-                parts.append(found)
-                continue
-            if not names:
-                continue
-            if ready is None:
-                every, of = np.concatenate(parts), np.repeat(np.arange(len(names)), sizes)
-                order = np.argsort(every, kind="stable")
-                ready = every[order], of[order], np.array(sizes)
-            every, of, xs = ready
-            lo, hi = np.searchsorted(every, found, "left"), np.searchsorted(every, found, "right")
-            many = hi - lo
-            at = np.repeat(lo - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(many.sum())
-            both = np.bincount(of[at], minlength=len(names))
-            for k in np.flatnonzero(linked(xs, len(found), both)):
-                if names[k] != h:
-                    a.append(names[k])
-                    b.append(h)
+                for to, x in zip(bases, (h, comp, found), strict=True):
+                    to.append(x)
+            elif bases[0]:
+                ready = ready or _Bases(*bases)
+                near = ready.links(found, comp)
+                a.extend(near.tolist())
+                b.extend([h] * len(near))
         yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
+class _Sketches:
+    """The sketches of a piece's bases, as a matrix for each length."""
+
+    def __init__(self, names: list[int], comps: list[int], parts: list[np.ndarray]):
+        self.names, self.comps, by = np.array(names), np.array(comps), {}
+        for k, p in enumerate(parts):
+            by.setdefault(len(p), []).append(k)
+        self.by = {n: (np.array(ks), np.stack([parts[k] for k in ks])) for n, ks in by.items()}
+        self.folded: dict[tuple[int, int], np.ndarray] = {}
+
+    def may_link(self, mine: np.ndarray, comp: int) -> np.ndarray:
+        """Which bases of other components a set with this sketch may link with."""
+        out = [np.empty(0, np.int64)]
+        size = int(mine.sum(dtype=np.int64))
+        for n, (ks, m) in self.by.items():
+            if max(n, len(mine)) > 8 * min(n, len(mine)):  # sizes too far apart, see `sketch`
+                sizes = m.sum(axis=1, dtype=np.int64)
+                if not (4 * np.minimum(sizes, size) >= 3 * np.maximum(sizes, size)).any():
+                    continue
+            to = min(n, len(mine))
+            if (n, to) not in self.folded:
+                self.folded[n, to] = m if n == to else m.reshape(len(m), to, -1).sum(axis=2, dtype=np.uint16)
+            own = mine if len(mine) == to else mine.reshape(to, -1).sum(axis=1, dtype=np.uint16)
+            both = np.minimum(self.folded[n, to], own).sum(axis=1, dtype=np.int64)
+            ok = linked(m.sum(axis=1, dtype=np.int64), size, both) & (self.comps[ks] != comp)
+            out.append(ks[ok])
+        return np.concatenate(out)
+
+
 def _may_link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows as for `_compare`, with sketches; (group, side, set) of bases and probes that have a partner they may link with."""
-    key, names, parts, found = None, [], [], set()
+    """Rows as for `_compare`, with sketches; (grp, side, set) of bases and probes that have a partner they may link with."""
+    key, bases, ready, able = None, ([], [], []), None, None
 
     def out() -> pa.RecordBatch:
-        rows = [(key[0], side, h) for side, h in found]
-        return pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int64())], names=["group", "side", "set"])
+        names = ready.names[able].tolist() if ready else []
+        rows = [*((0, h) for h in names), *((1, h) for h in probes)]
+        return pa.record_batch([pa.array([key[0]] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64())], names=["grp", "side", "set"])
 
+    probes: list[int] = []
     for batch in batches:
-        for group, piece, side, h, raw in zip(*(batch.column(k).to_pylist() for k in ("group", "piece", "side", "set")), batch.column("elements"), strict=True):
-            if (group, piece) != key:
-                if found:
+        for grp, piece, side, h, comp, raw in zip(*(batch.column(k).to_pylist() for k in _DEALT), batch.column("payload"), strict=True):
+            if (grp, piece) != key:
+                if probes:
                     yield out()
-                key, names, parts, found = (group, piece), [], [], set()
+                key, bases, ready, probes = (grp, piece), ([], [], []), None, []
             mine = np.frombuffer(raw.as_py(), np.uint8)
-            size = int(mine.sum(dtype=np.int64))
             if side == 0:
-                names.append(h)
-                parts.append((mine, size))
-                continue
-            for name, (other, n) in zip(names, parts, strict=True):
-                if name != h and 4 * min(size, n) >= 3 * max(size, n) and linked(size, n, most_shared(mine, other)):
-                    found |= {(0, name), (1, h)}
-    if found:
+                for to, x in zip(bases, (h, comp, mine), strict=True):
+                    to.append(x)
+            elif bases[0]:
+                if ready is None:
+                    ready = _Sketches(*bases)
+                    able = np.zeros(len(bases[0]), bool)
+                near = ready.may_link(mine, comp)
+                if len(near):
+                    able[near] = True
+                    probes.append(h)
+    if probes:
         yield out()
 
 
 def _dealt(bases: DataFrame, probes: DataFrame, payload: DataFrame, parts: int) -> DataFrame:
-    """Rows (group, piece, side, set, elements), sorted: bases (side 0) and probes (side 1) of a group, with the payload (set, elements).
+    """Rows (grp, piece, side, set, comp, payload), sorted: bases (side 0) and probes (side 1) of a group, with (set, payload).
 
-    A group is cut into pieces of bounded size on both sides; each base piece meets each probe piece once.
+    bases: (grp, set, comp, x); probes: (grp, set, comp). A group is cut into pieces of bounded size on both sides;
+    each base piece meets each probe piece once.
     """
-    cut = lambda df, name: df.join(df.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / PIECE).cast("int").alias(name)), "group")
-    left, right = cut(bases, "nb"), cut(probes, "np")
-    left = left.withColumn("pb", F.pmod(F.xxhash64("set"), F.col("nb")).cast("int"))
-    right = right.withColumn("pp", F.pmod(F.xxhash64("set"), F.col("np")).cast("int"))
-    left = left.join(right.select("group", "np").distinct(), "group").withColumn("pp", F.explode(F.sequence(F.lit(0), F.col("np") - 1)))
-    right = right.join(left.select("group", "nb").distinct(), "group").withColumn("pb", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    piece = F.xxhash64("pb", "pp").alias("piece")
-    rows = left.select("group", piece, F.lit(0).alias("side"), "set").union(right.select("group", piece, F.lit(1).alias("side"), "set"))
-    return rows.join(payload, "set").select("group", "piece", "side", "set", "elements").repartition(parts, "group", "piece").sortWithinPartitions("group", "piece", "side")
+    nb = bases.groupBy("grp").agg(F.greatest(F.ceil(F.count(F.lit(1)) / PIECE), F.ceil(F.sum("x") / PIECE_ELEMENTS)).cast("int").alias("nb"))
+    np_ = probes.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / PIECE).cast("int").alias("np"))
+    cut = nb.join(np_, "grp")
+    dealt = lambda side, own, many: F.sequence(F.lit(0), F.col(many) - 1) if side != own else F.array(F.pmod(F.xxhash64("set"), F.col(many)).cast("int"))
+    rows = [df.select("grp", "set", "comp").join(cut, "grp").select("grp", F.lit(side).alias("side"), "set", "comp", F.explode(dealt(side, 0, "nb")).alias("pb"), "np").select("grp", "side", "set", "comp", "pb", F.explode(dealt(side, 1, "np")).alias("pp")) for side, df in enumerate((bases, probes))]
+    both = rows[0].union(rows[1]).withColumn("piece", F.xxhash64("pb", "pp"))
+    return both.join(payload, "set").select(*_DEALT, "payload").repartition(parts, "grp", "piece").sortWithinPartitions("grp", "piece", "side")
 
 
-def _verify(bases: DataFrame, probes: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
-    """Links (a, b) between bases (group, set) and probes (group, set) of one group, by their elements."""
-    return _dealt(bases, probes, sets.select("set", "elements"), parts).mapInArrow(_compare, "a long, b long").distinct()
+def _links(bases: DataFrame, probes: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
+    """Links (a, b) between bases and probes of one group, by their elements."""
+    dealt = _dealt(bases, probes, sets.select("set", F.col("elements").alias("payload")), parts)
+    return materialize(dealt.mapInArrow(_compare, "a long, b long").distinct(), "jaccard-links")
 
 
-def near_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, set, component_id) for every row of docs: the near-duplicate class of each document."""
+def _classes(docs: DataFrame, id_col: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, key of the text, n_shingles, set) of docs, and (set, class) of sets that are linked; class: a set."""
     spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").cast("binary").alias("text"))
-    described = materialize(texts.mapInArrow(_describe, "kind int, doc_id long, n long, set long"), "jaccard-sets")
-    rows = described.where("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), "set")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").cast("binary").alias("text")).withColumn("key", F.xxhash64("text"))
+    described = materialize(texts.select("doc_id", "key", "text").mapInArrow(_describe, "kind int, doc_id long, key long, n long, set long"), "jaccard-sets")
+    rows = described.where("kind = 0").select("doc_id", "key", F.col("n").alias("n_shingles"), "set")
     counts = materialize(described.where("kind = 1").groupBy("set").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT), "jaccard-frequent")
     least = FREQUENT
     while counts.where(F.col("n") >= least).count() > FREQUENT_MOST:
@@ -354,56 +433,68 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks = max(4 * parts, -(-total // BLOCK_SIGNATURES))
-    signed = texts.mapInArrow(_sign(spark.sparkContext.broadcast(frequent), blocks), "block int, sets binary, sizes binary, counts binary, sigs binary")
-    groups = signed.repartition(max(parts, blocks // 4), "block").mapInArrow(_share, "members array<long>, weight long")
-    groups = materialize(groups.groupBy("members").agg(F.sum("weight").alias("weight")).withColumn("group", F.xxhash64("members")), "jaccard-groups")
-    one = F.col("members")
-    member = groups.select("group", F.explode(one).alias("set"), (F.col("weight") * (F.size(one) - 1)).alias("w"), F.size(one).alias("_n"))
-    # hubs: of each group the set that shares signatures with most others
-    weights = member.groupBy("set").agg(F.sum("w").alias("w"))
-    classes = rows.where("set is not null").groupBy("set").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("x"))
-    weights = materialize(weights.join(classes, "set"), "jaccard-weights")
-    member = member.drop("w").join(weights.select("set", "w", "x"), "set")
-    hubs = member.groupBy("group").agg(F.max_by(F.struct("set", "x"), F.struct("w", "set")).alias("hub"))
-    size_ok = F.least("x", "hub.x") * 4 >= F.greatest("x", "hub.x") * 3
-    pairs = materialize(member.join(hubs, "group").where((F.col("set") != F.col("hub.set")) & size_ok).select(F.col("hub.set").alias("group"), "set").distinct(), "jaccard-pairs")
+    signed = texts.select("text").mapInArrow(_sign(spark.sparkContext.broadcast(frequent), blocks), "block int, sets binary, sizes binary, counts binary, sigs binary")
+    dealt = signed.repartition(max(parts, blocks // 8), "block").sortWithinPartitions("block")
+    members = dealt.mapInArrow(_share, "grp long, hub long, hub_x long, set long, x long, many long")
+    members = materialize(members.dropDuplicates(["grp", "set"]), "jaccard-members")
     # the elements of the sets that take part, from one document of each
-    chosen = materialize(weights.select("rep", "set"), "jaccard-chosen")
+    one = rows.where("set is not null").groupBy("set").agg(F.min(F.struct("key", "doc_id")).alias("one"))
+    chosen = materialize(members.select("set").distinct().join(one, "set").select("set", F.col("one.key").alias("_key"), F.col("one.doc_id").alias("_id")), "jaccard-chosen")
     few = F.broadcast(chosen) if chosen.count() <= BROADCAST_DOCUMENTS else chosen
-    sets = texts.join(few, F.col("doc_id") == F.col("rep")).select("set", "text").mapInArrow(_elements, "set long, elements binary, sketch binary")
-    sets = materialize(sets, "jaccard-elements")
-    close = _close(pairs, sets)
-    links = materialize(_verify(close.select("group", F.col("group").alias("set")).distinct(), close, sets, parts), "jaccard-links")
-    label = components(links)
-    # Groups that still hold several components: what isn't in the hub's component is held against that component
-    # and each other, once for all groups of that hub. That covers every two sets of a group that are still apart.
-    label = materialize(weights.select("set").join(label.withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("component", "set")), "jaccard-labels")
-    home = hubs.select("group", F.col("hub.set").alias("set")).join(label, "set").select("group", F.col("component").alias("home"))
-    probes = member.select("group", "set").join(label, "set").join(home, "group").where("component != home").select(F.col("home").alias("group"), "set").distinct()
-    probes = materialize(probes, "jaccard-probes")
-    of = label.select("set", "component")
-    bases = of.join(probes.select(F.col("group").alias("component")).distinct(), "component").select(F.col("component").alias("group"), "set").union(probes)
-    able = _dealt(bases, probes, sets.select("set", F.col("sketch").alias("elements")), parts).mapInArrow(_may_link, "group long, side int, set long").distinct()
+    sets = texts.join(few, (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("set", "text")
+    sets = materialize(sets.mapInArrow(_elements, "set long, elements binary, sketch binary"), "jaccard-elements")
+    size_ok = F.least("x", "hub_x") * 4 >= F.greatest("x", "hub_x") * 3
+    close = _close(members.where((F.col("set") != F.col("hub")) & size_ok).select("hub", "hub_x", "set").distinct(), sets)
+    hubs = close.select(F.col("hub").alias("grp"), F.col("hub").alias("set"), F.col("hub").alias("comp"), F.col("hub_x").alias("x")).distinct()
+    links = _links(hubs, close.select(F.col("hub").alias("grp"), "set", F.col("set").alias("comp")), sets, parts)
+    label = materialize(components(links), "jaccard-labels")
+    # Groups that still hold several components: what isn't in the hub's is held against the others. A large group is
+    # compared together with all large groups of that component, which have most of their sets in common.
+    of = lambda key, name: label.select(F.col("node").alias(key), F.col("component").alias(name))
+    now = members.join(of("set", "comp"), "set", "left").join(of("hub", "home"), "hub", "left")
+    now = now.select("grp", "set", "x", "many", F.coalesce("comp", "set").alias("comp"), F.coalesce("home", "hub").alias("home"))
+    apart = now.where("comp != home").select("grp").distinct()
+    name = F.when(F.col("many") > PIECE, F.xxhash64("home", F.lit("home"))).otherwise(F.col("grp"))
+    now = materialize(now.join(apart, "grp", "left_semi").select(name.alias("grp"), "set", "x", "comp", (F.col("comp") != F.col("home")).alias("probe")).distinct(), "jaccard-apart")
+    bases, probes = now.select("grp", "set", "comp", "x"), now.where("probe").select("grp", "set", "comp")
+    able = _dealt(bases, probes, sets.select("set", F.col("sketch").alias("payload")), parts).mapInArrow(_may_link, "grp long, side int, set long").distinct()
     able = materialize(able, "jaccard-able")
-    more = materialize(_verify(able.where("side = 0").select("group", "set"), able.where("side = 1").select("group", "set"), sets, parts), "jaccard-links")
-    label = components(links.union(more)) if not more.isEmpty() else of.withColumnRenamed("set", "node")
-    # sets that no link reaches are components of their own
+    more = _links(bases.join(able.where("side = 0"), ["grp", "set"], "left_semi"), probes.join(able.where("side = 1"), ["grp", "set"], "left_semi"), sets, parts)
+    if not more.isEmpty():
+        label = components(links.union(more))
+    return rows, label.select(F.col("node").alias("set"), F.col("component").alias("class"))
 
-    named = label.join(classes.select(F.col("set").alias("node"), "rep"), "node")
-    named = named.join(named.groupBy("component").agg(F.min("rep").alias("component_id")), "component").select(F.col("node").alias("set"), "component_id")
-    out = rows.join(classes.select("set", "rep"), "set", "left").join(named, "set", "left")
-    return out.select("doc_id", "n_shingles", "set", F.coalesce("component_id", "rep", "doc_id").alias("component_id"))
+
+def near_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, set, component_id) for every row of docs: the near-duplicate class of each document."""
+    rows, label = _classes(docs, id_col, text)
+    own = rows.where("set is not null").groupBy("set").agg(F.min("doc_id").alias("least")).join(label, "set", "left").withColumn("class", F.coalesce("class", "set"))
+    ids = own.join(own.groupBy("class").agg(F.min("least").alias("component_id")), "class").select("set", "component_id")
+    return rows.join(ids, "set", "left").select("doc_id", "n_shingles", "set", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each class stays: the one with the smallest id, with all its columns; repeats of its row go too.
+    """One document of each class stays, with all its columns: the one with the smallest id, one without id last.
 
-    Documents without words are in no class; of rows that repeat such a document one stays.
+    Of rows with that id the one whose text has the least hash stays, of rows that repeat it one. Documents without
+    words are in no class: all stay, but of rows that repeat id and text one does.
     """
-    out = near_classes(docs, id_col, text)
-    keep = out.where("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    kept = docs.join(keep, F.col(id_col) == F.col("_keep"), "left_semi")
-    return kept.dropDuplicates([id_col])
+    rows, label = _classes(docs, id_col, text)
+    rows = rows.groupBy("doc_id", "key", "set").agg(F.count(F.lit(1)).alias("times"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    own = rows.where("set is not null").groupBy("set").agg(F.min(order).alias("first")).join(label, "set", "left").withColumn("class", F.coalesce("class", "set"))
+    stays = own.join(own.groupBy("class").agg(F.min("first").alias("stay")), "class").select("set", "stay")
+    judged = rows.join(stays, "set", "left").withColumn("goes", F.coalesce(order != F.col("stay"), F.lit(False)))
+    own_id, own_key = fresh(docs, "of_id"), fresh(docs, "of_key")
+    judged = materialize(judged.where("goes or times > 1").select(F.col("doc_id").alias(own_id), F.col("key").alias(own_key), "goes"), "jaccard-judged")
+    ids, keys = F.col(id_col).cast("long"), F.xxhash64(F.col(text).cast("string").cast("binary"))
+    same = ids.eqNullSafe(F.col(own_id)) & keys.eqNullSafe(F.col(own_key))
+    again = judged.where("not goes").drop("goes")
+    single = docs.join(judged.drop("goes"), same, "left_anti")
+    if again.isEmpty():
+        return single
+    repeated = docs.join(again, same, "left_semi").withColumns({own_id: ids, own_key: keys}).dropDuplicates([own_id, own_key])
+    return single.unionByName(repeated.select(*docs.columns))
 
 
 def op1_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -8,6 +8,8 @@ from .common import LOWER_BYTES
 
 #: Words in a shingle.
 SHINGLE = 5
+#: Shingles of a text that are hashed at a time.
+STRETCH = 200_000
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -39,16 +41,20 @@ def shingles(text: bytes | None, size: int = SHINGLE) -> np.ndarray:
     words = text.translate(LOWER_BYTES).split() if text else []
     if not words:
         return np.empty(0, np.uint64)
-    line = np.frombuffer(b" ".join(words), np.uint8)
-    _grow(len(line))
-    # polynomial prefix sums; a shingle is a difference, shifted to the same power
-    sums = np.zeros(len(line) + 1, np.uint64)
-    np.cumsum(_BYTES[line] * _powers[: len(line)], out=sums[1:])
-    gaps = np.flatnonzero(line == 32)
-    starts, ends = np.concatenate(([0], gaps + 1)), np.concatenate((gaps, [len(line)]))
     width = min(size, len(words))
-    first, last = starts[: len(words) - width + 1], ends[width - 1 :]
-    out = np.sort(mixed((sums[last] - sums[first]) * _inverses[first] + (last - first).astype(np.uint64)))
+    parts = []
+    for begin in range(0, len(words) - width + 1, STRETCH):
+        part = words[begin : begin + STRETCH + width - 1]
+        line = np.frombuffer(b" ".join(part), np.uint8)
+        _grow(len(line))
+        # polynomial prefix sums; a shingle is a difference, shifted to the same power
+        sums = np.zeros(len(line) + 1, np.uint64)
+        np.cumsum(_BYTES[line] * _powers[: len(line)], out=sums[1:])
+        gaps = np.flatnonzero(line == 32)
+        starts, ends = np.concatenate(([0], gaps + 1)), np.concatenate((gaps, [len(line)]))
+        first, last = starts[: len(part) - width + 1], ends[width - 1 :]
+        parts.append(mixed((sums[last] - sums[first]) * _inverses[first] + (last - first).astype(np.uint64)))
+    out = np.sort(np.concatenate(parts))
     return out[np.concatenate(([True], out[1:] != out[:-1]))]
 
 

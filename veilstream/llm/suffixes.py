@@ -40,13 +40,13 @@ GRAM = 32
 #: How finely strings are filed, level by level: by the anchor alone, then also by its offset, cut into ranges so wide.
 LEVELS = (None, 64, 8, 1)
 #: Distinct regions of one file have about so many bytes at most, else they are filed anew on the next level.
-FILE_BYTES = 1_000_000
+FILE_BYTES = 500_000
 #: Bytes of regions in a shard, about.
 SHARD_BYTES = 250_000
 #: Positions of a text that are searched for anchors at a time.
 CHUNK = 1_000_000
-#: Bytes of regions in one record batch, about.
-BATCH_BYTES = 8_000_000
+#: Bytes of regions, or rows of files, in one record batch, about.
+BATCH_BYTES, BATCH_ROWS = 8_000_000, 50_000
 
 _U = np.uint64
 _AT = _U((1 << 24) - 1)
@@ -102,21 +102,32 @@ def regions(text: bytes, width: int | None = None, length: int = LENGTH, gram: i
         yield file[first].view(np.int64), lo + begin, hi + begin, last - first + 1, _between(sums, lo, hi + length).view(np.int64)
 
 
+def _sorted(value: np.ndarray, index: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Both by value, ties in any order. Where value and index fit in one long, that is sorted itself, which is faster."""
+    if bits + int(value.max(initial=0)).bit_length() < 64:
+        both = np.sort((value << bits) | index)
+        return both >> bits, both & ((1 << bits) - 1)
+    by = np.argsort(value)
+    return value[by], index[by]
+
+
 def suffix_array(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Of regions that end before positions `ends` (separators); prefix doubling. Separators order by position.
 
     Only suffixes that aren't apart yet are sorted again.
     """
     n = len(data)
+    bits = n.bit_length()
     left = np.repeat(ends, np.diff(np.concatenate(([-1], ends)))) - np.arange(n)  # bytes before the separator
-    key = np.zeros(n, np.int64)
-    padded = np.concatenate((data.astype(np.int64), np.zeros(8, np.int64)))
-    step = 7
-    for k in range(step):
-        key = key * 257 + np.where(left > k, padded[k : k + n] + 1, 0)
-    order = np.argsort(key)
-    rank = np.empty(n, np.int64)
-    open_, value, start = order, key[order], np.zeros(n, np.int64)
+    symbols = np.concatenate((data.astype(np.int64) + 1, np.zeros(8, np.int64)))
+    symbols[ends] = 0
+    step = 5
+    key = symbols[:n].copy()
+    for k in range(1, step):
+        key *= 257
+        key += np.where(left > k, symbols[k : k + n], 0)
+    value, open_ = _sorted(key, np.arange(n), bits)
+    rank, start = np.empty(n, np.int64), np.zeros(n, np.int64)
     while True:
         # open_: suffixes by value; start: the rank of the first of those that were alike before
         new = np.concatenate(([True], value[1:] != value[:-1]))
@@ -130,10 +141,8 @@ def suffix_array(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
             break
         # those that end within `step` bytes are alike in all that is left, so their places in the data part them
         ahead = np.where(left[open_] >= step, rank[np.minimum(open_ + step, n - 1)], open_)
-        value = (now << 32) | ahead
-        by = np.argsort(value)
-        open_, value = open_[by], value[by]
-        start = value >> 32
+        value, open_ = _sorted((now << bits) | ahead, open_, bits)
+        start = value >> bits
         step *= 2
     order = np.empty(n, np.int64)
     order[rank] = np.arange(n)
@@ -202,27 +211,54 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True))
 
 
+def _filed(rows: Iterator[tuple[bytes, tuple[np.ndarray, ...]]]) -> Iterator[pa.RecordBatch]:
+    """Record batches of (key, regions)."""
+    keys: list = []
+    parts: list = []
+    held = 0
+
+    def batch() -> pa.RecordBatch:
+        key = pa.DictionaryArray.from_arrays(pa.array(np.repeat(np.arange(len(keys)), [len(p[0]) for p in parts]), pa.int32()), pa.array(keys, pa.binary()))
+        return pa.record_batch([key.dictionary_decode(), *(pa.array(np.concatenate(c), pa.int64()) for c in zip(*parts, strict=True))], names=["key", "file", "lo", "hi", "times", "bytes"])
+
+    for key, found in rows:
+        keys.append(key)
+        parts.append(found)
+        held += len(found[0])
+        if held >= BATCH_ROWS:
+            yield batch()
+            keys, parts, held = [], [], 0
+    if keys:
+        yield batch()
+
+
 def _file_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Regions of whole texts by their anchors."""
     seen: set[bytes] = set()  # equal texts in one task are filed once
-    for batch in batches:
-        for key, t in zip(batch.column("key").to_pylist(), batch.column("text"), strict=True):
-            if key not in seen:
-                seen.add(key)
-                for found in regions(t.as_py()):
-                    yield pa.record_batch([pa.array([key] * len(found[0]), pa.binary()), *(pa.array(x, pa.int64()) for x in found)], names=["key", "file", "lo", "hi", "times", "bytes"])
+
+    def rows() -> Iterator[tuple]:
+        for batch in batches:
+            for key, t in zip(batch.column("key").to_pylist(), batch.column("text"), strict=True):
+                if key not in seen:
+                    seen.add(key)
+                    yield from ((key, found) for found in regions(t.as_py()))
+
+    yield from _filed(rows())
 
 
 def _finer(width: int):
     """Regions of a text's regions, filed more finely."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for key, t, found in zip(batch.column("key").to_pylist(), batch.column("text"), batch.column("found").to_pylist(), strict=True):
-                t = t.as_py()
-                for x in found:
-                    for file, lo, hi, times, same in regions(t[x["lo"] : x["hi"] + LENGTH], width):
-                        yield pa.record_batch([pa.array([key] * len(file), pa.binary()), *(pa.array(c, pa.int64()) for c in (file, lo + x["lo"], hi + x["lo"], times, same))], names=["key", "file", "lo", "hi", "times", "bytes"])
+        def rows() -> Iterator[tuple]:
+            for batch in batches:
+                for key, t, found in zip(batch.column("key").to_pylist(), batch.column("text"), batch.column("found").to_pylist(), strict=True):
+                    t = t.as_py()
+                    for x in found:
+                        for file, lo, hi, times, same in regions(t[x["lo"] : x["hi"] + LENGTH], width):
+                            yield key, (file, lo + x["lo"], hi + x["lo"], times, same)
+
+        yield from _filed(rows())
 
     return run
 
