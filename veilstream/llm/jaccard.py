@@ -202,7 +202,7 @@ def _sign(frequent, blocks: int):
 
 
 def _share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by block. (grp, hub, hub_x, set, x, many) for every set of a group that shares a signature.
+    """Rows come sorted by block. (grp, hub, hub_x, set, x) for every set of a group that shares a signature.
 
     Groups of the same sets have the same name; such a group comes once a block. x: the set's size.
     """
@@ -232,9 +232,9 @@ def _share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts, many, name = starts[once], many[once], name[once]
         of = np.repeat(np.arange(len(starts)), many)
         at = np.repeat(starts - (np.cumsum(many) - many), many) + np.arange(len(of))
-        cols = (name[of], sets[starts][of], xs[starts][of], sets[at], xs[at], many[of])
+        cols = (name[of], sets[starts][of], xs[starts][of], sets[at], xs[at])
         for k in range(0, len(of), BATCH):
-            yield pa.record_batch([pa.array(c[k : k + BATCH], pa.int64()) for c in cols], names=["grp", "hub", "hub_x", "set", "x", "many"])
+            yield pa.record_batch([pa.array(c[k : k + BATCH], pa.int64()) for c in cols], names=["grp", "hub", "hub_x", "set", "x"])
 
     rows: list = []
     last = None
@@ -435,7 +435,7 @@ def _classes(docs: DataFrame, id_col: str, text: str) -> tuple[DataFrame, DataFr
     blocks = max(4 * parts, -(-total // BLOCK_SIGNATURES))
     signed = texts.select("text").mapInArrow(_sign(spark.sparkContext.broadcast(frequent), blocks), "block int, sets binary, sizes binary, counts binary, sigs binary")
     dealt = signed.repartition(max(parts, blocks // 8), "block").sortWithinPartitions("block")
-    members = dealt.mapInArrow(_share, "grp long, hub long, hub_x long, set long, x long, many long")
+    members = dealt.mapInArrow(_share, "grp long, hub long, hub_x long, set long, x long")
     members = materialize(members.dropDuplicates(["grp", "set"]), "jaccard-members")
     # the elements of the sets that take part, from one document of each
     one = rows.where("set is not null").groupBy("set").agg(F.min(F.struct("key", "doc_id")).alias("one"))
@@ -448,14 +448,13 @@ def _classes(docs: DataFrame, id_col: str, text: str) -> tuple[DataFrame, DataFr
     hubs = close.select(F.col("hub").alias("grp"), F.col("hub").alias("set"), F.col("hub").alias("comp"), F.col("hub_x").alias("x")).distinct()
     links = _links(hubs, close.select(F.col("hub").alias("grp"), "set", F.col("set").alias("comp")), sets, parts)
     label = materialize(components(links), "jaccard-labels")
-    # Groups that still hold several components: what isn't in the hub's is held against the others. A large group is
-    # compared together with all large groups of that component, which have most of their sets in common.
+    # Groups that still hold several components: what isn't in the hub's is held against the others, once for all
+    # such groups with a hub in that component, as they have most of their sets in common.
     of = lambda key, name: label.select(F.col("node").alias(key), F.col("component").alias(name))
     now = members.join(of("set", "comp"), "set", "left").join(of("hub", "home"), "hub", "left")
-    now = now.select("grp", "set", "x", "many", F.coalesce("comp", "set").alias("comp"), F.coalesce("home", "hub").alias("home"))
+    now = now.select("grp", "set", "x", F.coalesce("comp", "set").alias("comp"), F.coalesce("home", "hub").alias("home"))
     apart = now.where("comp != home").select("grp").distinct()
-    name = F.when(F.col("many") > PIECE, F.xxhash64("home", F.lit("home"))).otherwise(F.col("grp"))
-    now = materialize(now.join(apart, "grp", "left_semi").select(name.alias("grp"), "set", "x", "comp", (F.col("comp") != F.col("home")).alias("probe")).distinct(), "jaccard-apart")
+    now = materialize(now.join(apart, "grp", "left_semi").select(F.col("home").alias("grp"), "set", "x", "comp", (F.col("comp") != F.col("home")).alias("probe")).distinct(), "jaccard-apart")
     bases, probes = now.select("grp", "set", "comp", "x"), now.where("probe").select("grp", "set", "comp")
     able = _dealt(bases, probes, sets.select("set", F.col("sketch").alias("payload")), parts).mapInArrow(_may_link, "grp long, side int, set long").distinct()
     able = materialize(able, "jaccard-able")
