@@ -5,7 +5,7 @@ from .jaccard import op1_jaccard_join
 from .licenses import op6_license_scan
 from .lines import op4_line_dedup
 from .mixing import op9_mixing
-from .quality import op8_quality_rules
+from .quality import OP8_SQL, op8_quality_rules
 from .sharding import op10_sharding
 from .suffixes import op5_suffix_dedup
 from .tokens import op2_token_counts
@@ -24,4 +24,4 @@ QUERIES = {
     "op10_sharding": op10_sharding,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op8_quality_rules": OP8_SQL}
