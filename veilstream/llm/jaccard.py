@@ -24,6 +24,7 @@ gives an empty result. Only the id and what the join finds come back from `near_
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations
@@ -48,7 +49,9 @@ MODES = ((False, 1.15, 3, 1), (False, 1.7, 3, 1), (False, 3.0, 1, 0), (True, 1.1
 #: Signatures that one block of the signature shuffle holds, about, and those that a task holds before it deals them.
 BLOCK_SIGNATURES, HELD_SIGNATURES = 500_000, 1_000_000
 #: Bytes kept of a signature beside its block. Chance matches grow with the input, as blocks do, and are verified.
-KEPT_BYTES = 5
+KEPT_BYTES = 4
+#: Sizes travel beside signatures as whole logarithms to this base, a byte each; sizes of linked sets differ in 4 at most.
+SIZE_BASE, SIZE_STEPS = 1.1, 4
 #: A list of up to this many documents is broadcast to fetch their texts; a longer one is joined by shuffling.
 BROADCAST_DOCUMENTS = 2_000_000
 #: Sets, and elements of sets, in one piece of a group, about.
@@ -156,7 +159,7 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sign(frequent, blocks: int):
-    """Rows (block, sets, sizes, counts, signatures): for a block, sets and how many of the signatures each gives."""
+    """Rows (block, sets, sizes, sigs): a block's signatures, each with its set and the set's size as a logarithm."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # copies in one task sign once
@@ -166,17 +169,16 @@ def _sign(frequent, blocks: int):
         def flush() -> pa.RecordBatch:
             sig, of = np.concatenate(sigs), np.repeat(np.arange(len(hs), dtype=np.uint32), lens)
             block = (sig % _U(blocks)).astype(np.uint32)
-            order = np.argsort(block, kind="stable")
+            order = np.argsort(block)
             of, block = of[order], block[order]
             sig = (sig[order] // _U(blocks)).view(np.uint8).reshape(-1, 8)[:, :KEPT_BYTES]
-            h, n = np.array(hs, np.int64), np.array(ns, np.int32)
-            out: list[list] = [[], [], [], [], []]
+            h, n = np.array(hs, np.int64), np.array([min(255, int(math.log(x, SIZE_BASE))) for x in ns], np.uint8)
+            out: list[list] = [[], [], [], []]
             edges = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1], [True])))
             for s, e in zip(edges, edges[1:], strict=False):
-                docs, counts = np.unique(of[s:e], return_counts=True)
-                for to, x in zip(out, (block[s], h[docs].tobytes(), n[docs].tobytes(), counts.astype(np.int32).tobytes(), sig[s:e].tobytes()), strict=True):
+                for to, x in zip(out, (block[s], h[of[s:e]].tobytes(), n[of[s:e]].tobytes(), sig[s:e].tobytes()), strict=True):
                     to.append(x)
-            return pa.record_batch([pa.array(out[0], pa.int32()), *(pa.array(x, pa.binary()) for x in out[1:])], names=["block", "sets", "sizes", "counts", "sigs"])
+            return pa.record_batch([pa.array(out[0], pa.int32()), *(pa.array(x, pa.binary()) for x in out[1:])], names=["block", "sets", "sizes", "sigs"])
 
         for batch in batches:
             for t in batch.column("text"):
@@ -204,13 +206,12 @@ def _sign(frequent, blocks: int):
 def _share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by block. (grp, hub, hub_x, set, x) for every set of a group that shares a signature.
 
-    Groups of the same sets have the same name; such a group comes once a block. x: the set's size.
+    Groups of the same sets have the same name; such a group comes once a block. x: the logarithm of the set's size.
     """
 
     def flush(rows: list) -> Iterator[pa.RecordBatch]:
-        sets = np.concatenate([np.repeat(r[0], r[2]) for r in rows])
-        xs = np.concatenate([np.repeat(r[1], r[2]) for r in rows])
-        kept = np.concatenate([r[3] for r in rows]).reshape(-1, KEPT_BYTES)
+        sets, xs, kept = (np.concatenate(x) for x in zip(*rows, strict=True))
+        kept = kept.reshape(-1, KEPT_BYTES)
         sigs = np.zeros((len(kept), 8), np.uint8)
         sigs[:, :KEPT_BYTES] = kept
         sigs = sigs.view(np.uint64).ravel()
@@ -239,12 +240,12 @@ def _share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows: list = []
     last = None
     for batch in batches:
-        for b, *row in zip(batch.column("block").to_pylist(), *(batch.column(k) for k in ("sets", "sizes", "counts", "sigs")), strict=True):
+        for b, *row in zip(batch.column("block").to_pylist(), *(batch.column(k) for k in ("sets", "sizes", "sigs")), strict=True):
             if b != last and rows:
                 yield from flush(rows)
                 rows = []
             last = b
-            rows.append([np.frombuffer(x.as_py(), t) for x, t in zip(row, (np.int64, np.int32, np.int32, np.uint8), strict=True)])
+            rows.append([np.frombuffer(x.as_py(), t) for x, t in zip(row, (np.int64, np.uint8, np.uint8), strict=True)])
     if rows:
         yield from flush(rows)
 
@@ -401,10 +402,10 @@ def _may_link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _dealt(bases: DataFrame, probes: DataFrame, payload: DataFrame, parts: int) -> DataFrame:
     """Rows (grp, piece, side, set, comp, payload), sorted: bases (side 0) and probes (side 1) of a group, with (set, payload).
 
-    bases: (grp, set, comp, x); probes: (grp, set, comp). A group is cut into pieces of bounded size on both sides;
+    bases: (grp, set, comp, x), x the logarithm of the size; probes: (grp, set, comp). A group is cut into pieces of bounded size on both sides;
     each base piece meets each probe piece once.
     """
-    nb = bases.groupBy("grp").agg(F.greatest(F.ceil(F.count(F.lit(1)) / PIECE), F.ceil(F.sum("x") / PIECE_ELEMENTS)).cast("int").alias("nb"))
+    nb = bases.groupBy("grp").agg(F.greatest(F.ceil(F.count(F.lit(1)) / PIECE), F.ceil(F.sum(F.pow(F.lit(SIZE_BASE), "x")) / PIECE_ELEMENTS)).cast("int").alias("nb"))
     np_ = probes.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / PIECE).cast("int").alias("np"))
     cut = nb.join(np_, "grp")
     dealt = lambda side, own, many: F.sequence(F.lit(0), F.col(many) - 1) if side != own else F.array(F.pmod(F.xxhash64("set"), F.col(many)).cast("int"))
@@ -433,7 +434,7 @@ def _classes(docs: DataFrame, id_col: str, text: str) -> tuple[DataFrame, DataFr
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks = max(4 * parts, -(-total // BLOCK_SIGNATURES))
-    signed = texts.select("text").mapInArrow(_sign(spark.sparkContext.broadcast(frequent), blocks), "block int, sets binary, sizes binary, counts binary, sigs binary")
+    signed = texts.select("text").mapInArrow(_sign(spark.sparkContext.broadcast(frequent), blocks), "block int, sets binary, sizes binary, sigs binary")
     dealt = signed.repartition(max(parts, blocks // 8), "block").sortWithinPartitions("block")
     members = dealt.mapInArrow(_share, "grp long, hub long, hub_x long, set long, x long")
     members = materialize(members.dropDuplicates(["grp", "set"]), "jaccard-members")
@@ -443,14 +444,25 @@ def _classes(docs: DataFrame, id_col: str, text: str) -> tuple[DataFrame, DataFr
     few = F.broadcast(chosen) if chosen.count() <= BROADCAST_DOCUMENTS else chosen
     sets = texts.join(few, (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("set", "text")
     sets = materialize(sets.mapInArrow(_elements, "set long, elements binary, sketch binary"), "jaccard-elements")
-    size_ok = F.least("x", "hub_x") * 4 >= F.greatest("x", "hub_x") * 3
-    close = _close(members.where((F.col("set") != F.col("hub")) & size_ok).select("hub", "hub_x", "set").distinct(), sets)
-    hubs = close.select(F.col("hub").alias("grp"), F.col("hub").alias("set"), F.col("hub").alias("comp"), F.col("hub_x").alias("x")).distinct()
-    links = _links(hubs, close.select(F.col("hub").alias("grp"), "set", F.col("set").alias("comp")), sets, parts)
+    pairs = members.where((F.col("set") != F.col("hub")) & (F.abs(F.col("x") - F.col("hub_x")) <= SIZE_STEPS)).groupBy("hub", "hub_x", "set").agg(F.count(F.lit(1)).alias("n"))
+    pairs = materialize(pairs, "jaccard-pairs")
+
+    def held(pairs: DataFrame) -> DataFrame:
+        close = _close(pairs.select("hub", "hub_x", "set"), sets)
+        hubs = close.select(F.col("hub").alias("grp"), F.col("hub").alias("set"), F.col("hub").alias("comp"), F.col("hub_x").alias("x")).distinct()
+        return _links(hubs, close.select(F.col("hub").alias("grp"), "set", F.col("set").alias("comp")), sets, parts)
+
+    # each set with the hub of most of its groups; then with other hubs that are still apart from it
+    most = pairs.groupBy("set").agg(F.max_by(F.struct("hub", "hub_x"), F.struct("n", "hub")).alias("most"))
+    links = held(most.select("most.hub", "most.hub_x", "set"))
+    label = materialize(components(links), "jaccard-labels")
+    of = lambda key, name: label.select(F.col("node").alias(key), F.col("component").alias(name))
+    rest = pairs.join(of("set", "p"), "set", "left").join(of("hub", "q"), "hub", "left").where(F.coalesce("p", "set") != F.coalesce("q", "hub"))
+    rest = rest.join(most.select("set", "most.hub"), ["set", "hub"], "left_anti")
+    links = links.union(held(rest))
     label = materialize(components(links), "jaccard-labels")
     # Groups that still hold several components: what isn't in the hub's is held against the others, once for all
     # such groups with a hub in that component, as they have most of their sets in common.
-    of = lambda key, name: label.select(F.col("node").alias(key), F.col("component").alias(name))
     now = members.join(of("set", "comp"), "set", "left").join(of("hub", "home"), "hub", "left")
     now = now.select("grp", "set", "x", F.coalesce("comp", "set").alias("comp"), F.coalesce("home", "hub").alias("home"))
     apart = now.where("comp != home").select("grp").distinct()
