@@ -81,8 +81,14 @@ def test_quality(docs, rows, empty):
     for order in (quality.RULES, quality.RULES[::-1]):
         assert sorted(r["doc_id"] for r in quality.keep_documents(docs, rules=order).collect()) == sorted(kept)
     assert quality.judge(empty).count() == 0
-    ticks = iter(range(100))
-    assert len(quality.order_rules(docs, clock=lambda: next(ticks))) == len(quality.RULES)
+    assert {r.name for r in quality.order_rules(docs)} == {r.name for r in quality.RULES}
+    assert [r.name for r in quality.order_rules(docs)] == [r.name for r in quality.order_rules(docs.repartition(5))]
+    assert sorted(map(repr, out.collect())) == sorted(map(repr, quality.judge(docs).collect()))
+    # a rule behind one that rejects isn't evaluated: this one would fail
+    fails = quality.Rule("fails", lambda f: F.raise_error(F.lit("evaluated")).cast("boolean"))
+    every = quality.Rule("every", lambda f: F.lit(True) & (f("n_words") >= 0))
+    assert quality.keep_documents(docs, rules=[every, fails]).count() == 0
+    assert quality.judge(docs, rules=[every, fails]).where("kept").count() == 0
 
 
 def _classes(rows):

@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +48,8 @@ SHARD_BYTES = 250_000
 CHUNK = 1_000_000
 #: Bytes of regions, or rows of files, in one record batch, about.
 BATCH_BYTES, BATCH_ROWS = 8_000_000, 50_000
+#: Occurrences of one region that are listed together, about.
+LISTED = 4096
 
 _U = np.uint64
 _AT = _U((1 << 24) - 1)
@@ -65,7 +68,7 @@ def _between(sums: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray
 
 
 def regions(text: bytes, width: int | None = None, length: int = LENGTH, gram: int = GRAM) -> Iterator[tuple[np.ndarray, ...]]:
-    """(file, first start, last start, how many files in a row, hash of the bytes), as arrays, stretch by stretch.
+    """(file, first start, last start, how many files in a row), as arrays, stretch by stretch.
 
     width None: a string's file is its anchor. Else it's what all strings share that have the anchor at an offset in
     the same range of that width.
@@ -98,8 +101,7 @@ def regions(text: bytes, width: int | None = None, length: int = LENGTH, gram: i
             file = S.mixed(_between(sums, at - near, at - far + length) + k.astype(np.uint64))
         first = np.flatnonzero(np.concatenate(([True], file[1:] != file[:-1])))
         last = np.append(first[1:], len(file)) - 1
-        lo, hi = lo[first], hi[last]
-        yield file[first].view(np.int64), lo + begin, hi + begin, last - first + 1, _between(sums, lo, hi + length).view(np.int64)
+        yield file[first].view(np.int64), lo[first] + begin, hi[last] + begin, last - first + 1
 
 
 def _sorted(value: np.ndarray, index: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -219,7 +221,7 @@ def _filed(rows: Iterator[tuple[bytes, tuple[np.ndarray, ...]]]) -> Iterator[pa.
 
     def batch() -> pa.RecordBatch:
         key = pa.DictionaryArray.from_arrays(pa.array(np.repeat(np.arange(len(keys)), [len(p[0]) for p in parts]), pa.int32()), pa.array(keys, pa.binary()))
-        return pa.record_batch([key.dictionary_decode(), *(pa.array(np.concatenate(c), pa.int64()) for c in zip(*parts, strict=True))], names=["key", "file", "lo", "hi", "times", "bytes"])
+        return pa.record_batch([key.dictionary_decode(), *(pa.array(np.concatenate(c), pa.int64()) for c in zip(*parts, strict=True))], names=["key", "file", "lo", "hi", "times"])
 
     for key, found in rows:
         keys.append(key)
@@ -247,7 +249,7 @@ def _file_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _finer(width: int):
-    """Regions of a text's regions, filed more finely."""
+    """Stretches of regions, filed more finely."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
@@ -255,8 +257,8 @@ def _finer(width: int):
                 for key, t, found in zip(batch.column("key").to_pylist(), batch.column("text"), batch.column("found").to_pylist(), strict=True):
                     t = t.as_py()
                     for x in found:
-                        for file, lo, hi, times, same in regions(t[x["lo"] : x["hi"] + LENGTH], width):
-                            yield key, (file, lo + x["lo"], hi + x["lo"], times, same)
+                        for file, lo, hi, times in regions(t[x["lo"] : x["hi"] + LENGTH], width):
+                            yield key, (file, lo + x["lo"], hi + x["lo"], times)
 
         yield from _filed(rows())
 
@@ -317,52 +319,79 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush(rows)
 
 
-_ROWS = "key binary, file long, lo long, hi long, times long, bytes long"
+_FILES = "key binary, file long, lo long, hi long, times long"
+_REGIONS = "file long, key binary, lo long, hi long, n long, same binary, data binary"
 
 
 def _with_texts(found: DataFrame, texts: DataFrame) -> DataFrame:
-    """(key, text, found): each text once, with its rows of found as an array of structs."""
+    """(key, text, found): each text of (key, text) once, with its rows of found as an array of structs."""
     per_text = found.groupBy("key").agg(F.collect_list(F.struct(*(c for c in found.columns if c != "key"))).alias("found"))
     return texts.select("key", "text").join(per_text, "key").dropDuplicates(["key"])
 
 
+def _shared(found: DataFrame) -> DataFrame:
+    """The rows of found whose file has more than one; once, where a text was filed in several tasks."""
+    found = materialize(found, "suffix-files")
+    often = lambda df: df.groupBy("file").agg(F.sum("times").alias("n")).where("n > 1").select("file")
+    # copies of a text in other tasks count at first; what is one text alone falls away below
+    once = materialize(found.join(often(found), "file", "left_semi").dropDuplicates(["file", "key", "lo"]), "suffix-shared")
+    return once.join(often(once), "file", "left_semi")
+
+
+def _sized(rows: DataFrame) -> DataFrame:
+    """(file, hot): whether a file's distinct regions are too many for a shard."""
+    distinct = rows.groupBy("file", "same").agg(F.max(F.octet_length("data")).alias("size"))
+    return materialize(distinct.groupBy("file").agg(F.sum("size").alias("size")).select("file", (F.col("size") > FILE_BYTES).alias("hot")), "suffix-sizes")
+
+
+def _levels(rows: DataFrame) -> Iterator[DataFrame]:
+    """Regions of files that fit a shard: those of rows, and finer ones for the others."""
+    files = _sized(rows)
+    if files.where("hot").isEmpty():
+        yield rows
+        return
+    yield rows.join(files.where("not hot"), "file", "left_semi")
+    # a hot file's region is a text of its own from here on: its key is the text's and where it begins
+    hot = rows.join(files.where("hot"), "file", "left_semi")
+    begin = F.unhex(F.lpad(F.hex("lo"), 16, "0"))
+    texts = materialize(hot.select(F.concat("key", begin).alias("key"), F.col("data").alias("text"), F.lit(0).cast("long").alias("lo"), (F.col("hi") - F.col("lo")).alias("hi")), "suffix-hot")
+    stretches, back = texts.select("key", "lo", "hi"), F.conv(F.hex(F.substring("key", 17, 8)), 16, 10).cast("long")
+    for width in LEVELS[1:]:
+        last = width == LEVELS[-1]
+        shared = _shared(_with_texts(stretches, texts).mapInArrow(_finer(width), _FILES))
+        # on the last level a region is one string, as many times as it starts there
+        shared = shared.select("key", "file", "lo", "hi", (F.col("times") if last else F.lit(1).cast("long")).alias("n"), F.lit(last).alias("one"))
+        finer = materialize(_with_texts(shared, texts).mapInArrow(_region_rows, _REGIONS), "suffix-regions")
+        whole = finer.withColumns({"lo": F.col("lo") + back, "hi": F.col("hi") + back, "key": F.substring("key", 1, 16)})
+        files = None if last else _sized(finer)
+        if last or files.where("hot").isEmpty():
+            yield whole
+            return
+        yield whole.join(files.where("not hot"), "file", "left_semi")
+        stretches = finer.join(files.where("hot"), "file", "left_semi").select("key", "lo", "hi")
+
+
 def repeated_spans(texts: DataFrame, parts: int) -> DataFrame:
     """(key, start, end): byte spans of texts (key binary, text binary) that strings repeated in them cover; may overlap.
 
-    Rows with the same key must have the same text.
+    Rows with the same key, of 16 bytes, must have the same text.
     """
     long = texts.where(F.octet_length("text") >= LENGTH)
-    found = long.select("key", "text").mapInArrow(_file_rows, _ROWS)
-    # on the last level a region is one string, as many times as it starts there
-    plain = lambda df, one: df.select("key", "file", "lo", "hi", F.col("times" if one else "once").alias("n"), F.lit(one).alias("one"))
-    filed = []
-    for level, width in enumerate(LEVELS):
-        last = level == len(LEVELS) - 1
-        found = materialize(found, "suffix-files")
-        # copies of a text in other tasks count again here; that costs, but what is one text alone falls away below
-        often = found.groupBy("file").agg(F.sum("times").alias("n")).where("n > 1").select("file")
-        shared = materialize(found.join(often, "file", "left_semi").dropDuplicates(["file", "key", "lo"]).withColumn("once", F.lit(1).cast("long")), "suffix-shared")
-        size = F.max(F.col("hi") - F.col("lo") + LENGTH)
-        files = shared.groupBy("file", "bytes").agg(F.sum("times").alias("times"), size.alias("size")).groupBy("file").agg(F.sum("times").alias("times"), F.sum("size").alias("size")).where("times > 1")
-        files = materialize(files.select("file", (F.col("size") > FILE_BYTES).alias("hot")), "suffix-sizes")
-        if last or not files.where("hot").count():
-            filed.append(plain(shared.join(files.select("file"), "file", "left_semi"), last))
-            break
-        filed.append(plain(shared.join(files.where("not hot").select("file"), "file", "left_semi"), False))
-        hot = shared.join(files.where("hot").select("file"), "file", "left_semi").select("key", "lo", "hi")
-        found = _with_texts(hot, long).mapInArrow(_finer(LEVELS[level + 1]), _ROWS)
+    shared = _shared(long.select("key", "text").mapInArrow(_file_rows, _FILES)).select("key", "file", "lo", "hi", F.lit(1).cast("long").alias("n"), F.lit(False).alias("one"))
     # texts that occur more than once are regions as they are, in stretches
     copies = long.groupBy("key").agg(F.count(F.lit(1)).alias("n"), (F.max(F.octet_length("text")) - LENGTH).cast("long").alias("most")).where("n > 1")
     stretch = copies.withColumn("lo", F.explode(F.sequence(F.lit(0).cast("long"), "most", F.lit(SHARD_BYTES).cast("long"))))
-    filed.append(stretch.select("key", F.xxhash64("key", "lo").alias("file"), "lo", F.least(F.col("lo") + SHARD_BYTES - 1, "most").alias("hi"), "n", F.lit(False).alias("one")))
-    chosen = filed[0]
-    for x in filed[1:]:
-        chosen = chosen.unionByName(x)
-    rows = materialize(_with_texts(chosen, long).mapInArrow(_region_rows, "file long, key binary, lo long, hi long, n long, same binary, data binary"), "suffix-regions")
+    stretch = stretch.select("key", F.xxhash64("key", "lo").alias("file"), "lo", F.least(F.col("lo") + SHARD_BYTES - 1, "most").alias("hi"), "n", F.lit(False).alias("one"))
+    rows = materialize(_with_texts(shared.unionByName(stretch), long).mapInArrow(_region_rows, _REGIONS), "suffix-regions")
+    rows = reduce(DataFrame.unionByName, _levels(rows))
     distinct = rows.groupBy("file", "same").agg(F.sum("n").alias("n"), F.first("data").alias("data"))
     runs = distinct.repartition(parts, "file").sortWithinPartitions("file").mapInArrow(_repeats, "file long, same binary, runs array<array<long>>")
     runs = materialize(runs, "suffix-runs")
-    spans = rows.select("file", "same", "key", "lo", "hi", F.octet_length("data").alias("size")).join(runs, ["file", "same"]).select("key", "lo", "hi", "size", F.explode("runs").alias("run"))
+    # where a region occurs: in lists of bounded size, however often that is
+    where = rows.select("file", "same", "key", "lo", "hi", F.octet_length("data").alias("size"))
+    lists = max(1, where.count() // LISTED)
+    where = where.groupBy("file", "same", "size", F.pmod(F.xxhash64("key"), F.lit(lists)).alias("list")).agg(F.collect_list(F.struct("key", "lo", "hi")).alias("at"))
+    spans = where.join(runs, ["file", "same"]).select("size", "runs", F.explode("at").alias("at")).select("size", "at.*", F.explode("runs").alias("run"))
     whole = F.col("hi") - F.col("lo") + LENGTH > F.col("size")  # one string that starts everywhere in the region
     end = F.when(whole, F.col("hi") + LENGTH).otherwise(F.col("lo") + F.col("run")[1] - 1 + LENGTH)
     return spans.select("key", (F.col("lo") + F.col("run")[0]).alias("start"), end.alias("end"))
