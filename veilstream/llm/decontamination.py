@@ -8,24 +8,27 @@ them into removal spans for each document. Documents never move between machines
 Words outside the benchmark's vocabulary can't be part of a window. They all become one separator, and runs of
 vocabulary words shorter than the shortest window leave the index; no occurrence is lost by that.
 
-The benchmark reaches the tasks in blocks of bounded size: each block is read by the driver and broadcast, and
-documents pass through the blocks one after another, so a benchmark of any size works with bounded memory.
-
-Defined results: a null or empty text has no words and no hits; an item without words has no windows. Rows that
-repeat a document, and items that repeat a text under another id, are each reported. Empty tables give empty
-results or no hits. Of the input's columns `find` keeps the id only; `drop_contaminated` keeps all.
+The benchmark reaches the tasks in blocks of bounded size: the driver reads one, broadcasts it, and drops it before
+it reads the next. With more than one block, each block's hits are written by the text's MD5 sum before the next
+block comes, and joined in the end, so a benchmark of any size works with bounded memory.
+
+Defined results: a null or empty text has no words and no hits; an item without words has no windows; an item without
+id has the empty name. Rows that repeat a document, and items that repeat a text under another id, are each reported.
+A very long document is a shard of its own. Empty tables give empty results or no hits. Of the input's columns `find`
+keeps the id only; `drop_contaminated` keeps all.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTES, table
+from .common import WORD_BYTES, fresh, materialize, table
 
 WINDOW = 10
 #: Benchmark words in a block, at most (but for a single longer item).
@@ -175,20 +178,10 @@ class Phrases:
         return out
 
 
-SCHEMA = pa.schema([("id", pa.int64()), ("text", pa.binary()), ("n_words", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.list_(pa.int64())))])
-
+SCHEMA = pa.schema([("id", pa.int64()), ("key", pa.binary()), ("n_words", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.list_(pa.int64())))])
 
-def _merged(spans: list) -> list:
-    out: list = []
-    for s, e in sorted(map(tuple, spans)):
-        if out and s <= out[-1][1]:
-            out[-1] = (out[-1][0], max(e, out[-1][1]))
-        else:
-            out.append((s, e))
-    return out
 
-
-def _search(block, last: bool):
+def _search(block):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases: Phrases = block.value
         known = phrases.vocabulary.get
@@ -196,26 +189,18 @@ def _search(block, last: bool):
 
         def flush() -> Iterator[pa.RecordBatch]:
             if pending:
-                found = phrases.shard([x[4] for x in pending])
-                ids, texts, counts, items, spans = [], [], [], [], []
-                for (i, t, before, held, ws), (more, new) in zip(pending, found, strict=True):
-                    ids.append(i)
-                    texts.append(None if last else t)
-                    counts.append(len(ws))
-                    items.append([*before, *map(str, more)])
-                    spans.append([list(x) for x in _merged([*held, *new])])
+                found = phrases.shard([x[2] for x in pending])
+                rows = [(i, key, len(ws), items, [list(x) for x in spans]) for (i, key, ws), (items, spans) in zip(pending, found, strict=True)]
                 pending.clear()
-                yield pa.record_batch([pa.array(x, f.type) for x, f in zip((ids, texts, counts, items, spans), SCHEMA, strict=True)], schema=SCHEMA)
+                yield pa.record_batch([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), SCHEMA, strict=True)], schema=SCHEMA)
 
         size = held = 0
         for batch in batches:
-            items, spans = (batch.column(k).to_pylist() if k in batch.schema.names else [()] * len(batch) for k in ("items", "spans"))
-            for i, t, its, sps in zip(batch.column("id").to_pylist(), batch.column("text"), items, spans, strict=True):
-                t = t.as_py()
-                ids = np.array([known(w, 0) for w in words(t)], np.int64)
-                pending.append((i, t, its, sps, ids))
+            for i, key, t in zip(batch.column("id").to_pylist(), batch.column("key").to_pylist(), batch.column("text"), strict=True):
+                ids = np.array([known(w, 0) for w in words(t.as_py())], np.int64)
+                pending.append((i, key, ids))
                 size += np.count_nonzero(ids)
-                held += 8 * len(ids) + len(t or b"")
+                held += 8 * len(ids)
                 if size >= SHARD_WORDS or held >= SHARD_BYTES:
                     yield from flush()
                     size = held = 0
@@ -226,7 +211,7 @@ def _search(block, last: bool):
 
 def blocks(benchmark: DataFrame, item_col: str, text: str, window: int, block_words: int) -> Iterator[Phrases]:
     """The items, in blocks of bounded size, each read by the driver on its own."""
-    rows = benchmark.select(F.col(item_col).cast("string").alias("item"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
+    rows = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
     held, size = [], 0
     for r in rows.toLocalIterator():
         ws = words(bytes(r["text"]))
@@ -244,17 +229,40 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: st
     Spans are of words that stand inside an occurrence of a window: merged, in order, end exclusive.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").cast("binary").alias("text"))
-    parts = list(blocks(benchmark, item_col, item_text, window, block_words))
-    for k, block in enumerate(parts):
-        rows = rows.mapInArrow(_search(spark.sparkContext.broadcast(block), k == len(parts) - 1), "id long, text binary, n_words long, items array<string>, spans array<array<long>>")
-    return rows.select(F.col("id").alias("doc_id"), "n_words", F.array_sort(F.array_distinct("items")).alias("item_ids"), F.transform("spans", lambda x: F.struct(x[0].alias("start"), x[1].alias("end"))).alias("spans"))
-
-
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of docs without any hit, with all their columns. A null id counts as an id."""
-    hit = find(docs, benchmark, id_col=id_col, **options).where(F.size("spans") > 0).select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hit, F.col(id_col).eqNullSafe(F.col("_hit")), "left_anti")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").cast("binary").alias("text")).withColumn("key", F.unhex(F.md5("text"))).select("id", "key", "text")
+    search = lambda block: rows.mapInArrow(_search(spark.sparkContext.broadcast(block)), "id long, key binary, n_words long, items array<string>, spans array<array<long>>")
+    source = blocks(benchmark, item_col, item_text, window, block_words)
+    found = search(next(source))
+    more: list[DataFrame] = []
+    for block in source:
+        if not more:
+            found = materialize(found, "decontamination-first")
+        more.append(materialize(search(block).where(F.size("spans") > 0).dropDuplicates(["key"]).select("key", F.col("items").alias("others"), F.col("spans").alias("also")), "decontamination-hits"))
+    if more:
+        hits = reduce(DataFrame.union, more).groupBy("key").agg(F.flatten(F.collect_list("others")).alias("others"), F.flatten(F.collect_list("also")).alias("also"))
+        both = lambda a, b: F.concat(a, F.coalesce(b, F.array().cast(found.schema[a].dataType)))
+        found = found.join(hits, "key", "left").select("id", "key", "n_words", both("items", F.col("others")).alias("items"), merged(both("spans", F.col("also"))).alias("spans"))
+    return found.select(F.col("id").alias("doc_id"), "n_words", F.array_sort(F.array_distinct("items")).alias("item_ids"), F.transform("spans", lambda x: F.struct(x[0].alias("start"), x[1].alias("end"))).alias("spans"))
+
+
+def merged(spans: Column) -> Column:
+    """Spans [start, end] in order, those that touch or overlap as one."""
+    ordered, none = F.array_sort(spans), F.array().cast("array<array<long>>")
+
+    def put(done: Column, x: Column) -> Column:
+        last = F.element_at(done, -1)
+        joined = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.array(last[0], F.greatest(last[1], x[1]))))
+        return F.when(F.size(done) == 0, F.array(x)).when(x[0] <= last[1], joined).otherwise(F.concat(done, F.array(x)))
+
+    return F.aggregate(ordered, none, put)
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of docs without any hit, with all their columns. Of rows that share an id, or have none, those with a hit go."""
+    spans = find(docs.select(F.xxhash64(id_col, text).alias("row"), text), benchmark, id_col="row", text=text, **options)
+    name = fresh(docs, "hit")
+    hit = spans.where(F.size("spans") > 0).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(hit, F.xxhash64(id_col, text) == F.col(name), "left_anti")
 
 
 def op7_decontamination(spark, sf_dir: str) -> DataFrame:
@@ -262,3 +270,23 @@ def op7_decontamination(spark, sf_dir: str) -> DataFrame:
     found = find(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
+
+
+#: The same in SQL: windows joined by their words; ids are unique in the tables.
+OP7_SQL = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+bw AS (SELECT DISTINCT item_id, least({WINDOW}, len(w)) AS size, w[i:i + least({WINDOW}, len(w)) - 1] AS win
+  FROM (SELECT item_id, w, unnest(range(1, len(w) - least({WINDOW}, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT size FROM bw),
+heads AS (SELECT DISTINCT win[1] AS head, size FROM bw),
+dp AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+may AS (SELECT dp.doc_id, dp.i, heads.size FROM dp JOIN heads ON heads.head = dp.word),
+runs AS (SELECT may.doc_id, i, size, d.w[i:i + size - 1] AS win FROM may JOIN d ON d.doc_id = may.doc_id WHERE i + size - 1 <= len(d.w)),
+hit AS (SELECT runs.doc_id, runs.i, bw.size, bw.item_id FROM runs JOIN bw ON bw.size = runs.size AND bw.win = runs.win),
+n AS (SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT doc_id, unnest(range(i, i + size)) AS k FROM hit) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n, string_agg(item_id, ',' ORDER BY item_id) AS names FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM hit) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(items.n, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(names, '')) AS items_sha256, coalesce(n.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN items ON items.doc_id = d.doc_id
+"""

@@ -7,8 +7,9 @@ key bucket of a source in which the budget ends is ever sorted, so a source with
 bucket, not one task for the whole.
 
 Defined results: a null text has size 0 and is never taken. A null source is a source of its own, last in order.
-Rows that repeat a document count each time; ties of key go by doc_id, then by size, so reruns agree. An empty
-table gives an empty result. With a total of 0 all targets are 0. Extra columns pass through `mix_documents`.
+Rows that repeat a document count each time, and rows without id are rows like others; ties of key go by doc_id, then
+by size, so reruns agree. A very long text is taken whole or not at all. An empty table gives an empty result. With a
+total of 0 all targets are 0. All columns pass through `mix_documents`, whatever their names.
 """
 
 from __future__ import annotations
@@ -61,12 +62,12 @@ def sampling_key(doc_id: Column, weight: Column) -> Column:
     return -F.log(u) / weight
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", source: str = "source", text: str = "text", quality: DataFrame | None = None, buckets: int = KEY_BUCKETS) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken) for every row of docs.
+def mix(docs: DataFrame, id_col: str = "doc_id", source: str = "source", text: str = "text", quality: DataFrame | None = None, buckets: int = KEY_BUCKETS, carry: bool = False) -> DataFrame:
+    """(doc_id, source, size, source_size, target, taken) for every row of docs; with carry, also the row itself as a struct `row`.
 
     quality: (doc_id, weight > 0); documents without a row there weigh 1.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source).cast("string").alias("source"), F.size(words_of(text_of(text))).cast("long").alias("size"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source).cast("string").alias("source"), F.size(words_of(text_of(text))).cast("long").alias("size"), *([F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if carry else []))
     if quality is not None:
         rows = rows.join(quality.groupBy("doc_id").agg(F.max("weight").alias("_weight")), "doc_id", "left")
     else:
@@ -94,7 +95,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source: str = "source", text: s
     edge = edge.withColumn("_more", F.col("_before") + F.col("size") / 2 <= F.col("_part")).drop("_before")
     other = rows.where((F.col("_bucket") != F.col("_last")) | F.col("_last").isNull()).withColumn("_more", F.col("_last").isNull() | (F.col("_bucket") < F.col("_last")))
     rows = other.unionByName(edge)
-    return rows.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * (F.col("_epochs") + F.col("_more").cast("long"))).alias("taken"))
+    return rows.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * (F.col("_epochs") + F.col("_more").cast("long"))).alias("taken"), *(["row"] if carry else []))
 
 
 def label_weights(labels: DataFrame) -> DataFrame:
@@ -105,9 +106,8 @@ def label_weights(labels: DataFrame) -> DataFrame:
 
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", source: str = "source", text: str = "text", quality: DataFrame | None = None) -> DataFrame:
     """The mixed corpus: each row of docs as many times as the mix takes it, with its columns."""
-    took = mix(docs, id_col, source, text, quality).where("taken > 0").groupBy("doc_id").agg(F.max(F.expr("taken div size")).cast("int").alias("_times"))
-    rows = docs.join(took.withColumnRenamed("doc_id", "_id"), F.col(id_col) == F.col("_id")).drop("_id")
-    return rows.withColumn("_times", F.explode(F.sequence(F.lit(1), F.col("_times")))).drop("_times")
+    took = mix(docs, id_col, source, text, quality, carry=True).where("taken > 0")
+    return took.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.expr("taken div size")))).select("row.*")
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:

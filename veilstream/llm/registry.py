@@ -1,6 +1,6 @@
 """The registered queries of this subpackage, and the SQL for those that SQL can express."""
 
-from .decontamination import op7_decontamination
+from .decontamination import OP7_SQL, op7_decontamination
 from .jaccard import op1_jaccard_join
 from .licenses import op6_license_scan
 from .lines import op4_line_dedup
@@ -24,4 +24,4 @@ QUERIES = {
     "op10_sharding": op10_sharding,
 }
 
-ORACLE_SQL: dict[str, str] = {"op8_quality_rules": OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op7_decontamination": OP7_SQL, "op8_quality_rules": OP8_SQL}
