@@ -49,7 +49,9 @@ CHUNK = 1_000_000
 #: Bytes of regions, or rows of files, in one record batch, about.
 BATCH_BYTES, BATCH_ROWS = 8_000_000, 50_000
 #: Occurrences of one region that are listed together, about.
-LISTED = 4096
+LISTED = 1024
+#: Up to this many rows of a few numbers are broadcast to the regions that they are of; more are joined by shuffling.
+BROADCAST_ROWS = 200_000
 
 _U = np.uint64
 _AT = _U((1 << 24) - 1)
@@ -323,10 +325,13 @@ _FILES = "key binary, file long, lo long, hi long, times long"
 _REGIONS = "file long, key binary, lo long, hi long, n long, same binary, data binary"
 
 
-def _with_texts(found: DataFrame, texts: DataFrame) -> DataFrame:
-    """(key, text, found): each text of (key, text) once, with its rows of found as an array of structs."""
+def _with_texts(found: DataFrame, texts: DataFrame, few: bool = False) -> DataFrame:
+    """(key, text, found): each text of (key, text) once, with its rows of found as an array of structs; few: found is of bounded size, and texts has each key once."""
     per_text = found.groupBy("key").agg(F.collect_list(F.struct(*(c for c in found.columns if c != "key"))).alias("found"))
-    return texts.select("key", "text").join(per_text, "key").dropDuplicates(["key"])
+    if few:
+        per_text = F.broadcast(per_text)
+    both = texts.select("key", "text").join(per_text, "key")
+    return both if few else both.dropDuplicates(["key"])
 
 
 def _shared(found: DataFrame) -> DataFrame:
@@ -355,13 +360,14 @@ def _levels(rows: DataFrame) -> Iterator[DataFrame]:
     hot = rows.join(files.where("hot"), "file", "left_semi")
     begin = F.unhex(F.lpad(F.hex("lo"), 16, "0"))
     texts = materialize(hot.select(F.concat("key", begin).alias("key"), F.col("data").alias("text"), F.lit(0).cast("long").alias("lo"), (F.col("hi") - F.col("lo")).alias("hi")), "suffix-hot")
+    few = lambda df: df.count() <= BROADCAST_ROWS
     stretches, back = texts.select("key", "lo", "hi"), F.conv(F.hex(F.substring("key", 17, 8)), 16, 10).cast("long")
     for width in LEVELS[1:]:
         last = width == LEVELS[-1]
-        shared = _shared(_with_texts(stretches, texts).mapInArrow(_finer(width), _FILES))
+        shared = _shared(_with_texts(stretches, texts, few(stretches)).mapInArrow(_finer(width), _FILES))
         # on the last level a region is one string, as many times as it starts there
         shared = shared.select("key", "file", "lo", "hi", (F.col("times") if last else F.lit(1).cast("long")).alias("n"), F.lit(last).alias("one"))
-        finer = materialize(_with_texts(shared, texts).mapInArrow(_region_rows, _REGIONS), "suffix-regions")
+        finer = materialize(_with_texts(shared, texts, few(shared)).mapInArrow(_region_rows, _REGIONS), "suffix-regions")
         whole = finer.withColumns({"lo": F.col("lo") + back, "hi": F.col("hi") + back, "key": F.substring("key", 1, 16)})
         files = None if last else _sized(finer)
         if last or files.where("hot").isEmpty():
@@ -391,7 +397,7 @@ def repeated_spans(texts: DataFrame, parts: int) -> DataFrame:
     where = rows.select("file", "same", "key", "lo", "hi", F.octet_length("data").alias("size"))
     lists = max(1, where.count() // LISTED)
     where = where.groupBy("file", "same", "size", F.pmod(F.xxhash64("key"), F.lit(lists)).alias("list")).agg(F.collect_list(F.struct("key", "lo", "hi")).alias("at"))
-    spans = where.join(runs, ["file", "same"]).select("size", "runs", F.explode("at").alias("at")).select("size", "at.*", F.explode("runs").alias("run"))
+    spans = where.join(runs, ["file", "same"]).select("size", "runs", "at").repartition(parts).select("size", "runs", F.explode("at").alias("at")).select("size", "at.*", F.explode("runs").alias("run"))
     whole = F.col("hi") - F.col("lo") + LENGTH > F.col("size")  # one string that starts everywhere in the region
     end = F.when(whole, F.col("hi") + LENGTH).otherwise(F.col("lo") + F.col("run")[1] - 1 + LENGTH)
     return spans.select("key", (F.col("lo") + F.col("run")[0]).alias("start"), end.alias("end"))
