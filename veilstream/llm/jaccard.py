@@ -40,22 +40,22 @@ from .shingles import identity, mixed, shingles
 #: Shingles in this many documents or more are frequent. Whatever counts as frequent, results are the same.
 FREQUENT = 256
 #: A task counts shingles over this many elements at a time, and reports those found this often.
-COUNT_CHUNK, COUNT_LEAST = 2_000_000, 8
+COUNT_CHUNK, COUNT_LEAST = 1_000_000, 4
 #: The list of frequent shingles that is broadcast has this many entries at most: its size bound is 8 bytes times that.
 FREQUENT_MOST = 1_000_000
 #: Modes: whether frequent elements count; partitions times elements that may differ in one, as a multiple of those needed
 #: at least (0: one an element); parts of a partition; elements that may differ in one.
 MODES = ((False, 1.15, 3, 1), (False, 1.7, 3, 1), (False, 3.0, 1, 0), (True, 1.15, 3, 1), (True, 1.7, 3, 1), (True, 3.0, 1, 0), (True, 0.0, 1, 0))
 #: Signatures that one block of the signature shuffle holds, about, and those that a task holds before it deals them.
-BLOCK_SIGNATURES, HELD_SIGNATURES = 500_000, 1_000_000
+BLOCK_SIGNATURES, HELD_SIGNATURES = 150_000, 300_000
 #: Bytes kept of a signature beside its block. Chance matches grow with the input, as blocks do, and are verified.
 KEPT_BYTES = 4
 #: Sizes travel beside signatures as whole logarithms to this base, a byte each; sizes of linked sets differ in 4 at most.
 SIZE_BASE, SIZE_STEPS = 1.1, 4
-#: A list of up to this many documents is broadcast to fetch their texts; a longer one is joined by shuffling.
-BROADCAST_DOCUMENTS = 2_000_000
+#: A list of up to this many rows of a few numbers is broadcast to fetch texts or sets; a longer one is joined by shuffling.
+BROADCAST_ROWS = 1_000_000
 #: Sets, and elements of sets, in one piece of a group, about.
-PIECE, PIECE_ELEMENTS = 1024, 1_000_000
+PIECE, PIECE_ELEMENTS = 1024, 400_000
 #: Rows in a record batch.
 BATCH = 50_000
 
@@ -410,8 +410,9 @@ def _dealt(bases: DataFrame, probes: DataFrame, payload: DataFrame, parts: int)
     cut = nb.join(np_, "grp")
     dealt = lambda side, own, many: F.sequence(F.lit(0), F.col(many) - 1) if side != own else F.array(F.pmod(F.xxhash64("set"), F.col(many)).cast("int"))
     rows = [df.select("grp", "set", "comp").join(cut, "grp").select("grp", F.lit(side).alias("side"), "set", "comp", F.explode(dealt(side, 0, "nb")).alias("pb"), "np").select("grp", "side", "set", "comp", "pb", F.explode(dealt(side, 1, "np")).alias("pp")) for side, df in enumerate((bases, probes))]
-    both = rows[0].union(rows[1]).withColumn("piece", F.xxhash64("pb", "pp"))
-    return both.join(payload, "set").select(*_DEALT, "payload").repartition(parts, "grp", "piece").sortWithinPartitions("grp", "piece", "side")
+    both = materialize(rows[0].union(rows[1]).withColumn("piece", F.xxhash64("pb", "pp")), "jaccard-dealt")
+    few = F.broadcast(both) if both.count() <= BROADCAST_ROWS else both
+    return payload.join(few, "set").select(*_DEALT, "payload").repartition(parts, "grp", "piece").sortWithinPartitions("grp", "piece", "side")
 
 
 def _links(bases: DataFrame, probes: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
@@ -441,7 +442,7 @@ def _classes(docs: DataFrame, id_col: str, text: str) -> tuple[DataFrame, DataFr
     # the elements of the sets that take part, from one document of each
     one = rows.where("set is not null").groupBy("set").agg(F.min(F.struct("key", "doc_id")).alias("one"))
     chosen = materialize(members.select("set").distinct().join(one, "set").select("set", F.col("one.key").alias("_key"), F.col("one.doc_id").alias("_id")), "jaccard-chosen")
-    few = F.broadcast(chosen) if chosen.count() <= BROADCAST_DOCUMENTS else chosen
+    few = F.broadcast(chosen) if chosen.count() <= BROADCAST_ROWS else chosen
     sets = texts.join(few, (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("set", "text")
     sets = materialize(sets.mapInArrow(_elements, "set long, elements binary, sketch binary"), "jaccard-elements")
     pairs = members.where((F.col("set") != F.col("hub")) & (F.abs(F.col("x") - F.col("hub_x")) <= SIZE_STEPS)).groupBy("hub", "hub_x", "set").agg(F.count(F.lit(1)).alias("n"))
