@@ -47,7 +47,7 @@ STAGES = [
     ("sharding", shards),
 ]
 
-#: Near-duplicate classes and the mix have no equivalent in SQL; tests hold the stages against brute force.
+#: Near-duplicate classes and the mix have no equivalent in SQL; tests hold the operators against brute force, the stages against what they may keep.
 ORACLE_SQL = None
 
 
