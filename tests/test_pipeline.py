@@ -98,7 +98,7 @@ def test_json_fields():
     assert f('{"phone":"138","m":"a b"}') == [("phone", "phone", "138", 10, 13), ("m", "m", "a b", 20, 23)]
     assert [x[0] for x in f('{"w":{"k":"d"},"keys":["a",1,"b"]}')] == ["w.k", "keys[0]", "keys[2]"]
     for bad in ('{"a":"b",}', "[1,]", '{"a"', "   ", "", None, "text", '{"a":1} x'):
-        assert f(bad) == [("", None, bad or "", 0, len(bad or ""))]
+        assert f(bad) == [(None, None, bad or "", 0, len(bad or ""))]
     assert f('{"a\\"b":"x\\"y"}') == [('a"b', 'a"b', 'x\\"y', 9, 13)]
 
 

@@ -78,7 +78,7 @@ def test_bech32(text, kind):
 
 def test_base58_round_trip():
     for body in (b"\0\0\1\2", bytes(5), b"\xff" * 33):
-        assert codecs.base58check_decode(codecs.base58check_encode(body)) == body or set(body) == {0}
+        assert codecs.base58check_decode(codecs.base58check_encode(body)) == body
     assert codecs.base58_decode("0OIl") is None
 
 

@@ -15,9 +15,29 @@ BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 #: Generator and end constants of Bech32 and Bech32m.
 BECH32_GENERATOR = (0x3B6A57B2, 0x26508E6D, 0x1EA119FA, 0x3D4233DD, 0x2A1462B3)
 BECH32_ENDS = {1: "bech32", 0x2BC830A3: "bech32m"}
-#: Extended key versions, private and public, by prefix.
-EXTENDED_PRIVATE = "0488ADE4 049D7878 04B2430C 04358394 044A4E28 045F18BC 0295B005 02AA7A99 024285B5 02575048".split()
-EXTENDED_PUBLIC = "0488B21E 049D7CB2 04B24746 043587CF 044A5262 045F1CF6 0295B43F 02AA7ED3 024289EF 02575483".split()
+#: What the version bytes of an extended key stand for.
+EXTENDED_VERSIONS = {
+    "0488ADE4": "private",
+    "049D7878": "private",
+    "04B2430C": "private",
+    "04358394": "private",
+    "044A4E28": "private",
+    "045F18BC": "private",
+    "0295B005": "private",
+    "02AA7A99": "private",
+    "024285B5": "private",
+    "02575048": "private",
+    "0488B21E": "public",
+    "049D7CB2": "public",
+    "04B24746": "public",
+    "043587CF": "public",
+    "044A5262": "public",
+    "045F1CF6": "public",
+    "0295B43F": "public",
+    "02AA7ED3": "public",
+    "024289EF": "public",
+    "02575483": "public",
+}
 
 
 def base58_decode(text: str) -> bytes | None:
@@ -124,8 +144,7 @@ def is_wif(token: str) -> bool:
 
 def extended_key(token: str) -> str | None:
     body = base58check_decode(token)
-    version = body[:4].hex().upper() if body else ""
-    return "private" if version in EXTENDED_PRIVATE else "public" if version in EXTENDED_PUBLIC else None
+    return EXTENDED_VERSIONS.get(body[:4].hex().upper()) if body else None
 
 
 def is_sui_key(token: str) -> bool:

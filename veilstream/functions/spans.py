@@ -19,27 +19,27 @@ def let(value: Column, body) -> Column:
 def regex_spans(text: Column, pattern: str, gate: Column | None = None) -> Column:
     """array<struct<start, end, value>> of the pattern's matches, in order.
 
-    The parts between matches and the matches themselves give every offset, so no UDF is needed. gate: a cheap
-    predicate that holds for every text with a match; others aren't searched.
+    The parts between matches and the matches themselves give every offset, so no UDF is needed. A text without a
+    match is searched once. gate: a cheap predicate that holds for every text with a match; others aren't searched.
     """
 
-    def fold(parts: Column) -> Column:
-        gaps, found = parts["g"], parts["m"]
+    def fold(found: Column) -> Column:
+        gaps = F.split(text, pattern, -1)
         zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
 
-        def step(acc: Column, i: Column) -> Column:
-            start = acc["at"] + F.length(F.get(gaps, i))
-            end = start + F.length(F.get(found, i))
-            span = F.struct(start.alias("start"), end.alias("end"), F.get(found, i).alias("value"))
+        def step(acc: Column, x: Column) -> Column:
+            start = acc["at"] + F.length(x["gap"])
+            end = start + F.length(x["value"])
+            span = F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value"))
             return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
 
-        return F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), zero, step, lambda acc: acc["out"])
+        # there is a gap more than there are matches; the last one is left out
+        both = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda v, g: F.struct(v.alias("value"), g.alias("gap")))
+        return F.aggregate(both, zero, step, lambda acc: acc["out"])
 
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    spans = let(F.struct(F.split(text, pattern, -1).alias("g"), found.alias("m")), fold)
     empty = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    found = F.rlike(text, F.lit(pattern))
-    return F.when(found if gate is None else gate & found, spans).otherwise(empty)
+    spans = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: F.when(F.size(found) > 0, fold(found)).otherwise(empty))
+    return spans if gate is None else F.when(gate, spans).otherwise(empty)
 
 
 def finding(span: Column, entity: str | Column, risk: str | Column, confidence: float | Column, rule: str, reason: str) -> Column:

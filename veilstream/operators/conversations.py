@@ -35,9 +35,10 @@ def cross_turn(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", word
     from ..plans.inspection import detect
 
     rows = windows(turns, conv=conv, turn=turn, **options)
-    both = rows.select(conv, turn, F.explode(F.array_distinct(F.array(F.col("window"), F.regexp_replace("window", "\\s+", "")))).alias("variant"))
-    both = both.withColumn("_key", F.xxhash64(conv, turn, "variant"))
-    found = detect(both, "variant", wordlist, "_key")
-    types = F.transform(F.filter("secrets", lambda x: x["risk_level"] == "CRITICAL"), lambda x: x["entity_type"])
-    found = found.select(conv, turn, types.alias("types")).groupBy(conv, turn).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("types")))).alias("critical_entities"))
+    # both variants stay in the row of their turn; each is searched where it stands
+    rows = rows.withColumns({"_joined": F.regexp_replace("window", "\\s+", ""), "_key": F.xxhash64(conv, turn)}).select(conv, turn, "window", "_joined", "_key")
+    found = detect(rows, "window", wordlist, "_key").withColumnRenamed("secrets", "_found")
+    found = detect(found, "_joined")
+    types = F.transform(F.filter(F.concat("_found", "secrets"), lambda x: x["risk_level"] == "CRITICAL"), lambda x: x["entity_type"])
+    found = found.select(conv, turn, F.array_sort(F.array_distinct(types)).alias("critical_entities"))
     return found.select(conv, turn, (F.size("critical_entities") > 0).alias("blocked"), "critical_entities")

@@ -1,7 +1,7 @@
 """BIP39 mnemonics: words joined with a word list, runs as islands, windows of allowed lengths, checksums.
 
-The word list is a small dimension table (its size is checked before it is broadcast). Only list words are
-shuffled, to number them within their text.
+The word list is a small dimension table (its size is checked before it is broadcast). Words of the list are shuffled,
+to number them within their text, and then the words of texts that have a run of sufficient length.
 """
 
 from __future__ import annotations
@@ -21,14 +21,11 @@ BROADCAST_WORDS = 100_000
 
 
 def _words(df: DataFrame, id_col: str, text: str) -> DataFrame:
-    """(id, pos, start, word): pos counts words, start is the offset of each."""
+    """(id, pos, word, size): pos counts words; size is that of the word and the break after it."""
     t = F.col(text)
-    parts = df.select(F.col(id_col).alias("id"), F.split(t, BREAKS, -1).alias("words"), F.concat(F.regexp_extract_all(t, F.lit(BREAKS), F.lit(0)), F.array(F.lit(""))).alias("gaps"))
-    # running offset: the word before and the break after it
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,word:string>>").alias("out"))
-    step = lambda a, x: F.struct((a["at"] + F.length(x["words"]) + F.length(x["gaps"])).alias("at"), F.concat(a["out"], F.array(F.struct(a["at"].alias("start"), x["words"].alias("word")))).alias("out"))
-    rows = parts.select("id", F.posexplode(F.aggregate(F.arrays_zip("words", "gaps"), zero, step, lambda a: a["out"])).alias("pos", "w"))
-    return rows.select("id", "pos", F.col("w.start").alias("start"), F.col("w.word").alias("word")).where("word != ''")
+    gaps = F.concat(F.regexp_extract_all(t, F.lit(BREAKS), F.lit(0)), F.array(F.lit("")))
+    rows = df.select(F.col(id_col).alias("id"), F.posexplode(F.arrays_zip(F.split(t, BREAKS, -1).alias("word"), gaps.alias("gap"))).alias("pos", "w"))
+    return rows.select("id", "pos", F.col("w.word").alias("word"), (F.length("w.word") + F.length("w.gap")).alias("size"))
 
 
 def _han(df: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -38,15 +35,24 @@ def _han(df: DataFrame, id_col: str, text: str) -> DataFrame:
     return rows.select("id", order.alias("pos"), "start", "word")
 
 
-def runs(df: DataFrame, wordlist: DataFrame, lang: str = "english", id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, run, n, words array<struct<pos, start, end, idx>>) of maximal runs of list words."""
+def runs(df: DataFrame, wordlist: DataFrame, lang: str = "english", id_col: str = "doc_id", text: str = "text", least: int = 1) -> DataFrame:
+    """(id, run, n, words array<struct<pos, start, end, idx>>) of maximal runs of list words, `least` at least.
+
+    Offsets are running sums, made only for texts that have such a run; only their words and list words are shuffled.
+    """
     listed = wordlist.where(F.col("lang") == lang).select(F.col("word").alias("listed"), "idx")
     listed = F.broadcast(listed) if listed.count() <= BROADCAST_WORDS else listed
-    words = _han(df, id_col, text) if lang.startswith("chinese") else _words(df, id_col, text)
-    # empty pieces at the ends aren't words: numbers are consecutive between breaks
+    chinese = lang.startswith("chinese")
+    words = _han(df, id_col, text) if chinese else _words(df, id_col, text)
     hits = words.join(listed, F.lower("word") == F.col("listed"))
-    island = F.col("pos") - F.row_number().over(Window.partitionBy("id").orderBy("pos"))
-    hits = hits.select("id", island.alias("run"), F.struct("pos", "start", (F.col("start") + F.length("word")).alias("end"), "idx").alias("w"))
+    # numbers are consecutive between breaks, so a run has one difference
+    hits = hits.withColumn("run", F.col("pos") - F.row_number().over(Window.partitionBy("id").orderBy("pos")))
+    hits = hits.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("id", "run"))).where(F.col("n") >= least)
+    if not chinese:
+        before = Window.partitionBy("id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+        placed = words.join(hits.select("id").distinct(), "id", "left_semi").select("id", "pos", F.coalesce(F.sum("size").over(before), F.lit(0)).cast("int").alias("start"))
+        hits = hits.join(placed, ["id", "pos"])
+    hits = hits.select("id", "run", F.struct("pos", "start", (F.col("start") + F.length("word")).alias("end"), "idx").alias("w"))
     return hits.groupBy("id", "run").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("w")).alias("words"))
 
 
@@ -65,7 +71,7 @@ def mnemonics(df: DataFrame, wordlist: DataFrame, languages: tuple = ("english",
     """(id, start, end, n_words, checksum, risk_level, confidence) of every window that counts; windows may overlap."""
     out = None
     for lang in languages:
-        found = runs(df, wordlist, lang, id_col, text).where(F.col("n") >= min(COUNTS))
+        found = runs(df, wordlist, lang, id_col, text, min(COUNTS))
         found = found.select("id", "words", "n", F.explode(F.array(*map(F.lit, COUNTS))).alias("count")).where("n >= count")
         found = found.select("id", "count", F.explode(F.transform(F.sequence(F.lit(0), (F.col("n") - F.col("count")).cast("int")), lambda i: F.slice("words", i + 1, F.col("count")))).alias("window"))
         found = found.select("id", F.get("window", F.lit(0))["start"].alias("start"), F.get("window", F.col("count") - 1)["end"].alias("end"), F.col("count").alias("n_words"), (checksum_holds(F.transform("window", lambda w: w["idx"])) & F.lit(check_checksum)).alias("checksum"))

@@ -47,12 +47,37 @@ PASSWORD = "(?i)(?:password|passwd|pwd)[\"']?\\s*[=:]\\s*[\"']?(\\S+)"
 MIN_ENTROPY = 3.5
 
 
-#: Every encoded key holds as many letters and digits in a row; texts without such a run are searched no further.
-LONG_RUN = "(?<![0-9A-Za-z])[0-9A-Za-z]{50}"
+#: Every encoded key holds as many letters and digits in a row, every address and every number of a person these.
+KEY_RUN, ADDRESS_RUN, DIGIT_RUN = 50, 26, 11
+
+
+def alnum_run(text: Column, n: int) -> Column:
+    """Whether n letters and digits stand in a row. The pattern takes a text without any in one go, without backtracking."""
+    return ~F.rlike(text, F.lit(f"^(?:[0-9A-Za-z]{{0,{n - 1}}}+[^0-9A-Za-z]++)*+[0-9A-Za-z]{{0,{n - 1}}}+\\z"))
 
 
 def long_run(text: Column) -> Column:
-    return F.rlike(text, F.lit(LONG_RUN))
+    return alnum_run(text, KEY_RUN)
+
+
+def gates(text: Column) -> Column:
+    """What a text holds at all, as a struct: each rule family searches only texts that meet its gate.
+
+    run: an alphanumeric run of an address; key: of an encoded key; digits: a digit run; named, password: words that
+    stand before a secret; signing: the name of a key envelope.
+    """
+
+    def of(x: Column) -> Column:
+        low, run = x["low"], x["run"]
+        has = lambda word: F.contains(low, F.lit(word))
+        assigned = F.contains(low, F.lit("=")) | F.contains(low, F.lit(":"))
+        return F.struct(
+            run.alias("run"), (run & long_run(text)).alias("key"), F.rlike(text, F.lit(f"[0-9]{{{DIGIT_RUN}}}")).alias("digits"),
+            (assigned & (has("secret") | has("token") | (has("api") & has("key")))).alias("named"), (assigned & (has("password") | has("passwd") | has("pwd"))).alias("password"),
+            (has("signingkey") & has("cborhex")).alias("signing"),
+        )
+
+    return let(F.struct(F.lower(text).alias("low"), alnum_run(text, ADDRESS_RUN).alias("run")), of)
 
 
 def _kept(spans: Column, test, make) -> Column:
@@ -114,10 +139,11 @@ def _start_of(text: Column, pattern: str) -> Column:
     return F.length(F.get(F.split(text, pattern, 2), F.lit(0)))
 
 
-def cardano_signing_key(text: Column) -> Column:
+def cardano_signing_key(text: Column, gate: Column | None = None) -> Column:
     kind = "(?i)\"type\"\\s*:\\s*\"\\w*SigningKey\\w*\""
     found = F.array(finding(_whole_json(text, _start_of(text, kind)), "CARDANO_SIGNING_KEY", "CRITICAL", 0.97, "cardano-signing-key", "signing key envelope"))
-    return F.when(F.rlike(text, F.lit(kind)) & F.rlike(text, F.lit("(?i)\"cborHex\"\\s*:")), found).otherwise(no_findings())
+    gate = F.lit(True) if gate is None else gate
+    return F.when(gate & F.rlike(text, F.lit(kind)) & F.rlike(text, F.lit("(?i)\"cborHex\"\\s*:")), found).otherwise(no_findings())
 
 
 def keystore_json(text: Column) -> Column:
@@ -161,8 +187,9 @@ def address_kind(token: Column) -> Column:
     return F.when(address, "ADDRESS").when(F.rlike(token, F.lit("(?i)^0x[0-9a-f]{64}$")), "TX_HASH")
 
 
-def addresses(text: Column) -> Column:
-    spans = F.concat(regex_spans(text, EVM_ADDRESS, F.contains(text, F.lit("0x"))), regex_spans(text, BTC_ADDRESS))
+def addresses(text: Column, gate: Column | None = None) -> Column:
+    gate = alnum_run(text, ADDRESS_RUN) if gate is None else gate
+    spans = F.concat(regex_spans(text, EVM_ADDRESS, gate & F.contains(text, F.lit("0x"))), regex_spans(text, BTC_ADDRESS, gate))
     kept = F.filter(spans, lambda s: address_kind(s["value"]).isNotNull())
     known = lambda s: address_kind(s["value"]) == "ADDRESS"
     address = F.transform(kept, lambda s: F.when(known(s), finding(s, "ADDRESS", "LOW", 0.95, "blockchain-address", "public identifier")).otherwise(finding(s, "TX_HASH", "LOW", 0.95, "blockchain-tx-hash", "public identifier")))
@@ -173,36 +200,41 @@ def email(text: Column) -> Column:
     return F.transform(regex_spans(text, EMAIL, F.contains(text, F.lit("@"))), lambda s: finding(s, "PII", "MEDIUM", 0.95, "pii-email", "e-mail address"))
 
 
-def cn_phone(text: Column) -> Column:
-    return F.transform(regex_spans(text, CN_PHONE), lambda s: finding(s, "PII", "MEDIUM", 0.85, "pii-cn-phone", "phone number"))
+def cn_phone(text: Column, gate: Column | None = None) -> Column:
+    return F.transform(regex_spans(text, CN_PHONE, gate), lambda s: finding(s, "PII", "MEDIUM", 0.85, "pii-cn-phone", "phone number"))
 
 
-def cn_id_card(text: Column) -> Column:
-    return _kept(regex_spans(text, CN_ID), lambda s: crypto.id_card_valid(s["value"]), lambda s: finding(s, "PII", "MEDIUM", 0.9, "pii-cn-id-card", "identity number"))
+def cn_id_card(text: Column, gate: Column | None = None) -> Column:
+    return _kept(regex_spans(text, CN_ID, gate), lambda s: crypto.id_card_valid(s["value"]), lambda s: finding(s, "PII", "MEDIUM", 0.9, "pii-cn-id-card", "identity number"))
 
 
-def bank_card(text: Column, others: Column) -> Column:
+def bank_card(text: Column, others: Column, gate: Column | None = None) -> Column:
     """Digit runs with a valid check digit that overlap none of the other findings."""
-    return _kept(regex_spans(text, BANK_CARD), lambda s: F.call_function("luhn_check", s["value"]) & ~_overlaps(s, others), lambda s: finding(s, "PII", "MEDIUM", 0.7, "pii-bank-card", "bank card number"))
+    return _kept(regex_spans(text, BANK_CARD, gate), lambda s: F.call_function("luhn_check", s["value"]) & ~_overlaps(s, others), lambda s: finding(s, "PII", "MEDIUM", 0.7, "pii-bank-card", "bank card number"))
+
+
+def pii(text: Column, gate: Column | None = None) -> Column:
+    """All personal data; gate: whether the text has a digit run, found once for the three kinds of numbers."""
 
+    def of(digits: Column) -> Column:
+        return let(F.concat(cn_id_card(text, digits), email(text), cn_phone(text, digits)), lambda first: F.concat(first, bank_card(text, first, digits)))
 
-def pii(text: Column) -> Column:
-    return let(F.concat(cn_id_card(text), email(text), cn_phone(text)), lambda first: F.concat(first, bank_card(text, first)))
+    return let(F.rlike(text, F.lit(f"[0-9]{{{DIGIT_RUN}}}")), of) if gate is None else of(gate)
 
 
-def _captured(text: Column, pattern: str) -> Column:
+def _captured(text: Column, pattern: str, gate: Column | None = None) -> Column:
     """Spans of the last group of a pattern, which ends where the match ends."""
     value = lambda s: F.regexp_extract(s["value"], pattern, 1)
-    return F.transform(regex_spans(text, pattern), lambda s: F.struct((s["end"] - F.length(value(s))).alias("start"), s["end"].alias("end"), value(s).alias("value")))
+    return F.transform(regex_spans(text, pattern, gate), lambda s: F.struct((s["end"] - F.length(value(s))).alias("start"), s["end"].alias("end"), value(s).alias("value")))
 
 
-def credentials(text: Column) -> Column:
+def credentials(text: Column, named: Column | None = None, password: Column | None = None) -> Column:
     def format_of(rule: str, entity: str, sure: float, needs: str, pattern: str) -> Column:
         return F.transform(regex_spans(text, pattern, F.contains(text, F.lit(needs))), lambda s: finding(s, entity, "HIGH", sure, rule, "credential format"))
 
     parts = [format_of(*c) for c in CREDENTIALS]
-    parts.append(_kept(_captured(text, GENERIC_SECRET), lambda s: crypto.shannon(s["value"]) >= MIN_ENTROPY, lambda s: finding(s, "API_KEY", "HIGH", 0.6, "credential-generic", "named secret of high entropy")))
-    parts.append(F.transform(_captured(text, PASSWORD), lambda s: finding(s, "PASSWORD", "HIGH", 0.9, "credential-password", "named password")))
+    parts.append(_kept(_captured(text, GENERIC_SECRET, named), lambda s: crypto.shannon(s["value"]) >= MIN_ENTROPY, lambda s: finding(s, "API_KEY", "HIGH", 0.6, "credential-generic", "named secret of high entropy")))
+    parts.append(F.transform(_captured(text, PASSWORD, password), lambda s: finding(s, "PASSWORD", "HIGH", 0.9, "credential-password", "named password")))
     return F.concat(*parts)
 
 

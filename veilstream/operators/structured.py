@@ -12,13 +12,13 @@ from pyspark.sql import functions as F
 _TOKEN = re.compile(r'\s*(?:(?P<string>"(?:[^"\\]|\\.)*")|(?P<mark>[{}\[\]:,])|(?P<bare>[^\s{}\[\]:,"]+))', re.DOTALL | re.ASCII)
 
 
-def json_fields(text: str | None) -> list[tuple[str, str | None, str, int, int]]:
-    """(path, key, value, start, end) of every string value; a text that isn't JSON is one field on its own.
+def json_fields(text: str | None) -> list[tuple[str | None, str | None, str, int, int]]:
+    """(path, key, value, start, end) of every string value; a text that isn't JSON is one field without a path.
 
     Values are raw (escapes stay); bare tokens pass as values, but aren't fields. Trailing commas are refused.
     """
     text = text or ""
-    whole = [("", None, text, 0, len(text))]
+    whole = [(None, None, text, 0, len(text))]
     if text.strip(" \t\r\n")[:1] not in ("{", "["):
         return whole
     tokens, at = [], 0
@@ -30,7 +30,7 @@ def json_fields(text: str | None) -> list[tuple[str, str | None, str, int, int]]
         kind = m.lastgroup
         tokens.append((kind, m[kind], m.start(kind)))
         at = m.end()
-    out: list[tuple[str, str | None, str, int, int]] = []
+    out: list[tuple[str | None, str | None, str, int, int]] = []
     # each open container: [closing mark, path, index, key, state]; states: value, next, key, colon, first
     stack: list[list] = []
     done = False

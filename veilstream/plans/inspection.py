@@ -55,8 +55,10 @@ def with_fingerprints(text: Column, found: Column, key: str) -> Column:
 def detect(df: DataFrame, text: str = "text", wordlist: DataFrame | None = None, id_col: str = "doc_id", context_required: bool = False) -> DataFrame:
     """Adds `secrets`: findings of the key rules, in the rules' order."""
     t = F.coalesce(F.col(text), F.lit(""))
-    df = df.withColumn("_long", R.long_run(t))
-    df = df.withColumn("_candidates", R.codec_candidates(t, F.col("_long")))
+    gated = "_gates" in df.columns
+    df = df if gated else df.withColumn("_gates", R.gates(t))
+    key = F.col("_gates")["key"]
+    df = df.withColumn("_candidates", R.codec_candidates(t, key))
     df = df.withColumn("_verdicts", codecs.verified(F.transform("_candidates", lambda c: F.struct(c["rule"].alias("rule"), c["value"].alias("value")))))
     codec = {rule: R.codec_matches(F.col("_candidates"), F.col("_verdicts"), rule) for rule in R.CODEC_RULES}
     first = no_findings()
@@ -64,19 +66,23 @@ def detect(df: DataFrame, text: str = "text", wordlist: DataFrame | None = None,
         df = df.join(M.mnemonic_findings(df, wordlist, id_col=id_col, text=text).withColumnRenamed("id", "_mid"), F.col(id_col) == F.col("_mid"), "left").drop("_mid")
         first = F.coalesce(F.col("mnemonics").cast(FINDINGS), no_findings())
     found = F.concat(
-        first, R.evm_private_key(t, context_required, F.col("_long")), codec["bitcoin-wif"], codec["extended-key"], R.solana_keypair(t), codec["sui-privkey"],
-        R.substrate_uri(t, F.col("_long")), R.cardano_signing_key(t), codec["stellar-seed"], R.keystore_json(t), R.pem_private_key(t),
+        first, R.evm_private_key(t, context_required, key), codec["bitcoin-wif"], codec["extended-key"], R.solana_keypair(t), codec["sui-privkey"],
+        R.substrate_uri(t, key), R.cardano_signing_key(t, F.col("_gates")["signing"]), codec["stellar-seed"], R.keystore_json(t), R.pem_private_key(t),
     )
-    df = df.withColumn("secrets", found.cast(FINDINGS)).drop("_candidates", "_verdicts", "_long")
+    df = df.withColumn("secrets", found.cast(FINDINGS)).drop("_candidates", "_verdicts", *([] if gated else ["_gates"]))
     return df.drop("mnemonics") if wordlist is not None else df
 
 
 def scan(df: DataFrame, text: str = "text", scanners: tuple = SCANNERS, extra: list[Column] | None = None) -> DataFrame:
     """Adds `found`: findings of all scanners, in their order. Needs `secrets`. A scanner that isn't listed leaves the plan."""
     t = F.coalesce(F.col(text), F.lit(""))
-    made = {"secret": lambda: F.col("secrets"), "address": lambda: R.addresses(t), "credential": lambda: R.credentials(t), "pii": lambda: R.pii(t), "injection": lambda: R.prompt_injection(t)}
+    gated = "_gates" in df.columns
+    df = df if gated else df.withColumn("_gates", R.gates(t))
+    gate = F.col("_gates")
+    made = {"secret": lambda: F.col("secrets"), "address": lambda: R.addresses(t, gate["run"]), "credential": lambda: R.credentials(t, gate["named"], gate["password"]), "pii": lambda: R.pii(t, gate["digits"]), "injection": lambda: R.prompt_injection(t)}
     parts = [made[s]() for s in SCANNERS if s in scanners] + list(extra or [])
-    return df.withColumn("found", F.concat(*parts).cast(FINDINGS) if parts else no_findings())
+    df = df.withColumn("found", F.concat(*parts).cast(FINDINGS) if parts else no_findings())
+    return df if gated else df.drop("_gates")
 
 
 def inspect(df: DataFrame, id_col: str = "doc_id", text: str = "text", direction: str | Column = "USER_INPUT", scanners: tuple = SCANNERS, policy: DataFrame | None = None, fallback: str = P.FALLBACK, pepper: str | None = None, wordlist: DataFrame | None = None, extra: list[Column] | None = None) -> DataFrame:
@@ -89,14 +95,16 @@ def inspect(df: DataFrame, id_col: str = "doc_id", text: str = "text", direction
     key = pepper or crypto.pepper()
     where = direction if isinstance(direction, Column) else F.lit(direction)
     t = F.coalesce(F.col(text), F.lit(""))
-    df = scan(detect(df.withColumn("_direction", where), text, wordlist, id_col), text, scanners, extra)
+    # what a text holds at all is found once, for all rules
+    df = df.withColumns({"_direction": where, "_gates": R.gates(t)})
+    df = scan(detect(df, text, wordlist, id_col), text, scanners, extra)
     df = df.withColumn("_critical", F.exists("secrets", lambda x: x["risk_level"] == "CRITICAL"))
     df = df.withColumn("_merged", F.when(F.col("_critical"), merge(F.col("secrets"))).otherwise(merge_within_type(F.col("found"))))
     act = P.decider(policy, fallback)
     df = df.withColumn("action", F.when(F.col("_critical"), "BLOCK").otherwise(P.strictest(F.transform("_merged", lambda x: act(x["entity_type"], F.col("_direction"), x["risk_level"])))))
     sanitized = F.when(F.col("action") == "BLOCK", BLOCKED).when(F.col("action") == "ALLOW", F.col(text)).otherwise(mask(t, F.col("_merged"), key))
     df = df.withColumns({"sanitized_text": sanitized, "findings": with_fingerprints(t, F.col("_merged"), key), "user_message": F.when(F.col("action") == "BLOCK", MESSAGE), "blocked": F.col("action") == "BLOCK", "direction": F.col("_direction")})
-    return df.drop("secrets", "found", "_critical", "_merged", "_direction")
+    return df.drop("secrets", "found", "_critical", "_merged", "_direction", "_gates")
 
 
 def audit_events(decisions: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -12,6 +12,7 @@ from ..operators import conversations, mnemonics, structured
 from ..operators import rules as R
 from ..sources import providers
 from ..sources.planted import planted, planted_sql
+from ..sources.tables import spread, table
 from ..sources.wordlists import syllable_wordlist
 from . import inspection, policy
 
@@ -30,17 +31,13 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """(doc_id, text) of a given table or a planted relation."""
+def texts(spark: SparkSession, sf_dir: str, name: str, *more: str) -> DataFrame:
+    """(doc_id, text, more...) of a given table or a planted relation, spread over all cores."""
     if name == "pages":
-        return table(spark, sf_dir, name).select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"))
+        return spread(table(spark, sf_dir, name).select(F.col("page_id").alias("doc_id"), F.col("html").alias("text")))
     if name.startswith("planted"):
         return planted(spark, sf_dir, name)
-    return table(spark, sf_dir, name).select("doc_id", "text")
+    return spread(table(spark, sf_dir, name).select("doc_id", "text", *more))
 
 
 def source_sql(name: str) -> str:
@@ -50,8 +47,10 @@ def source_sql(name: str) -> str:
 
 
 def findings_of(df: DataFrame, rule: Callable[[Column], Column]) -> DataFrame:
-    rows = df.select("doc_id", F.explode(rule(F.coalesce(F.col("text"), F.lit(""))).cast(spans.FINDINGS)).alias("f"))
-    return rows.select("doc_id", "f.rule_id", "f.entity_type", "f.risk_level", "f.confidence", F.col("f.start").alias("start_at"), F.col("f.end").alias("end_at"))
+    """A row for each finding of a rule, with the other columns of its text."""
+    more = [c for c in df.columns if c not in ("doc_id", "text")]
+    rows = df.select("doc_id", *more, F.explode(rule(F.coalesce(F.col("text"), F.lit(""))).cast(spans.FINDINGS)).alias("f"))
+    return rows.select("doc_id", *more, "f.rule_id", "f.entity_type", "f.risk_level", "f.confidence", F.col("f.start").alias("start_at"), F.col("f.end").alias("end_at"))
 
 
 # SQL pieces --------------------------------------------------------------------------------------------------------
@@ -261,6 +260,11 @@ def decisions_sql(src: str) -> str:
         FROM ({src}) d LEFT JOIN ({found_sql(src)}) f ON f.doc_id = d.doc_id GROUP BY d.doc_id"""
 
 
+def _unkeyed(text: Column) -> Column:
+    """Findings of the scanners without keys; what the text holds at all is found once."""
+    return spans.let(R.gates(text), lambda g: F.concat(R.pii(text, g["digits"]), R.credentials(text, g["named"], g["password"]), R.addresses(text, g["run"])))
+
+
 def _decisions(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return inspection.inspect(texts(spark, sf_dir, name), pepper=PEPPER)
 
@@ -273,16 +277,16 @@ _EVENTS = f"SELECT f.doc_id, entity_type, rule_id, risk_level, 'USER_INPUT' AS d
 query("audit_events", _EVENTS)(lambda s, d: inspection.audit_events(_decisions(s, d, "documents")).select("doc_id", "entity_type", "rule_id", "risk_level", "direction", "action", "span_count", "span_length", "fingerprint"))
 query("audit_lines", f"WITH ev AS MATERIALIZED ({_EVENTS}) SELECT doc_id, 'guard event direction=' || direction || ' action=' || action || ' entity=' || entity_type || ' risk=' || risk_level || ' rule=' || rule_id || ' fingerprint=' || fingerprint || ' spans=' || span_count AS line FROM ev")(lambda s, d: inspection.audit_lines(inspection.audit_events(_decisions(s, d, "documents"))).select("doc_id", "line"))
 query("union_scanners", f"SELECT rule_id, count(*) AS n, count(DISTINCT doc_id) AS docs FROM ({found_sql(source_sql('documents'))}) GROUP BY rule_id")(
-    lambda s, d: findings_of(texts(s, d, "documents"), lambda t: F.concat(R.pii(t), R.credentials(t), R.addresses(t))).groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("docs"))
+    lambda s, d: findings_of(texts(s, d, "documents"), _unkeyed).groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("docs"))
 )
 query("findings_cube", f"SELECT rule_id, lang, count(*) AS n FROM ({found_sql(source_sql('documents'))}) JOIN (SELECT doc_id, lang FROM documents) USING (doc_id) GROUP BY CUBE (rule_id, lang)")(
-    lambda s, d: findings_of(texts(s, d, "documents"), lambda t: F.concat(R.pii(t), R.credentials(t), R.addresses(t))).join(table(s, d, "documents").select("doc_id", "lang"), "doc_id").cube("rule_id", "lang").agg(F.count(F.lit(1)).alias("n"))
+    lambda s, d: findings_of(texts(s, d, "documents", "lang"), _unkeyed).cube("rule_id", "lang").agg(F.count(F.lit(1)).alias("n"))
 )
 query("top_sources", f"SELECT source, count(*) AS n FROM ({found_sql(source_sql('documents'))}) JOIN (SELECT doc_id, source FROM documents) USING (doc_id) GROUP BY source ORDER BY n DESC, source LIMIT 5")(
-    lambda s, d: findings_of(texts(s, d, "documents"), lambda t: F.concat(R.pii(t), R.credentials(t), R.addresses(t))).join(table(s, d, "documents").select("doc_id", "source"), "doc_id").groupBy("source").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "source").limit(5)
+    lambda s, d: findings_of(texts(s, d, "documents", "source"), _unkeyed).groupBy("source").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "source").limit(5)
 )
 query("action_report", f"SELECT lang, count(*) FILTER (action = 'ALLOW') AS allowed, count(*) FILTER (action = 'MASK') AS masked, count(*) FILTER (action = 'BLOCK') AS blocked FROM ({decisions_sql(source_sql('documents'))}) JOIN (SELECT doc_id, lang FROM documents) USING (doc_id) GROUP BY lang")(
-    lambda s, d: inspection.inspect(table(s, d, "documents"), pepper=PEPPER).groupBy("lang").pivot("action", ["ALLOW", "MASK", "BLOCK"]).count().na.fill(0).select("lang", F.col("ALLOW").alias("allowed"), F.col("MASK").alias("masked"), F.col("BLOCK").alias("blocked"))
+    lambda s, d: inspection.inspect(texts(s, d, "documents", "lang"), pepper=PEPPER).groupBy("lang").pivot("action", ["ALLOW", "MASK", "BLOCK"]).count().na.fill(0).select("lang", F.col("ALLOW").alias("allowed"), F.col("MASK").alias("masked"), F.col("BLOCK").alias("blocked"))
 )
 
 # mnemonics ---------------------------------------------------------------------------------------------------------
