@@ -13,7 +13,7 @@ from ..operators import rules as R
 from ..sources import providers
 from ..sources.planted import planted, planted_sql
 from ..sources.tables import spread, table
-from ..sources.wordlists import syllable_wordlist
+from ..sources.wordlists import han_wordlist, syllable_wordlist
 from . import inspection, policy
 
 PEPPER = "query-pepper"
@@ -124,6 +124,9 @@ def bounded_sql(src: str, full: str, run: str = ALNUM) -> str:
 def credentials_sql(src: str) -> str:
     return " UNION ALL ".join(
         [
+            finding_sql(spans_sql(src, "(^|[^0-9A-Za-z])(sk-[A-Za-z0-9_\\-]*T3BlbkFJ[A-Za-z0-9_\\-]*)", 2), "credential-openai", "API_KEY", "HIGH", "0.9"),
+            finding_sql(bounded_sql(src, "AIza[0-9A-Za-z_\\-]{35}", "[0-9A-Za-z_\\-]+"), "credential-gcp", "API_KEY", "HIGH", "0.9"),
+            finding_sql(spans_sql(src, "(^|[^0-9A-Za-z])(ey[A-Za-z0-9_-]+\\.ey[A-Za-z0-9_-]+\\.[A-Za-z0-9_-]+)", 2), "credential-jwt", "JWT", "HIGH", "0.85"),
             finding_sql(bounded_sql(src, "AKIA[0-9A-Z]{16}"), "credential-aws", "API_KEY", "HIGH", "0.95"),
             finding_sql(bounded_sql(src, "ghp_[0-9A-Za-z]{36}", "[0-9A-Za-z_]+"), "credential-github-pat", "API_KEY", "HIGH", "0.95"),
             finding_sql(spans_sql(src, R.GENERIC_SECRET, 1), "credential-generic", "API_KEY", "HIGH", "0.6", f"list_aggregate(string_split(v, ''), 'entropy') >= {R.MIN_ENTROPY}"),
@@ -132,6 +135,54 @@ def credentials_sql(src: str) -> str:
     )
 
 
+def pem_sql(src: str) -> str:
+    return finding_sql(spans_sql(src, R.PEM), "pem-private-key", "PEM_PRIVATE_KEY", "CRITICAL", "0.99")
+
+
+def _json_sql(src: str, *patterns: str) -> str:
+    where = " AND ".join(f"regexp_matches(text, '{p}')" for p in patterns)
+    return f"(SELECT doc_id, text, strpos(text, '{{') - 1 AS s, length(text) - strpos(reverse(text), '}}') + 1 AS e FROM ({src}) WHERE {where})"
+
+
+def keystore_sql(src: str) -> str:
+    return finding_sql(_json_sql(src, *(f'(?i)"{k}"\\s*:' for k in ("crypto", "cipher", "ciphertext", "kdf", "mac", "address"))), "keystore-json", "KEYSTORE_JSON", "CRITICAL", "0.97")
+
+
+def cardano_sql(src: str) -> str:
+    return finding_sql(_json_sql(src, '(?i)"type"\\s*:\\s*"\\w*SigningKey\\w*"', '(?i)"cborHex"\\s*:'), "cardano-signing-key", "CARDANO_SIGNING_KEY", "CRITICAL", "0.97")
+
+
+def solana_sql(src: str) -> str:
+    found = f"(SELECT *, {context_sql(R.SOLANA_TERMS, R.SOLANA_CONTEXT)} AS near FROM {spans_sql(src, R.SOLANA)} WHERE len(string_split(v, ',')) = 64 AND list_bool_and([CAST(x AS INT) BETWEEN 0 AND 255 FOR x IN string_split(regexp_replace(v, '[\\[\\]\\s]', '', 'g'), ',')]))"
+    return f"SELECT doc_id, 'solana-keypair' AS rule_id, 'SOLANA_KEYPAIR' AS entity_type, CASE WHEN near THEN 'CRITICAL' ELSE 'MEDIUM' END AS risk_level, CAST(CASE WHEN near THEN 0.95 ELSE 0.4 END AS DOUBLE) AS confidence, CAST(s AS INT) AS start_at, CAST(e AS INT) AS end_at FROM {found}"
+
+
+def substrate_sql(src: str) -> str:
+    return finding_sql(spans_sql(src, "(^|[^0-9A-Za-z])(0x[0-9a-fA-F]{64}(//?[^/\\s]+)+(///[^\\s]+)?)", 2), "substrate-secret-uri", "BLOCKCHAIN_SUBSTRATE_SECRET_URI", "CRITICAL", "0.95")
+
+
+_BITS = "list_aggregate([lpad(CAST(bin(k) AS VARCHAR), 11, '0') FOR k IN w], 'string_agg', '')"
+_ENTROPY = "unhex(list_aggregate([substr('0123456789abcdef', 8 * CAST(bits[4 * j + 1] AS INT) + 4 * CAST(bits[4 * j + 2] AS INT) + 2 * CAST(bits[4 * j + 3] AS INT) + CAST(bits[4 * j + 4] AS INT) + 1, 1) FOR j IN generate_series(0, (c * 11 - check_bits) // 4 - 1)], 'string_agg', ''))"
+
+#: White space and the blocks of signs that part words.
+_BREAKS = "[\\t-\\r\\x{1C}-\\x{20}\\x{1680}\\x{2000}-\\x{2006}\\x{2008}-\\x{200A}\\x{2028}\\x{2029}\\x{205F}\\x{3000}-\\x{303F}\\x{FF00}-\\x{FFEF}\\p{Han}]+"
+_SYLLABLES = "strpos('bcdfghjklmnpqrst', lower(v)[1]) * 128 + strpos('aeio', lower(v)[2]) * 32 + strpos('bdfgklmn', lower(v)[3]) * 4 + strpos('aeio', lower(v)[4]) - 165"
+
+
+def mnemonic_sql(src: str) -> str:
+    """Windows of list words, numbered in runs; the bits of a window and its checksum."""
+    digest = "substr(lpad(bin(CAST(('0x' || substr(digest, 1, 2)) AS INT)), 8, '0'), 1, check_bits)"
+    return f"""WITH g AS (SELECT doc_id, text, string_split_regex(text, '{_BREAKS}') AS ws, regexp_extract_all(text, '{_BREAKS}') AS bs FROM ({src}) WHERE text IS NOT NULL),
+        p AS (SELECT doc_id, i, ws[i] AS v, length(ws[i]) + coalesce(length(bs[i]), 0) AS size FROM (SELECT *, unnest(generate_series(1, len(ws))) AS i FROM g)),
+        o AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM p),
+        h AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS run, {_SYLLABLES} AS k FROM o WHERE regexp_full_match(lower(v), '[bcdfghjklmnpqrst][aeio][bdfgklmn][aeio]')),
+        r AS (SELECT doc_id, list(k ORDER BY i) AS ks, list(s ORDER BY i) AS ss FROM h GROUP BY doc_id, run HAVING count(*) >= 12),
+        w AS (SELECT doc_id, c, q, ks[q + 1 : q + c] AS w, ss[q + 1] AS s, ss[q + c] + 4 AS e, c * 11 // 33 AS check_bits FROM (SELECT *, unnest(generate_series(0, len(ks) - c)) AS q FROM (SELECT *, unnest([12, 15, 18, 21, 24]) AS c FROM r) WHERE len(ks) >= c)),
+        b AS (SELECT *, {_BITS} AS bits FROM w), d AS (SELECT *, sha256({_ENTROPY}) AS digest FROM b),
+        x AS (SELECT d.doc_id, text, s, e, {digest} = right(bits, check_bits) AS good FROM d JOIN ({src}) t ON t.doc_id = d.doc_id)
+        SELECT doc_id, 'bip39-mnemonic' AS rule_id, 'MNEMONIC' AS entity_type, CASE WHEN good THEN 'CRITICAL' ELSE 'HIGH' END AS risk_level, CAST(CASE WHEN good THEN 0.99 ELSE 0.6 END AS DOUBLE) AS confidence, CAST(s AS INT) AS start_at, CAST(e AS INT) AS end_at FROM x WHERE good OR {context_sql(R.MNEMONIC_TERMS)}"""
+
+
 def hmac_sql(value: str, key: str = PEPPER) -> str:
     inner, outer = crypto.hmac_pads(key)
     return f"sha256(unhex('{outer}') || unhex(sha256(unhex('{inner}') || encode({value}))))"
@@ -152,15 +203,11 @@ query("credentials_prefix", f"SELECT * FROM ({credentials_sql(source_sql('plante
 query("credentials_generic", f"SELECT * FROM ({credentials_sql(source_sql('documents'))}) WHERE rule_id = 'credential-generic'")(lambda s, d: findings_of(texts(s, d, "documents"), R.credentials).where("rule_id = 'credential-generic'"))
 query("credentials_planted", credentials_sql(source_sql("planted_cred")))(lambda s, d: findings_of(texts(s, d, "planted_cred"), R.credentials))
 query("password_field", f"SELECT * FROM ({credentials_sql(source_sql('planted_cred'))}) WHERE rule_id = 'credential-password'")(lambda s, d: findings_of(texts(s, d, "planted_cred"), R.credentials).where("rule_id = 'credential-password'"))
-query("pem_blocks", finding_sql(spans_sql(source_sql("planted_files"), R.PEM), "pem-private-key", "PEM_PRIVATE_KEY", "CRITICAL", "0.99"))(lambda s, d: findings_of(texts(s, d, "planted_files"), R.pem_private_key))
+query("pem_blocks", pem_sql(source_sql("planted_files")))(lambda s, d: findings_of(texts(s, d, "planted_files"), R.pem_private_key))
 
-_JSON_SPAN = "(SELECT doc_id, text, strpos(text, '{') - 1 AS s, length(text) - strpos(reverse(text), '}') + 1 AS e FROM ({src}) WHERE {where})"
-_KEYSTORE = " AND ".join(f"regexp_matches(text, '(?i)\"{k}\"\\s*:')" for k in ("crypto", "cipher", "ciphertext", "kdf", "mac", "address"))
-query("keystore_json", finding_sql(_JSON_SPAN.replace("{src}", source_sql("planted_files")).replace("{where}", _KEYSTORE), "keystore-json", "KEYSTORE_JSON", "CRITICAL", "0.97"))(lambda s, d: findings_of(texts(s, d, "planted_files"), R.keystore_json))
-_CARDANO = "regexp_matches(text, '(?i)\"type\"\\s*:\\s*\"\\w*SigningKey\\w*\"') AND regexp_matches(text, '(?i)\"cborHex\"\\s*:')"
-query("cardano_skey", finding_sql(_JSON_SPAN.replace("{src}", source_sql("planted_files")).replace("{where}", _CARDANO), "cardano-signing-key", "CARDANO_SIGNING_KEY", "CRITICAL", "0.97"))(lambda s, d: findings_of(texts(s, d, "planted_files"), R.cardano_signing_key))
-_SOLANA = f"(SELECT *, {context_sql(R.SOLANA_TERMS, R.SOLANA_CONTEXT)} AS near FROM {spans_sql(source_sql('planted_files'), R.SOLANA)} WHERE len(string_split(v, ',')) = 64 AND list_bool_and([CAST(x AS INT) BETWEEN 0 AND 255 FOR x IN string_split(regexp_replace(v, '[\\[\\]\\s]', '', 'g'), ',')]))"
-query("solana_keypair", f"SELECT doc_id, 'solana-keypair' AS rule_id, 'SOLANA_KEYPAIR' AS entity_type, CASE WHEN near THEN 'CRITICAL' ELSE 'MEDIUM' END AS risk_level, CAST(CASE WHEN near THEN 0.95 ELSE 0.4 END AS DOUBLE) AS confidence, CAST(s AS INT) AS start_at, CAST(e AS INT) AS end_at FROM {_SOLANA}")(lambda s, d: findings_of(texts(s, d, "planted_files"), R.solana_keypair))
+query("keystore_json", keystore_sql(source_sql("planted_files")))(lambda s, d: findings_of(texts(s, d, "planted_files"), R.keystore_json))
+query("cardano_skey", cardano_sql(source_sql("planted_files")))(lambda s, d: findings_of(texts(s, d, "planted_files"), R.cardano_signing_key))
+query("solana_keypair", solana_sql(source_sql("planted_files")))(lambda s, d: findings_of(texts(s, d, "planted_files"), R.solana_keypair))
 
 # codecs: keys with all-zero payloads, told apart by the key of the row
 _ZERO_KEYS = [
@@ -251,13 +298,36 @@ query("mask_addresses", f"SELECT doc_id, CASE WHEN v IS NULL THEN text ELSE subs
 
 
 def found_sql(src: str) -> str:
-    """Findings of the scanners that the given texts can meet: personal data, credentials, addresses."""
+    """Findings of the scanners without keys: personal data, credentials, addresses."""
     return f"SELECT * FROM ({pii_sql(src)}) UNION ALL SELECT * FROM ({credentials_sql(src)}) UNION ALL SELECT * FROM ({address_sql(src)})"
 
 
-def decisions_sql(src: str) -> str:
-    return f"""SELECT d.doc_id, CASE WHEN count(*) FILTER (entity_type IN ('API_KEY', 'PASSWORD')) > 0 THEN 'BLOCK' WHEN count(*) FILTER (entity_type = 'PII') > 0 THEN 'MASK' ELSE 'ALLOW' END AS action, count(entity_type) AS n_findings
-        FROM ({src}) d LEFT JOIN ({found_sql(src)}) f ON f.doc_id = d.doc_id GROUP BY d.doc_id"""
+def secrets_sql(src: str) -> str:
+    """Findings of the key rules that need no codec."""
+    return " UNION ALL ".join(f"SELECT * FROM ({rule(src)})" for rule in (mnemonic_sql, hex_sql, solana_sql, substrate_sql, cardano_sql, keystore_sql, pem_sql))
+
+
+def all_sql(src: str) -> str:
+    """Findings that a decision rests on: a text with a certain key is searched no further."""
+    return f"""WITH sec AS MATERIALIZED ({secrets_sql(src)}), rest AS MATERIALIZED ({found_sql(src)})
+        SELECT * FROM sec UNION ALL SELECT * FROM rest WHERE doc_id NOT IN (SELECT doc_id FROM sec WHERE risk_level = 'CRITICAL')"""
+
+
+def decisions_sql(src: str, direction: str = "USER_INPUT", values: str | None = None) -> str:
+    act = f"CASE WHEN risk_level = 'CRITICAL' AND entity_type IN ({', '.join(repr(k) for k in policy.KEYS)}) THEN 'BLOCK' ELSE coalesce(p.action, 'MASK') END"
+    return f"""WITH f AS MATERIALIZED ({all_sql(src)}), a AS (SELECT doc_id, {act} AS action FROM f LEFT JOIN (VALUES {values or _POLICY_VALUES}) AS p(pe, pd, action) ON pe = entity_type AND pd = '{direction}')
+        SELECT d.doc_id, coalesce(arg_max(a.action, {_SEVERITY.replace("action", "a.action")}), 'ALLOW') AS action, count(a.doc_id) AS n_findings FROM ({src}) d LEFT JOIN a ON a.doc_id = d.doc_id GROUP BY d.doc_id"""
+
+
+def masked_sql(src: str, decisions: str) -> str:
+    """Sanitised texts: blocked ones replaced, of others each finding by its form; findings don't overlap here."""
+    raw = "substr(text, start_at + 1, end_at - start_at)"
+    form = f"""CASE WHEN entity_type IN ('ADDRESS', 'TX_HASH') THEN substr({raw}, 1, 6) || '...' || right({raw}, 4)
+        WHEN entity_type = 'PII' THEN '[PII:' || CASE rule_id WHEN 'pii-email' THEN 'EMAIL' WHEN 'pii-cn-phone' THEN 'PHONE' WHEN 'pii-cn-id-card' THEN 'ID_CARD' ELSE 'BANK_CARD' END || ']'
+        ELSE CASE WHEN entity_type IN ('API_KEY', 'PASSWORD', 'JWT') THEN '[SECRET:' ELSE '[BLOCKCHAIN_SECRET:' END || entity_type || ':' || substr({hmac_sql(raw)}, 1, 8) || ']' END"""
+    return f"""WITH f AS MATERIALIZED ({all_sql(src)}), t AS MATERIALIZED ({src}), x AS MATERIALIZED ({decisions}),
+        m AS (SELECT f.doc_id, string_agg(substr(text, before + 1, start_at - before) || {form}, '' ORDER BY start_at) AS body, max(end_at) AS last FROM (SELECT *, coalesce(lag(end_at) OVER (PARTITION BY doc_id ORDER BY start_at), 0) AS before FROM f) f JOIN t ON t.doc_id = f.doc_id GROUP BY f.doc_id)
+        SELECT t.doc_id, action, CASE WHEN action = 'BLOCK' THEN '{inspection.BLOCKED}' WHEN action = 'ALLOW' OR body IS NULL THEN text ELSE body || substr(text, last + 1) END AS sanitized_text FROM t JOIN x ON x.doc_id = t.doc_id LEFT JOIN m ON m.doc_id = t.doc_id"""
 
 
 def _unkeyed(text: Column) -> Column:
@@ -265,17 +335,31 @@ def _unkeyed(text: Column) -> Column:
     return spans.let(R.gates(text), lambda g: F.concat(R.pii(text, g["digits"]), R.credentials(text, g["named"], g["password"]), R.addresses(text, g["run"])))
 
 
-def _decisions(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return inspection.inspect(texts(spark, sf_dir, name), pepper=PEPPER)
+def _decisions(spark: SparkSession, sf_dir: str, name: str, **options) -> DataFrame:
+    return inspection.inspect(texts(spark, sf_dir, name), pepper=PEPPER, wordlist=syllable_wordlist(spark), **options)
 
 
-for _name in ("documents", "pages", "planted_cred", "planted_pii"):
+for _name in ("documents", "pages", "planted_cred", "planted_pii", "planted_mixed"):
     query(f"inspect_{_name}", decisions_sql(source_sql(_name)))(lambda s, d, name=_name: _decisions(s, d, name).select("doc_id", "action", F.size("findings").cast("long").alias("n_findings")))
 
 query("inspect_sanitized", f"SELECT doc_id, CASE action WHEN 'BLOCK' THEN '{inspection.BLOCKED}' ELSE text END AS sanitized_text, action = 'BLOCK' AS blocked FROM ({decisions_sql(source_sql('planted_cred'))}) JOIN ({source_sql('planted_cred')}) USING (doc_id)")(lambda s, d: _decisions(s, d, "planted_cred").select("doc_id", "sanitized_text", "blocked"))
-_EVENTS = f"SELECT f.doc_id, entity_type, rule_id, risk_level, 'USER_INPUT' AS direction, action, n_findings AS span_count, CAST(end_at - start_at AS INT) AS span_length, substr({hmac_sql('substr(text, start_at + 1, end_at - start_at)')}, 1, 8) AS fingerprint FROM ({found_sql(source_sql('documents'))}) f JOIN ({decisions_sql(source_sql('documents'))}) x ON f.doc_id = x.doc_id JOIN documents d ON d.doc_id = f.doc_id"
+_EVENTS = f"SELECT f.doc_id, entity_type, rule_id, risk_level, 'USER_INPUT' AS direction, action, n_findings AS span_count, CAST(end_at - start_at AS INT) AS span_length, substr({hmac_sql('substr(text, start_at + 1, end_at - start_at)')}, 1, 8) AS fingerprint FROM ({all_sql(source_sql('documents'))}) f JOIN ({decisions_sql(source_sql('documents'))}) x ON f.doc_id = x.doc_id JOIN documents d ON d.doc_id = f.doc_id"
 query("audit_events", _EVENTS)(lambda s, d: inspection.audit_events(_decisions(s, d, "documents")).select("doc_id", "entity_type", "rule_id", "risk_level", "direction", "action", "span_count", "span_length", "fingerprint"))
 query("audit_lines", f"WITH ev AS MATERIALIZED ({_EVENTS}) SELECT doc_id, 'guard event direction=' || direction || ' action=' || action || ' entity=' || entity_type || ' risk=' || risk_level || ' rule=' || rule_id || ' fingerprint=' || fingerprint || ' spans=' || span_count AS line FROM ev")(lambda s, d: inspection.audit_lines(inspection.audit_events(_decisions(s, d, "documents"))).select("doc_id", "line"))
+query("mask_persisted", masked_sql(source_sql("planted_mixed"), decisions_sql(source_sql("planted_mixed"), "TRACE_PERSIST")))(lambda s, d: _decisions(s, d, "planted_mixed", direction="TRACE_PERSIST").select("doc_id", "action", "sanitized_text"))
+#: A policy of one's own: uncertain keys are masked, addresses reviewed; what it doesn't name falls back.
+_OWN = [("PRIVATE_KEY_HEX", "USER_INPUT", "MASK"), ("ADDRESS", "USER_INPUT", "REVIEW"), ("PII", "USER_INPUT", "ALLOW")]
+_OWN_SQL = decisions_sql(source_sql("planted_mixed"), values=", ".join(map(str, _OWN)))
+query("own_policy", masked_sql(source_sql("planted_mixed"), _OWN_SQL))(
+    lambda s, d: _decisions(s, d, "planted_mixed", policy=s.createDataFrame(_OWN, "entity_type string, direction string, action string")).select("doc_id", "action", "sanitized_text")
+)
+query("mixed_findings", all_sql(source_sql("planted_mixed")))(
+    lambda s, d: _decisions(s, d, "planted_mixed").select("doc_id", F.explode("findings").alias("f")).select("doc_id", "f.rule_id", "f.entity_type", "f.risk_level", "f.confidence", F.col("f.start").alias("start_at"), F.col("f.end").alias("end_at"))
+)
+query("substrate_uri", substrate_sql(source_sql("planted_uri")))(lambda s, d: findings_of(texts(s, d, "planted_uri"), R.substrate_uri))
+query("stellar_seeds", f"SELECT doc_id, 'STELLAR_SECRET_SEED' AS entity_type, 5 AS start_at, 61 AS end_at FROM ({source_sql('planted_stellar')}) WHERE text LIKE 'seed%' AND substr(text, 6, 56) = seed")(
+    lambda s, d: inspection.detect(texts(s, d, "planted_stellar")).select("doc_id", F.explode("secrets").alias("f")).select("doc_id", "f.entity_type", F.col("f.start").alias("start_at"), F.col("f.end").alias("end_at"))
+)
 query("union_scanners", f"SELECT rule_id, count(*) AS n, count(DISTINCT doc_id) AS docs FROM ({found_sql(source_sql('documents'))}) GROUP BY rule_id")(
     lambda s, d: findings_of(texts(s, d, "documents"), _unkeyed).groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("docs"))
 )
@@ -286,7 +370,7 @@ query("top_sources", f"SELECT source, count(*) AS n FROM ({found_sql(source_sql(
     lambda s, d: findings_of(texts(s, d, "documents", "source"), _unkeyed).groupBy("source").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "source").limit(5)
 )
 query("action_report", f"SELECT lang, count(*) FILTER (action = 'ALLOW') AS allowed, count(*) FILTER (action = 'MASK') AS masked, count(*) FILTER (action = 'BLOCK') AS blocked FROM ({decisions_sql(source_sql('documents'))}) JOIN (SELECT doc_id, lang FROM documents) USING (doc_id) GROUP BY lang")(
-    lambda s, d: inspection.inspect(texts(s, d, "documents", "lang"), pepper=PEPPER).groupBy("lang").pivot("action", ["ALLOW", "MASK", "BLOCK"]).count().na.fill(0).select("lang", F.col("ALLOW").alias("allowed"), F.col("MASK").alias("masked"), F.col("BLOCK").alias("blocked"))
+    lambda s, d: inspection.inspect(texts(s, d, "documents", "lang"), pepper=PEPPER, wordlist=syllable_wordlist(s)).groupBy("lang").pivot("action", ["ALLOW", "MASK", "BLOCK"]).count().na.fill(0).select("lang", F.col("ALLOW").alias("allowed"), F.col("MASK").alias("masked"), F.col("BLOCK").alias("blocked"))
 )
 
 # mnemonics ---------------------------------------------------------------------------------------------------------
@@ -302,12 +386,16 @@ def _phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.expr(f"concat('zzzz QQQ text ', array_join(transform(ks, k -> {word.replace('k div', 'cast(k as bigint) div').replace('substr(', 'substring(')}), ' '))").alias("text"))
 
 
+def _han_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """12 to 20 list characters for each order after three letters."""
+    signs = F.transform(F.sequence(F.lit(0), (11 + F.col("o_orderkey") % 9).cast("int")), lambda i: F.decode(F.unhex(F.hex(((F.lit(0x4E00) + (F.col("o_orderkey") * 31 + i * 7) % 2048).cast("int")))), "UTF-16BE"))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.concat(F.lit("abc"), F.array_join(signs, ""), F.lit(" end")).alias("text"))
+
+
 query("bip39_runs", "SELECT doc_id, CAST(len(ks) AS BIGINT) AS n, CAST(14 AS INT) AS start_at, CAST(14 + 5 * len(ks) - 1 AS INT) AS end_at FROM " + _PHRASES)(
     lambda s, d: mnemonics.runs(_phrases(s, d), syllable_wordlist(s)).select(F.col("id").alias("doc_id"), "n", F.get("words", F.lit(0))["start"].alias("start_at"), F.get("words", F.size("words") - 1)["end"].alias("end_at"))
 )
-_BITS = "list_aggregate([lpad(CAST(bin(k) AS VARCHAR), 11, '0') FOR k IN w], 'string_agg', '')"
 _WINDOWS = f"(SELECT doc_id, c, p, w, {_BITS} AS bits, c * 11 // 33 AS check_bits FROM (SELECT doc_id, c, p, ks[p + 1 : p + c] AS w FROM (SELECT doc_id, ks, c, unnest(generate_series(0, len(ks) - c)) AS p FROM (SELECT doc_id, ks, unnest([12, 15, 18, 21, 24]) AS c FROM {_PHRASES}) WHERE len(ks) >= c)))"
-_ENTROPY = "unhex(list_aggregate([substr('0123456789abcdef', 8 * CAST(bits[4 * j + 1] AS INT) + 4 * CAST(bits[4 * j + 2] AS INT) + 2 * CAST(bits[4 * j + 3] AS INT) + CAST(bits[4 * j + 4] AS INT) + 1, 1) FOR j IN generate_series(0, (c * 11 - check_bits) // 4 - 1)], 'string_agg', ''))"
 _DIGEST_BITS = "lpad(bin(CAST(('0x' || substr(digest, 1, 2)) AS INT)), 8, '0')"
 query("bip39_checksum", f"SELECT doc_id, CAST(14 + 5 * p AS INT) AS start_at, CAST(14 + 5 * (p + c) - 1 AS INT) AS end_at, CAST(c AS INT) AS n_words, 'CRITICAL' AS risk_level FROM (SELECT *, sha256({_ENTROPY}) AS digest FROM {_WINDOWS}) WHERE substr({_DIGEST_BITS}, 1, check_bits) = right(bits, check_bits)")(
     lambda s, d: mnemonics.mnemonics(_phrases(s, d), syllable_wordlist(s)).select(F.col("id").alias("doc_id"), F.col("start").alias("start_at"), F.col("end").alias("end_at"), "n_words", "risk_level")
@@ -319,6 +407,23 @@ _NORM = "trim(regexp_replace(text, '[^\\p{L}\\p{N}]+', ' ', 'g'))"
 query("conversation_windows", f"SELECT conv_id, turn, string_agg(norm, ' ' ORDER BY turn) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS window_text FROM (SELECT conv_id, turn, {_NORM} AS norm FROM conversations WHERE role = 'user') WHERE norm <> ''".replace("string_agg(norm, ' ' ORDER BY turn)", "string_agg(norm, ' ')"))(
     lambda s, d: conversations.windows(table(s, d, "conversations").where("role = 'user'")).select("conv_id", "turn", F.col("window").alias("window_text"))
 )
+_USER_TURNS = f"SELECT conv_id, turn, {_NORM} AS norm FROM conversations WHERE role = 'user'"
+query("conversation_ttl", f"""SELECT conv_id, turn, concat_ws(' ', CASE WHEN turn - t2 < 3 THEN n2 END, CASE WHEN turn - t1 < 3 THEN n1 END, norm) AS window_text FROM (
+    SELECT *, lag(norm, 1) OVER w AS n1, lag(turn, 1) OVER w AS t1, lag(norm, 2) OVER w AS n2, lag(turn, 2) OVER w AS t2 FROM ({_USER_TURNS}) WHERE norm <> '' WINDOW w AS (PARTITION BY conv_id ORDER BY turn))""")(
+    lambda s, d: conversations.windows(table(s, d, "conversations").where("role = 'user'").withColumn("at", F.timestamp_seconds(F.col("turn") * 600)), ttl=1800, ts="at").select("conv_id", "turn", F.col("window").alias("window_text"))
+)
+query("conversation_cap", "SELECT conv_id, turn, count(*) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 63 PRECEDING AND CURRENT ROW) AS n_turns FROM (SELECT CAST(o_orderkey % 10 AS VARCHAR) AS conv_id, o_orderkey AS turn FROM orders)")(
+    lambda s, d: conversations.windows(table(s, d, "orders").select((F.col("o_orderkey") % 10).cast("string").alias("conv_id"), F.col("o_orderkey").alias("turn"), F.lit("word").alias("text")), n=500).select("conv_id", "turn", F.size(F.split("window", " ")).cast("long").alias("n_turns"))
+)
+query("json_whole_texts", "SELECT doc_id, CAST(NULL AS VARCHAR) AS path, CAST(NULL AS VARCHAR) AS key, coalesce(text, '') AS value, 0 AS value_start, CAST(length(coalesce(text, '')) AS INT) AS value_end FROM documents")(
+    lambda s, d: structured.extract_fields(texts(s, d, "documents"), text="text").withColumnRenamed("id", "doc_id")
+)
+query("han_runs", "SELECT o_orderkey AS doc_id, CAST(12 + o_orderkey % 9 AS BIGINT) AS n, 3 AS start_at, CAST(3 + 12 + o_orderkey % 9 AS INT) AS end_at FROM orders")(
+    lambda s, d: mnemonics.runs(_han_texts(s, d), han_wordlist(s), "chinese", least=12).select(F.col("id").alias("doc_id"), "n", F.get("words", F.lit(0))["start"].alias("start_at"), F.get("words", F.size("words") - 1)["end"].alias("end_at"))
+)
+query("mnemonic_languages", f"SELECT doc_id, start_at, end_at, risk_level FROM ({mnemonic_sql(source_sql('planted_mixed'))})")(
+    lambda s, d: mnemonics.mnemonics(texts(s, d, "planted_mixed"), syllable_wordlist(s).unionByName(han_wordlist(s)), ("english", "chinese")).select(F.col("id").alias("doc_id"), F.col("start").alias("start_at"), F.col("end").alias("end_at"), "risk_level")
+)
 query("cross_turn_block", f"""WITH t AS ({planted_sql("planted_turns")}), k AS (SELECT conv_id, count(DISTINCT turn) FILTER (turn <= 3) AS parts FROM t GROUP BY conv_id)
     SELECT conv_id, turn, (turn = 3 AND parts = 3 AND sha256(conv_id) BETWEEN '{crypto.SECP256K1_FIRST}' AND '{crypto.SECP256K1_LAST}') AS blocked, CASE WHEN turn = 3 AND parts = 3 THEN 'PRIVATE_KEY_HEX' ELSE '' END AS entities FROM t JOIN k USING (conv_id)""")(
     lambda s, d: conversations.cross_turn(planted(s, d, "planted_turns")).select("conv_id", "turn", "blocked", F.array_join("critical_entities", ",").alias("entities"))
@@ -359,5 +464,5 @@ query("provider_thresholds", "SELECT c_custkey, name, CAST(score AS DOUBLE) AS s
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: decisions and sanitised texts for all documents."""
-    out = inspection.inspect(texts(spark, sf_dir, "documents"), pepper=PEPPER)
+    out = _decisions(spark, sf_dir, "documents")
     return out.select("doc_id", "action", F.size("findings").alias("n_findings"), "sanitized_text")

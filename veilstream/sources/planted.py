@@ -52,12 +52,33 @@ RELATIONS = {
         WHEN 2 THEN concat('{"type":"PaymentSigningKeyShelley_ed25519","description":"', s_name, '","cborHex":"5820"}')
         WHEN 3 THEN concat('solana [', repeat(concat(CAST(s_suppkey % 300 AS VARCHAR(20)), ', '), 63), '7] id.json')
         ELSE concat('-----BEGIN PUBLIC KEY----- ', s_name) END AS text FROM supplier""",
+    # keys, credentials, personal data and addresses in one text
+    "planted_mixed": """SELECT c_custkey AS doc_id, CASE c_custkey % 9
+        WHEN 0 THEN concat('private key: 0x', {sha:CAST(c_custkey AS VARCHAR(20))}, ' call 13800000000')
+        WHEN 1 THEN concat('value ', {sha:CAST(c_custkey AS VARCHAR(20))}, ' end, mail user', CAST(c_custkey AS VARCHAR(20)), '@example.com')
+        WHEN 2 THEN concat('password = pw', CAST(c_custkey AS VARCHAR(20)), ' -----BEGIN PRIVATE KEY----- x -----END PRIVATE KEY-----')
+        WHEN 3 THEN concat('mail a@example.com, seed phrase: ', {phrase}, ' .')
+        WHEN 4 THEN concat('pay 0x', substr({sha:CAST(c_custkey AS VARCHAR(20))}, 1, 40), ' or call 13912345678!')
+        WHEN 5 THEN concat('use sk-proj_', substr({sha:CAST(c_custkey AS VARCHAR(20))}, 1, 20), 'T3BlbkFJ', substr({sha:CAST(c_custkey AS VARCHAR(20))}, 21, 20), ' now, mail b@example.com')
+        WHEN 6 THEN concat('bearer eyJ', substr({sha:CAST(c_custkey AS VARCHAR(20))}, 1, 20), '.eyJ', substr({sha:CAST(c_custkey AS VARCHAR(20))}, 21, 20), '.', substr({sha:CAST(c_custkey AS VARCHAR(20))}, 41, 20), ' from 13800138000')
+        WHEN 7 THEN concat('maps AIza', substr({sha:CAST(c_custkey AS VARCHAR(20))}, 1, 35), ' and tx 0x', {sha:c_name}, ' tx_hash')
+        ELSE concat('words ', {phrase}, ' only, ', c_name) END AS text FROM customer""",
+    # seeds with derivation junctions
+    "planted_uri": """SELECT c_custkey AS doc_id, CASE c_custkey % 4
+        WHEN 0 THEN concat('use 0x', {sha:CAST(c_custkey AS VARCHAR(20))}, '//hard/soft', CAST(c_custkey AS VARCHAR(20)), ' now')
+        WHEN 1 THEN concat('0x', {sha:CAST(c_custkey AS VARCHAR(20))}, '/soft///pass', CAST(c_custkey AS VARCHAR(20)))
+        WHEN 2 THEN concat('bare 0x', {sha:CAST(c_custkey AS VARCHAR(20))}, ' only')
+        ELSE concat('z0x', {sha:CAST(c_custkey AS VARCHAR(20))}, '//hard') END AS text FROM customer""",
 }
-TABLES = {"planted_hex": "orders", "planted_address": "customer", "planted_pii": "customer", "planted_cred": "supplier", "planted_turns": "lineitem", "planted_json": "part", "planted_files": "supplier"}
+#: A phrase of 12 words of the syllable list, by the key of a customer.
+_K = "((c_custkey * 7919 + {i} * {i} * 131 + {i} * 17) % 2048)"
+_W = "substr('bcdfghjklmnpqrst', CAST(floor({k} / 128) AS INT) + 1, 1), substr('aeio', CAST(floor({k} / 32) % 4 AS INT) + 1, 1), substr('bdfgklmn', CAST(floor({k} / 4) % 8 AS INT) + 1, 1), substr('aeio', CAST({k} % 4 AS INT) + 1, 1)"
+PHRASE = "concat(" + ", ' ', ".join(_W.replace("{k}", _K.replace("{i}", str(i))) for i in range(12)) + ")"
+TABLES = {"planted_mixed": "customer", "planted_uri": "customer", "planted_hex": "orders", "planted_address": "customer", "planted_pii": "customer", "planted_cred": "supplier", "planted_turns": "lineitem", "planted_json": "part", "planted_files": "supplier"}
 
 
 def _filled(name: str, sha: str) -> str:
-    out = RELATIONS[name]
+    out = RELATIONS[name].replace("{phrase}", PHRASE)
     while "{sha:" in out:
         start = out.index("{sha:")
         end = out.index("}", start)
@@ -65,11 +86,40 @@ def _filled(name: str, sha: str) -> str:
     return out
 
 
+def _stellar_sql(source: str, spark: bool) -> str:
+    """(doc_id, seed, text): seeds of 32 bytes with version and CRC16, whole, with other last letters, in small letters."""
+    xor = (lambda *x: "(" + " ^ ".join(x) + ")") if spark else (lambda x, *more: f"xor({x}, {xor(*more)})" if more else x)
+    left = (lambda x, n: f"shiftleft({x}, {n})") if spark else (lambda x, n: f"(({x}) << {n})")
+    right = (lambda x, n: f"shiftright({x}, {n})") if spark else (lambda x, n: f"(({x}) >> {n})")
+    each = (lambda n, of: f"transform(sequence(0, {n - 1}), i -> {of})") if spark else (lambda n, of: f"[{of} FOR i IN range({n})]")
+    glue = (lambda x: f"array_join({x}, '')") if spark else (lambda x: f"array_to_string({x}, '')")
+    items = (lambda x: f"array({x})") if spark else (lambda x: f"[{x}]")
+    byte = "cast(conv(substr(h, 2 * i + 1, 2), 16, 10) as int)" if spark else "CAST(('0x' || substr(h, CAST(2 * i + 1 AS INT), 2)) AS INT)"
+    five = "cast(conv(substr(bits, 5 * i + 1, 5), 2, 10) as int)" if spark else "list_sum([CAST(bits[5 * i + 1 + j] AS INT) * CAST(2 ** (4 - j) AS INT) FOR j IN range(5)])"
+    mixed = xor(right("a", 8), "b")
+    y = xor(mixed, right(mixed, 4))
+    step = f"({xor(left('a', 8), left(y, 12), left(y, 5), y)} & 65535)"
+    crc = f"aggregate(body, 0, (a, b) -> {step})" if spark else f"list_reduce(list_concat([0], body), lambda a, b: {step})"
+    many = "concat" if spark else "list_concat"
+    bits = "lpad(bin(bytes[i]), 8, '0')" if spark else "lpad(bin(bytes[i + 1]), 8, '0')"
+    sha = ("sha2({}, 256)" if spark else "sha256({})").format("CAST(s_suppkey AS VARCHAR(20))")
+    return f"""SELECT doc_id, seed, CASE doc_id % 4 WHEN 0 THEN concat('seed ', seed, ' end') WHEN 1 THEN concat('seed ', substr(seed, 1, 54), 'AB end') WHEN 2 THEN concat('seed ', lower(seed)) ELSE 'no seed' END AS text FROM (
+        SELECT doc_id, {glue(each(56, f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST({five} + 1 AS INT), 1)"))} AS seed FROM (
+        SELECT doc_id, {glue(each(35, bits))} AS bits FROM (
+        SELECT doc_id, {many}(body, {items(f"crc & 255, {right('crc', 8)}")}) AS bytes FROM (
+        SELECT doc_id, body, {crc} AS crc FROM (
+        SELECT doc_id, {many}({items("144")}, {each(32, byte)}) AS body FROM (SELECT s_suppkey AS doc_id, {sha} AS h FROM {source}))))))"""
+
+
 def planted(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    if name == "planted_stellar":
+        return spark.sql(_stellar_sql(f"parquet.`{sf_dir}/supplier.parquet`", True))
     source = TABLES[name]
     sql = _filled(name, "sha2({}, 256)").replace(f" FROM {source}", f" FROM parquet.`{sf_dir}/{source}.parquet`")
     return spark.sql(sql)
 
 
 def planted_sql(name: str) -> str:
+    if name == "planted_stellar":
+        return _stellar_sql("supplier", False)
     return _filled(name, "sha256({})")

@@ -19,3 +19,9 @@ def syllable_wordlist(spark: SparkSession, lang: str = "english") -> DataFrame:
     first = F.expr("concat(substring('bcdfghjklmnpqrst', cast(floor(id / 128) as int) + 1, 1), substring('aeio', cast(floor(id / 32) % 4 as int) + 1, 1))")
     second = F.expr("concat(substring('bdfgklmn', cast(floor(id / 4) % 8 as int) + 1, 1), substring('aeio', cast(id % 4 as int) + 1, 1))")
     return spark.range(2048).select(F.lit(lang).alias("lang"), F.concat(first, second).alias("word"), F.col("id").cast("int").alias("idx"))
+
+
+def han_wordlist(spark: SparkSession, lang: str = "chinese") -> DataFrame:
+    """A list of 2,048 characters in a row, from the first Han one, for tests and planted texts."""
+    sign = F.decode(F.unhex(F.hex((F.col("id") + 0x4E00).cast("int"))), "UTF-16BE")
+    return spark.range(2048).select(F.lit(lang).alias("lang"), sign.alias("word"), F.col("id").cast("int").alias("idx"))
