@@ -52,16 +52,16 @@ RELATIONS = {
         WHEN 2 THEN concat('{"type":"PaymentSigningKeyShelley_ed25519","description":"', s_name, '","cborHex":"5820"}')
         WHEN 3 THEN concat('solana [', repeat(concat(CAST(s_suppkey % 300 AS VARCHAR(20)), ', '), 63), '7] id.json')
         ELSE concat('-----BEGIN PUBLIC KEY----- ', s_name) END AS text FROM supplier""",
-    # keys, credentials, personal data and addresses in one text
+    # keys, credentials, personal data and addresses in one text; letters only in the hex, so that no number stands in a key by chance
     "planted_mixed": """SELECT c_custkey AS doc_id, CASE c_custkey % 9
-        WHEN 0 THEN concat('private key: 0x', {sha:CAST(c_custkey AS VARCHAR(20))}, ' call 13800000000')
-        WHEN 1 THEN concat('value ', {sha:CAST(c_custkey AS VARCHAR(20))}, ' end, mail user', CAST(c_custkey AS VARCHAR(20)), '@example.com')
+        WHEN 0 THEN concat('private key: 0x', translate({sha:CAST(c_custkey AS VARCHAR(20))}, '0123456789', 'abcdefabcd'), ' call 13800000000')
+        WHEN 1 THEN concat('value ', translate({sha:CAST(c_custkey AS VARCHAR(20))}, '0123456789', 'abcdefabcd'), ' end, mail user', CAST(c_custkey AS VARCHAR(20)), '@example.com')
         WHEN 2 THEN concat('password = pw', CAST(c_custkey AS VARCHAR(20)), ' -----BEGIN PRIVATE KEY----- x -----END PRIVATE KEY-----')
         WHEN 3 THEN concat('mail a@example.com, seed phrase: ', {phrase}, ' .')
-        WHEN 4 THEN concat('pay 0x', substr({sha:CAST(c_custkey AS VARCHAR(20))}, 1, 40), ' or call 13912345678!')
-        WHEN 5 THEN concat('use sk-proj_', substr({sha:CAST(c_custkey AS VARCHAR(20))}, 1, 20), 'T3BlbkFJ', substr({sha:CAST(c_custkey AS VARCHAR(20))}, 21, 20), ' now, mail b@example.com')
-        WHEN 6 THEN concat('bearer eyJ', substr({sha:CAST(c_custkey AS VARCHAR(20))}, 1, 20), '.eyJ', substr({sha:CAST(c_custkey AS VARCHAR(20))}, 21, 20), '.', substr({sha:CAST(c_custkey AS VARCHAR(20))}, 41, 20), ' from 13800138000')
-        WHEN 7 THEN concat('maps AIza', substr({sha:CAST(c_custkey AS VARCHAR(20))}, 1, 35), ' and tx 0x', {sha:c_name}, ' tx_hash')
+        WHEN 4 THEN concat('pay 0x', substr(translate({sha:CAST(c_custkey AS VARCHAR(20))}, '0123456789', 'abcdefabcd'), 1, 40), ' or call 13912345678!')
+        WHEN 5 THEN concat('use sk-proj_', substr(translate({sha:CAST(c_custkey AS VARCHAR(20))}, '0123456789', 'abcdefabcd'), 1, 20), 'T3BlbkFJ', substr(translate({sha:CAST(c_custkey AS VARCHAR(20))}, '0123456789', 'abcdefabcd'), 21, 20), ' now, mail b@example.com')
+        WHEN 6 THEN concat('bearer eyJ', substr(translate({sha:CAST(c_custkey AS VARCHAR(20))}, '0123456789', 'abcdefabcd'), 1, 20), '.eyJ', substr(translate({sha:CAST(c_custkey AS VARCHAR(20))}, '0123456789', 'abcdefabcd'), 21, 20), '.', substr(translate({sha:CAST(c_custkey AS VARCHAR(20))}, '0123456789', 'abcdefabcd'), 41, 20), ' from 13800138000')
+        WHEN 7 THEN concat('maps AIza', substr(translate({sha:CAST(c_custkey AS VARCHAR(20))}, '0123456789', 'abcdefabcd'), 1, 35), ' and tx 0x', translate({sha:c_name}, '0123456789', 'abcdefabcd'), ' tx_hash')
         ELSE concat('words ', {phrase}, ' only, ', c_name) END AS text FROM customer""",
     # seeds with derivation junctions
     "planted_uri": """SELECT c_custkey AS doc_id, CASE c_custkey % 4
