@@ -228,12 +228,12 @@ def _captured(text: Column, pattern: str, gate: Column | None = None) -> Column:
     return F.transform(regex_spans(text, pattern, gate), lambda s: F.struct((s["end"] - F.length(value(s))).alias("start"), s["end"].alias("end"), value(s).alias("value")))
 
 
-def credentials(text: Column, named: Column | None = None, password: Column | None = None) -> Column:
+def credentials(text: Column, named: Column | None = None, password: Column | None = None, entropy: float = MIN_ENTROPY) -> Column:
     def format_of(rule: str, entity: str, sure: float, needs: str, pattern: str) -> Column:
         return F.transform(regex_spans(text, pattern, F.contains(text, F.lit(needs))), lambda s: finding(s, entity, "HIGH", sure, rule, "credential format"))
 
     parts = [format_of(*c) for c in CREDENTIALS]
-    parts.append(_kept(_captured(text, GENERIC_SECRET, named), lambda s: crypto.shannon(s["value"]) >= MIN_ENTROPY, lambda s: finding(s, "API_KEY", "HIGH", 0.6, "credential-generic", "named secret of high entropy")))
+    parts.append(_kept(_captured(text, GENERIC_SECRET, named), lambda s: crypto.shannon(s["value"]) >= entropy, lambda s: finding(s, "API_KEY", "HIGH", 0.6, "credential-generic", "named secret of high entropy")))
     parts.append(F.transform(_captured(text, PASSWORD, password), lambda s: finding(s, "PASSWORD", "HIGH", 0.9, "credential-password", "named password")))
     return F.concat(*parts)
 

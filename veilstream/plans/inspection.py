@@ -18,6 +18,12 @@ from . import policy as P
 BLOCKED = "[GUARD_BLOCKED: sensitive content removed]"
 MESSAGE = "The content holds sensitive information and was blocked."
 SCANNERS = ("secret", "address", "credential", "pii", "injection")
+#: The column of a text's request, and the type of findings that carry a fingerprint.
+CONTEXT = "veil_context"
+CONTEXT_TYPE = "struct<source:string,trace_id:string,conversation_id:string,user_id:string,node_type:string,attributes:map<string,string>>"
+WITH_FINGERPRINTS = FINDINGS.removesuffix(">>") + ",fingerprint:string>>"
+#: Fixed value: the fields of a log line and their order.
+LINE = "guard-event direction=%s source=%s entityType=%s riskLevel=%s action=%s ruleId=%s fingerprint=%s spanCount=%s elapsedMs=%s traceId=%s conversationId=%s userId=%s"
 
 
 def pii_subtype(rule: Column) -> Column:
@@ -52,7 +58,15 @@ def with_fingerprints(text: Column, found: Column, key: str) -> Column:
     return F.transform(found, lambda x: x.withField("fingerprint", crypto.fingerprint(clipped(text, x["start"], x["end"]), key)))
 
 
-def detect(df: DataFrame, text: str = "text", wordlist: DataFrame | None = None, id_col: str = "doc_id", context_required: bool = False) -> DataFrame:
+def with_context(df: DataFrame, source: Column | None = None, trace_id: Column | None = None, conversation_id: Column | None = None, user_id: Column | None = None, node_type: Column | None = None, attributes: Column | None = None) -> DataFrame:
+    """df with the request that each text belongs to, for its audit events; what isn't given is null, attributes are empty."""
+    given = {"source": source, "trace_id": trace_id, "conversation_id": conversation_id, "user_id": user_id, "node_type": node_type}
+    parts = [(F.lit(None) if c is None else c).cast("string").alias(name) for name, c in given.items()]
+    empty = F.create_map().cast("map<string,string>")
+    return df.withColumn(CONTEXT, F.struct(*parts, (empty if attributes is None else F.coalesce(attributes, empty)).alias("attributes")))
+
+
+def detect(df: DataFrame, text: str = "text", wordlist: DataFrame | None = None, id_col: str = "doc_id", context_required: bool = False, languages: tuple = ("english",), check_checksum: bool = True) -> DataFrame:
     """Adds `secrets`: findings of the key rules, in the rules' order."""
     t = F.coalesce(F.col(text), F.lit(""))
     gated = "_gates" in df.columns
@@ -63,7 +77,7 @@ def detect(df: DataFrame, text: str = "text", wordlist: DataFrame | None = None,
     codec = {rule: R.codec_matches(F.col("_candidates"), F.col("_verdicts"), rule) for rule in R.CODEC_RULES}
     first = no_findings()
     if wordlist is not None:
-        df = df.join(M.mnemonic_findings(df, wordlist, id_col=id_col, text=text).withColumnRenamed("id", "_mid"), F.col(id_col) == F.col("_mid"), "left").drop("_mid")
+        df = df.join(M.mnemonic_findings(df, wordlist, id_col=id_col, text=text, languages=languages, check_checksum=check_checksum).withColumnRenamed("id", "_mid"), F.col(id_col) == F.col("_mid"), "left").drop("_mid")
         first = F.coalesce(F.col("mnemonics").cast(FINDINGS), no_findings())
     found = F.concat(
         first, R.evm_private_key(t, context_required, key), codec["bitcoin-wif"], codec["extended-key"], R.solana_keypair(t), codec["sui-privkey"],
@@ -73,46 +87,61 @@ def detect(df: DataFrame, text: str = "text", wordlist: DataFrame | None = None,
     return df.drop("mnemonics") if wordlist is not None else df
 
 
-def scan(df: DataFrame, text: str = "text", scanners: tuple = SCANNERS, extra: list[Column] | None = None) -> DataFrame:
+def scan(df: DataFrame, text: str = "text", scanners: tuple = SCANNERS, extra: list[Column] | None = None, entropy: float = R.MIN_ENTROPY) -> DataFrame:
     """Adds `found`: findings of all scanners, in their order. Needs `secrets`. A scanner that isn't listed leaves the plan."""
     t = F.coalesce(F.col(text), F.lit(""))
     gated = "_gates" in df.columns
     df = df if gated else df.withColumn("_gates", R.gates(t))
     gate = F.col("_gates")
-    made = {"secret": lambda: F.col("secrets"), "address": lambda: R.addresses(t, gate["run"]), "credential": lambda: R.credentials(t, gate["named"], gate["password"]), "pii": lambda: R.pii(t, gate["digits"]), "injection": lambda: R.prompt_injection(t)}
+    made = {"secret": lambda: F.col("secrets"), "address": lambda: R.addresses(t, gate["run"]), "credential": lambda: R.credentials(t, gate["named"], gate["password"], entropy), "pii": lambda: R.pii(t, gate["digits"]), "injection": lambda: R.prompt_injection(t)}
     parts = [made[s]() for s in SCANNERS if s in scanners] + list(extra or [])
     df = df.withColumn("found", F.concat(*parts).cast(FINDINGS) if parts else no_findings())
     return df if gated else df.drop("_gates")
 
 
-def inspect(df: DataFrame, id_col: str = "doc_id", text: str = "text", direction: str | Column = "USER_INPUT", scanners: tuple = SCANNERS, policy: DataFrame | None = None, fallback: str = P.FALLBACK, pepper: str | None = None, wordlist: DataFrame | None = None, extra: list[Column] | None = None) -> DataFrame:
+def inspect(df: DataFrame, id_col: str = "doc_id", text: str = "text", direction: str | Column = "USER_INPUT", scanners: tuple = SCANNERS, policy: DataFrame | None = None, fallback: str = P.FALLBACK, pepper: str | None = None, wordlist: DataFrame | None = None, extra: list[Column] | None = None, max_chars: int = 0, keys: bool = True, entropy: float = R.MIN_ENTROPY, **rules) -> DataFrame:
     """df with action, sanitized_text, findings (with fingerprints), user_message and blocked.
 
     A null or empty text is allowed as it is. A text with a certain private key is blocked at once: its findings are
     those of the key rules, merged across types. Any other text is scanned by all scanners; findings are merged
-    within their type and decide the action together, and a masked text has all of them masked.
+    within their type and decide the action together, and a masked text has all of them masked. Whole texts are
+    searched; with max_chars, a limit to opt into, only their first characters. keys: whether key rules run at all.
+    rules: options of `detect`.
     """
     key = pepper or crypto.pepper()
     where = direction if isinstance(direction, Column) else F.lit(direction)
     t = F.coalesce(F.col(text), F.lit(""))
     # what a text holds at all is found once, for all rules
-    df = df.withColumns({"_direction": where, "_gates": R.gates(t)})
-    df = scan(detect(df, text, wordlist, id_col), text, scanners, extra)
+    seen = text
+    if max_chars > 0:
+        seen, df = "_seen", df.withColumn("_seen", F.substring(t, 1, max_chars))
+    df = df.withColumns({"_direction": where, "_gates": R.gates(F.coalesce(F.col(seen), F.lit("")))})
+    df = detect(df, seen, wordlist, id_col, **rules) if keys else df.withColumn("secrets", no_findings())
+    df = scan(df, seen, scanners, extra, entropy)
     df = df.withColumn("_critical", F.exists("secrets", lambda x: x["risk_level"] == "CRITICAL"))
     df = df.withColumn("_merged", F.when(F.col("_critical"), merge(F.col("secrets"))).otherwise(merge_within_type(F.col("found"))))
     act = P.decider(policy, fallback)
     df = df.withColumn("action", F.when(F.col("_critical"), "BLOCK").otherwise(P.strictest(F.transform("_merged", lambda x: act(x["entity_type"], F.col("_direction"), x["risk_level"])))))
     sanitized = F.when(F.col("action") == "BLOCK", BLOCKED).when(F.col("action") == "ALLOW", F.col(text)).otherwise(mask(t, F.col("_merged"), key))
     df = df.withColumns({"sanitized_text": sanitized, "findings": with_fingerprints(t, F.col("_merged"), key), "user_message": F.when(F.col("action") == "BLOCK", MESSAGE), "blocked": F.col("action") == "BLOCK", "direction": F.col("_direction")})
-    return df.drop("secrets", "found", "_critical", "_merged", "_direction", "_gates")
+    return df.drop("secrets", "found", "_critical", "_merged", "_direction", "_gates", "_seen")
 
 
 def audit_events(decisions: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """One event for each finding of a decision; it never holds the text. Every event carries the decision's action."""
-    rows = decisions.select(F.col(id_col).alias("doc_id"), "direction", "action", F.size("findings").cast("long").alias("span_count"), F.posexplode("findings").alias("seq", "f"))
-    return rows.select("doc_id", "seq", "direction", "action", "span_count", "f.entity_type", "f.risk_level", "f.confidence", "f.rule_id", "f.fingerprint", (F.col("f.end") - F.col("f.start")).alias("span_length"))
+    """One event for each finding of a decision; it never holds the text. Every event carries the decision's action.
+
+    The request's fields are those of `with_context`, else null. elapsed_ms is null: rows of a plan have no time of
+    their own. metadata_json is null too, a place for what a sink adds.
+    """
+    context = F.col(CONTEXT) if CONTEXT in decisions.columns else F.lit(None).cast(CONTEXT_TYPE)
+    rows = decisions.select(F.col(id_col).alias("doc_id"), "direction", "action", context.alias("c"), F.size("findings").cast("long").alias("span_count"), F.posexplode("findings").alias("seq", "f"))
+    return rows.select(
+        "doc_id", "seq", "direction", "c.source", "f.entity_type", "f.risk_level", "f.confidence", "action", "f.rule_id", "f.fingerprint", "span_count", F.lit(None).cast("long").alias("elapsed_ms"),
+        "c.trace_id", "c.conversation_id", "c.user_id", F.lit(None).cast("string").alias("metadata_json"), (F.col("f.end") - F.col("f.start")).alias("span_length"),
+    )
 
 
 def audit_lines(events: DataFrame) -> DataFrame:
-    """Events as log lines."""
-    return events.select("doc_id", "seq", F.format_string("guard event direction=%s action=%s entity=%s risk=%s rule=%s fingerprint=%s spans=%d", "direction", "action", "entity_type", "risk_level", "rule_id", "fingerprint", "span_count").alias("line"))
+    """Events as log lines; what is null reads null."""
+    said = ["direction", "source", "entity_type", "risk_level", "action", "rule_id", "fingerprint", "span_count", "elapsed_ms", "trace_id", "conversation_id", "user_id"]
+    return events.select("doc_id", "seq", F.format_string(LINE, *(F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in said)).alias("line"))

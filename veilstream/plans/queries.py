@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from ..functions import codecs, crypto, spans
 from ..operators import conversations, mnemonics, structured
 from ..operators import rules as R
-from ..sources import providers
+from ..sources import providers, settings
 from ..sources.planted import planted, planted_sql
 from ..sources.tables import spread, table
 from ..sources.wordlists import han_wordlist, syllable_wordlist
-from . import inspection, policy
+from . import configured, inspection, policy
 
 PEPPER = "query-pepper"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -307,15 +307,15 @@ def secrets_sql(src: str) -> str:
     return " UNION ALL ".join(f"SELECT * FROM ({rule(src)})" for rule in (mnemonic_sql, hex_sql, solana_sql, substrate_sql, cardano_sql, keystore_sql, pem_sql))
 
 
-def all_sql(src: str) -> str:
+def all_sql(src: str, rest: str | None = None) -> str:
     """Findings that a decision rests on: a text with a certain key is searched no further."""
-    return f"""WITH sec AS MATERIALIZED ({secrets_sql(src)}), rest AS MATERIALIZED ({found_sql(src)})
+    return f"""WITH sec AS MATERIALIZED ({secrets_sql(src)}), rest AS MATERIALIZED ({rest or found_sql(src)})
         SELECT * FROM sec UNION ALL SELECT * FROM rest WHERE doc_id NOT IN (SELECT doc_id FROM sec WHERE risk_level = 'CRITICAL')"""
 
 
-def decisions_sql(src: str, direction: str = "USER_INPUT", values: str | None = None) -> str:
+def decisions_sql(src: str, direction: str = "USER_INPUT", values: str | None = None, rest: str | None = None) -> str:
     act = f"CASE WHEN risk_level = 'CRITICAL' AND entity_type IN ({', '.join(repr(k) for k in policy.KEYS)}) THEN 'BLOCK' ELSE coalesce(p.action, 'MASK') END"
-    return f"""WITH f AS MATERIALIZED ({all_sql(src)}), a AS (SELECT doc_id, {act} AS action FROM f LEFT JOIN (VALUES {values or _POLICY_VALUES}) AS p(pe, pd, action) ON pe = entity_type AND pd = '{direction}')
+    return f"""WITH f AS MATERIALIZED ({all_sql(src, rest)}), a AS (SELECT doc_id, {act} AS action FROM f LEFT JOIN (VALUES {values or _POLICY_VALUES}) AS p(pe, pd, action) ON pe = entity_type AND pd = '{direction}')
         SELECT d.doc_id, coalesce(arg_max(a.action, {_SEVERITY.replace("action", "a.action")}), 'ALLOW') AS action, count(a.doc_id) AS n_findings FROM ({src}) d LEFT JOIN a ON a.doc_id = d.doc_id GROUP BY d.doc_id"""
 
 
@@ -343,9 +343,21 @@ for _name in ("documents", "pages", "planted_cred", "planted_pii", "planted_mixe
     query(f"inspect_{_name}", decisions_sql(source_sql(_name)))(lambda s, d, name=_name: _decisions(s, d, name).select("doc_id", "action", F.size("findings").cast("long").alias("n_findings")))
 
 query("inspect_sanitized", f"SELECT doc_id, CASE action WHEN 'BLOCK' THEN '{inspection.BLOCKED}' ELSE text END AS sanitized_text, action = 'BLOCK' AS blocked FROM ({decisions_sql(source_sql('planted_cred'))}) JOIN ({source_sql('planted_cred')}) USING (doc_id)")(lambda s, d: _decisions(s, d, "planted_cred").select("doc_id", "sanitized_text", "blocked"))
-_EVENTS = f"SELECT f.doc_id, entity_type, rule_id, risk_level, 'USER_INPUT' AS direction, action, n_findings AS span_count, CAST(end_at - start_at AS INT) AS span_length, substr({hmac_sql('substr(text, start_at + 1, end_at - start_at)')}, 1, 8) AS fingerprint FROM ({all_sql(source_sql('documents'))}) f JOIN ({decisions_sql(source_sql('documents'))}) x ON f.doc_id = x.doc_id JOIN documents d ON d.doc_id = f.doc_id"
-query("audit_events", _EVENTS)(lambda s, d: inspection.audit_events(_decisions(s, d, "documents")).select("doc_id", "entity_type", "rule_id", "risk_level", "direction", "action", "span_count", "span_length", "fingerprint"))
-query("audit_lines", f"WITH ev AS MATERIALIZED ({_EVENTS}) SELECT doc_id, 'guard event direction=' || direction || ' action=' || action || ' entity=' || entity_type || ' risk=' || risk_level || ' rule=' || rule_id || ' fingerprint=' || fingerprint || ' spans=' || span_count AS line FROM ev")(lambda s, d: inspection.audit_lines(inspection.audit_events(_decisions(s, d, "documents"))).select("doc_id", "line"))
+_EVENTS = f"SELECT f.doc_id, entity_type, rule_id, risk_level, confidence, 'USER_INPUT' AS direction, source, CAST(NULL AS BIGINT) AS elapsed_ms, 'trace-' || d.doc_id AS trace_id, CAST(d.doc_id % 97 AS VARCHAR) AS conversation_id, CASE WHEN d.doc_id % 3 > 0 THEN 'user-' || d.doc_id % 3 END AS user_id, CAST(NULL AS VARCHAR) AS metadata_json, action, n_findings AS span_count, CAST(end_at - start_at AS INT) AS span_length, substr({hmac_sql('substr(text, start_at + 1, end_at - start_at)')}, 1, 8) AS fingerprint FROM ({all_sql(source_sql('documents'))}) f JOIN ({decisions_sql(source_sql('documents'))}) x ON f.doc_id = x.doc_id JOIN documents d ON d.doc_id = f.doc_id"
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of all documents, each text the request of a user and a conversation made from its id."""
+    rows = texts(spark, sf_dir, "documents", "source")
+    user = F.when(F.col("doc_id") % 3 > 0, F.concat(F.lit("user-"), (F.col("doc_id") % 3).cast("string")))
+    rows = inspection.with_context(rows, F.col("source"), F.concat(F.lit("trace-"), F.col("doc_id").cast("string")), F.col("doc_id") % 97, user)
+    return inspection.audit_events(inspection.inspect(rows, pepper=PEPPER, wordlist=syllable_wordlist(spark)))
+
+
+query("audit_events", _EVENTS)(lambda s, d: _events(s, d).drop("seq"))
+_LINE_SQL = " || ".join(f"' {name}=' || coalesce(CAST({column} AS VARCHAR), 'null')" for name, column in (("direction", "direction"), ("source", "source"), ("entityType", "entity_type"), ("riskLevel", "risk_level"), ("action", "action"), ("ruleId", "rule_id"), ("fingerprint", "fingerprint"), ("spanCount", "span_count"), ("elapsedMs", "elapsed_ms"), ("traceId", "trace_id"), ("conversationId", "conversation_id"), ("userId", "user_id")))
+query("audit_lines", f"WITH ev AS MATERIALIZED ({_EVENTS}) SELECT doc_id, 'guard-event' || {_LINE_SQL} AS line FROM ev")(lambda s, d: inspection.audit_lines(_events(s, d)).select("doc_id", "line"))
+
 query("mask_persisted", masked_sql(source_sql("planted_mixed"), decisions_sql(source_sql("planted_mixed"), "TRACE_PERSIST")))(lambda s, d: _decisions(s, d, "planted_mixed", direction="TRACE_PERSIST").select("doc_id", "action", "sanitized_text"))
 #: A policy of one's own: uncertain keys are masked, addresses reviewed; what it doesn't name falls back.
 _OWN = [("PRIVATE_KEY_HEX", "USER_INPUT", "MASK"), ("ADDRESS", "USER_INPUT", "REVIEW"), ("PII", "USER_INPUT", "ALLOW")]
@@ -356,6 +368,30 @@ query("own_policy", masked_sql(source_sql("planted_mixed"), _OWN_SQL))(
 query("mixed_findings", all_sql(source_sql("planted_mixed")))(
     lambda s, d: _decisions(s, d, "planted_mixed").select("doc_id", F.explode("findings").alias("f")).select("doc_id", "f.rule_id", "f.entity_type", "f.risk_level", "f.confidence", F.col("f.start").alias("start_at"), F.col("f.end").alias("end_at"))
 )
+#: Without personal data; windows of 2 turns.
+_SETTINGS = settings.from_mapping({"pii": {"enabled": False}, "secret": {"hex-context-required": "false"}, "window": {"turns": "2"}})
+query("settings_inspect", decisions_sql(source_sql("planted_mixed"), rest=f"SELECT * FROM ({credentials_sql(source_sql('planted_mixed'))}) UNION ALL SELECT * FROM ({address_sql(source_sql('planted_mixed'))})"))(
+    lambda s, d: configured.inspect(texts(s, d, "planted_mixed"), _SETTINGS, wordlist=syllable_wordlist(s), pepper=PEPPER).select("doc_id", "action", F.size("findings").cast("long").alias("n_findings"))
+)
+_LIMIT = 40
+query("scan_limit", decisions_sql(f"SELECT doc_id, substr(text, 1, {_LIMIT}) AS text FROM ({source_sql('planted_pii')})"))(lambda s, d: _decisions(s, d, "planted_pii", max_chars=_LIMIT).select("doc_id", "action", F.size("findings").cast("long").alias("n_findings")))
+#: Types that a case expects, by the case's kind; where it expects none, nothing may be found.
+_EXPECTED = {0: ["PRIVATE_KEY_HEX"], 1: ["PRIVATE_KEY_HEX", "PII"], 2: ["PEM_PRIVATE_KEY"], 3: ["MNEMONIC"], 4: ["ADDRESS", "PII"], 5: ["API_KEY"], 6: ["JWT"], 7: ["TX_HASH"], 8: []}
+_EXPECTED_SQL = f"CASE doc_id % 9 {' '.join(f'WHEN {k} THEN {v}' for k, v in _EXPECTED.items() if v)} ELSE CAST([] AS VARCHAR[]) END"
+query("acceptance_types", f"""WITH f AS MATERIALIZED (SELECT doc_id, list(DISTINCT entity_type) AS found FROM ({all_sql(source_sql('planted_mixed'))}) GROUP BY doc_id),
+    c AS (SELECT doc_id % 9 AS kind, {_EXPECTED_SQL} AS expected, coalesce(found, CAST([] AS VARCHAR[])) AS found FROM ({source_sql('planted_mixed')}) LEFT JOIN f USING (doc_id))
+    SELECT kind, count(*) AS cases, count(*) FILTER (CASE WHEN len(expected) = 0 THEN len(found) = 0 ELSE list_has_all(found, expected) END) AS passed FROM c GROUP BY kind""")(
+    lambda s, d: _decisions(s, d, "planted_mixed").select((F.col("doc_id") % 9).alias("kind"), configured.holds(configured.found_types(F.col("findings")), _expected(F.col("doc_id") % 9)).alias("ok")).groupBy("kind").agg(F.count(F.lit(1)).alias("cases"), F.count_if("ok").alias("passed"))
+)
+
+
+def _expected(kind: Column) -> Column:
+    out = F.when(F.lit(False), F.array().cast("array<string>"))
+    for k, types in _EXPECTED.items():
+        out = out.when(kind == k, F.array(*map(F.lit, types)).cast("array<string>"))
+    return out
+
+
 query("substrate_uri", substrate_sql(source_sql("planted_uri")))(lambda s, d: findings_of(texts(s, d, "planted_uri"), R.substrate_uri))
 query("stellar_seeds", f"SELECT doc_id, 'STELLAR_SECRET_SEED' AS entity_type, 5 AS start_at, 61 AS end_at FROM ({source_sql('planted_stellar')}) WHERE text LIKE 'seed%' AND substr(text, 6, 56) = seed")(
     lambda s, d: inspection.detect(texts(s, d, "planted_stellar")).select("doc_id", F.explode("secrets").alias("f")).select("doc_id", "f.entity_type", F.col("f.start").alias("start_at"), F.col("f.end").alias("end_at"))
@@ -457,6 +493,11 @@ query("provider_pii", f"SELECT doc_id, 'pii-presidio:' || type AS rule_id, 'PII'
 query("provider_injection", f"SELECT doc_id, 'injection-llmguard:' || type AS rule_id, 'PROMPT_INJECTION' AS entity_type, 'HIGH' AS risk_level, CAST(score AS DOUBLE) AS confidence, CAST(greatest(s0, 0) AS INT) AS start_at, CAST(least(CASE WHEN e0 <= greatest(s0, 0) THEN length(text) ELSE e0 END, length(text)) AS INT) AS end_at FROM ({_STUB}) WHERE score >= 0.5")(
     lambda s, d: texts(s, d, "documents").select("doc_id", F.explode(providers.injection_findings(F.col("text"), _entities())).alias("f")).select("doc_id", "f.rule_id", "f.entity_type", "f.risk_level", "f.confidence", F.col("f.start").alias("start_at"), F.col("f.end").alias("end_at"))
 )
+_ANSWER = """CASE c_custkey % 4 WHEN 0 THEN concat('{"is_valid": false, "scanners": {"Toxicity": 0.', CAST(c_custkey % 10 AS VARCHAR(9)), '}, "sanitized_prompt": "', c_name, '"}')
+    WHEN 1 THEN concat('{"is_valid": true, "scanners": {}, "sanitized_prompt": "', c_mktsegment, '"}') WHEN 2 THEN '{"scanners": {"Secrets": 1.0}}' ELSE 'no answer' END"""
+query("provider_verdicts", "SELECT c_custkey, c_custkey % 4 <> 0 AS valid, CASE c_custkey % 4 WHEN 0 THEN (c_custkey % 10) / 10.0 WHEN 2 THEN 1.0 END AS worst, CASE c_custkey % 4 WHEN 0 THEN c_name WHEN 1 THEN c_mktsegment END AS sanitized FROM customer")(
+    lambda s, d: table(s, d, "customer").select("c_custkey", providers.verdicts(F.expr(_ANSWER)).alias("v")).select("c_custkey", "v.valid", F.array_max(F.map_values("v.scanners")).alias("worst"), "v.sanitized")
+)
 query("provider_thresholds", "SELECT c_custkey, name, CAST(score AS DOUBLE) AS score FROM (SELECT c_custkey, 'balance' AS name, (c_custkey % 100) / 100.0 AS score FROM customer UNION ALL SELECT c_custkey, 'nation', c_nationkey / 25.0 FROM customer) WHERE score >= 0.6")(
     lambda s, d: table(s, d, "customer").select("c_custkey", F.explode(providers.threshold_scanners(F.create_map(F.lit("balance"), (F.col("c_custkey") % 100) / 100, F.lit("nation"), F.col("c_nationkey") / 25), 0.6)).alias("e")).select("c_custkey", F.col("e.type").alias("name"), F.col("e.score").alias("score"))
 )

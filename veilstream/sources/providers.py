@@ -73,6 +73,12 @@ def parse_verdict(answer, threshold: float = 0.0) -> list[dict]:
     return [{"type": k, "start": -1, "end": -1, "score": float(v)} for k, v in (scores or {}).items() if isinstance(v, int | float) and v >= threshold]
 
 
+def verdicts(answer: Column) -> Column:
+    """Answers kept as JSON texts: (valid, scanners, sanitized). What can't be read is valid, without scores and text."""
+    read = F.from_json(answer, "is_valid boolean, scanners map<string,double>, sanitized_prompt string")
+    return F.struct(F.coalesce(read["is_valid"], F.lit(True)).alias("valid"), F.coalesce(read["scanners"], F.create_map().cast("map<string,double>")).alias("scanners"), read["sanitized_prompt"].alias("sanitized"))
+
+
 def pii_client(endpoint: str, timeout: float = 0.3) -> Callable[[str, str], list]:
     return lambda text, lang: parse_analysis(post_json(endpoint.removesuffix("/") + "/analyze", {"text": text, "language": lang}, timeout))
 
@@ -81,14 +87,14 @@ def injection_client(endpoint: str, timeout: float = 0.5, threshold: float = 0.0
     return lambda text, lang: parse_verdict(post_json(endpoint.removesuffix("/") + "/analyze/prompt", {"prompt": text}, timeout), threshold)
 
 
-def entities_udf(make_client: Callable[[], Callable[[str, str], list]], slow: float = 0.3):
-    """A pandas UDF (text, language) -> entities; each batch keeps its worker's client and breaker."""
+def entities_udf(make_client: Callable[[], Callable[[str, str], list]], slow: float = 0.3, threshold: int = 3, cooldown: float = 30.0):
+    """A pandas UDF (text, language) -> entities; each batch keeps its worker's client and breaker (none for threshold 0)."""
     held: dict = {}
 
     @F.pandas_udf(ENTITIES)
     def call(text: pd.Series, lang: pd.Series) -> pd.Series:
         if "client" not in held:
-            held["client"] = Breaker(make_client(), slow)
+            held["client"] = Breaker(make_client(), slow, threshold, cooldown) if threshold else make_client()
         return pd.Series([held["client"](t, g) if t else [] for t, g in zip(text, lang, strict=True)])
 
     return call
