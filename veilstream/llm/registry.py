@@ -10,6 +10,7 @@ from .sharding import op10_sharding
 from .suffixes import op5_suffix_dedup
 from .tokens import op2_token_counts
 from .urls import op3_url_filters
+from .vectors import OP13_SQL, op13_vector_codes
 
 QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
@@ -22,6 +23,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_mixing": op9_mixing,
     "op10_sharding": op10_sharding,
+    "op13_vector_codes": op13_vector_codes,
 }
 
-ORACLE_SQL: dict[str, str] = {"op7_decontamination": OP7_SQL, "op8_quality_rules": OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op7_decontamination": OP7_SQL, "op8_quality_rules": OP8_SQL, "op13_vector_codes": OP13_SQL}
