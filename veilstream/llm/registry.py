@@ -4,6 +4,7 @@ from .decontamination import OP7_SQL, op7_decontamination
 from .jaccard import op1_jaccard_join
 from .licenses import op6_license_scan
 from .lines import op4_line_dedup
+from .merkle import OP12_SQL, op12_merkle_manifest
 from .mixing import op9_mixing
 from .quality import OP8_SQL, op8_quality_rules
 from .sharding import op10_sharding
@@ -23,7 +24,8 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_mixing": op9_mixing,
     "op10_sharding": op10_sharding,
+    "op12_merkle_manifest": op12_merkle_manifest,
     "op13_vector_codes": op13_vector_codes,
 }
 
-ORACLE_SQL: dict[str, str] = {"op7_decontamination": OP7_SQL, "op8_quality_rules": OP8_SQL, "op13_vector_codes": OP13_SQL}
+ORACLE_SQL: dict[str, str] = {"op7_decontamination": OP7_SQL, "op8_quality_rules": OP8_SQL, "op12_merkle_manifest": OP12_SQL, "op13_vector_codes": OP13_SQL}
