@@ -1,5 +1,6 @@
 """The registered queries of this subpackage, and the SQL for those that SQL can express."""
 
+from .chat import OP11_SQL, op11_chat_formatting
 from .decontamination import OP7_SQL, op7_decontamination
 from .jaccard import op1_jaccard_join
 from .licenses import op6_license_scan
@@ -24,8 +25,9 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_mixing": op9_mixing,
     "op10_sharding": op10_sharding,
+    "op11_chat_formatting": op11_chat_formatting,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_vector_codes": op13_vector_codes,
 }
 
-ORACLE_SQL: dict[str, str] = {"op7_decontamination": OP7_SQL, "op8_quality_rules": OP8_SQL, "op12_merkle_manifest": OP12_SQL, "op13_vector_codes": OP13_SQL}
+ORACLE_SQL: dict[str, str] = {"op7_decontamination": OP7_SQL, "op8_quality_rules": OP8_SQL, "op11_chat_formatting": OP11_SQL, "op12_merkle_manifest": OP12_SQL, "op13_vector_codes": OP13_SQL}
