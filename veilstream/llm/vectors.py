@@ -130,7 +130,7 @@ def start(kept: DataFrame, parts: int = PARTS, entries: int = ENTRIES) -> np.nda
     longest = kept.agg(F.max(F.size("v"))).first()[0] or 0
     first = kept.orderBy(F.col("vec_id").asc_nulls_last(), "v").select("v").limit(entries).toArrow()["v"]
     width = -(-longest // parts)
-    return integers(first, parts * width).reshape(-1, parts, width).transpose(1, 0, 2)
+    return integers(first, parts * width).reshape(len(first), parts, width).transpose(1, 0, 2)
 
 
 def refine(kept: DataFrame, books: np.ndarray) -> np.ndarray:
