@@ -2,12 +2,13 @@
 
 A URL becomes a set of tokens (host labels, path segments, query parts). FP-growth finds token sets that go along
 with bad labels; rules on fewer than MIN_PAGES bad pages or below the confidence bound are dropped, whatever the table's
-size. A rule can hold only tokens of that many bad pages, so others are left out before mining. Each rule that is left is filed in an
-inverted index under the rarest token of its antecedent, so a URL meets only rules that share such a token.
+size. A rule can hold only tokens of that many bad pages, so others are left out before mining. What is mined is exact for
+the verdicts, though not every set is enumerated: see `mine`. Each rule that is left is filed in an inverted index under
+the rarest item of its antecedent, so a URL meets only rules that share a token with it.
 
 Defined results: a null URL, and one without `://`, have an empty host and path, no listed rule, no tokens, and
 the verdict allow. Repeated pages get the same verdict each; pages without a label, and labels of no page, take no
-part in mining. With no labelled page, or none that is bad, no rule is mined. Of listed rules that fit the longest
+part in mining. A very long URL is cut into tokens whole. Other columns, whatever their names, don't matter. With no labelled page, or none that is bad, no rule is mined. Of listed rules that fit the longest
 string wins, and of equally long ones the first by code point. An empty table gives an empty result.
 """
 
@@ -17,7 +18,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, materialize, table
+from .common import ascii_lower, discard, materialize, table
 
 #: Listed rules: host and path, verdict.
 RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
@@ -55,34 +56,54 @@ def tokens_of(url: Column) -> Column:
 
 
 def mine(labelled: DataFrame, min_confidence: float = MIN_CONFIDENCE, min_pages: int = MIN_PAGES) -> DataFrame:
-    """(token, antecedent, confidence, support) from labelled (url, bad boolean); token is the antecedent's rarest one."""
+    """(token, antecedent, any_of array<array<string>>, confidence, support) from labelled (url, bad boolean).
+
+    A URL meets a rule if it has a token of each array of any_of; the rule is filed under each token of its rarest one.
+    Tokens that make a rule alone leave the mining, since longer rules with them block nothing more; those of the same
+    pages are told once more as the closed set that they are. Other tokens of the same labelled pages can't be told
+    apart there: they are mined as one item, which a URL has with any of them and the antecedent names by the first.
+    """
     spark = labelled.sparkSession
-    none = spark.createDataFrame([], "token string, antecedent array<string>, confidence double, support double")
+    none = spark.createDataFrame([], "token string, antecedent array<string>, any_of array<array<string>>, confidence double, support double")
     sets = labelled.select(tokens_of(F.col("url")).alias("tokens"), F.coalesce("bad", F.lit(False)).alias("bad")).where((F.size("tokens") > 0) | F.col("bad"))
     sets = materialize(sets.withColumn("id", F.expr("uuid()")), "url-tokens")
     rows, bad = sets.agg(F.count(F.lit(1)), F.count_if("bad")).first()
     if bad < min_pages:
+        discard(sets)
         return none
-    # tokens of enough bad pages; the sets that make rules are frequent among bad pages, which alone are mined
+    holds = lambda c: (c >= min_confidence) & (c > bad / rows)
+    # tokens of enough bad pages; `pages` names the set of pages by two sums of hashes
     use = sets.select("id", "bad", F.explode("tokens").alias("token"))
-    single = use.groupBy("token").agg(F.count(F.lit(1)).alias("freq"), F.count_if("bad").alias("_bad")).where(F.col("_bad") >= min_pages)
-    single = materialize(single.select("token", "freq"), "url-frequent")
-    used = materialize(use.join(single, "token").groupBy("id", "bad").agg(F.collect_list("token").alias("items")), "url-used")
+    named = [F.sum(F.xxhash64("id", F.lit(k)).cast("decimal(20,0)")) for k in range(2)]
+    single = use.groupBy("token").agg(F.count(F.lit(1)).alias("freq"), F.count_if("bad").alias("_bad"), F.concat_ws(",", *(n.cast("string") for n in named)).alias("pages")).where(F.col("_bad") >= min_pages)
+    single = materialize(single.withColumn("confidence", F.col("_bad") / F.col("freq")), "url-frequent")
+    sure = single.where(holds(F.col("confidence"))).select("token", "confidence", (F.col("_bad") / rows).alias("support"), "pages")
+    closed = sure.groupBy("pages", "confidence", "support").agg(F.array_sort(F.collect_list("token")).alias("antecedent")).where(F.size("antecedent") > 1)
+    alone = sure.select("token", F.array("token").alias("antecedent"), "confidence", "support").unionByName(closed.select(F.get("antecedent", F.lit(0)).alias("token"), "antecedent", "confidence", "support"))
+    alone = alone.select("token", "antecedent", F.transform("antecedent", lambda t: F.array(t)).alias("any_of"), "confidence", "support")
+    items = single.where(~holds(F.col("confidence"))).groupBy("freq", "_bad", "pages").agg(F.min("token").alias("item"), F.array_sort(F.collect_list("token")).alias("any"))
+    items = materialize(items.select("item", "any", "freq"), "url-items")
+    # the sets that make rules are frequent among bad pages, which alone are mined
+    used = use.join(items.select("item", F.explode("any").alias("token")), "token").groupBy("id", "bad").agg(F.collect_set("item").alias("items"))
+    used = materialize(used, "url-used")
     mined = used.where("bad").select("items")
     held = mined.count()
     if not held:
-        return none
+        return alone
     # half a page less, so that rounding never asks for one more
-    found = FPGrowth(itemsCol="items", minSupport=(min_pages - 0.5) / held).fit(mined).freqItemsets
-    found = materialize(found.select(F.array_sort("items").alias("antecedent"), F.col("freq").alias("_bad")), "url-sets")
-    filed = found.withColumn("token", F.explode("antecedent")).join(single, "token").groupBy("antecedent", "_bad").agg(F.min_by("token", F.struct("freq", "token")).alias("token"))
-    # the good pages of a set are found by its rarest token
+    found = FPGrowth(itemsCol="items", minSupport=(min_pages - 0.5) / held).fit(mined).freqItemsets.where(F.size("items") > 1)
+    found = materialize(found.select(F.array_sort("items").alias("set"), F.col("freq").alias("_bad")), "url-sets")
+    filed = found.withColumn("item", F.explode("set")).join(items, "item")
+    filed = filed.groupBy("set", "_bad").agg(F.min_by("item", F.struct("freq", "item")).alias("item"), F.min_by("any", F.struct("freq", "item")).alias("keys"), F.collect_list("any").alias("any_of"))
+    # the good pages of a set are found by its rarest item
     good = used.where("not bad").groupBy(F.array_sort("items").alias("items")).agg(F.count(F.lit(1)).alias("_n"))
-    good = good.select("items", "_n", F.explode("items").alias("token"))
-    met = filed.select("token", "antecedent").join(good, "token").where(F.size(F.array_except("antecedent", "items")) == 0).groupBy("antecedent").agg(F.sum("_n").alias("_good"))
-    rules = filed.join(met, "antecedent", "left").withColumn("confidence", F.col("_bad") / (F.col("_bad") + F.coalesce("_good", F.lit(0))))
-    rules = rules.where((F.col("confidence") >= min_confidence) & (F.col("confidence") > bad / rows))
-    return materialize(rules.select("token", "antecedent", "confidence", (F.col("_bad") / rows).alias("support")), "url-rules")
+    good = good.select("items", "_n", F.explode("items").alias("item"))
+    met = filed.select("item", "set").join(good, "item").where(F.size(F.array_except("set", "items")) == 0).groupBy("set").agg(F.sum("_n").alias("_good"))
+    rules = filed.join(met, "set", "left").withColumn("confidence", F.col("_bad") / (F.col("_bad") + F.coalesce("_good", F.lit(0)))).where(holds(F.col("confidence")))
+    rules = rules.select(F.explode("keys").alias("token"), F.col("set").alias("antecedent"), "any_of", "confidence", (F.col("_bad") / rows).alias("support"))
+    rules = materialize(alone.unionByName(rules), "url-rules")
+    discard(sets, single, items, used, found)
+    return rules
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]], mined: DataFrame, id_col: str = "page_id", url: str = "url") -> DataFrame:
@@ -94,7 +115,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], mined: DataFrame, id_c
     if few:
         index = F.broadcast(mined) if few <= BROADCAST_RULES else mined
         met = rows.where("_listed is null").select("_url", tokens_of(F.col("_url")).alias("_all")).distinct()
-        met = met.select("_url", "_all", F.explode("_all").alias("token")).join(index, "token").where(F.size(F.array_except("antecedent", "_all")) == 0)
+        met = met.select("_url", "_all", F.explode("_all").alias("token")).join(index, "token").where(F.forall("any_of", lambda tokens: F.arrays_overlap(tokens, F.col("_all"))))
         met = met.groupBy(F.col("_url").alias("_met")).agg(F.max("confidence").alias("confidence"))
         rows = rows.join(met, F.col("_url") == F.col("_met"), "left")
     else:
