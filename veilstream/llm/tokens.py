@@ -8,12 +8,13 @@ Rule for tokens that cross a boundary: the section with most of the token's byte
 So every token counts once, and the counts of a document's sections add up to its tokens.
 
 Defined results: a null field is empty; a section without tokens has count 0. Rows that repeat a document are each
-counted. An empty table gives an empty result. Only the id and the counts come back.
+counted. Texts of any length are encoded, white space of any length too. An empty table gives an empty result. Only the id and the counts come back.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,6 +30,25 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
+#: Fixed value: the white space of the pattern. The encoder's stack ends at about a million characters of it in a row.
+LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{10000,}")
+
+
+def cut(text: str) -> Iterator[tuple[bool, str]]:
+    """(whether it is one piece, part): parts of a text that encode to what the whole does, long white space apart.
+
+    White space before a word is one piece without its last character, which goes with the word; at the end it is one
+    piece. The pattern looks ahead, never back, and nothing else in it ends with white space.
+    """
+    at = 0
+    for m in LONG_SPACE.finditer(text):
+        end = m.end() - (m.end() < len(text))
+        yield False, text[at : m.start()]
+        yield True, text[m.start() : end]
+        at = end
+    yield False, text[at:]
+
+
 @lru_cache(maxsize=4)
 def encoder(path: str):
     """(encode, byte length of each id), once in a Python worker."""
@@ -39,7 +59,14 @@ def encoder(path: str):
     lengths = np.zeros(max(ranks.values()) + 1, np.int64)
     for token, rank in ranks.items():
         lengths[rank] = len(token)
-    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary, lengths
+    words, piece = (tiktoken.Encoding(name, pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary for name, pattern in (("own", PATTERN), ("piece", r"[\s\S]+")))
+
+    def encode(text: str) -> list[int]:
+        if not LONG_SPACE.search(text):
+            return words(text)
+        return [t for whole, part in cut(text) for t in (piece if whole else words)(part)]
+
+    return encode, lengths
 
 
 def attribute(ends: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
