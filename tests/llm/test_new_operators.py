@@ -191,3 +191,72 @@ def test_vector_codes(spark, parts, entries, rounds):
         assert round(sum((a - b * 1024) ** 2 for a, b in zip(v, r["v"]))) == sum(d for d, _ in f) or max(map(abs, v)) > 2**20
     none, _ = vectors.compress(df.where("false"), parts=parts, entries=entries, rounds=rounds)
     assert none.count() == 0
+
+
+def test_url_rules_by_brute_force(spark):
+    """Verdicts are those of every token set with enough bad pages and enough confidence."""
+    from itertools import combinations
+
+    from veilstream.llm import urls
+
+    rng = random.Random(11)
+    pool = ["h:com", "h:net", "p:a", "p:b", "p:c", "q:x", "q:y"]
+    pages = []
+    for _ in range(160):
+        own = {t for t in pool if rng.random() < 0.4}
+        bad = {"p:a", "q:x"} <= own or ({"h:net", "p:c"} <= own and rng.random() < 0.8) or rng.random() < 0.1
+        pages.append((own, bad))
+    pages += [({"p:d", "q:z"}, True)] * 3 + [({"p:d", "q:z", "p:b"}, True)] * 2  # tokens of the same pages
+
+    def url(own):
+        part = lambda kind: [t[2:] for t in sorted(own) if t[0] == kind]
+        return "http://" + ".".join(part("h")) + "/" + "/".join(part("p")) + "?" + "&".join(part("q"))
+
+    rules, rate = [], sum(b for _, b in pages) / len(pages)
+    for n in range(1, 9):
+        for s in combinations([*pool, "p:d", "q:z"], n):
+            hit = [b for own, b in pages if set(s) <= own]
+            if sum(hit) >= 5 and sum(hit) / len(hit) >= 0.6 and sum(hit) / len(hit) > rate:
+                rules.append(set(s))
+    asked = [{t for t in [*pool, "p:d", "q:z", "q:new"] if rng.random() < 0.35} for _ in range(300)]
+    mined = urls.mine(spark.createDataFrame([(url(o), b) for o, b in pages], "url string, bad boolean"))
+    assert any(len(r["antecedent"]) > 1 for r in mined.collect())
+    got = urls.judge(spark.createDataFrame([(i, url(o)) for i, o in enumerate(asked)], "page_id long, url string"), [], mined)
+    assert {r["page_id"]: r["verdict"] == "block" for r in got.collect()} == {i: any(r <= o for r in rules) for i, o in enumerate(asked)}
+
+
+def test_url_rules_of_many_shared_tokens(spark):
+    from veilstream.llm import urls
+
+    query = "&".join(f"k{i}=v" for i in range(40))
+    rows = [(f"http://bad.com/x?{query}", True)] * 6 + [("http://good.com/x", False)] * 9
+    mined = urls.mine(spark.createDataFrame(rows, "url string, bad boolean"))
+    got = urls.judge(spark.createDataFrame([(1, "http://z.org/?k7=v"), (2, "http://good.com/x"), (3, None), (4, "http://bad.com/"), (5, "http://z.org/" + "a/" * 20_000)], "page_id long, url string").withColumn("verdict", F.lit("clash")), [], mined)
+    assert {r["page_id"]: r["verdict"] for r in got.collect()} == {1: "block", 2: "allow", 3: "allow", 4: "block", 5: "allow"}
+
+
+def test_token_sections_by_brute_force(spark):
+    from veilstream.llm import tokens
+
+    encode, lengths = tokens.encoder(tokens.VOCABULARY)
+    rng = random.Random(5)
+    texts = [None, "", "one", "\n", "a\nb\n", "  x", *("".join(rng.choice(["ab", " ", "\n", "é", "日本", "!?", "12", "'s", "  "]) for _ in range(60)) for _ in range(20)), " " * 1_000_000 + "word", "\n" * 2_000_000]
+    docs = [(i, rng.choice([None, "", "src1", "é"]), rng.choice([None, "en"]), t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(docs, "doc_id long, source string, lang string, text string").withColumn("n_tokens", F.lit("clash"))
+    got = {(r["doc_id"], r["section"]): (r["n_tokens"], r["n_crossing"], r["n_chars"]) for r in tokens.count_tokens(df, tokens.document_fields()).collect()}
+    want = {}
+    for i, source, lang, t in docs:
+        first, nl, rest = (t or "").partition("\n")
+        parts = {"source": (source or "") + "\n", "lang": (lang or "") + "\n", "first_line": first + nl, "rest": rest}
+        owner = [s for s, p in parts.items() for _ in p.encode()]
+        count, crossing, at = dict.fromkeys(parts, 0), dict.fromkeys(parts, 0), 0
+        ids = encode("".join(parts.values()))
+        for n in lengths[ids].tolist():
+            own = owner[at : at + n]
+            best = max(dict.fromkeys(own), key=own.count)
+            count[best] += 1
+            crossing[best] += len(set(own)) > 1
+            at += n
+        assert at == len(owner)
+        want |= {(i, s): (count[s], crossing[s], len(p)) for s, p in parts.items()}
+    assert got == want
