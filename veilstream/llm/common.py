@@ -120,7 +120,8 @@ def components(edges: DataFrame) -> DataFrame:
         # small star: every smaller neighbour of a node moves to the smallest of them
         low = large.groupBy("v").agg(F.min("m").alias("to"))
         small = large.where("m < v").join(low, "v").select(F.col("m").alias("v"), F.col("to").alias("m")).union(low.select("v", F.col("to").alias("m"))).distinct()
-        state = materialize(small, "stars")
+        before, state = state, materialize(small, "stars")
+        discard(before)
         now = state.agg(F.count(F.lit(1)), F.sum(F.xxhash64("v", "m").cast("decimal(20,0)"))).first()
         if now == last:
             return state.groupBy(F.col("v").alias("node")).agg(F.min("m").alias("component"))

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, fresh, materialize, table
+from .common import components, discard, fresh, materialize, table
 from .shingles import identity, mixed, shingles
 
 #: Shingles in this many documents or more are frequent. Whatever counts as frequent, results are the same.
@@ -399,8 +399,8 @@ def _may_link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def _dealt(bases: DataFrame, probes: DataFrame, payload: DataFrame, parts: int) -> DataFrame:
-    """Rows (grp, piece, side, set, comp, payload), sorted: bases (side 0) and probes (side 1) of a group, with (set, payload).
+def _dealt(bases: DataFrame, probes: DataFrame, payload: DataFrame, parts: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (grp, piece, side, set, comp, payload), sorted: bases (side 0) and probes (side 1) of a group, with (set, payload); and the table they read.
 
     bases: (grp, set, comp, x), x the logarithm of the size; probes: (grp, set, comp). A group is cut into pieces of bounded size on both sides;
     each base piece meets each probe piece once.
@@ -412,17 +412,22 @@ def _dealt(bases: DataFrame, probes: DataFrame, payload: DataFrame, parts: int)
     rows = [df.select("grp", "set", "comp").join(cut, "grp").select("grp", F.lit(side).alias("side"), "set", "comp", F.explode(dealt(side, 0, "nb")).alias("pb"), "np").select("grp", "side", "set", "comp", "pb", F.explode(dealt(side, 1, "np")).alias("pp")) for side, df in enumerate((bases, probes))]
     both = materialize(rows[0].union(rows[1]).withColumn("piece", F.xxhash64("pb", "pp")), "jaccard-dealt")
     few = F.broadcast(both) if both.count() <= BROADCAST_ROWS else both
-    return payload.join(few, "set").select(*_DEALT, "payload").repartition(parts, "grp", "piece").sortWithinPartitions("grp", "piece", "side")
+    return payload.join(few, "set").select(*_DEALT, "payload").repartition(parts, "grp", "piece").sortWithinPartitions("grp", "piece", "side"), both
 
 
 def _links(bases: DataFrame, probes: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
     """Links (a, b) between bases and probes of one group, by their elements."""
-    dealt = _dealt(bases, probes, sets.select("set", F.col("elements").alias("payload")), parts)
-    return materialize(dealt.mapInArrow(_compare, "a long, b long").distinct(), "jaccard-links")
+    dealt, read = _dealt(bases, probes, sets.select("set", F.col("elements").alias("payload")), parts)
+    found = materialize(dealt.mapInArrow(_compare, "a long, b long").distinct(), "jaccard-links")
+    discard(read)
+    return found
 
 
-def _classes(docs: DataFrame, id_col: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, key of the text, n_shingles, set) of docs, and (set, class) of sets that are linked; class: a set."""
+def _classes(docs: DataFrame, id_col: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (doc_id, key of the text, n_shingles, set) of docs; (set, class) of sets that are linked, class a set; and the table that the rows are in.
+
+    Every other table is deleted as soon as what is made of it is written.
+    """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").cast("binary").alias("text")).withColumn("key", F.xxhash64("text"))
     described = materialize(texts.select("doc_id", "key", "text").mapInArrow(_describe, "kind int, doc_id long, key long, n long, set long"), "jaccard-sets")
@@ -432,6 +437,7 @@ def _classes(docs: DataFrame, id_col: str, text: str) -> tuple[DataFrame, DataFr
     while counts.where(F.col("n") >= least).count() > FREQUENT_MOST:
         least *= 2
     frequent = np.sort(np.array([r[0] for r in counts.where(F.col("n") >= least).select("set").collect()], np.int64).view(np.uint64))
+    discard(counts)
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks = max(4 * parts, -(-total // BLOCK_SIGNATURES))
@@ -445,13 +451,16 @@ def _classes(docs: DataFrame, id_col: str, text: str) -> tuple[DataFrame, DataFr
     few = F.broadcast(chosen) if chosen.count() <= BROADCAST_ROWS else chosen
     sets = texts.join(few, (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("set", "text")
     sets = materialize(sets.mapInArrow(_elements, "set long, elements binary, sketch binary"), "jaccard-elements")
+    discard(chosen)
     pairs = members.where((F.col("set") != F.col("hub")) & (F.abs(F.col("x") - F.col("hub_x")) <= SIZE_STEPS)).groupBy("hub", "hub_x", "set").agg(F.count(F.lit(1)).alias("n"))
     pairs = materialize(pairs, "jaccard-pairs")
 
     def held(pairs: DataFrame) -> DataFrame:
         close = _close(pairs.select("hub", "hub_x", "set"), sets)
         hubs = close.select(F.col("hub").alias("grp"), F.col("hub").alias("set"), F.col("hub").alias("comp"), F.col("hub_x").alias("x")).distinct()
-        return _links(hubs, close.select(F.col("hub").alias("grp"), "set", F.col("set").alias("comp")), sets, parts)
+        found = _links(hubs, close.select(F.col("hub").alias("grp"), "set", F.col("set").alias("comp")), sets, parts)
+        discard(close)
+        return found
 
     # each set with the hub of most of its groups; then with other hubs that are still apart from it
     most = pairs.groupBy("set").agg(F.max_by(F.struct("hub", "hub_x"), F.struct("n", "hub")).alias("most"))
@@ -461,25 +470,29 @@ def _classes(docs: DataFrame, id_col: str, text: str) -> tuple[DataFrame, DataFr
     rest = pairs.join(of("set", "p"), "set", "left").join(of("hub", "q"), "hub", "left").where(F.coalesce("p", "set") != F.coalesce("q", "hub"))
     rest = rest.join(most.select("set", "most.hub"), ["set", "hub"], "left_anti")
     links = links.union(held(rest))
-    label = materialize(components(links), "jaccard-labels")
+    first, label = label, materialize(components(links), "jaccard-labels")
+    discard(first, pairs)
     # Groups that still hold several components: what isn't in the hub's is held against the others, once for all
     # such groups with a hub in that component, as they have most of their sets in common.
     now = members.join(of("set", "comp"), "set", "left").join(of("hub", "home"), "hub", "left")
     now = now.select("grp", "set", "x", F.coalesce("comp", "set").alias("comp"), F.coalesce("home", "hub").alias("home"))
     apart = now.where("comp != home").select("grp").distinct()
     now = materialize(now.join(apart, "grp", "left_semi").select(F.col("home").alias("grp"), "set", "x", "comp", (F.col("comp") != F.col("home")).alias("probe")).distinct(), "jaccard-apart")
+    discard(members)
     bases, probes = now.select("grp", "set", "comp", "x"), now.where("probe").select("grp", "set", "comp")
-    able = _dealt(bases, probes, sets.select("set", F.col("sketch").alias("payload")), parts).mapInArrow(_may_link, "grp long, side int, set long").distinct()
-    able = materialize(able, "jaccard-able")
+    dealt, read = _dealt(bases, probes, sets.select("set", F.col("sketch").alias("payload")), parts)
+    able = materialize(dealt.mapInArrow(_may_link, "grp long, side int, set long").distinct(), "jaccard-able")
+    discard(read)
     more = _links(bases.join(able.where("side = 0"), ["grp", "set"], "left_semi"), probes.join(able.where("side = 1"), ["grp", "set"], "left_semi"), sets, parts)
+    discard(able, now, sets)
     if not more.isEmpty():
         label = components(links.union(more))
-    return rows, label.select(F.col("node").alias("set"), F.col("component").alias("class"))
+    return rows, label.select(F.col("node").alias("set"), F.col("component").alias("class")), described
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, set, component_id) for every row of docs: the near-duplicate class of each document."""
-    rows, label = _classes(docs, id_col, text)
+    rows, label, _ = _classes(docs, id_col, text)
     own = rows.where("set is not null").groupBy("set").agg(F.min("doc_id").alias("least")).join(label, "set", "left").withColumn("class", F.coalesce("class", "set"))
     ids = own.join(own.groupBy("class").agg(F.min("least").alias("component_id")), "class").select("set", "component_id")
     return rows.join(ids, "set", "left").select("doc_id", "n_shingles", "set", F.coalesce("component_id", "doc_id").alias("component_id"))
@@ -491,7 +504,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "t
     Of rows with that id the one whose text has the least hash stays, of rows that repeat it one. Documents without
     words are in no class: all stay, but of rows that repeat id and text one does.
     """
-    rows, label = _classes(docs, id_col, text)
+    rows, label, described = _classes(docs, id_col, text)
     rows = rows.groupBy("doc_id", "key", "set").agg(F.count(F.lit(1)).alias("times"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
     own = rows.where("set is not null").groupBy("set").agg(F.min(order).alias("first")).join(label, "set", "left").withColumn("class", F.coalesce("class", "set"))
@@ -499,6 +512,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "t
     judged = rows.join(stays, "set", "left").withColumn("goes", F.coalesce(order != F.col("stay"), F.lit(False)))
     own_id, own_key = fresh(docs, "of_id"), fresh(docs, "of_key")
     judged = materialize(judged.where("goes or times > 1").select(F.col("doc_id").alias(own_id), F.col("key").alias(own_key), "goes"), "jaccard-judged")
+    discard(described)
     ids, keys = F.col(id_col).cast("long"), F.xxhash64(F.col(text).cast("string").cast("binary"))
     same = ids.eqNullSafe(F.col(own_id)) & keys.eqNullSafe(F.col(own_key))
     again = judged.where("not goes").drop("goes")
