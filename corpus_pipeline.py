@@ -6,12 +6,10 @@ written as Parquet and read again as the next one's docs. All but the last retur
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from veilstream.llm import decontamination, jaccard, mixing, quality, sharding
-from veilstream.llm.common import shared_dir, table
+from veilstream.llm.common import discard, materialize, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,11 +51,13 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents table; each result but the last is written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            at = f"{shared_dir(spark)}/pipeline-{k}-{uuid.uuid4().hex}"
-            docs.write.parquet(at)
-            docs = spark.read.parquet(at)
+        out = stage(spark, docs, sf_dir)
+        if k == len(STAGES) - 1:
+            return out
+        docs = materialize(out, f"pipeline-{k}")
+        if before is not None:
+            discard(before)  # the next stage reads what is written now
+        before = docs
     return docs
