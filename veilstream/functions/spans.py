@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 FINDING = "struct<entity_type:string,risk_level:string,confidence:double,start:int,end:int,rule_id:string,reason:string>"
 FINDINGS = f"array<{FINDING}>"
 RISKS = ("LOW", "MEDIUM", "HIGH", "CRITICAL")
+SPAN = "struct<start:int,end:int,value:string>"
+#: Outputs that a sweep gathers at a time, and code points of a chunk.
+BLOCK, CHUNK = 256, 1024
 
 
 def let(value: Column, body) -> Column:
@@ -16,6 +19,39 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def sweep(items: Column, zero: Column, out_type: str, step, finish=None) -> Column:
+    """One pass over an array with a state: an array of what each step puts out, nulls left out.
+
+    step(state, item) gives the next state and one output. Outputs are gathered in blocks, so that a pass over n items
+    copies about n * BLOCK / 2 values, not n * n / 2. finish(state): what follows the last output.
+    """
+    one, many = F.array().cast(f"array<{out_type}>"), F.array().cast(f"array<array<{out_type}>>")
+
+    def fold(acc: Column, item: Column) -> Column:
+        state, out = step(acc["state"], item)
+        block = F.concat(acc["block"], F.array(out))
+        full = F.size(acc["block"]) >= BLOCK - 1
+        return F.struct(state.alias("state"), F.when(full, one).otherwise(block).alias("block"), F.when(full, F.concat(acc["blocks"], F.array(block))).otherwise(acc["blocks"]).alias("blocks"))
+
+    def gathered(acc: Column) -> Column:
+        last = acc["block"] if finish is None else F.concat(acc["block"], F.array(finish(acc["state"])))
+        return F.filter(F.flatten(F.concat(acc["blocks"], F.array(last))), lambda x: x.isNotNull())
+
+    return F.aggregate(items, F.struct(zero.alias("state"), one.alias("block"), many.alias("blocks")), fold, gathered)
+
+
+def chunks(text: Column) -> Column:
+    """The text in pieces of CHUNK code points, for `cut`."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+
+
+def cut(pieces: Column, start: Column, end: Column) -> Column:
+    """The text from start to end, from its chunks: costs the length of the part, wherever in the text it stands."""
+    first = F.floor(start / CHUNK).cast("int")
+    part = F.array_join(F.slice(pieces, first + 1, F.greatest(F.floor((end - 1) / CHUNK).cast("int") - first + 1, F.lit(0))), "")
+    return F.substring(part, start - first * CHUNK + 1, F.greatest(end - start, F.lit(0)))
+
+
 def regex_spans(text: Column, pattern: str, gate: Column | None = None) -> Column:
     """array<struct<start, end, value>> of the pattern's matches, in order.
 
@@ -25,19 +61,17 @@ def regex_spans(text: Column, pattern: str, gate: Column | None = None) -> Colum
 
     def fold(found: Column) -> Column:
         gaps = F.split(text, pattern, -1)
-        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
 
-        def step(acc: Column, x: Column) -> Column:
-            start = acc["at"] + F.length(x["gap"])
+        def step(at: Column, x: Column) -> tuple[Column, Column]:
+            start = at + F.length(x["gap"])
             end = start + F.length(x["value"])
-            span = F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value"))
-            return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+            return end, F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value"))
 
         # there is a gap more than there are matches; the last one is left out
         both = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda v, g: F.struct(v.alias("value"), g.alias("gap")))
-        return F.aggregate(both, zero, step, lambda acc: acc["out"])
+        return sweep(both, F.lit(0), SPAN, step)
 
-    empty = F.array().cast("array<struct<start:int,end:int,value:string>>")
+    empty = F.array().cast(f"array<{SPAN}>")
     spans = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: F.when(F.size(found) > 0, fold(found)).otherwise(empty))
     return spans if gate is None else F.when(gate, spans).otherwise(empty)
 
@@ -51,9 +85,13 @@ def no_findings() -> Column:
     return F.array().cast(FINDINGS)
 
 
-def has_context(text: Column, start: Column, end: Column, terms: list[str], width: int) -> Column:
-    """Whether any term stands in the text from `width` before the span to `width` after it, in any case."""
-    near = F.lower(F.substring(text, F.greatest(start - width, F.lit(0)) + 1, end + width - F.greatest(start - width, F.lit(0))))
+def has_context(text: Column, start: Column, end: Column, terms: list[str], width: int, pieces: Column | None = None) -> Column:
+    """Whether any term stands in the text from `width` before the span to `width` after it, in any case.
+
+    pieces: `chunks` of the text, where a text may have many candidates.
+    """
+    low = F.greatest(start - width, F.lit(0))
+    near = F.lower(F.substring(text, low + 1, end + width - low) if pieces is None else cut(pieces, low, end + width))
     return F.coalesce(let(near, lambda x: F.exists(F.array(*(F.lit(t.lower()) for t in terms)), lambda t: F.contains(x, t))), F.lit(False))
 
 
@@ -70,15 +108,15 @@ def by_position(found: Column) -> Column:
 def merge(found: Column) -> Column:
     """Overlapping findings become one span; the highest risk names it, the first of equals. Touching spans stay apart."""
 
-    def step(acc: Column, x: Column) -> Column:
-        last = F.get(acc, F.size(acc) - 1)
+    def step(last: Column, x: Column) -> tuple[Column, Column]:
         wins = risk_order(x["risk_level"]) > risk_order(last["risk_level"])
         pick = lambda name: F.when(wins, x[name]).otherwise(last[name])
         joined = F.struct(*(pick(n).alias(n) for n in ("entity_type", "risk_level", "confidence")), last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"), *(pick(n).alias(n) for n in ("rule_id", "reason")))
-        apart = (F.size(acc) == 0) | (x["start"] >= last["end"])
-        return F.when(apart, F.concat(acc, F.array(x))).otherwise(F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(joined)))
+        apart = last.isNull() | (x["start"] >= last["end"])
+        return F.when(apart, x).otherwise(joined), F.when(apart, last)
 
-    return F.aggregate(by_position(found), no_findings(), step)
+    merged = lambda f: sweep(by_position(f), F.lit(None).cast(FINDING), FINDING, step, lambda last: last)
+    return let(found, lambda f: F.when(F.size(f) > 1, merged(f)).otherwise(f))
 
 
 def merge_within_type(found: Column) -> Column:
@@ -95,10 +133,12 @@ def clipped(text: Column, start: Column, end: Column) -> Column:
 def replace_spans(text: Column, found: Column, replacement) -> Column:
     """The text with every span of `found` (disjoint, in order) replaced by replacement(finding, raw)."""
 
-    def step(acc: Column, x: Column) -> Column:
-        s, e = F.greatest(x["start"], F.lit(0)), F.least(x["end"], F.length(text))
-        raw = F.substring(text, s + 1, e - s)
-        return F.when(e > s, F.struct(F.concat(acc["out"], F.substring(text, acc["at"] + 1, s - acc["at"]), replacement(x, raw)).alias("out"), e.alias("at"))).otherwise(acc)
+    def whole(pieces: Column) -> Column:
+        def step(at: Column, x: Column) -> tuple[Column, Column]:
+            s, e = F.greatest(x["start"], F.lit(0)), F.least(x["end"], F.length(text))
+            covers = e > s
+            return F.when(covers, e).otherwise(at), F.when(covers, F.concat(cut(pieces, at, s), replacement(x, cut(pieces, s, e))))
+
+        return F.array_join(sweep(found, F.lit(0), "string", step, lambda at: cut(pieces, at, F.length(text))), "")
 
-    zero = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    return F.aggregate(found, zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    return F.when(F.size(found) > 0, let(chunks(text), whole)).otherwise(text)

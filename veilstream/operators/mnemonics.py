@@ -1,65 +1,134 @@
-"""BIP39 mnemonics: words joined with a word list, runs as islands, windows of allowed lengths, checksums.
+"""BIP39 mnemonics inside the row: words looked up in a hash table, runs, windows of allowed lengths, checksums.
 
-The word list is a small dimension table (its size is checked before it is broadcast). Words of the list are shuffled,
-to number them within their text, and then the words of texts that have a run of sufficient length.
+The list's words have 11-bit numbers, so it is of bounded size: it becomes a perfect hash table, two array literals of
+the plan, and a word costs a hash and a comparison. Hits become a string of 0 and 1, in which a run is a regular
+expression; only texts with a long enough run are searched for offsets. Nothing is shuffled or joined, so rows need no
+id, and the finder works in streams.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from ..functions.spans import has_context
+from ..functions.spans import FINDINGS, chunks, finding, has_context, let, no_findings, regex_spans, sweep
 from .rules import CONTEXT, MNEMONIC_TERMS
 
-#: Lengths of a mnemonic, and the class of characters that part words.
+#: Lengths of a mnemonic, bits of a word's number, and the class of characters that part words.
 COUNTS = (12, 15, 18, 21, 24)
+WORD_BITS = 11
 BREAKS = "[\\p{javaWhitespace}\\p{IsHan}\\p{InCJK_Symbols_and_Punctuation}\\p{InHalfwidth_and_Fullwidth_Forms}]+"
-#: A word list has 2,048 words a language; more rows than this are joined by shuffling.
-BROADCAST_WORDS = 100_000
+HAN = "\\p{IsHan}"
+WORD = "struct<pos:int,start:int,end:int,idx:int>"
+#: Buckets and slots of a table; a list has 2,048 words.
+BUCKETS, SLOTS = 1024, 8192
+#: What stands in an empty slot: no word is a space.
+NONE = " "
+
+
+@dataclass(frozen=True)
+class WordTable:
+    """A word list as a perfect hash: a word's bucket has a shift, with which it comes to a slot of its own."""
+
+    language: str
+    shifts: tuple[int, ...]
+    words: tuple[str, ...]
+    numbers: tuple[int, ...]
+
+    def _array(self, values: tuple, kind: str) -> Column:
+        # one literal, cut up when the plan is made
+        return F.split(F.lit("\n".join(map(str, values))), "\n").cast(f"array<{kind}>")
+
+    def slot(self, word: Column) -> Column:
+        def of(h: Column) -> Column:
+            shift = F.get(self._array(self.shifts, "int"), F.pmod(h, F.lit(BUCKETS)).cast("int"))
+            return F.pmod(F.shiftrightunsigned(h, 40) + shift * F.shiftrightunsigned(h, 20).bitwiseAND(F.lit(0xFFFFF)).bitwiseOR(F.lit(1)), F.lit(SLOTS)).cast("int")
+
+        return let(F.xxhash64(word), of)
+
+    def holds(self, word: Column) -> Column:
+        return F.get(self._array(self.words, "string"), self.slot(word)) == word
+
+    def number(self, word: Column) -> Column:
+        """A listed word's number."""
+        return F.get(self._array(self.numbers, "int"), self.slot(word))
+
+    @property
+    def chinese(self) -> bool:
+        return self.language.startswith("chinese")
+
+
+def word_table(wordlist: DataFrame, language: str) -> WordTable:
+    """The hash table of the list's words of a language. Of a repeated word the lowest number counts."""
+    most = 1 << WORD_BITS
+    rows = wordlist.where(F.col("lang") == language).groupBy("word").agg(F.min("idx").alias("idx")).select("word", "idx", F.xxhash64("word").alias("h")).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a word list has {most} words at most")
+    buckets: dict[int, list] = {}
+    for r in rows:
+        if r["word"] and not r["word"].isspace():
+            buckets.setdefault(r["h"] % BUCKETS, []).append(r)
+    shifts, words, numbers = [0] * BUCKETS, [NONE] * SLOTS, [-1] * SLOTS
+    for bucket, own in sorted(buckets.items(), key=lambda b: (-len(b[1]), b[0])):
+        hashes = [r["h"] % (1 << 64) for r in own]
+        for shift in range(1 << 20):
+            slots = [((h >> 40) + shift * ((h >> 20) & 0xFFFFF | 1)) % SLOTS for h in hashes]
+            if len(set(slots)) == len(slots) and all(words[s] == NONE for s in slots):
+                break
+        shifts[bucket] = shift
+        for s, r in zip(slots, own, strict=True):
+            words[s], numbers[s] = r["word"], r["idx"]
+    return WordTable(language, tuple(shifts), tuple(words), tuple(numbers))
+
+
+def word_tables(wordlist: DataFrame, languages: tuple = ("english",)) -> list[WordTable]:
+    return [word_table(wordlist, language) for language in languages]
+
+
+def runs_in(text: Column, table: WordTable, least: int = 1) -> Column:
+    """array<array<struct<pos, start, end, idx>>>: maximal runs of list words in a text, `least` words at least.
+
+    Words part at white space and Han characters; of a Chinese list each Han character is a word, and others part nothing.
+    """
+    none = F.array().cast(f"array<array<{WORD}>>")
+    found = F.regexp_extract_all(text, F.lit(HAN), F.lit(0)) if table.chinese else F.transform(F.split(text, BREAKS, -1), F.lower)
 
+    def placed() -> Column:
+        """Every word with its place."""
+        if table.chinese:
+            return F.transform(regex_spans(text, HAN), lambda s, i: F.struct(i.alias("pos"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("low")))
+        gaps = F.concat(F.regexp_extract_all(text, F.lit(BREAKS), F.lit(0)), F.array(F.lit("")))
+        state = F.struct(F.lit(0).alias("pos"), F.lit(0).alias("at"))
 
-def _words(df: DataFrame, id_col: str, text: str) -> DataFrame:
-    """(id, pos, word, size): pos counts words; size is that of the word and the break after it."""
-    t = F.col(text)
-    gaps = F.concat(F.regexp_extract_all(t, F.lit(BREAKS), F.lit(0)), F.array(F.lit("")))
-    rows = df.select(F.col(id_col).alias("id"), F.posexplode(F.arrays_zip(F.split(t, BREAKS, -1).alias("word"), gaps.alias("gap"))).alias("pos", "w"))
-    return rows.select("id", "pos", F.col("w.word").alias("word"), (F.length("w.word") + F.length("w.gap")).alias("size"))
+        def step(now: Column, x: Column) -> tuple[Column, Column]:
+            end = now["at"] + F.length(x["word"])
+            word = F.struct(now["pos"].alias("pos"), now["at"].alias("start"), end.alias("end"), F.lower(x["word"]).alias("low"))
+            return F.struct((now["pos"] + 1).alias("pos"), (end + F.length(x["gap"])).alias("at")), word
 
+        both = F.zip_with(F.split(text, BREAKS, -1), gaps, lambda w, g: F.struct(w.alias("word"), g.alias("gap")))
+        return sweep(both, state, "struct<pos:int,start:int,end:int,low:string>", step)
 
-def _han(df: DataFrame, id_col: str, text: str) -> DataFrame:
-    rows = df.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.col(text), "", -1)).alias("start", "word")).where(F.rlike("word", F.lit("^\\p{IsHan}$")))
-    # one word a character; others part runs no more than white space does
-    order = F.row_number().over(Window.partitionBy("id").orderBy("start")) - 1
-    return rows.select("id", order.alias("pos"), "start", "word")
+    def of(marks: Column) -> Column:
+        islands = regex_spans(marks, f"1{{{least},}}")
+        word = lambda w: F.struct(w["pos"].alias("pos"), w["start"].alias("start"), w["end"].alias("end"), table.number(w["low"]).alias("idx"))
+        taken = let(placed(), lambda words: F.transform(islands, lambda i: F.transform(F.slice(words, i["start"] + 1, i["end"] - i["start"]), word)))
+        return F.when(F.contains(marks, F.lit("1" * least)), taken).otherwise(none)
 
+    return let(F.array_join(F.transform(found, lambda w: F.when(table.holds(w), "1").otherwise("0")), ""), of)
 
-def runs(df: DataFrame, wordlist: DataFrame, lang: str = "english", id_col: str = "doc_id", text: str = "text", least: int = 1) -> DataFrame:
-    """(id, run, n, words array<struct<pos, start, end, idx>>) of maximal runs of list words, `least` at least.
 
-    Offsets are running sums, made only for texts that have such a run; only their words and list words are shuffled.
-    """
-    listed = wordlist.where(F.col("lang") == lang).select(F.col("word").alias("listed"), "idx")
-    listed = F.broadcast(listed) if listed.count() <= BROADCAST_WORDS else listed
-    chinese = lang.startswith("chinese")
-    words = _han(df, id_col, text) if chinese else _words(df, id_col, text)
-    hits = words.join(listed, F.lower("word") == F.col("listed"))
-    # numbers are consecutive between breaks, so a run has one difference
-    hits = hits.withColumn("run", F.col("pos") - F.row_number().over(Window.partitionBy("id").orderBy("pos")))
-    hits = hits.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("id", "run"))).where(F.col("n") >= least)
-    if not chinese:
-        before = Window.partitionBy("id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-        placed = words.join(hits.select("id").distinct(), "id", "left_semi").select("id", "pos", F.coalesce(F.sum("size").over(before), F.lit(0)).cast("int").alias("start"))
-        hits = hits.join(placed, ["id", "pos"])
-    hits = hits.select("id", "run", F.struct("pos", "start", (F.col("start") + F.length("word")).alias("end"), "idx").alias("w"))
-    return hits.groupBy("id", "run").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("w")).alias("words"))
+def runs(df: DataFrame, wordlist: DataFrame, lang: str = "english", id_col: str = "doc_id", text: str = "text", least: int = 1) -> DataFrame:
+    """(id, run, n, words array<struct<pos, start, end, idx>>) of maximal runs of list words, `least` at least; run counts them."""
+    found = runs_in(F.coalesce(F.col(text), F.lit("")), word_table(wordlist, lang), least)
+    return df.select(F.col(id_col).alias("id"), F.posexplode(found).alias("run", "words")).select("id", "run", F.size("words").cast("long").alias("n"), "words")
 
 
 def checksum_holds(indices: Column) -> Column:
     """Whether the last bits of the words' 11-bit numbers are the first of SHA-256 over the bits before them."""
-    bits = F.array_join(F.transform(indices, lambda i: F.lpad(F.bin(i.cast("long")), 11, "0")), "")
-    total = F.size(indices) * 11
+    bits = F.array_join(F.transform(indices, lambda i: F.lpad(F.bin(i.cast("long")), WORD_BITS, "0")), "")
+    total = F.size(indices) * WORD_BITS
     check = (total / 33).cast("int")
     entropy = F.substring(bits, F.lit(1), total - check)
     nibbles = F.transform(F.sequence(F.lit(0), ((total - check) / 4).cast("int") - 1), lambda k: F.conv(F.substring(entropy, k * 4 + 1, F.lit(4)), 2, 16))
@@ -67,22 +136,41 @@ def checksum_holds(indices: Column) -> Column:
     return F.substring(F.lpad(F.conv(F.substring(digest, 1, 2), 16, 2), 8, "0"), F.lit(1), check) == F.substring(bits, total - check + 1, check)
 
 
+def windows_in(text: Column, table: WordTable, check_checksum: bool = True) -> Column:
+    """array<struct<start, end, n_words, checksum, near>> of every window of an allowed length in a run; windows may overlap."""
+    kind = "struct<start:int,end:int,n_words:int,checksum:boolean,near:boolean>"
+
+    def of(run: Column, pieces: Column) -> Column:
+        def window(words: Column, count: Column) -> Column:
+            start, end = F.get(words, F.lit(0))["start"], F.get(words, count - 1)["end"]
+            sure = checksum_holds(F.transform(words, lambda w: w["idx"])) if check_checksum else F.lit(False)
+            return F.struct(start.alias("start"), end.alias("end"), count.alias("n_words"), sure.alias("checksum"), has_context(text, start, end, MNEMONIC_TERMS, CONTEXT, pieces).alias("near"))
+
+        starts = lambda c: F.when(F.size(run) >= c, F.sequence(F.lit(0), F.size(run) - c)).otherwise(F.array().cast("array<int>"))
+        return F.flatten(F.transform(F.array(*map(F.lit, COUNTS)), lambda c: F.transform(starts(c), lambda i: window(F.slice(run, i + 1, c), c))))
+
+    found = let(runs_in(text, table, min(COUNTS)), lambda rs: F.when(F.size(rs) > 0, let(chunks(text), lambda pieces: F.flatten(F.transform(rs, lambda r: of(r, pieces))))).otherwise(F.array().cast(f"array<{kind}>")))
+    return F.filter(found, lambda w: w["checksum"] | w["near"])
+
+
+def _risk(w: Column) -> tuple[Column, Column]:
+    return F.when(w["checksum"], "CRITICAL").otherwise("HIGH"), F.when(w["checksum"], 0.99).otherwise(0.6)
+
+
+def mnemonic_findings(text: Column, tables: list[WordTable], check_checksum: bool = True) -> Column:
+    """array<finding> of a text's mnemonics, by start and end; languages in their order."""
+
+    def of(table: WordTable) -> Column:
+        made = lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), finding(w, "MNEMONIC", *_risk(w), "bip39-mnemonic", "list words in a row").alias("f"))
+        return F.transform(F.array_sort(F.transform(windows_in(text, table, check_checksum), made)), lambda x: x["f"])
+
+    return F.concat(no_findings(), *map(of, tables)).cast(FINDINGS)
+
+
 def mnemonics(df: DataFrame, wordlist: DataFrame, languages: tuple = ("english",), id_col: str = "doc_id", text: str = "text", check_checksum: bool = True) -> DataFrame:
     """(id, start, end, n_words, checksum, risk_level, confidence) of every window that counts; windows may overlap."""
-    out = None
-    for lang in languages:
-        found = runs(df, wordlist, lang, id_col, text, min(COUNTS))
-        found = found.select("id", "words", "n", F.explode(F.array(*map(F.lit, COUNTS))).alias("count")).where("n >= count")
-        found = found.select("id", "count", F.explode(F.transform(F.sequence(F.lit(0), (F.col("n") - F.col("count")).cast("int")), lambda i: F.slice("words", i + 1, F.col("count")))).alias("window"))
-        found = found.select("id", F.get("window", F.lit(0))["start"].alias("start"), F.get("window", F.col("count") - 1)["end"].alias("end"), F.col("count").alias("n_words"), (checksum_holds(F.transform("window", lambda w: w["idx"])) & F.lit(check_checksum)).alias("checksum"))
-        out = found if out is None else out.unionByName(found)
-    near = out.join(df.select(F.col(id_col).alias("id"), F.col(text).alias("_text")), "id").withColumn("_near", has_context(F.col("_text"), F.col("start"), F.col("end"), MNEMONIC_TERMS, CONTEXT))
-    near = near.where("checksum or _near")
-    return near.select("id", "start", "end", "n_words", "checksum", F.when(F.col("checksum"), "CRITICAL").otherwise("HIGH").alias("risk_level"), F.when(F.col("checksum"), 0.99).otherwise(0.6).alias("confidence"))
-
-
-def mnemonic_findings(df: DataFrame, wordlist: DataFrame, **options) -> DataFrame:
-    """(id, mnemonics array<finding>): one row for each text that has any."""
-    found = mnemonics(df, wordlist, **options)
-    one = F.struct(F.lit("MNEMONIC").alias("entity_type"), F.col("risk_level"), F.col("confidence"), F.col("start"), F.col("end"), F.lit("bip39-mnemonic").alias("rule_id"), F.lit("list words in a row").alias("reason"))
-    return found.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("start", "end", one.alias("f")))), lambda x: x["f"]).alias("mnemonics"))
+    t = F.coalesce(F.col(text), F.lit(""))
+    found = F.concat(*(windows_in(t, table, check_checksum) for table in word_tables(wordlist, languages)))
+    rows = df.select(F.col(id_col).alias("id"), F.explode(found).alias("w"))
+    risk, sure = _risk(F.col("w"))
+    return rows.select("id", "w.start", "w.end", "w.n_words", "w.checksum", risk.alias("risk_level"), sure.alias("confidence"))

@@ -1,7 +1,4 @@
-"""Inspection of texts: detect, merge, decide, mask, audit. Everything stays inside a row, so nothing is shuffled.
-
-(Mnemonics are the exception: finding them joins words with a word list. Their findings come back by the id.)
-"""
+"""Inspection of texts: detect, merge, decide, mask, audit. Everything stays inside a row, so nothing is shuffled."""
 
 from __future__ import annotations
 
@@ -9,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import codecs, crypto
-from ..functions.spans import FINDINGS, clipped, merge, merge_within_type, no_findings, replace_spans
+from ..functions.spans import FINDINGS, chunks, cut, let, merge, merge_within_type, no_findings, replace_spans
 from ..operators import mnemonics as M
 from ..operators import rules as R
 from . import policy as P
@@ -55,7 +52,12 @@ def mask(text: Column, found: Column, key: str) -> Column:
 
 
 def with_fingerprints(text: Column, found: Column, key: str) -> Column:
-    return F.transform(found, lambda x: x.withField("fingerprint", crypto.fingerprint(clipped(text, x["start"], x["end"]), key)))
+    def of(pieces: Column) -> Column:
+        """A span is cut to the text; where nothing is left there is nothing to fingerprint."""
+        raw = lambda s, e: F.when(e > s, cut(pieces, s, e))
+        return F.transform(found, lambda x: x.withField("fingerprint", crypto.fingerprint(raw(F.greatest(x["start"], F.lit(0)), F.least(x["end"], F.length(text))), key)))
+
+    return F.when(F.size(found) > 0, let(chunks(text), of)).otherwise(F.array().cast(WITH_FINGERPRINTS))
 
 
 def with_context(df: DataFrame, source: Column | None = None, trace_id: Column | None = None, conversation_id: Column | None = None, user_id: Column | None = None, node_type: Column | None = None, attributes: Column | None = None) -> DataFrame:
@@ -67,7 +69,7 @@ def with_context(df: DataFrame, source: Column | None = None, trace_id: Column |
 
 
 def detect(df: DataFrame, text: str = "text", wordlist: DataFrame | None = None, id_col: str = "doc_id", context_required: bool = False, languages: tuple = ("english",), check_checksum: bool = True) -> DataFrame:
-    """Adds `secrets`: findings of the key rules, in the rules' order."""
+    """Adds `secrets`: findings of the key rules, in the rules' order. wordlist: (lang, word, idx), without which mnemonics aren't sought."""
     t = F.coalesce(F.col(text), F.lit(""))
     gated = "_gates" in df.columns
     df = df if gated else df.withColumn("_gates", R.gates(t))
@@ -75,16 +77,12 @@ def detect(df: DataFrame, text: str = "text", wordlist: DataFrame | None = None,
     df = df.withColumn("_candidates", R.codec_candidates(t, key))
     df = df.withColumn("_verdicts", codecs.verified(F.transform("_candidates", lambda c: F.struct(c["rule"].alias("rule"), c["value"].alias("value")))))
     codec = {rule: R.codec_matches(F.col("_candidates"), F.col("_verdicts"), rule) for rule in R.CODEC_RULES}
-    first = no_findings()
-    if wordlist is not None:
-        df = df.join(M.mnemonic_findings(df, wordlist, id_col=id_col, text=text, languages=languages, check_checksum=check_checksum).withColumnRenamed("id", "_mid"), F.col(id_col) == F.col("_mid"), "left").drop("_mid")
-        first = F.coalesce(F.col("mnemonics").cast(FINDINGS), no_findings())
+    first = no_findings() if wordlist is None else M.mnemonic_findings(t, M.word_tables(wordlist, languages), check_checksum)
     found = F.concat(
         first, R.evm_private_key(t, context_required, key), codec["bitcoin-wif"], codec["extended-key"], R.solana_keypair(t), codec["sui-privkey"],
         R.substrate_uri(t, key), R.cardano_signing_key(t, F.col("_gates")["signing"]), codec["stellar-seed"], R.keystore_json(t), R.pem_private_key(t),
     )
-    df = df.withColumn("secrets", found.cast(FINDINGS)).drop("_candidates", "_verdicts", *([] if gated else ["_gates"]))
-    return df.drop("mnemonics") if wordlist is not None else df
+    return df.withColumn("secrets", found.cast(FINDINGS)).drop("_candidates", "_verdicts", *([] if gated else ["_gates"]))
 
 
 def scan(df: DataFrame, text: str = "text", scanners: tuple = SCANNERS, extra: list[Column] | None = None, entropy: float = R.MIN_ENTROPY) -> DataFrame:
