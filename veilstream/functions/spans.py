@@ -52,28 +52,27 @@ def cut(pieces: Column, start: Column, end: Column) -> Column:
     return F.substring(part, start - first * CHUNK + 1, F.greatest(end - start, F.lit(0)))
 
 
+#: `sweep` over a pattern's matches as SQL: written out, so that a plan with many patterns is built fast.
+_SPANS = """t -> get(transform(array(regexp_extract_all(t, {pattern}, 0)), found -> if(size(found) = 0, cast(array() as array<{span}>), aggregate(
+    zip_with(found, slice(split(t, {pattern}, -1), 1, size(found)), (v, g) -> named_struct('value', v, 'gap', length(g))),
+    named_struct('at', 0, 'block', cast(array() as array<{span}>), 'blocks', cast(array() as array<array<{span}>>)),
+    (acc, x) -> named_struct('at', acc.at + x.gap + length(x.value),
+        'block', if(size(acc.block) = {block}, array({one}), concat(acc.block, array({one}))),
+        'blocks', if(size(acc.block) = {block}, concat(acc.blocks, array(acc.block)), acc.blocks)),
+    acc -> flatten(concat(acc.blocks, array(acc.block)))))), 0)"""
+_ONE = "named_struct('start', acc.at + x.gap, 'end', acc.at + x.gap + length(x.value), 'value', x.value)"
+
+
 def regex_spans(text: Column, pattern: str, gate: Column | None = None) -> Column:
     """array<struct<start, end, value>> of the pattern's matches, in order.
 
     The parts between matches and the matches themselves give every offset, so no UDF is needed. A text without a
     match is searched once. gate: a cheap predicate that holds for every text with a match; others aren't searched.
     """
-
-    def fold(found: Column) -> Column:
-        gaps = F.split(text, pattern, -1)
-
-        def step(at: Column, x: Column) -> tuple[Column, Column]:
-            start = at + F.length(x["gap"])
-            end = start + F.length(x["value"])
-            return end, F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value"))
-
-        # there is a gap more than there are matches; the last one is left out
-        both = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda v, g: F.struct(v.alias("value"), g.alias("gap")))
-        return sweep(both, F.lit(0), SPAN, step)
-
-    empty = F.array().cast(f"array<{SPAN}>")
-    spans = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: F.when(F.size(found) > 0, fold(found)).otherwise(empty))
-    return spans if gate is None else F.when(gate, spans).otherwise(empty)
+    quoted = "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    body = F.expr(_SPANS.format(pattern=quoted, span=SPAN, block=BLOCK, one=_ONE))
+    spans = F.get(F.call_function("transform", F.array(text), body), F.lit(0))
+    return spans if gate is None else F.when(gate, spans).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
 def finding(span: Column, entity: str | Column, risk: str | Column, confidence: float | Column, rule: str, reason: str) -> Column:
