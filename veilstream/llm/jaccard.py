@@ -516,7 +516,8 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "t
     ids, keys = F.col(id_col).cast("long"), F.xxhash64(F.col(text).cast("string").cast("binary"))
     same = ids.eqNullSafe(F.col(own_id)) & keys.eqNullSafe(F.col(own_key))
     again = judged.where("not goes").drop("goes")
-    single = docs.join(judged.drop("goes"), same, "left_anti")
+    gone = judged.drop("goes")
+    single = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, same, "left_anti")
     if again.isEmpty():
         return single
     repeated = docs.join(again, same, "left_semi").withColumns({own_id: ids, own_key: keys}).dropDuplicates([own_id, own_key])
