@@ -30,8 +30,8 @@ MAX_EPOCHS = 2.0
 LABEL_WEIGHTS = (2.0, 0.5, 1.0)
 #: Key buckets of a source; each holds about this part of its rows.
 KEY_BUCKETS = 4096
-#: A table of sources up to this many rows is broadcast; a larger one is joined by shuffling.
-BROADCAST_SOURCES = 100_000
+#: A table of sources, or of weights, up to this many rows is broadcast; a larger one is joined by shuffling.
+BROADCAST_SOURCES, BROADCAST_WEIGHTS = 100_000, 500_000
 
 
 def source_targets(sizes: DataFrame, source: str = "source", size: str = "size", weights: tuple = SOURCE_WEIGHTS, share: float = TOTAL_SHARE, cap: float = MAX_EPOCHS) -> DataFrame:
@@ -69,7 +69,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source: str = "source", text: s
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source).cast("string").alias("source"), F.size(words_of(text_of(text))).cast("long").alias("size"), *([F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if carry else []))
     if quality is not None:
-        rows = rows.join(quality.groupBy("doc_id").agg(F.max("weight").alias("_weight")), "doc_id", "left")
+        weights = quality.groupBy("doc_id").agg(F.max("weight").alias("_weight"))
+        rows = rows.join(F.broadcast(weights) if quality.count() <= BROADCAST_WEIGHTS else weights, "doc_id", "left")
     else:
         rows = rows.withColumn("_weight", F.lit(1.0))
     rows = materialize(rows.withColumn("_key", sampling_key(F.col("doc_id"), F.coalesce(F.col("_weight"), F.lit(1.0)))).drop("_weight"), "mix-rows")
