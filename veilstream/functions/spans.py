@@ -10,8 +10,8 @@ FINDING = "struct<entity_type:string,risk_level:string,confidence:double,start:i
 FINDINGS = f"array<{FINDING}>"
 RISKS = ("LOW", "MEDIUM", "HIGH", "CRITICAL")
 SPAN = "struct<start:int,end:int,value:string>"
-#: Outputs that a sweep gathers at a time, and code points of a chunk.
-BLOCK, CHUNK = 256, 1024
+#: The least elements of a block of running totals, and code points of a chunk.
+BLOCK, CHUNK = 32, 1024
 
 
 def let(value: Column, body) -> Column:
@@ -19,25 +19,29 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def sweep(items: Column, zero: Column, out_type: str, step, finish=None) -> Column:
-    """One pass over an array with a state: an array of what each step puts out, nulls left out.
+#: Running totals of an array a, without the element itself, folded by {f} from {zero}: totals of blocks of about the
+#: square root of its size, then within a block. Written out, so that a plan with many patterns is built fast. (A fold that
+#: gathers an array copies it with each step.)
+_RUNNING = """get(transform(array(greatest({least}, cast(ceil(sqrt(size({a}))) as int))), width ->
+    get(transform(array(transform(sequence(0, (size({a}) - 1) div width), k -> aggregate(slice({a}, k * width + 1, width), {zero}, (p, q) -> {f}))), totals ->
+    get(transform(array(transform(totals, (total, k) -> aggregate(slice(totals, 1, k), {zero}, (p, q) -> {f}))), bases ->
+    transform({a}, (value, i) -> aggregate(slice({a}, i div width * width + 1, i % width), get(bases, i div width), (p, q) -> {f}))), 0)), 0)), 0)"""
+_ADD, _MOST = {"zero": "0", "f": "p + q"}, {"zero": str(-(2**31)), "f": "greatest(p, q)"}
+
+
+def _running(array: Column, how: dict) -> Column:
+    body = F.expr(f"a -> if(size(a) = 0, a, {_RUNNING.format(a='a', least=BLOCK, **how)})")
+    return F.get(F.call_function("transform", F.array(array.cast("array<int>")), body), F.lit(0))
 
-    step(state, item) gives the next state and one output. Outputs are gathered in blocks, so that a pass over n items
-    copies about n * BLOCK / 2 values, not n * n / 2. finish(state): what follows the last output.
-    """
-    one, many = F.array().cast(f"array<{out_type}>"), F.array().cast(f"array<array<{out_type}>>")
 
-    def fold(acc: Column, item: Column) -> Column:
-        state, out = step(acc["state"], item)
-        block = F.concat(acc["block"], F.array(out))
-        full = F.size(acc["block"]) >= BLOCK - 1
-        return F.struct(state.alias("state"), F.when(full, one).otherwise(block).alias("block"), F.when(full, F.concat(acc["blocks"], F.array(block))).otherwise(acc["blocks"]).alias("blocks"))
+def sums_before(array: Column) -> Column:
+    """For each number of an array the sum of those before it."""
+    return _running(array, _ADD)
 
-    def gathered(acc: Column) -> Column:
-        last = acc["block"] if finish is None else F.concat(acc["block"], F.array(finish(acc["state"])))
-        return F.filter(F.flatten(F.concat(acc["blocks"], F.array(last))), lambda x: x.isNotNull())
 
-    return F.aggregate(items, F.struct(zero.alias("state"), one.alias("block"), many.alias("blocks")), fold, gathered)
+def most_before(array: Column) -> Column:
+    """For each number of an array the greatest of those before it; for the first the least integer."""
+    return _running(array, _MOST)
 
 
 def chunks(text: Column) -> Column:
@@ -45,6 +49,11 @@ def chunks(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
 
 
+def cut_up(text: Column) -> Column:
+    """(pieces, size): a text's chunks and its length, both found once however many parts are cut from it."""
+    return F.struct(chunks(text).alias("pieces"), F.length(text).alias("size"))
+
+
 def cut(pieces: Column, start: Column, end: Column) -> Column:
     """The text from start to end, from its chunks: costs the length of the part, wherever in the text it stands."""
     first = F.floor(start / CHUNK).cast("int")
@@ -52,15 +61,10 @@ def cut(pieces: Column, start: Column, end: Column) -> Column:
     return F.substring(part, start - first * CHUNK + 1, F.greatest(end - start, F.lit(0)))
 
 
-#: `sweep` over a pattern's matches as SQL: written out, so that a plan with many patterns is built fast.
-_SPANS = """t -> get(transform(array(regexp_extract_all(t, {pattern}, 0)), found -> if(size(found) = 0, cast(array() as array<{span}>), aggregate(
-    zip_with(found, slice(split(t, {pattern}, -1), 1, size(found)), (v, g) -> named_struct('value', v, 'gap', length(g))),
-    named_struct('at', 0, 'block', cast(array() as array<{span}>), 'blocks', cast(array() as array<array<{span}>>)),
-    (acc, x) -> named_struct('at', acc.at + x.gap + length(x.value),
-        'block', if(size(acc.block) = {block}, array({one}), concat(acc.block, array({one}))),
-        'blocks', if(size(acc.block) = {block}, concat(acc.blocks, array(acc.block)), acc.blocks)),
-    acc -> flatten(concat(acc.blocks, array(acc.block)))))), 0)"""
-_ONE = "named_struct('start', acc.at + x.gap, 'end', acc.at + x.gap + length(x.value), 'value', x.value)"
+_SPANS = f"""t -> get(transform(array(regexp_extract_all(t, {{pattern}}, 0)), found -> if(size(found) = 0, cast(array() as array<{SPAN}>),
+    get(transform(array(transform(slice(split(t, {{pattern}}, -1), 1, size(found)), g -> length(g))), gaps ->
+    get(transform(array(zip_with(found, gaps, (v, g) -> g + length(v))), steps ->
+    zip_with(found, zip_with(gaps, {_RUNNING.format(a="steps", least=BLOCK, **_ADD)}, (g, at) -> at + g), (v, at) -> named_struct('start', at, 'end', at + length(v), 'value', v))), 0)), 0))), 0)"""
 
 
 def regex_spans(text: Column, pattern: str, gate: Column | None = None) -> Column:
@@ -70,7 +74,7 @@ def regex_spans(text: Column, pattern: str, gate: Column | None = None) -> Colum
     match is searched once. gate: a cheap predicate that holds for every text with a match; others aren't searched.
     """
     quoted = "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    body = F.expr(_SPANS.format(pattern=quoted, span=SPAN, block=BLOCK, one=_ONE))
+    body = F.expr(_SPANS.format(pattern=quoted))
     spans = F.get(F.call_function("transform", F.array(text), body), F.lit(0))
     return spans if gate is None else F.when(gate, spans).otherwise(F.array().cast(f"array<{SPAN}>"))
 
@@ -105,17 +109,22 @@ def by_position(found: Column) -> Column:
 
 
 def merge(found: Column) -> Column:
-    """Overlapping findings become one span; the highest risk names it, the first of equals. Touching spans stay apart."""
+    """Overlapping findings become one span; the highest risk names it, the first of equals. Touching spans stay apart.
 
-    def step(last: Column, x: Column) -> tuple[Column, Column]:
-        wins = risk_order(x["risk_level"]) > risk_order(last["risk_level"])
-        pick = lambda name: F.when(wins, x[name]).otherwise(last[name])
-        joined = F.struct(*(pick(n).alias(n) for n in ("entity_type", "risk_level", "confidence")), last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"), *(pick(n).alias(n) for n in ("rule_id", "reason")))
-        apart = last.isNull() | (x["start"] >= last["end"])
-        return F.when(apart, x).otherwise(joined), F.when(apart, last)
+    A span begins a new one where it starts at or after the end of all before it.
+    """
+
+    def island(part: Column) -> Column:
+        first = F.get(part, F.lit(0))
+        best = F.aggregate(part, first, lambda a, x: F.when(risk_order(x["risk_level"]) > risk_order(a["risk_level"]), x).otherwise(a))
+        return let(best, lambda x: x.withField("start", first["start"]).withField("end", F.array_max(F.transform(part, lambda y: y["end"]))))
 
-    merged = lambda f: sweep(by_position(f), F.lit(None).cast(FINDING), FINDING, step, lambda last: last)
-    return let(found, lambda f: F.when(F.size(f) > 1, merged(f)).otherwise(f))
+    def of(f: Column) -> Column:
+        reach = most_before(F.transform(f, lambda x: x["end"]))
+        begins = F.filter(F.zip_with(F.sequence(F.lit(0), F.size(f) - 1), F.zip_with(f, reach, lambda x, r: x["start"] >= r), lambda i, new: F.when(new, i)), lambda i: i.isNotNull())
+        return let(begins, lambda b: F.transform(b, lambda i, k: island(F.slice(f, i + 1, F.coalesce(F.get(b, k + 1), F.size(f)) - i))))
+
+    return let(found, lambda f: F.when(F.size(f) > 1, let(by_position(f), of)).otherwise(f))
 
 
 def merge_within_type(found: Column) -> Column:
@@ -132,12 +141,15 @@ def clipped(text: Column, start: Column, end: Column) -> Column:
 def replace_spans(text: Column, found: Column, replacement) -> Column:
     """The text with every span of `found` (disjoint, in order) replaced by replacement(finding, raw)."""
 
-    def whole(pieces: Column) -> Column:
-        def step(at: Column, x: Column) -> tuple[Column, Column]:
-            s, e = F.greatest(x["start"], F.lit(0)), F.least(x["end"], F.length(text))
-            covers = e > s
-            return F.when(covers, e).otherwise(at), F.when(covers, F.concat(cut(pieces, at, s), replacement(x, cut(pieces, s, e))))
+    def whole(t: Column) -> Column:
+        pieces, size = t["pieces"], t["size"]
+        clip = lambda x: F.struct(F.greatest(x["start"], F.lit(0)).alias("s"), F.least(x["end"], size).alias("e"), x.alias("x"))
+
+        def masked(kept: Column) -> Column:
+            until = lambda i: F.coalesce(F.get(kept, i)["e"], F.lit(0))
+            parts = F.transform(kept, lambda c, i: F.concat(cut(pieces, until(i - 1), c["s"]), replacement(c["x"], cut(pieces, c["s"], c["e"]))))
+            return F.concat(F.array_join(parts, ""), cut(pieces, until(F.size(kept) - 1), size))
 
-        return F.array_join(sweep(found, F.lit(0), "string", step, lambda at: cut(pieces, at, F.length(text))), "")
+        return let(F.filter(F.transform(found, clip), lambda c: c["e"] > c["s"]), masked)
 
-    return F.when(F.size(found) > 0, let(chunks(text), whole)).otherwise(text)
+    return F.when(F.size(found) > 0, let(cut_up(text), whole)).otherwise(text)

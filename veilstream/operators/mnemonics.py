@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.spans import FINDINGS, chunks, finding, has_context, let, no_findings, regex_spans, sweep
+from ..functions.spans import FINDINGS, chunks, finding, has_context, let, no_findings, regex_spans, sums_before
 from .rules import CONTEXT, MNEMONIC_TERMS
 
 #: Lengths of a mnemonic, bits of a word's number, and the class of characters that part words.
@@ -100,15 +100,10 @@ def runs_in(text: Column, table: WordTable, least: int = 1) -> Column:
         if table.chinese:
             return F.transform(regex_spans(text, HAN), lambda s, i: F.struct(i.alias("pos"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("low")))
         gaps = F.concat(F.regexp_extract_all(text, F.lit(BREAKS), F.lit(0)), F.array(F.lit("")))
-        state = F.struct(F.lit(0).alias("pos"), F.lit(0).alias("at"))
-
-        def step(now: Column, x: Column) -> tuple[Column, Column]:
-            end = now["at"] + F.length(x["word"])
-            word = F.struct(now["pos"].alias("pos"), now["at"].alias("start"), end.alias("end"), F.lower(x["word"]).alias("low"))
-            return F.struct((now["pos"] + 1).alias("pos"), (end + F.length(x["gap"])).alias("at")), word
-
-        both = F.zip_with(F.split(text, BREAKS, -1), gaps, lambda w, g: F.struct(w.alias("word"), g.alias("gap")))
-        return sweep(both, state, "struct<pos:int,start:int,end:int,low:string>", step)
+        words = F.zip_with(F.split(text, BREAKS, -1), gaps, lambda w, g: F.struct(F.lower(w).alias("low"), F.length(w).alias("size"), (F.length(w) + F.length(g)).alias("step")))
+        starts = lambda ws: sums_before(F.transform(ws, lambda w: w["step"]))
+        word = lambda w, s: F.struct(s.alias("start"), (s + w["size"]).alias("end"), w["low"].alias("low"))
+        return let(words, lambda ws: F.transform(F.zip_with(ws, starts(ws), word), lambda w, i: F.struct(i.alias("pos"), w["start"].alias("start"), w["end"].alias("end"), w["low"].alias("low"))))
 
     def of(marks: Column) -> Column:
         islands = regex_spans(marks, f"1{{{least},}}")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import codecs, crypto
-from ..functions.spans import FINDINGS, chunks, cut, let, merge, merge_within_type, no_findings, replace_spans
+from ..functions.spans import FINDINGS, cut, cut_up, let, merge, merge_within_type, no_findings, replace_spans
 from ..operators import mnemonics as M
 from ..operators import rules as R
 from . import policy as P
@@ -52,12 +52,12 @@ def mask(text: Column, found: Column, key: str) -> Column:
 
 
 def with_fingerprints(text: Column, found: Column, key: str) -> Column:
-    def of(pieces: Column) -> Column:
+    def of(t: Column) -> Column:
         """A span is cut to the text; where nothing is left there is nothing to fingerprint."""
-        raw = lambda s, e: F.when(e > s, cut(pieces, s, e))
-        return F.transform(found, lambda x: x.withField("fingerprint", crypto.fingerprint(raw(F.greatest(x["start"], F.lit(0)), F.least(x["end"], F.length(text))), key)))
+        raw = lambda s, e: F.when(e > s, cut(t["pieces"], s, e))
+        return F.transform(found, lambda x: x.withField("fingerprint", crypto.fingerprint(raw(F.greatest(x["start"], F.lit(0)), F.least(x["end"], t["size"])), key)))
 
-    return F.when(F.size(found) > 0, let(chunks(text), of)).otherwise(F.array().cast(WITH_FINGERPRINTS))
+    return F.when(F.size(found) > 0, let(cut_up(text), of)).otherwise(F.array().cast(WITH_FINGERPRINTS))
 
 
 def with_context(df: DataFrame, source: Column | None = None, trace_id: Column | None = None, conversation_id: Column | None = None, user_id: Column | None = None, node_type: Column | None = None, attributes: Column | None = None) -> DataFrame:

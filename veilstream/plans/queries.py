@@ -11,9 +11,11 @@ from ..functions import codecs, crypto, spans
 from ..operators import conversations, mnemonics, structured
 from ..operators import rules as R
 from ..sources import providers, settings
+from ..sources.audit import AuditLog
 from ..sources.planted import planted, planted_sql
-from ..sources.tables import spread, table
+from ..sources.tables import shared_folder, spread, table
 from ..sources.wordlists import han_wordlist, syllable_wordlist
+from ..streaming import conversations as stream
 from . import configured, inspection, policy
 
 PEPPER = "query-pepper"
@@ -437,6 +439,11 @@ query("bip39_checksum", f"SELECT doc_id, CAST(14 + 5 * p AS INT) AS start_at, CA
     lambda s, d: mnemonics.mnemonics(_phrases(s, d), syllable_wordlist(s)).select(F.col("id").alias("doc_id"), F.col("start").alias("start_at"), F.col("end").alias("end_at"), "n_words", "risk_level")
 )
 
+#: Ids that are null or shared: a third of the texts has none, and another third that of the text before it.
+query("mnemonic_any_id", f"SELECT md5(text) AS text_md5, action, n_findings FROM ({decisions_sql(source_sql('planted_mixed'))}) JOIN ({source_sql('planted_mixed')}) USING (doc_id)")(
+    lambda s, d: inspection.inspect(texts(s, d, "planted_mixed").withColumn("doc_id", F.expr("case doc_id % 3 when 0 then null when 1 then doc_id - 1 else doc_id end")), pepper=PEPPER, wordlist=syllable_wordlist(s)).select(F.md5("text").alias("text_md5"), "action", F.size("findings").cast("long").alias("n_findings"))
+)
+
 # conversations and structured texts --------------------------------------------------------------------------------
 
 _NORM = "trim(regexp_replace(text, '[^\\p{L}\\p{N}]+', ' ', 'g'))"
@@ -507,3 +514,50 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: decisions and sanitised texts for all documents."""
     out = _decisions(spark, sf_dir, "documents")
     return out.select("doc_id", "action", F.size("findings").alias("n_findings"), "sanitized_text")
+
+# streams -----------------------------------------------------------------------------------------------------------
+
+_ALL_TURNS = f"SELECT conv_id, turn, {_NORM} AS norm FROM conversations"
+
+
+@query("conversation_stream", f"""SELECT CAST(conv_id AS VARCHAR) AS conv_id, turn, concat_ws(' ', CASE WHEN turn - t2 < 3 THEN n2 END, CASE WHEN turn - t1 < 3 THEN n1 END, norm) AS window_text FROM (
+    SELECT *, lag(norm, 1) OVER w AS n1, lag(turn, 1) OVER w AS t1, lag(norm, 2) OVER w AS n2, lag(turn, 2) OVER w AS t2 FROM ({_ALL_TURNS}) WHERE norm <> '' WINDOW w AS (PARTITION BY conv_id ORDER BY turn))""")
+def conversation_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of all turns from a stream of the table; a turn is ten minutes after the one before it, and expires after thirty."""
+    # a pattern, since a stream takes a folder or a pattern, and the table may be one file
+    turns = spark.readStream.schema(table(spark, sf_dir, "conversations").schema).parquet(f"{sf_dir}/conversation[s].parquet")
+    turns = turns.select(F.col("conv_id").cast("string").alias("conv_id"), "turn", "text", F.timestamp_seconds(F.col("turn") * 600).alias("at"))
+    rows = stream.windows(turns, ttl=1800, ts="at", drop_idle=False)
+    return stream.run_available(rows, shared_folder(spark, "turns")).select("conv_id", "turn", F.col("window").alias("window_text"))
+
+
+#: Turns ten minutes apart; every fifth comes twelve minutes after its time, every seventh fifty. They may be 15 minutes old.
+_SHIFT = "CASE WHEN (conv_id + turn) % 7 = 0 THEN 3000 WHEN (conv_id + turn) % 5 = 0 THEN 720 ELSE 0 END"
+_LATE, _TTL = 900, 1800
+
+
+@query("conversation_late", f"""WITH t AS (SELECT conv_id, turn, norm, turn * 600 - {_SHIFT} AS ts FROM ({_ALL_TURNS}) WHERE norm <> ''),
+    l AS (SELECT *, coalesce(ts < max(ts) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - {_LATE}, false) AS late FROM t),
+    p AS (SELECT x.conv_id, x.turn, y.norm, y.ts, y.turn AS n, row_number() OVER (PARTITION BY x.conv_id, x.turn ORDER BY y.ts DESC, y.turn DESC) AS back FROM l x JOIN l y ON x.conv_id = y.conv_id AND y.turn <= x.turn AND (y.ts < x.ts OR (y.ts = x.ts AND y.turn <= x.turn)) AND NOT x.late AND NOT y.late
+        QUALIFY back <= 3 AND y.ts > x.ts - {_TTL})
+    SELECT CAST(l.conv_id AS VARCHAR) AS conv_id, l.turn, late, string_agg(p.norm, ' ' ORDER BY p.ts, p.n) AS window_text FROM l LEFT JOIN p ON l.conv_id = p.conv_id AND l.turn = p.turn GROUP BY ALL""")
+def conversation_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns out of order and too late, in three batches: a turn's window, or that it is late."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", F.expr(f"timestamp_seconds(turn * 600 - {_SHIFT})").alias("at"))
+    turns = turns.withColumn("conv_id", F.col("conv_id").cast("string"))
+    at = shared_folder(spark, "late")
+    for those in ("turn < 3", "turn between 3 and 5", "turn > 5"):
+        turns.where(those).write.mode("append").parquet(f"{at}/in")
+    source = spark.readStream.schema(turns.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+    rows = stream.timed_windows(source, ttl=_TTL, ts="at", delay=_LATE, drop_idle=False)
+    return stream.run_available(rows, at).select("conv_id", "turn", "late", F.col("window").alias("window_text"))
+
+
+@query("audit_log", f"WITH f AS MATERIALIZED ({all_sql(source_sql('planted_mixed'))}), x AS MATERIALIZED ({decisions_sql(source_sql('planted_mixed'))}) SELECT CAST(doc_id % 3 AS BIGINT) AS batch, rule_id, action, count(*) AS n_events, CAST(sum(n_findings) AS BIGINT) AS spans FROM f JOIN x USING (doc_id) GROUP BY ALL")
+def audit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of three batches, the second of which is written twice, read back from the log."""
+    rows, log = texts(spark, sf_dir, "planted_mixed"), AuditLog(f"{shared_folder(spark, 'audit')}/events")
+    each = stream.inspect_batches(lambda _: None, log, pepper=PEPPER, wordlist=syllable_wordlist(spark))
+    for number in (0, 1, 1, 2):
+        each(rows.where(F.col("doc_id") % 3 == number), number)
+    return log.read(spark).groupBy("batch", "rule_id", "action").agg(F.count(F.lit(1)).alias("n_events"), F.sum("span_count").alias("spans"))
