@@ -123,3 +123,45 @@ def test_providers(spark):
     rows = df.withColumn("e", call("text", "lang"))
     assert len(rows.select(providers.pii_findings(F.col("text"), F.col("e"))).first()[0]) == 1
     assert [(f["start"], f["end"]) for f in rows.select(providers.injection_findings(F.col("text"), F.col("e"))).first()[0]] == [(0, 5), (3, 11)]
+
+
+def test_json_columns(spark):
+    """Fields as columns are those of the reader in Python, on JSON made and broken by chance; long ones too."""
+    import random
+
+    rng = random.Random(2)
+
+    def value(depth=0):
+        space = lambda: rng.choice(["", " ", "\n"])
+        string = lambda: '"' + "".join(rng.choice(["a", "b_c", "é", '\\"', "\\n", " ", ":", "{", "]", "\\\\"]) for _ in range(rng.randint(0, 4))) + '"'
+        kind = rng.random()
+        if depth > 3 or kind < 0.3:
+            return string()
+        if kind < 0.45:
+            return rng.choice(["1", "true", "null", "x-y"])
+        if kind < 0.75:
+            return "{" + space() + ("," + space()).join(string() + space() + ":" + space() + value(depth + 1) for _ in range(rng.randint(0, 3))) + space() + "}"
+        return "[" + space() + (space() + ",").join(value(depth + 1) for _ in range(rng.randint(0, 3))) + space() + "]"
+
+    texts = ['{"a":"b",}', "[1,]", '{"a"', "   ", "", '{"a":1} x', "[1 2]", '{"a":"x" "y"}', '{"a":"b"}"c":"d"', "[" * 300 + '"deep"' + "]" * 300, "[" + ",".join(f'{{"k{i}":"v{i}"}}' for i in range(3000)) + "]"]
+    for _ in range(600):
+        t = value()
+        if rng.random() < 0.4 and t:
+            i = rng.randrange(len(t))
+            t = t[:i] + rng.choice(["", '"', ",", "}", "x", " "]) + t[i + rng.randint(0, 1) :]
+        texts.append(rng.choice(["", " "]) + t)
+    for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", structured.fields_in(F.col("t")).alias("f")).collect():
+        want = structured.json_fields(r["t"])
+        plain = want == [(None, None, r["t"], 0, len(r["t"]))]
+        assert [tuple(x) for x in r["f"]] == ([] if plain else [x[1:] for x in want]), r["t"]
+
+
+def test_inspection_of_json(spark):
+    key = "ab" * 32
+    rows = [(1, f'{{"private_key":"{key}"}}'), (2, f'{{"a":{{"wallet-key": "0x{key}"}},"b":["x"]}}'), (3, f'{{"private_key":"{key}",}}'), (4, '{"m":"mail a@b.com"}'), (5, f'["{key}"]'), (6, '{"password":"","b":"long value that is no password"}')]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["action"], [(f["risk_level"], f["start"], f["end"]) for f in r["findings"]]) for r in inspection.inspect(df, pepper="p").collect()}
+    assert got[1] == ("BLOCK", [("CRITICAL", 16, 80)]) and got[2] == ("BLOCK", [("CRITICAL", 21, 87)]) and got[3] == ("BLOCK", [("MEDIUM", 16, 80)])
+    assert got[4] == ("MASK", [("MEDIUM", 11, 18)]) and got[5] == ("BLOCK", [("MEDIUM", 2, 66)])
+    plain = {r["doc_id"]: [f["risk_level"] for f in r["secrets"]] for r in inspection.detect(df, fields=False).collect()}
+    assert plain[1] == ["MEDIUM"]

@@ -6,9 +6,11 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.spans import let, regex_spans, sums_before
+
 _TOKEN = re.compile(r'\s*(?:(?P<string>"(?:[^"\\]|\\.)*")|(?P<mark>[{}\[\]:,])|(?P<bare>[^\s{}\[\]:,"]+))', re.DOTALL | re.ASCII)
 
 
@@ -79,6 +81,82 @@ def json_fields(text: str | None) -> list[tuple[str | None, str | None, str, int
     return out if done else whole
 
 
+#: Patterns of a string and of other tokens; between fields stands what no rule reaches across.
+STRING, BARE = '(?s)"(?:[^"\\\\]++|\\\\.)*+"', '[^\\s{}\\[\\]:,"]+'
+APART = " " * 64 + "\x00" + " " * 64
+#: A container without others in it, in a skeleton: values are b or "".
+_FLAT = '\\{(?:"":(?:b|"")(?:,"":(?:b|""))*+)?\\}|\\[(?:(?:b|"")(?:,(?:b|""))*+)?\\]'
+FIELD = "struct<key:string,value:string,value_start:int,value_end:int>"
+
+
+def is_json(text: Column) -> Column:
+    """Whether a text is an object or array: strings become "", other tokens b, and containers values, from the inside out.
+
+    Any bare token passes as a value; trailing commas, unclosed containers and text around them don't.
+    """
+    skeleton = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, STRING, '""'), BARE, "b"), "\\s+", "")
+
+    def closed(s: Column) -> Column:
+        opened = F.length(s) - F.length(F.translate(s, "{[", ""))
+        return F.aggregate(F.sequence(F.lit(1), opened), s, lambda left, _: F.when(left == "b", left).otherwise(F.regexp_replace(left, _FLAT, "b"))) == "b"
+
+    # the gaps between tokens that touched are gone, so `1 2` must not pass as one value
+    return F.when(F.rlike(text, F.lit("^[ \\t\\r\\n]*[{\\[]")), let(skeleton, closed)).otherwise(F.lit(False))
+
+
+def fields_in(text: Column) -> Column:
+    """array<struct<key, value, value_start, value_end>>: the string values of a JSON text, in order; escapes stay in values.
+
+    A string that a colon follows is a key, of the string that comes right after it.
+    """
+
+    def of(strings: Column) -> Column:
+        key = lambda s: F.regexp_replace(F.regexp_replace(s["value"], '(?s)^"(.*)"\\s*:\\s*$', "$1"), "(?s)\\\\(.)", "$1")
+
+        def field(s: Column, before: Column) -> Column:
+            own = F.when(before["end"] == s["start"], key(before))
+            return F.struct(own.alias("key"), F.substring(s["value"], F.lit(2), F.length(s["value"]) - 2).alias("value"), (s["start"] + 1).alias("value_start"), (s["end"] - 1).alias("value_end"))
+
+        made = F.transform(strings, lambda s, i: F.when(F.endswith(s["value"], F.lit('"')), field(s, F.get(strings, i - 1))))
+        return F.filter(made, lambda f: f.isNotNull())
+
+    return F.when(is_json(text), let(regex_spans(text, STRING + "(?:\\s*:\\s*)?"), of)).otherwise(F.array().cast(f"array<{FIELD}>"))
+
+
+def with_fields(text: Column) -> Column:
+    """struct<text, size, fields array<struct<start, end, shift>>>: the text, followed by its fields if it is JSON.
+
+    Each field stands there as its value after its key in words, far enough from others that no rule sees two of them.
+    size is that of the text alone; a field's value is at start to end, and `shift` before that in the text itself.
+    """
+    plain = F.struct(text.alias("text"), F.length(text).alias("size"), F.array().cast("array<struct<start:int,end:int,shift:int>>").alias("fields"))
+
+    def of(fields: Column) -> Column:
+        prefix = lambda f: F.coalesce(F.concat(F.regexp_replace(f["key"], "[_\\-.]", " "), F.lit(": ")), F.lit(""))
+        lines = F.transform(fields, lambda f: F.struct(F.concat(prefix(f), f["value"]).alias("line"), F.length(prefix(f)).alias("lead"), f["value_start"].alias("at"), F.length(f["value"]).alias("size")))
+
+        def placed(ls: Column) -> Column:
+            first = F.length(text) + len(APART)
+            starts = sums_before(F.transform(ls, lambda x: F.length(x["line"]) + len(APART)))
+            place = lambda x, s: let(first + s + x["lead"], lambda at: F.struct(at.alias("start"), (at + x["size"]).alias("end"), (at - x["at"]).alias("shift")))
+            return F.struct(F.concat(text, F.lit(APART), F.array_join(F.transform(ls, lambda x: x["line"]), APART)).alias("text"), F.length(text).alias("size"), F.zip_with(ls, starts, place).alias("fields"))
+
+        return let(lines, placed)
+
+    return let(fields_in(text), lambda fields: F.when(F.size(fields) > 0, of(fields)).otherwise(plain))
+
+
+def placed_back(found: Column, whole: Column) -> Column:
+    """Findings of `with_fields`'s text as findings of the text: those in a field's value move there, others beyond it go."""
+
+    def back(x: Column) -> Column:
+        held = F.get(F.filter(whole["fields"], lambda f: (x["start"] >= f["start"]) & (x["end"] <= f["end"])), F.lit(0))
+        moved = let(held["shift"], lambda shift: F.when(shift.isNotNull(), x.withField("start", x["start"] - shift).withField("end", x["end"] - shift)))
+        return F.when(x["end"] <= whole["size"], x).otherwise(moved)
+
+    return F.when(F.size(whole["fields"]) > 0, F.filter(F.transform(found, back), lambda x: x.isNotNull())).otherwise(found)
+
+
 def extract_fields(df: DataFrame, id_col: str = "doc_id", text: str = "json") -> DataFrame:
     """(id, path, key, value, value_start, value_end) for every string value of every text."""
     names = ["id", "path", "key", "value", "value_start", "value_end"]

@@ -9,6 +9,7 @@ from ..functions import codecs, crypto
 from ..functions.spans import FINDINGS, cut, cut_up, let, merge, merge_within_type, no_findings, replace_spans
 from ..operators import mnemonics as M
 from ..operators import rules as R
+from ..operators import structured as S
 from . import policy as P
 
 #: What a blocked text becomes, and the message for its sender.
@@ -68,10 +69,19 @@ def with_context(df: DataFrame, source: Column | None = None, trace_id: Column |
     return df.withColumn(CONTEXT, F.struct(*parts, (empty if attributes is None else F.coalesce(attributes, empty)).alias("attributes")))
 
 
-def detect(df: DataFrame, text: str = "text", wordlist: DataFrame | None = None, id_col: str = "doc_id", context_required: bool = False, languages: tuple = ("english",), check_checksum: bool = True) -> DataFrame:
-    """Adds `secrets`: findings of the key rules, in the rules' order. wordlist: (lang, word, idx), without which mnemonics aren't sought."""
+def detect(df: DataFrame, text: str = "text", wordlist: DataFrame | None = None, id_col: str = "doc_id", context_required: bool = False, languages: tuple = ("english",), check_checksum: bool = True, fields: bool = True) -> DataFrame:
+    """Adds `secrets`: findings of the key rules, in the rules' order. wordlist: (lang, word, idx), without which mnemonics aren't sought.
+
+    fields: the string values of a JSON text are searched too, each after its key in words; what is found in them is
+    told of the text, beside what is found in it as a whole.
+    """
     t = F.coalesce(F.col(text), F.lit(""))
     gated = "_gates" in df.columns
+    if fields:
+        df = df.withColumn("_whole", S.with_fields(t))
+        alone, t = t, F.col("_whole")["text"]
+    else:
+        alone = t
     df = df if gated else df.withColumn("_gates", R.gates(t))
     key = F.col("_gates")["key"]
     df = df.withColumn("_candidates", R.codec_candidates(t, key))
@@ -80,9 +90,11 @@ def detect(df: DataFrame, text: str = "text", wordlist: DataFrame | None = None,
     first = no_findings() if wordlist is None else M.mnemonic_findings(t, M.word_tables(wordlist, languages), check_checksum)
     found = F.concat(
         first, R.evm_private_key(t, context_required, key), codec["bitcoin-wif"], codec["extended-key"], R.solana_keypair(t), codec["sui-privkey"],
-        R.substrate_uri(t, key), R.cardano_signing_key(t, F.col("_gates")["signing"]), codec["stellar-seed"], R.keystore_json(t), R.pem_private_key(t),
+        R.substrate_uri(t, key), R.cardano_signing_key(alone, F.col("_gates")["signing"]), codec["stellar-seed"], R.keystore_json(alone), R.pem_private_key(t),
     )
-    return df.withColumn("secrets", found.cast(FINDINGS)).drop("_candidates", "_verdicts", *([] if gated else ["_gates"]))
+    if fields:
+        found = S.placed_back(found.cast(FINDINGS), F.col("_whole"))
+    return df.withColumn("secrets", found.cast(FINDINGS)).drop("_candidates", "_verdicts", "_whole", *([] if gated else ["_gates"]))
 
 
 def scan(df: DataFrame, text: str = "text", scanners: tuple = SCANNERS, extra: list[Column] | None = None, entropy: float = R.MIN_ENTROPY) -> DataFrame:

@@ -514,6 +514,15 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: decisions and sanitised texts for all documents."""
     out = _decisions(spark, sf_dir, "documents")
     return out.select("doc_id", "action", F.size("findings").alias("n_findings"), "sanitized_text")
+_PROPS = source_sql("planted_props")
+#: json_valid lets trailing commas pass.
+_FIELD_TERMS = lambda terms: "(" + " OR ".join(f"contains(line, '{t}')" for t in terms) + ")"
+query("inspect_json", f"""WITH k AS (SELECT doc_id, text, v, s, e, lower(regexp_replace(regexp_extract(substr(text, 1, CAST(s - 1 AS BIGINT)), '"([^"]*)"\\s*:\\s*$', 1), '[_.-]', ' ', 'g')) || ': ' || v AS line FROM {spans_sql(_PROPS, R.HEX64)} WHERE json_valid(text) AND NOT regexp_matches(text, ',\\s*[}}\\]]')),
+    g AS (SELECT *, CASE WHEN {_FIELD_TERMS(R.KEY_TERMS)} AND {VALID_SQL} THEN 3 WHEN {_FIELD_TERMS(R.KEY_TERMS)} THEN 2 WHEN {_FIELD_TERMS(R.NOT_KEY_TERMS)} OR NOT ({VALID_SQL}) THEN 0 ELSE 1 END AS grade FROM k),
+    a AS (SELECT doc_id, CASE grade WHEN 3 THEN 'CRITICAL' WHEN 2 THEN 'HIGH' ELSE 'MEDIUM' END AS risk_level, CAST(s AS INT) AS start_at, CAST(e AS INT) AS end_at FROM g WHERE grade > 0 UNION ALL SELECT doc_id, risk_level, start_at, end_at FROM ({hex_sql(_PROPS)}))
+    SELECT doc_id, 'PRIVATE_KEY_HEX' AS entity_type, arg_max(risk_level, {_RISK_SQL}) AS risk_level, min(start_at) AS start_at, max(end_at) AS end_at FROM a GROUP BY doc_id""")(
+    lambda s, d: _exploded(_decisions(s, d, "planted_props"), F.col("findings"))
+)
 
 # streams -----------------------------------------------------------------------------------------------------------
 

@@ -63,6 +63,14 @@ RELATIONS = {
         WHEN 6 THEN concat('bearer eyJ', substr(translate({sha:CAST(c_custkey AS VARCHAR(20))}, '0123456789', 'abcdefabcd'), 1, 20), '.eyJ', substr(translate({sha:CAST(c_custkey AS VARCHAR(20))}, '0123456789', 'abcdefabcd'), 21, 20), '.', substr(translate({sha:CAST(c_custkey AS VARCHAR(20))}, '0123456789', 'abcdefabcd'), 41, 20), ' from 13800138000')
         WHEN 7 THEN concat('maps AIza', substr(translate({sha:CAST(c_custkey AS VARCHAR(20))}, '0123456789', 'abcdefabcd'), 1, 35), ' and tx 0x', translate({sha:c_name}, '0123456789', 'abcdefabcd'), ' tx_hash')
         ELSE concat('words ', {phrase}, ' only, ', c_name) END AS text FROM customer""",
+    # JSON: nested, escaped, with a trailing comma, a name that speaks against a key, inside other text, in an array
+    "planted_props": """SELECT p_partkey AS doc_id, CASE p_partkey % 6
+        WHEN 0 THEN concat('{"part":{"name":"', p_name, '","keys":[{"private_key" : "', {hex}, '"}]},"n":1}')
+        WHEN 1 THEN concat('{"note":"a ', chr(92), '"quoted', chr(92), '" {brace}","wallet-key":"0x', {hex}, '"}')
+        WHEN 2 THEN concat('{"private_key":"', {hex}, '",}')
+        WHEN 3 THEN concat('{"tx_hash":"', {hex}, '"}')
+        WHEN 4 THEN concat('see {"private_key":"', {hex}, '"} here')
+        ELSE concat('["x", 12, {"secret key":"', {hex}, '"}]') END AS text FROM part""",
     # seeds with derivation junctions
     "planted_uri": """SELECT c_custkey AS doc_id, CASE c_custkey % 4
         WHEN 0 THEN concat('use 0x', {sha:CAST(c_custkey AS VARCHAR(20))}, '//hard/soft', CAST(c_custkey AS VARCHAR(20)), ' now')
@@ -74,11 +82,13 @@ RELATIONS = {
 _K = "((c_custkey * 7919 + {i} * {i} * 131 + {i} * 17) % 2048)"
 _W = "substr('bcdfghjklmnpqrst', CAST(floor({k} / 128) AS INT) + 1, 1), substr('aeio', CAST(floor({k} / 32) % 4 AS INT) + 1, 1), substr('bdfgklmn', CAST(floor({k} / 4) % 8 AS INT) + 1, 1), substr('aeio', CAST({k} % 4 AS INT) + 1, 1)"
 PHRASE = "concat(" + ", ' ', ".join(_W.replace("{k}", _K.replace("{i}", str(i))) for i in range(12)) + ")"
-TABLES = {"planted_mixed": "customer", "planted_uri": "customer", "planted_hex": "orders", "planted_address": "customer", "planted_pii": "customer", "planted_cred": "supplier", "planted_turns": "lineitem", "planted_json": "part", "planted_files": "supplier"}
+#: Letters only, so that no number stands in a key by chance.
+HEX = "translate({sha:CAST(p_partkey AS VARCHAR(20))}, '0123456789', 'abcdefabcd')"
+TABLES = {"planted_props": "part", "planted_mixed": "customer", "planted_uri": "customer", "planted_hex": "orders", "planted_address": "customer", "planted_pii": "customer", "planted_cred": "supplier", "planted_turns": "lineitem", "planted_json": "part", "planted_files": "supplier"}
 
 
 def _filled(name: str, sha: str) -> str:
-    out = RELATIONS[name].replace("{phrase}", PHRASE)
+    out = RELATIONS[name].replace("{phrase}", PHRASE).replace("{hex}", HEX)
     while "{sha:" in out:
         start = out.index("{sha:")
         end = out.index("}", start)
