@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 
 import pandas as pd
@@ -153,6 +154,12 @@ def is_sui_key(token: str) -> bool:
     return data is not None and len(data) == 33 and data[0] <= 3
 
 
+def stellar_seed(payload: bytes) -> str:
+    """The seed of 32 bytes: version, payload and their CRC in base 32."""
+    body = b"\x90" + payload
+    return base64.b32encode(body + crc16_xmodem(body).to_bytes(2, "little")).decode().rstrip("=")
+
+
 def is_stellar_seed(token: str) -> bool:
     data = base32_decode(token)
     return data is not None and len(data) == 35 and data[0] == 0x90 and crc16_xmodem(data[:33]) == int.from_bytes(data[33:], "little")

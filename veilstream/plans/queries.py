@@ -16,7 +16,7 @@ from ..sources.planted import planted, planted_sql
 from ..sources.tables import shared_folder, spread, table
 from ..sources.wordlists import han_wordlist, syllable_wordlist
 from ..streaming import conversations as stream
-from . import configured, inspection, policy
+from . import acceptance, configured, inspection, policy
 
 PEPPER = "query-pepper"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -524,6 +524,29 @@ query("inspect_json", f"""WITH k AS (SELECT doc_id, text, v, s, e, lower(regexp_
     lambda s, d: _exploded(_decisions(s, d, "planted_props"), F.col("findings"))
 )
 
+#: Cases by the kind of a text: what is expected of it. Every fifth says that it is a known gap, every seventh is deferred.
+_ACTIONS = {0: "BLOCK", 1: "MASK", 2: "BLOCK", 3: "BLOCK", 4: "MASK", 5: "BLOCK", 6: "BLOCK", 7: "ALLOW", 8: "ALLOW"}
+_BY_KIND = "CASE doc_id % 9 " + " ".join(f"WHEN {k} THEN '{a}'" for k, a in _ACTIONS.items()) + " END"
+_MIXED = source_sql("planted_mixed")
+_PASSES = "action = wanted AND CASE WHEN len(expected) = 0 THEN len(found) = 0 ELSE list_has_all(found, expected) END AND n_findings >= doc_id % 2 AND NOT contains(sanitized_text, '@example.com')"
+
+
+@query("acceptance_report", f"""WITH s AS MATERIALIZED ({decisions_sql(_MIXED)}), m AS MATERIALIZED ({masked_sql(_MIXED, decisions_sql(_MIXED))}), f AS (SELECT doc_id, list(DISTINCT entity_type) AS found FROM ({all_sql(_MIXED)}) GROUP BY doc_id),
+    c AS (SELECT s.doc_id, s.action, n_findings, sanitized_text, coalesce(found, CAST([] AS VARCHAR[])) AS found, {_EXPECTED_SQL.replace("doc_id", "s.doc_id")} AS expected, {_BY_KIND.replace("doc_id", "s.doc_id")} AS wanted FROM s JOIN m USING (doc_id) LEFT JOIN f USING (doc_id)),
+    b AS (SELECT 'kind ' || doc_id % 9 AS category, CASE WHEN doc_id % 7 = 0 THEN 'SKIPPED' WHEN {_PASSES} THEN 'PASS' WHEN doc_id % 5 = 0 THEN 'KNOWN_GAP_FAIL' ELSE 'REGRESSION_FAIL' END AS bucket FROM c)
+    SELECT category, {", ".join(f"count(*) FILTER (bucket = '{b}') AS {b}" for b in acceptance.BUCKETS)} FROM b GROUP BY category""")
+def acceptance_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases made of the planted texts, written as files, read, run and counted."""
+    case = F.struct(
+        F.col("doc_id").cast("string").alias("id"), F.concat(F.lit("kind "), F.col("doc_id") % 9).alias("category"), F.lit("USER_INPUT").alias("direction"), F.lit("planted").alias("sampleSource"),
+        F.when(F.col("doc_id") % 7 == 0, "deferred-later").otherwise(F.expr(_BY_KIND)).alias("expectedAction"), _expected(F.col("doc_id") % 9).alias("expectedEntityTypes"), (F.col("doc_id") % 2).cast("int").alias("expectedMinFindings"),
+        F.array(F.lit("@example.com")).alias("mustNotResidual"), F.when(F.col("doc_id") % 5 == 0, "known").alias("knownGap"), F.col("text").alias("input"),
+    )
+    at = shared_folder(spark, "cases")
+    texts(spark, sf_dir, "planted_mixed").groupBy((F.col("doc_id") % 50).alias("file")).agg(F.collect_list(case).alias("cases")).select("cases").write.json(at)
+    results = acceptance.run_cases(acceptance.read_cases(spark, at, lines=True), syllable_wordlist(spark), PEPPER)
+    return acceptance.report(results)
+
 # streams -----------------------------------------------------------------------------------------------------------
 
 _ALL_TURNS = f"SELECT conv_id, turn, {_NORM} AS norm FROM conversations"

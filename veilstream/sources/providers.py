@@ -6,12 +6,15 @@ A call runs in a Python worker, one client each, and never fails a job: a slow o
 from __future__ import annotations
 
 import json
+import threading
 import time
 import urllib.request
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.spans import FINDINGS, finding
@@ -36,18 +39,20 @@ class Breaker:
     def __init__(self, call: Callable, slow: float = 0.3, threshold: int = 3, cooldown: float = 30.0, clock: Callable[[], float] = time.monotonic) -> None:
         self.call, self.slow, self.threshold, self.cooldown, self.clock = call, slow, threshold, cooldown, clock
         self.in_a_row, self.closed_until = 0, float("-inf")
+        self.trips, self.lock = 0, threading.Lock()
 
     def __call__(self, *args) -> list:
+        """Threads share a breaker: the count is theirs together, and no lock is held during a call."""
         began = self.clock()
-        if began < self.closed_until:
-            return []
+        with self.lock:
+            if began < self.closed_until:
+                return []
         found = self.call(*args)
-        if self.clock() - began >= self.slow:
-            self.in_a_row += 1
+        ended = self.clock()
+        with self.lock:
+            self.in_a_row = self.in_a_row + 1 if ended - began >= self.slow else 0
             if self.in_a_row >= self.threshold:
-                self.closed_until, self.in_a_row = self.clock() + self.cooldown, 0
-        else:
-            self.in_a_row = 0
+                self.closed_until, self.in_a_row, self.trips = ended + self.cooldown, 0, self.trips + 1
         return found
 
 
@@ -100,6 +105,30 @@ def entities_udf(make_client: Callable[[], Callable[[str, str], list]], slow: fl
     return call
 
 
+def ask_all(df: DataFrame, make_client: Callable[[], Callable[[str, str], list]], text: str = "text", lang: Column | None = None, to: str = "entities", requests: int = 16, slow: float = 0.3, threshold: int = 3, cooldown: float = 30.0) -> DataFrame:
+    """df with the entities of each text, from a service that each task asks `requests` questions at a time.
+
+    A task asks equal texts of a batch once, and its requests share one breaker (none for threshold 0). A null or empty
+    text isn't asked and has no entities; an answer of None counts as none. Rows stay in their order and their tasks.
+    """
+    given = "_lang_asked"
+    rows, names = df.withColumn(given, language(F.col(text)) if lang is None else lang), [*df.columns, to]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        client = Breaker(make_client(), slow, threshold, cooldown) if threshold else make_client()
+        kind = pa.list_(pa.struct([("type", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
+        with ThreadPoolExecutor(requests) as pool:
+            for batch in batches:
+                asked = list(zip(batch.column(text).to_pylist(), batch.column(given).to_pylist(), strict=True))
+                once = list(dict.fromkeys(q for q in asked if q[0]))
+                found = dict(zip(once, pool.map(lambda q: client(*q) or [], once), strict=True))
+                kept = [c for name, c in zip(batch.schema.names, batch.columns, strict=True) if name != given]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array([found.get(q, []) for q in asked], kind)], names)
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    return rows.mapInArrow(run, f"{schema}, `{to}` {ENTITIES}")
+
+
 def pii_findings(text: Column, entities: Column, min_score: float = MIN_SCORE, allowed: list[str] | None = None) -> Column:
     """Entities of sufficient score and an allowed type (an empty list allows all), with a span inside the text."""
     allowed = ALLOWED_TYPES if allowed is None else allowed
