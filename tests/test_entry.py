@@ -7,7 +7,7 @@ import __spark_entry__ as entry
 from veilstream.plans.queries import ORACLE_SQL, QUERIES
 
 DATA = "/root/testdata/sf0.001"
-SOME = ["pii_email_spans", "evm_key_hex", "span_merge_type", "policy_decide", "inspect_documents", "audit_events", "cross_turn_block", "json_secret_scan", "bip39_runs", "mixed_findings", "own_policy", "stellar_seeds", "conversation_ttl", "conversation_cap", "han_runs", "audit_lines", "settings_inspect", "scan_limit", "acceptance_types", "provider_verdicts"]
+SOME = ["pii_email_spans", "evm_key_hex", "span_merge_type", "policy_decide", "inspect_documents", "audit_events", "cross_turn_block", "json_secret_scan", "bip39_runs", "mixed_findings", "own_policy", "stellar_seeds", "conversation_ttl", "conversation_cap", "han_runs", "audit_lines", "settings_inspect", "scan_limit", "acceptance_types", "provider_verdicts", "mnemonic_any_id", "inspect_json", "own_rule", "conversation_stream", "conversation_late", "audit_log", "acceptance_report"]
 
 
 def test_entry(spark):

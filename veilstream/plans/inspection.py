@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,11 +71,12 @@ def with_context(df: DataFrame, source: Column | None = None, trace_id: Column |
     return df.withColumn(CONTEXT, F.struct(*parts, (empty if attributes is None else F.coalesce(attributes, empty)).alias("attributes")))
 
 
-def detect(df: DataFrame, text: str = "text", wordlist: DataFrame | None = None, id_col: str = "doc_id", context_required: bool = False, languages: tuple = ("english",), check_checksum: bool = True, fields: bool = True) -> DataFrame:
+def detect(df: DataFrame, text: str = "text", wordlist: DataFrame | None = None, id_col: str = "doc_id", context_required: bool = False, languages: tuple = ("english",), check_checksum: bool = True, fields: bool = True, skip: tuple = (), own: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
     """Adds `secrets`: findings of the key rules, in the rules' order. wordlist: (lang, word, idx), without which mnemonics aren't sought.
 
     fields: the string values of a JSON text are searched too, each after its key in words; what is found in them is
-    told of the text, beside what is found in it as a whole.
+    told of the text, beside what is found in it as a whole. skip: ids of rules that leave the plan. own: rules of one's
+    own by id, each from a text to an array of findings; they come after the others, in their order.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     gated = "_gates" in df.columns
@@ -84,14 +87,19 @@ def detect(df: DataFrame, text: str = "text", wordlist: DataFrame | None = None,
         alone = t
     df = df if gated else df.withColumn("_gates", R.gates(t))
     key = F.col("_gates")["key"]
-    df = df.withColumn("_candidates", R.codec_candidates(t, key))
-    df = df.withColumn("_verdicts", codecs.verified(F.transform("_candidates", lambda c: F.struct(c["rule"].alias("rule"), c["value"].alias("value")))))
-    codec = {rule: R.codec_matches(F.col("_candidates"), F.col("_verdicts"), rule) for rule in R.CODEC_RULES}
-    first = no_findings() if wordlist is None else M.mnemonic_findings(t, M.word_tables(wordlist, languages), check_checksum)
-    found = F.concat(
-        first, R.evm_private_key(t, context_required, key), codec["bitcoin-wif"], codec["extended-key"], R.solana_keypair(t), codec["sui-privkey"],
-        R.substrate_uri(t, key), R.cardano_signing_key(alone, F.col("_gates")["signing"]), codec["stellar-seed"], R.keystore_json(alone), R.pem_private_key(t),
-    )
+    if set(R.CODEC_RULES) - set(skip):
+        df = df.withColumn("_candidates", R.codec_candidates(t, key))
+        df = df.withColumn("_verdicts", codecs.verified(F.transform("_candidates", lambda c: F.struct(c["rule"].alias("rule"), c["value"].alias("value")))))
+    codec = lambda rule: R.codec_matches(F.col("_candidates"), F.col("_verdicts"), rule)
+    rules = {
+        "bip39-mnemonic": lambda: no_findings() if wordlist is None else M.mnemonic_findings(t, M.word_tables(wordlist, languages), check_checksum),
+        "evm-privkey-hex": lambda: R.evm_private_key(t, context_required, key), "bitcoin-wif": lambda: codec("bitcoin-wif"), "extended-key": lambda: codec("extended-key"), "solana-keypair": lambda: R.solana_keypair(t),
+        "sui-privkey": lambda: codec("sui-privkey"), "substrate-secret-uri": lambda: R.substrate_uri(t, key), "cardano-signing-key": lambda: R.cardano_signing_key(alone, F.col("_gates")["signing"]),
+        "stellar-seed": lambda: codec("stellar-seed"), "keystore-json": lambda: R.keystore_json(alone), "pem-private-key": lambda: R.pem_private_key(t),
+    }
+    if unknown := set(skip) - set(rules):
+        raise ValueError(f"no such rules: {sorted(unknown)}")
+    found = F.concat(no_findings(), *(make() for rule, make in rules.items() if rule not in skip), *(rule(t).cast(FINDINGS) for rule in (own or {}).values()))
     if fields:
         found = S.placed_back(found.cast(FINDINGS), F.col("_whole"))
     return df.withColumn("secrets", found.cast(FINDINGS)).drop("_candidates", "_verdicts", "_whole", *([] if gated else ["_gates"]))

@@ -304,14 +304,17 @@ def found_sql(src: str) -> str:
     return f"SELECT * FROM ({pii_sql(src)}) UNION ALL SELECT * FROM ({credentials_sql(src)}) UNION ALL SELECT * FROM ({address_sql(src)})"
 
 
-def secrets_sql(src: str) -> str:
+KEY_RULES = (mnemonic_sql, hex_sql, solana_sql, substrate_sql, cardano_sql, keystore_sql, pem_sql)
+
+
+def secrets_sql(src: str, rules: tuple = KEY_RULES) -> str:
     """Findings of the key rules that need no codec."""
-    return " UNION ALL ".join(f"SELECT * FROM ({rule(src)})" for rule in (mnemonic_sql, hex_sql, solana_sql, substrate_sql, cardano_sql, keystore_sql, pem_sql))
+    return " UNION ALL ".join(f"SELECT * FROM ({rule(src)})" for rule in rules)
 
 
-def all_sql(src: str, rest: str | None = None) -> str:
+def all_sql(src: str, rest: str | None = None, rules: tuple = KEY_RULES) -> str:
     """Findings that a decision rests on: a text with a certain key is searched no further."""
-    return f"""WITH sec AS MATERIALIZED ({secrets_sql(src)}), rest AS MATERIALIZED ({rest or found_sql(src)})
+    return f"""WITH sec AS MATERIALIZED ({secrets_sql(src, rules)}), rest AS MATERIALIZED ({rest or found_sql(src)})
         SELECT * FROM sec UNION ALL SELECT * FROM rest WHERE doc_id NOT IN (SELECT doc_id FROM sec WHERE risk_level = 'CRITICAL')"""
 
 
@@ -370,6 +373,12 @@ query("own_policy", masked_sql(source_sql("planted_mixed"), _OWN_SQL))(
 query("mixed_findings", all_sql(source_sql("planted_mixed")))(
     lambda s, d: _decisions(s, d, "planted_mixed").select("doc_id", F.explode("findings").alias("f")).select("doc_id", "f.rule_id", "f.entity_type", "f.risk_level", "f.confidence", F.col("f.start").alias("start_at"), F.col("f.end").alias("end_at"))
 )
+#: A rule of one's own in place of that of hex keys.
+_CUSTOMER = "Customer#[0-9]+"
+query("own_rule", all_sql(source_sql("planted_mixed"), rules=(*(r for r in KEY_RULES if r is not hex_sql), lambda src: finding_sql(spans_sql(src, _CUSTOMER), "customer-name", "API_KEY", "HIGH", "0.8"))))(
+    lambda s, d: _decisions(s, d, "planted_mixed", skip=("evm-privkey-hex",), own={"customer-name": lambda t: F.transform(spans.regex_spans(t, _CUSTOMER), lambda x: spans.finding(x, "API_KEY", "HIGH", 0.8, "customer-name", "a customer's name"))})
+    .select("doc_id", F.explode("findings").alias("f")).select("doc_id", "f.rule_id", "f.entity_type", "f.risk_level", "f.confidence", F.col("f.start").alias("start_at"), F.col("f.end").alias("end_at"))
+)
 #: Without personal data; windows of 2 turns.
 _SETTINGS = settings.from_mapping({"pii": {"enabled": False}, "secret": {"hex-context-required": "false"}, "window": {"turns": "2"}})
 query("settings_inspect", decisions_sql(source_sql("planted_mixed"), rest=f"SELECT * FROM ({credentials_sql(source_sql('planted_mixed'))}) UNION ALL SELECT * FROM ({address_sql(source_sql('planted_mixed'))})"))(
