@@ -260,3 +260,15 @@ def test_token_sections_by_brute_force(spark):
         assert at == len(owner)
         want |= {(i, s): (count[s], crossing[s], len(p)) for s, p in parts.items()}
     assert got == want
+
+
+def test_lines_without_ids_and_long_ones(spark):
+    from veilstream.llm import lines
+
+    long = " ".join(f"w{i}" for i in range(3_000))
+    rows = [(None, "the same line of words here\nother"), (1, "the same line of words here!"), (2, long), (3, long + " more"), (4, ""), (5, None), (6, "日本 語"), (6, "another text of this id")]
+    out = lines.line_groups(spark.createDataFrame(rows, "doc_id long, text string").withColumn("group", F.lit("clash"))).collect()
+    by = {(r["doc_id"], r["line_no"]): r for r in out}
+    assert by[None, 0]["group"] == by[1, 0]["group"] and by[2, 0]["group"] == by[3, 0]["group"]
+    assert [by[None, 0]["kept"], by[1, 0]["kept"]].count(True) == 1 and by[2, 0]["kept"] and not by[3, 0]["kept"] and by[4, 0]["kept"]
+    assert sum(r["doc_id"] == 6 for r in out) == 2
