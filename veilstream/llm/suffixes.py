@@ -48,7 +48,7 @@ SHARD_BYTES = 250_000
 CHUNK = 1_000_000
 #: Bytes of regions, or rows of files, in one record batch, about.
 BATCH_BYTES, BATCH_ROWS = 8_000_000, 50_000
-#: Occurrences of one region that are listed together, about.
+#: Occurrences of regions in the texts of one group, about.
 LISTED = 1024
 #: Up to this many rows of a few numbers are broadcast to the regions that they are of; more are joined by shuffling.
 BROADCAST_ROWS = 200_000
@@ -378,7 +378,7 @@ def _levels(rows: DataFrame) -> Iterator[DataFrame]:
 
 
 def repeated_spans(texts: DataFrame, parts: int) -> DataFrame:
-    """(key, start, end): byte spans of texts (key binary, text binary) that strings repeated in them cover; may overlap.
+    """(key, spans): merged byte spans, in order, of each text (key binary, text binary) that strings repeated in them cover.
 
     Rows with the same key, of 16 bytes, must have the same text.
     """
@@ -393,14 +393,52 @@ def repeated_spans(texts: DataFrame, parts: int) -> DataFrame:
     distinct = rows.groupBy("file", "same").agg(F.sum("n").alias("n"), F.first("data").alias("data"))
     runs = distinct.repartition(parts, "file").sortWithinPartitions("file").mapInArrow(_repeats, "file long, same binary, runs array<array<long>>")
     runs = materialize(runs, "suffix-runs")
-    # where a region occurs: in lists of bounded size, however often that is
+    # where a region occurs: texts are dealt to groups of about LISTED occurrences, and all that a group's texts have
+    # of one region is one row, so a region that occurs in very many texts is a few rows and no occurrence is one
     where = rows.select("file", "same", "key", "lo", "hi", F.octet_length("data").alias("size"))
-    lists = max(1, where.count() // LISTED)
-    where = where.groupBy("file", "same", "size", F.pmod(F.xxhash64("key"), F.lit(lists)).alias("list")).agg(F.collect_list(F.struct("key", "lo", "hi")).alias("at"))
-    spans = where.join(runs, ["file", "same"]).select("size", "runs", "at").repartition(parts).select("size", "runs", F.explode("at").alias("at")).select("size", "at.*", F.explode("runs").alias("run"))
-    whole = F.col("hi") - F.col("lo") + LENGTH > F.col("size")  # one string that starts everywhere in the region
-    end = F.when(whole, F.col("hi") + LENGTH).otherwise(F.col("lo") + F.col("run")[1] - 1 + LENGTH)
-    return spans.select("key", (F.col("lo") + F.col("run")[0]).alias("start"), end.alias("end"))
+    groups = max(1, where.count() // LISTED)
+    where = where.groupBy("file", "same", "size", F.pmod(F.xxhash64("key"), F.lit(groups)).alias("of")).agg(F.collect_list(F.struct("key", "lo", "hi")).alias("at"))
+    found = where.join(runs, ["file", "same"]).select("of", "size", "runs", "at").repartition(parts, "of").sortWithinPartitions("of")
+    return found.mapInArrow(_by_text, "key binary, spans array<array<long>>")
+
+
+def _merged(spans: list) -> list[list[int]]:
+    out: list[list[int]] = []
+    for s, e in sorted(spans):
+        if out and s <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], e)
+        else:
+            out.append([s, e])
+    return out
+
+
+def _by_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (of, size, runs, at) come sorted by of; (key, merged spans) of each text, all of which is under one `of`."""
+
+    def flush(held: dict[bytes, list]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(held, pa.binary()), pa.array([_merged(x) for x in held.values()], pa.list_(pa.list_(pa.int64())))], names=["key", "spans"])
+
+    held: dict[bytes, list] = {}
+    merge_at: dict[bytes, int] = {}
+    last = None
+    for batch in batches:
+        for of, size, runs, at in zip(*(batch.column(c).to_pylist() for c in ("of", "size", "runs", "at")), strict=True):
+            if of != last and held:
+                yield flush(held)
+                held, merge_at = {}, {}
+            last = of
+            for x in at:
+                key, lo, hi = x["key"], x["lo"], x["hi"]
+                spans = held.setdefault(key, [])
+                if hi - lo + LENGTH > size:  # one string that starts everywhere in the region
+                    spans.append([lo, hi + LENGTH])
+                else:
+                    spans.extend([lo + first, lo + end - 1 + LENGTH] for first, end in runs)
+                if len(spans) > merge_at.get(key, LISTED):
+                    held[key] = _merged(spans)
+                    merge_at[key] = max(LISTED, 2 * len(held[key]))
+    if held:
+        yield flush(held)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -408,12 +446,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         for t, spans in zip(batch.column("text"), batch.column("spans").to_pylist(), strict=True):
             t = t.as_py() or b""
-            merged: list[list[int]] = []
-            for s, e in sorted((x["start"], x["end"]) for x in spans or ()):
-                if merged and s <= merged[-1][1]:
-                    merged[-1][1] = max(merged[-1][1], e)
-                else:
-                    merged.append([s, e])
+            merged = spans or []
             kept, at = hashlib.sha256(), 0
             for s, e in merged:
                 kept.update(t[at:s])
@@ -429,8 +462,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
     spark = docs.sparkSession
     raw = F.coalesce(F.col(text).cast("string").cast("binary"), F.lit(b""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), raw.alias("text")).withColumn("key", F.unhex(F.md5("text")))
-    spans = repeated_spans(rows, int(spark.conf.get("spark.sql.shuffle.partitions"))).groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    facts = materialize(spans, "suffix-spans")
+    facts = materialize(repeated_spans(rows, int(spark.conf.get("spark.sql.shuffle.partitions"))), "suffix-spans")
     return rows.join(facts, "key", "left").select("doc_id", "text", "spans").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>")
 
 
