@@ -22,6 +22,8 @@ WORD_BITS = 11
 BREAKS = "[\\p{javaWhitespace}\\p{IsHan}\\p{InCJK_Symbols_and_Punctuation}\\p{InHalfwidth_and_Fullwidth_Forms}]+"
 HAN = "\\p{IsHan}"
 WORD = "struct<pos:int,start:int,end:int,idx:int>"
+#: A word with derivation junctions after it, which ends a phrase that is a seed.
+JUNCTIONS = "(?<![0-9A-Za-z])[A-Za-z]+(?:(?<!/)//?(?!/)[^/\\s]+)+(?:///\\S+)?"
 #: Buckets and slots of a table; a list has 2,048 words.
 BUCKETS, SLOTS = 1024, 8192
 #: What stands in an empty slot: no word is a space.
@@ -162,6 +164,38 @@ def mnemonic_findings(text: Column, tables: list[WordTable], check_checksum: boo
     return F.concat(no_findings(), *map(of, tables)).cast(FINDINGS)
 
 
+def phrase_uris(text: Column, table: WordTable) -> Column:
+    """array<finding> of phrases with derivation junctions right after the last word: our reading of the public URI grammar.
+
+    Of the list words before the junctions, each after one white space, as many count as make the longest phrase of an
+    allowed length with a checksum that holds. Words of a list are of bounded length, so are the words looked at. A list
+    without white space between its words has no such phrases.
+    """
+    if table.chinese:
+        return no_findings()
+    most, longest = max(COUNTS), max((len(w) for w in table.words if w != NONE), default=0)
+    width = (most - 1) * (longest + 1)
+
+    def phrase(span: Column, words: Column) -> Column:
+        """words: those before the junctions, last first; null where they make no phrase."""
+        marks = F.array_join(F.transform(words, lambda w: F.when(table.holds(F.lower(w)), "1").otherwise("0")), "")
+        numbers = lambda c: F.reverse(F.transform(F.slice(words, 1, c), lambda w: table.number(F.lower(w))))
+        holds = lambda run: F.filter(F.array(*map(F.lit, COUNTS)), lambda c: (c <= run) & F.when(c <= run, let(numbers(c), checksum_holds)).otherwise(F.lit(False)))
+        count = let(F.length(F.regexp_extract(marks, "^1*", 0)), lambda run: F.array_max(holds(run)))
+        size = lambda c: F.length(F.array_join(F.slice(words, 2, c - 1), " ")) + 1
+        return let(count, lambda c: F.when(c.isNotNull(), F.struct((span["start"] - size(c)).cast("int").alias("start"), span["end"].alias("end"))))
+
+    def of(span: Column) -> Column:
+        low = F.greatest(span["start"] - width, F.lit(0))
+        before = F.reverse(F.split(F.substring(text, low + 1, span["start"] - low), "\\s", -1))
+        # the junctions' own word follows white space, so the last part before it is empty
+        words = F.concat(F.array(F.regexp_extract(span["value"], "^[A-Za-z]+", 0)), F.slice(before, 2, most - 1))
+        return F.when(F.get(before, F.lit(0)) == "", let(words, lambda w: phrase(span, w)))
+
+    found = F.filter(F.transform(regex_spans(text, JUNCTIONS, F.contains(text, F.lit("/"))), of), lambda x: x.isNotNull())
+    return F.transform(found, lambda s: finding(s, "BLOCKCHAIN_SUBSTRATE_SECRET_URI", "CRITICAL", 0.95, "substrate-secret-uri", "phrase with junctions"))
+
+
 def mnemonics(df: DataFrame, wordlist: DataFrame, languages: tuple = ("english",), id_col: str = "doc_id", text: str = "text", check_checksum: bool = True) -> DataFrame:
     """(id, start, end, n_words, checksum, risk_level, confidence) of every window that counts; windows may overlap."""
     t = F.coalesce(F.col(text), F.lit(""))

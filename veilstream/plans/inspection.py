@@ -91,10 +91,12 @@ def detect(df: DataFrame, text: str = "text", wordlist: DataFrame | None = None,
         df = df.withColumn("_candidates", R.codec_candidates(t, key))
         df = df.withColumn("_verdicts", codecs.verified(F.transform("_candidates", lambda c: F.struct(c["rule"].alias("rule"), c["value"].alias("value")))))
     codec = lambda rule: R.codec_matches(F.col("_candidates"), F.col("_verdicts"), rule)
+    tables = [] if wordlist is None else M.word_tables(wordlist, languages)
+    uris = lambda: F.concat(R.substrate_uri(t, key), *(M.phrase_uris(t, table) for table in tables))
     rules = {
-        "bip39-mnemonic": lambda: no_findings() if wordlist is None else M.mnemonic_findings(t, M.word_tables(wordlist, languages), check_checksum),
+        "bip39-mnemonic": lambda: M.mnemonic_findings(t, tables, check_checksum) if tables else no_findings(),
         "evm-privkey-hex": lambda: R.evm_private_key(t, context_required, key), "bitcoin-wif": lambda: codec("bitcoin-wif"), "extended-key": lambda: codec("extended-key"), "solana-keypair": lambda: R.solana_keypair(t),
-        "sui-privkey": lambda: codec("sui-privkey"), "substrate-secret-uri": lambda: R.substrate_uri(t, key), "cardano-signing-key": lambda: R.cardano_signing_key(alone, F.col("_gates")["signing"]),
+        "sui-privkey": lambda: codec("sui-privkey"), "substrate-secret-uri": uris, "cardano-signing-key": lambda: R.cardano_signing_key(alone, F.col("_gates")["signing"]),
         "stellar-seed": lambda: codec("stellar-seed"), "keystore-json": lambda: R.keystore_json(alone), "pem-private-key": lambda: R.pem_private_key(t),
     }
     if unknown := set(skip) - set(rules):

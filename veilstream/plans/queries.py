@@ -448,6 +448,35 @@ query("bip39_checksum", f"SELECT doc_id, CAST(14 + 5 * p AS INT) AS start_at, CA
     lambda s, d: mnemonics.mnemonics(_phrases(s, d), syllable_wordlist(s)).select(F.col("id").alias("doc_id"), F.col("start").alias("start_at"), F.col("end").alias("end_at"), "n_words", "risk_level")
 )
 
+
+#: Phrases of the orders with junctions after them; of every seventh the first word is no word of the list, of every fifth a space is missing before the junctions' word.
+_URI_TAIL = "CASE o_orderkey % 3 WHEN 0 THEN '//hard/soft' WHEN 1 THEN '/soft///pass word' ELSE ' //apart' END"
+_URI = "(?:[bcdfghjklmnpqrst][aeio][bdfgklmn][aeio]\\s)"
+
+
+def _phrase_uri_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tails = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), "o_orderkey", F.expr(_URI_TAIL).alias("tail"))
+    changed = F.expr("case when doc_id % 7 = 0 then replace(text, ' text ', ' text x') when doc_id % 5 = 0 then concat(left(text, length(text) - 5), right(text, 4)) else text end")
+    return _phrases(spark, sf_dir).join(tails, "doc_id").select("doc_id", F.concat(changed, F.col("tail"), F.lit(" end")).alias("text"))
+
+
+def _phrase_uri_sql() -> str:
+    phrase = f"'zzzz QQQ text ' || list_aggregate([{_WORD} FOR k IN ks], 'string_agg', ' ')"
+    changed = "CASE WHEN doc_id % 7 = 0 THEN replace(t, ' text ', ' text x') WHEN doc_id % 5 = 0 THEN left(t, length(t) - 5) || right(t, 4) ELSE t END"
+    src = f"SELECT doc_id, {changed} || {_URI_TAIL} || ' end' AS text FROM (SELECT doc_id, {phrase} AS t FROM {_PHRASES}) JOIN (SELECT o_orderkey FROM orders) ON o_orderkey = doc_id"
+    # words before the junctions, then each allowed length of their end
+    found = spans_sql(src, f"(^|\\s)({_URI}*[bcdfghjklmnpqrst][aeio][bdfgklmn][aeio](//?[^/\\s]+)+(///[^\\s]+)?)", 2)
+    words = f"SELECT doc_id, e, e - length(v) AS s0, [{_SYLLABLES} FOR v IN string_split(regexp_extract(v, '^[^/]+'), ' ')] AS ks FROM {found}"
+    cut = f"SELECT doc_id, e, c, s0 + 5 * (len(ks) - c) AS s, ks[len(ks) - c + 1 :] AS w, c * 11 // 33 AS check_bits FROM (SELECT *, unnest([12, 15, 18, 21, 24]) AS c FROM ({words})) WHERE len(ks) >= c"
+    digest = "substr(lpad(bin(CAST(('0x' || substr(digest, 1, 2)) AS INT)), 8, '0'), 1, check_bits)"
+    return f"""WITH b AS (SELECT *, {_BITS} AS bits FROM ({cut})), d AS (SELECT *, sha256({_ENTROPY}) AS digest FROM b)
+        SELECT doc_id, CAST(min(s) AS INT) AS start_at, CAST(e AS INT) AS end_at FROM d WHERE {digest} = right(bits, check_bits) GROUP BY doc_id, e"""
+
+
+query("substrate_phrases", _phrase_uri_sql())(
+    lambda s, d: _phrase_uri_texts(s, d).select("doc_id", F.explode(mnemonics.phrase_uris(F.col("text"), mnemonics.word_table(syllable_wordlist(s), "english"))).alias("f")).select("doc_id", F.col("f.start").alias("start_at"), F.col("f.end").alias("end_at"))
+)
+
 #: Ids that are null or shared: a third of the texts has none, and another third that of the text before it.
 query("mnemonic_any_id", f"SELECT md5(text) AS text_md5, action, n_findings FROM ({decisions_sql(source_sql('planted_mixed'))}) JOIN ({source_sql('planted_mixed')}) USING (doc_id)")(
     lambda s, d: inspection.inspect(texts(s, d, "planted_mixed").withColumn("doc_id", F.expr("case doc_id % 3 when 0 then null when 1 then doc_id - 1 else doc_id end")), pepper=PEPPER, wordlist=syllable_wordlist(s)).select(F.md5("text").alias("text_md5"), "action", F.size("findings").cast("long").alias("n_findings"))
