@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.spans import let, regex_spans, sums_before
+from ..functions.spans import each, let, regex_spans, sums_before
 
 _TOKEN = re.compile(r'\s*(?:(?P<string>"(?:[^"\\]|\\.)*")|(?P<mark>[{}\[\]:,])|(?P<bare>[^\s{}\[\]:,"]+))', re.DOTALL | re.ASCII)
 
@@ -183,6 +183,6 @@ def json_secrets(df: DataFrame, id_col: str = "doc_id", text: str = "json") -> D
     from ..plans.inspection import detect
 
     found = detect(field_texts(extract_fields(df, id_col, text)), "context_text", id_col="id")
-    rows = found.select("id", "path", "value_start", "value_end", "shift", F.explode("secrets").alias("f"))
+    rows = each(found, "secrets", "id", "path", "value_start", "value_end", "shift")
     rows = rows.select("id", "path", F.col("f.entity_type").alias("entity_type"), F.col("f.risk_level").alias("risk_level"), (F.col("f.start") + F.col("shift")).alias("start"), (F.col("f.end") + F.col("shift")).alias("end"), F.col("f.rule_id").alias("rule_id"), "value_start", "value_end")
     return rows.where("start >= value_start and end <= value_end").drop("value_start", "value_end")

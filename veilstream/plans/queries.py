@@ -13,7 +13,7 @@ from ..operators import rules as R
 from ..sources import providers, settings
 from ..sources.audit import AuditLog
 from ..sources.planted import planted, planted_sql
-from ..sources.tables import shared_folder, spread, table
+from ..sources.tables import dealt, shared_folder, spread, table
 from ..sources.wordlists import han_wordlist, syllable_wordlist
 from ..streaming import conversations as stream
 from . import acceptance, configured, inspection, policy
@@ -223,8 +223,8 @@ _KIND = "CASE s_suppkey % 6 " + " ".join(f"WHEN {i} THEN '{k}'" for i, k in enum
 
 @query("codec_keys", f"SELECT s_suppkey AS doc_id, {_KIND} AS entity_type, CAST(length(s_name) + 6 AS INT) AS start_at, CAST(length(s_name) + 6 + length({_PICK}) AS INT) AS end_at FROM supplier WHERE {_KIND} IS NOT NULL")
 def codec_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("doc_id"), F.expr(f"concat(s_name, ' key: ', {_PICK})").alias("text"))
-    found = inspection.detect(df).select("doc_id", F.explode("secrets").alias("f"))
+    df = dealt(table(spark, sf_dir, "supplier")).select(F.col("s_suppkey").alias("doc_id"), F.expr(f"concat(s_name, ' key: ', {_PICK})").alias("text"))
+    found = spans.each(inspection.detect(df), "secrets", "doc_id")
     return found.select("doc_id", "f.entity_type", F.col("f.start").alias("start_at"), F.col("f.end").alias("end_at"))
 
 
@@ -371,13 +371,13 @@ query("own_policy", masked_sql(source_sql("planted_mixed"), _OWN_SQL))(
     lambda s, d: _decisions(s, d, "planted_mixed", policy=s.createDataFrame(_OWN, "entity_type string, direction string, action string")).select("doc_id", "action", "sanitized_text")
 )
 query("mixed_findings", all_sql(source_sql("planted_mixed")))(
-    lambda s, d: _decisions(s, d, "planted_mixed").select("doc_id", F.explode("findings").alias("f")).select("doc_id", "f.rule_id", "f.entity_type", "f.risk_level", "f.confidence", F.col("f.start").alias("start_at"), F.col("f.end").alias("end_at"))
+    lambda s, d: spans.each(_decisions(s, d, "planted_mixed"), "findings", "doc_id").select("doc_id", "f.rule_id", "f.entity_type", "f.risk_level", "f.confidence", F.col("f.start").alias("start_at"), F.col("f.end").alias("end_at"))
 )
 #: A rule of one's own in place of that of hex keys.
 _CUSTOMER = "Customer#[0-9]+"
 query("own_rule", all_sql(source_sql("planted_mixed"), rules=(*(r for r in KEY_RULES if r is not hex_sql), lambda src: finding_sql(spans_sql(src, _CUSTOMER), "customer-name", "API_KEY", "HIGH", "0.8"))))(
-    lambda s, d: _decisions(s, d, "planted_mixed", skip=("evm-privkey-hex",), own={"customer-name": lambda t: F.transform(spans.regex_spans(t, _CUSTOMER), lambda x: spans.finding(x, "API_KEY", "HIGH", 0.8, "customer-name", "a customer's name"))})
-    .select("doc_id", F.explode("findings").alias("f")).select("doc_id", "f.rule_id", "f.entity_type", "f.risk_level", "f.confidence", F.col("f.start").alias("start_at"), F.col("f.end").alias("end_at"))
+    lambda s, d: spans.each(_decisions(s, d, "planted_mixed", skip=("evm-privkey-hex",), own={"customer-name": lambda t: F.transform(spans.regex_spans(t, _CUSTOMER), lambda x: spans.finding(x, "API_KEY", "HIGH", 0.8, "customer-name", "a customer's name"))}), "findings", "doc_id")
+    .select("doc_id", "f.rule_id", "f.entity_type", "f.risk_level", "f.confidence", F.col("f.start").alias("start_at"), F.col("f.end").alias("end_at"))
 )
 #: Without personal data; windows of 2 turns.
 _SETTINGS = settings.from_mapping({"pii": {"enabled": False}, "secret": {"hex-context-required": "false"}, "window": {"turns": "2"}})
@@ -405,7 +405,7 @@ def _expected(kind: Column) -> Column:
 
 query("substrate_uri", substrate_sql(source_sql("planted_uri")))(lambda s, d: findings_of(texts(s, d, "planted_uri"), R.substrate_uri))
 query("stellar_seeds", f"SELECT doc_id, 'STELLAR_SECRET_SEED' AS entity_type, 5 AS start_at, 61 AS end_at FROM ({source_sql('planted_stellar')}) WHERE text LIKE 'seed%' AND substr(text, 6, 56) = seed")(
-    lambda s, d: inspection.detect(texts(s, d, "planted_stellar")).select("doc_id", F.explode("secrets").alias("f")).select("doc_id", "f.entity_type", F.col("f.start").alias("start_at"), F.col("f.end").alias("end_at"))
+    lambda s, d: spans.each(inspection.detect(texts(s, d, "planted_stellar")), "secrets", "doc_id").select("doc_id", "f.entity_type", F.col("f.start").alias("start_at"), F.col("f.end").alias("end_at"))
 )
 query("union_scanners", f"SELECT rule_id, count(*) AS n, count(DISTINCT doc_id) AS docs FROM ({found_sql(source_sql('documents'))}) GROUP BY rule_id")(
     lambda s, d: findings_of(texts(s, d, "documents"), _unkeyed).groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("docs"))
@@ -428,7 +428,7 @@ _PHRASES = "(SELECT o_orderkey AS doc_id, [CAST((o_orderkey * 7919 + i * i * 131
 
 def _phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A phrase of 12, 15 or 18 list words for each order, after a line of other words."""
-    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.expr("transform(sequence(0, 11 + 3 * cast(o_orderkey % 3 as int)), i -> cast((o_orderkey * 7919 + i * i * 131 + i * 17) % 2048 as int))").alias("ks"))
+    rows = dealt(table(spark, sf_dir, "orders")).select(F.col("o_orderkey").alias("doc_id"), F.expr("transform(sequence(0, 11 + 3 * cast(o_orderkey % 3 as int)), i -> cast((o_orderkey * 7919 + i * i * 131 + i * 17) % 2048 as int))").alias("ks"))
     word = "concat(substr('bcdfghjklmnpqrst', k div 128 + 1, 1), substr('aeio', (k div 32) % 4 + 1, 1), substr('bdfgklmn', (k div 4) % 8 + 1, 1), substr('aeio', k % 4 + 1, 1))"
     return rows.select("doc_id", F.expr(f"concat('zzzz QQQ text ', array_join(transform(ks, k -> {word.replace('k div', 'cast(k as bigint) div').replace('substr(', 'substring(')}), ' '))").alias("text"))
 
@@ -436,7 +436,7 @@ def _phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _han_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """12 to 20 list characters for each order after three letters."""
     signs = F.transform(F.sequence(F.lit(0), (11 + F.col("o_orderkey") % 9).cast("int")), lambda i: F.decode(F.unhex(F.hex(((F.lit(0x4E00) + (F.col("o_orderkey") * 31 + i * 7) % 2048).cast("int")))), "UTF-16BE"))
-    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.concat(F.lit("abc"), F.array_join(signs, ""), F.lit(" end")).alias("text"))
+    return dealt(table(spark, sf_dir, "orders")).select(F.col("o_orderkey").alias("doc_id"), F.concat(F.lit("abc"), F.array_join(signs, ""), F.lit(" end")).alias("text"))
 
 
 query("bip39_runs", "SELECT doc_id, CAST(len(ks) AS BIGINT) AS n, CAST(14 AS INT) AS start_at, CAST(14 + 5 * len(ks) - 1 AS INT) AS end_at FROM " + _PHRASES)(

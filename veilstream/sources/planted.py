@@ -5,8 +5,12 @@ Each relation has a Spark builder and the SQL of the same rows for DuckDB.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
+from .tables import dealt, table
+
 #: By name: SQL that both engines run. {sha} is the engine's hex SHA-256 of a text.
 RELATIONS = {
     # hexadecimal keys: labelled, hashed, bare, out of range
@@ -122,11 +126,17 @@ def _stellar_sql(source: str, spark: bool) -> str:
 
 
 def planted(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    if name == "planted_stellar":
-        return spark.sql(_stellar_sql(f"parquet.`{sf_dir}/supplier.parquet`", True))
-    source = TABLES[name]
-    sql = _filled(name, "sha2({}, 256)").replace(f" FROM {source}", f" FROM parquet.`{sf_dir}/{source}.parquet`")
-    return spark.sql(sql)
+    """A relation's rows, its table's keys dealt over all cores before texts are made of them."""
+    source = TABLES.get(name, "supplier")
+    rows = table(spark, sf_dir, source)
+    # turns are distinct, which deals them anyway
+    rows = rows if name == "planted_turns" else dealt(rows)
+    view = f"{source}_{uuid.uuid4().hex}"
+    rows.createOrReplaceTempView(view)
+    try:
+        return spark.sql(_stellar_sql(view, True) if name == "planted_stellar" else _filled(name, "sha2({}, 256)").replace(f" FROM {source}", f" FROM {view}"))
+    finally:
+        spark.catalog.dropTempView(view)
 
 
 def planted_sql(name: str) -> str:

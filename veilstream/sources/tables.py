@@ -22,6 +22,20 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+#: Rows of a task that makes its texts from keys: such a task takes seconds.
+TASK_ROWS = 20_000
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """Rows of a table without texts, dealt evenly over tasks of TASK_ROWS rows, and over all cores at least.
+
+    A few bytes of keys become a text that takes far longer to search than to move, so the size of a file says nothing
+    of the work. A file's rows may also lie in one row group, which can't be split. The rows are counted from footers.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(cores, -(-df.count() // TASK_ROWS)))
+
+
 def shared_folder(spark: SparkSession, label: str) -> str:
     """A new folder that driver and executors share, below spark.checkpoint.dir; below one of our own where that is unset and Spark is local."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
