@@ -265,7 +265,7 @@ def _line_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _exploded(df: DataFrame, merged: Column) -> DataFrame:
-    return df.select("doc_id", F.explode(merged).alias("f")).select("doc_id", "f.entity_type", "f.risk_level", F.col("f.start").alias("start_at"), F.col("f.end").alias("end_at"))
+    return spans.each(df.select("doc_id", merged.alias("merged")), "merged", "doc_id").select("doc_id", "f.entity_type", "f.risk_level", F.col("f.start").alias("start_at"), F.col("f.end").alias("end_at"))
 
 
 query("span_merge_all", merge_sql("doc_id"))(lambda s, d: _exploded(_line_findings(s, d), spans.merge(F.col("found"))))
