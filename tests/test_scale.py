@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from veilstream.functions import spans
+from veilstream.operators import mnemonics
 from veilstream.plans.queries import QUERIES
 from veilstream.sources import tables
 from veilstream.sources.planted import planted
@@ -28,3 +29,7 @@ def test_each_gives_a_row_for_each_element(spark):
     df = spark.createDataFrame([(1, ["a", "b"]), (2, []), (3, None)], "id long, xs array<string>")
     assert [tuple(r) for r in spans.each(df, "xs", "id").orderBy("id", "f").collect()] == [(1, "a"), (1, "b")]
     assert [tuple(r) for r in spans.each(df, "xs", "id", place="seq").orderBy("seq").collect()] == [(1, 0, "a"), (1, 1, "b")]
+
+
+def test_the_bits_of_a_phrase_are_made_once():
+    assert str(mnemonics.checksum_holds(F.col("words"))).count("bin(") == 1

@@ -122,31 +122,49 @@ def runs(df: DataFrame, wordlist: DataFrame, lang: str = "english", id_col: str
     return df.select(F.col(id_col).alias("id"), F.posexplode(found).alias("run", "words")).select("id", "run", F.size("words").cast("long").alias("n"), "words")
 
 
+def bits_of(indices: Column) -> Column:
+    """The words' 11-bit numbers as a string of 0 and 1."""
+    return F.array_join(F.transform(indices, lambda i: F.lpad(F.bin(i.cast("long")), WORD_BITS, "0")), "")
+
+
+def bits_hold(bits: Column, count: Column) -> Column:
+    """Whether the last bits of a window are the first of SHA-256 over those before them: of 3 words 32 bits and one.
+
+    bits: of the window's words, which are `count`. A column that isn't a plain one is computed for each use.
+    """
+    third = (count / 3).cast("int")
+    parts = F.transform(F.sequence(F.lit(0), third - 1), lambda k: F.lpad(F.conv(F.substring(bits, k * 32 + 1, F.lit(32)), 2, 16), 8, "0"))
+    digest = F.sha2(F.unhex(F.array_join(parts, "")), 256)
+    return F.substring(F.lpad(F.conv(F.substring(digest, 1, 2), 16, 2), 8, "0"), F.lit(1), third) == F.substring(bits, third * 32 + 1, third)
+
+
 def checksum_holds(indices: Column) -> Column:
-    """Whether the last bits of the words' 11-bit numbers are the first of SHA-256 over the bits before them."""
-    bits = F.array_join(F.transform(indices, lambda i: F.lpad(F.bin(i.cast("long")), WORD_BITS, "0")), "")
-    total = F.size(indices) * WORD_BITS
-    check = (total / 33).cast("int")
-    entropy = F.substring(bits, F.lit(1), total - check)
-    nibbles = F.transform(F.sequence(F.lit(0), ((total - check) / 4).cast("int") - 1), lambda k: F.conv(F.substring(entropy, k * 4 + 1, F.lit(4)), 2, 16))
-    digest = F.sha2(F.unhex(F.array_join(nibbles, "")), 256)
-    return F.substring(F.lpad(F.conv(F.substring(digest, 1, 2), 16, 2), 8, "0"), F.lit(1), check) == F.substring(bits, total - check + 1, check)
+    """Whether the words of a phrase of an allowed length, given as numbers, end in their checksum."""
+    return let(F.struct(bits_of(indices).alias("bits"), F.size(indices).alias("n")), lambda x: bits_hold(x["bits"], x["n"]))
 
 
 def windows_in(text: Column, table: WordTable, check_checksum: bool = True) -> Column:
     """array<struct<start, end, n_words, checksum, near>> of every window of an allowed length in a run; windows may overlap."""
     kind = "struct<start:int,end:int,n_words:int,checksum:boolean,near:boolean>"
 
-    def of(run: Column, pieces: Column) -> Column:
-        def window(words: Column, count: Column) -> Column:
-            start, end = F.get(words, F.lit(0))["start"], F.get(words, count - 1)["end"]
-            sure = checksum_holds(F.transform(words, lambda w: w["idx"])) if check_checksum else F.lit(False)
-            return F.struct(start.alias("start"), end.alias("end"), count.alias("n_words"), sure.alias("checksum"), has_context(text, start, end, MNEMONIC_TERMS, CONTEXT, pieces).alias("near"))
+    def of(run: Column, whole: Column) -> Column:
+        """whole: the text's chunks, and whether it has a term at all."""
+
+        def windows(bits: Column) -> Column:
+            def window(i: Column, c: Column) -> Column:
+                start, end = F.get(run, i)["start"], F.get(run, i + c - 1)["end"]
+                sure = let(F.substring(bits, i * WORD_BITS + 1, c * WORD_BITS), lambda own: bits_hold(own, c)) if check_checksum else F.lit(False)
+                near = F.when(whole["named"], has_context(text, start, end, MNEMONIC_TERMS, CONTEXT, whole["pieces"])).otherwise(F.lit(False))
+                return F.struct(start.alias("start"), end.alias("end"), c.alias("n_words"), sure.alias("checksum"), near.alias("near"))
+
+            starts = lambda c: F.when(F.size(run) >= c, F.sequence(F.lit(0), F.size(run) - c)).otherwise(F.array().cast("array<int>"))
+            return F.flatten(F.transform(F.array(*map(F.lit, COUNTS)), lambda c: F.transform(starts(c), lambda i: window(i, c))))
 
-        starts = lambda c: F.when(F.size(run) >= c, F.sequence(F.lit(0), F.size(run) - c)).otherwise(F.array().cast("array<int>"))
-        return F.flatten(F.transform(F.array(*map(F.lit, COUNTS)), lambda c: F.transform(starts(c), lambda i: window(F.slice(run, i + 1, c), c))))
+        return let(bits_of(F.transform(run, lambda w: w["idx"])) if check_checksum else F.lit(""), windows)
 
-    found = let(runs_in(text, table, min(COUNTS)), lambda rs: F.when(F.size(rs) > 0, let(chunks(text), lambda pieces: F.flatten(F.transform(rs, lambda r: of(r, pieces))))).otherwise(F.array().cast(f"array<{kind}>")))
+    named = let(F.lower(text), lambda low: F.exists(F.array(*(F.lit(t.lower()) for t in MNEMONIC_TERMS)), lambda t: F.contains(low, t)))
+    whole = F.struct(chunks(text).alias("pieces"), named.alias("named"))
+    found = let(runs_in(text, table, min(COUNTS)), lambda rs: F.when(F.size(rs) > 0, let(whole, lambda w: F.flatten(F.transform(rs, lambda r: of(r, w))))).otherwise(F.array().cast(f"array<{kind}>")))
     return F.filter(found, lambda w: w["checksum"] | w["near"])
 
 
