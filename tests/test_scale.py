@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from veilstream.functions import spans
 from veilstream.operators import mnemonics
+from veilstream.plans import queries
 from veilstream.plans.queries import QUERIES
 from veilstream.sources import tables
 from veilstream.sources.planted import planted
@@ -33,3 +34,11 @@ def test_each_gives_a_row_for_each_element(spark):
 
 def test_the_bits_of_a_phrase_are_made_once():
     assert str(mnemonics.checksum_holds(F.col("words"))).count("bin(") == 1
+
+
+def test_late_turns_come_in_three_batches(spark, tmp_path, monkeypatch):
+    """However many files a table has, there are three batches of the stream."""
+    spark.sql("select id % 20 as conv_id, id div 20 as turn, 'user' as role, concat('word ', id) as text from range(160)").repartition(6).write.parquet(f"{tmp_path}/conversations.parquet")
+    monkeypatch.setattr(queries, "shared_folder", lambda spark, label: f"file://{tmp_path}/{label}")
+    assert QUERIES["conversation_late"](spark, str(tmp_path)).count() == 160
+    assert sum(p.name.isdigit() for p in tmp_path.glob("late/checkpoint/commits/*")) == 3

@@ -617,10 +617,11 @@ def conversation_late(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = turns.withColumn("conv_id", F.col("conv_id").cast("string"))
     at = shared_folder(spark, "late")
     for those in ("turn < 3", "turn between 3 and 5", "turn > 5"):
+        # a run takes what is new as one batch, in however many files a large table is written
         turns.where(those).write.mode("append").parquet(f"{at}/in")
-    source = spark.readStream.schema(turns.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
-    rows = stream.timed_windows(source, ttl=_TTL, ts="at", delay=_LATE, drop_idle=False)
-    return stream.run_available(rows, at).select("conv_id", "turn", "late", F.col("window").alias("window_text"))
+        rows = stream.timed_windows(spark.readStream.schema(turns.schema).parquet(f"{at}/in"), ttl=_TTL, ts="at", delay=_LATE, drop_idle=False)
+        found = stream.run_available(rows, at)
+    return found.select("conv_id", "turn", "late", F.col("window").alias("window_text"))
 
 
 @query("audit_log", f"WITH f AS MATERIALIZED ({all_sql(source_sql('planted_mixed'))}), x AS MATERIALIZED ({decisions_sql(source_sql('planted_mixed'))}) SELECT CAST(doc_id % 3 AS BIGINT) AS batch, rule_id, action, count(*) AS n_events, CAST(sum(n_findings) AS BIGINT) AS spans FROM f JOIN x USING (doc_id) GROUP BY ALL")
