@@ -42,3 +42,23 @@ def test_late_turns_come_in_three_batches(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(queries, "shared_folder", lambda spark, label: f"file://{tmp_path}/{label}")
     assert QUERIES["conversation_late"](spark, str(tmp_path)).count() == 160
     assert sum(p.name.isdigit() for p in tmp_path.glob("late/checkpoint/commits/*")) == 3
+
+
+def _bodies_of_lambdas(plan: str) -> list[str]:
+    out = []
+    for part in plan.split("lambdafunction(")[1:]:
+        depth = 1
+        for at, c in enumerate(part):
+            depth += (c == "(") - (c == ")")
+            if depth == 0:
+                out.append(part[:at])
+                break
+    return out
+
+
+def test_no_element_of_a_seed_makes_the_row_anew(spark, tmp_path):
+    spark.sql("select id as s_suppkey, concat('Supplier#', id) as s_name from range(9)").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.conf.set("spark.sql.debug.maxToStringFields", 1000)
+    bodies = _bodies_of_lambdas(planted(spark, str(tmp_path), "planted_stellar")._jdf.queryExecution().optimizedPlan().toString())
+    assert bodies and not any("sha2(" in b for b in bodies)
+    assert not any("lpad(bin(" in b and "substring(ABC" in b for b in bodies)

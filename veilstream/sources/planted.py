@@ -110,6 +110,8 @@ def _stellar_sql(source: str, spark: bool) -> str:
     items = (lambda x: f"array({x})") if spark else (lambda x: f"[{x}]")
     byte = "cast(conv(substr(h, 2 * i + 1, 2), 16, 10) as int)" if spark else "CAST(('0x' || substr(h, CAST(2 * i + 1 AS INT), 2)) AS INT)"
     five = "cast(conv(substr(bits, 5 * i + 1, 5), 2, 10) as int)" if spark else "list_sum([CAST(bits[5 * i + 1 + j] AS INT) * CAST(2 ** (4 - j) AS INT) FOR j IN range(5)])"
+    # Spark puts a column that is named once, as in a lambda, into its place, where each element would make it anew
+    once = (lambda name, of: f"get(transform(array({name}), {name} -> {of}), 0)") if spark else (lambda name, of: of)
     mixed = xor(right("a", 8), "b")
     y = xor(mixed, right(mixed, 4))
     step = f"({xor(left('a', 8), left(y, 12), left(y, 5), y)} & 65535)"
@@ -118,11 +120,11 @@ def _stellar_sql(source: str, spark: bool) -> str:
     bits = "lpad(bin(bytes[i]), 8, '0')" if spark else "lpad(bin(bytes[i + 1]), 8, '0')"
     sha = ("sha2({}, 256)" if spark else "sha256({})").format("CAST(s_suppkey AS VARCHAR(20))")
     return f"""SELECT doc_id, seed, CASE doc_id % 4 WHEN 0 THEN concat('seed ', seed, ' end') WHEN 1 THEN concat('seed ', substr(seed, 1, 54), 'AB end') WHEN 2 THEN concat('seed ', lower(seed)) ELSE 'no seed' END AS text FROM (
-        SELECT doc_id, {glue(each(56, f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST({five} + 1 AS INT), 1)"))} AS seed FROM (
-        SELECT doc_id, {glue(each(35, bits))} AS bits FROM (
+        SELECT doc_id, {once("bits", glue(each(56, f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST({five} + 1 AS INT), 1)")))} AS seed FROM (
+        SELECT doc_id, {once("bytes", glue(each(35, bits)))} AS bits FROM (
         SELECT doc_id, {many}(body, {items(f"crc & 255, {right('crc', 8)}")}) AS bytes FROM (
         SELECT doc_id, body, {crc} AS crc FROM (
-        SELECT doc_id, {many}({items("144")}, {each(32, byte)}) AS body FROM (SELECT s_suppkey AS doc_id, {sha} AS h FROM {source}))))))"""
+        SELECT doc_id, {once("h", f"{many}({items('144')}, {each(32, byte)})")} AS body FROM (SELECT s_suppkey AS doc_id, {sha} AS h FROM {source}))))))"""
 
 
 def planted(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
