@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from veilstream.functions import spans
-from veilstream.operators import mnemonics
+from veilstream.operators import conversations, mnemonics
 from veilstream.plans import queries
 from veilstream.plans.queries import QUERIES
 from veilstream.sources import tables
@@ -62,3 +62,25 @@ def test_no_element_of_a_seed_makes_the_row_anew(spark, tmp_path):
     bodies = _bodies_of_lambdas(planted(spark, str(tmp_path), "planted_stellar")._jdf.queryExecution().optimizedPlan().toString())
     assert bodies and not any("sha2(" in b for b in bodies)
     assert not any("lpad(bin(" in b and "substring(ABC" in b for b in bodies)
+
+
+def test_turns_are_made_of_distinct_keys(spark, tmp_path):
+    """No text is made before the keys are distinct, so none is shuffled for it."""
+    spark.sql("select id % 5 as l_orderkey, cast(id % 7 as int) as l_linenumber from range(200)").write.parquet(f"{tmp_path}/lineitem.parquet")
+    turns = planted(spark, str(tmp_path), "planted_turns")
+    assert turns.count() == 35 and turns.dtypes[1] == ("turn", "bigint")
+    grouped = [x.split("Aggregate [")[1].split("], [")[0] for x in turns._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate [" in x]
+    assert len(grouped) == 1 and "l_orderkey" in grouped[0] and "sha2(" not in grouped[0] and "text" not in grouped[0]
+
+
+def test_both_variants_of_a_turn_reach_python_in_one_batch(spark):
+    turns = spark.createDataFrame([("a", 1, "private key 0x" + "ab" * 10), ("a", 2, "ab" * 10), ("a", 3, "ab" * 12), ("b", 1, "hello")], "conv_id string, turn int, text string")
+    found = conversations.cross_turn(turns)
+    assert found._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert {(r["conv_id"], r["turn"]) for r in found.where("blocked").collect()} == {("a", 3)}
+
+
+def test_a_value_held_once_is_no_element_of_an_array():
+    """An element of a transformed array walks through the tree of the function for its type, with every row."""
+    text = str(spans.let(F.col("x"), lambda v: v + v)) + str(spans.regex_spans(F.col("x"), "a"))
+    assert "transform(array(" not in text and "get(transform" not in text

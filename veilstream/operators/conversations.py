@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 TURNS, TTL_SECONDS, MOST_TURNS = 3, 1800, 64
+#: Rules whose findings hold signs: a window is of letters, digits and single spaces.
+MARKED = ("solana-keypair", "substrate-secret-uri", "cardano-signing-key", "keystore-json", "pem-private-key")
 
 
 def normalised(text: Column) -> Column:
@@ -32,13 +34,12 @@ def windows(turns: DataFrame, n: int = TURNS, ttl: int = TTL_SECONDS, conv: str
 
 def cross_turn(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", wordlist: DataFrame | None = None, **options) -> DataFrame:
     """(conv, turn, blocked, critical_entities): certain secrets in a window, as it is or without its spaces."""
-    from ..plans.inspection import detect
+    from ..plans.inspection import detect_each
 
     rows = windows(turns, conv=conv, turn=turn, **options)
     # both variants stay in the row of their turn; each is searched where it stands
-    rows = rows.withColumns({"_joined": F.regexp_replace("window", "\\s+", ""), "_key": F.xxhash64(conv, turn)}).select(conv, turn, "window", "_joined", "_key")
-    found = detect(rows, "window", wordlist, "_key").withColumnRenamed("secrets", "_found")
-    found = detect(found, "_joined")
+    rows = rows.withColumn("_joined", F.regexp_replace("window", "\\s+", "")).select(conv, turn, "window", "_joined")
+    found = detect_each(rows, {"_found": ("window", wordlist), "secrets": ("_joined", None)}, fields=False, skip=MARKED)
     types = F.transform(F.filter(F.concat("_found", "secrets"), lambda x: x["risk_level"] == "CRITICAL"), lambda x: x["entity_type"])
-    found = found.select(conv, turn, F.array_sort(F.array_distinct(types)).alias("critical_entities"))
-    return found.select(conv, turn, (F.size("critical_entities") > 0).alias("blocked"), "critical_entities")
+    types = F.when((F.size("_found") > 0) | (F.size("secrets") > 0), F.array_sort(F.array_distinct(types))).otherwise(F.array().cast("array<string>"))
+    return found.select(conv, turn, types.alias("critical_entities")).select(conv, turn, (F.size("critical_entities") > 0).alias("blocked"), "critical_entities")

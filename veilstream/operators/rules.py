@@ -47,6 +47,7 @@ PASSWORD = "(?i)(?:password|passwd|pwd)[\"']?\\s*[=:]\\s*[\"']?(\\S+)"
 MIN_ENTROPY = 3.5
 
 
+CANDIDATES = "array<struct<rule:string,start:int,end:int,value:string>>"
 #: Every encoded key holds as many letters and digits in a row, every address and every number of a person these.
 KEY_RUN, ADDRESS_RUN, DIGIT_RUN = 50, 26, 11
 
@@ -80,6 +81,12 @@ def gates(text: Column) -> Column:
     return let(F.struct(F.lower(text).alias("low"), alnum_run(text, ADDRESS_RUN).alias("run")), of)
 
 
+def key_gates(text: Column, signing: bool = True) -> Column:
+    """Those of `gates` that the key rules ask for; signing: whether key envelopes are sought."""
+    low = F.lower(text)
+    return F.struct(long_run(text).alias("key"), ((F.contains(low, F.lit("signingkey")) & F.contains(low, F.lit("cborhex"))) if signing else F.lit(False)).alias("signing"))
+
+
 def _kept(spans: Column, test, make) -> Column:
     return F.transform(F.filter(spans, lambda s: F.coalesce(test(s), F.lit(False))), make)
 
@@ -162,7 +169,8 @@ def pem_private_key(text: Column) -> Column:
 def codec_candidates(text: Column, gate: Column | None = None) -> Column:
     """array<struct<rule, start, end, value>> for `codecs.verified`, in order of the rules."""
     tag = lambda rule, spans: F.transform(spans, lambda s: F.struct(F.lit(rule).alias("rule"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
-    return F.concat(tag("bitcoin-wif", regex_spans(text, WIF, gate)), tag("extended-key", regex_spans(text, EXTENDED, gate)), tag("sui-privkey", regex_spans(text, SUI, gate)), tag("stellar-seed", regex_spans(text, STELLAR, gate)))
+    found = F.concat(tag("bitcoin-wif", regex_spans(text, WIF)), tag("extended-key", regex_spans(text, EXTENDED)), tag("sui-privkey", regex_spans(text, SUI)), tag("stellar-seed", regex_spans(text, STELLAR)))
+    return found if gate is None else F.when(gate, found).otherwise(F.array().cast(CANDIDATES))
 
 
 def codec_matches(candidates: Column, verdicts: Column, rule: str) -> Column:

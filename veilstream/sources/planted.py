@@ -131,12 +131,12 @@ def planted(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A relation's rows, its table's keys dealt over all cores before texts are made of them."""
     source = TABLES.get(name, "supplier")
     rows = table(spark, sf_dir, source)
-    # turns are distinct, which deals them anyway
-    rows = rows if name == "planted_turns" else dealt(rows)
+    # a turn's text is made of its keys, so these are made distinct before it, which also deals them
+    rows = rows.select("l_orderkey", "l_linenumber").distinct() if name == "planted_turns" else dealt(rows)
     view = f"{source}_{uuid.uuid4().hex}"
     rows.createOrReplaceTempView(view)
     try:
-        return spark.sql(_stellar_sql(view, True) if name == "planted_stellar" else _filled(name, "sha2({}, 256)").replace(f" FROM {source}", f" FROM {view}"))
+        return spark.sql(_stellar_sql(view, True) if name == "planted_stellar" else _filled(name, "sha2({}, 256)").replace("SELECT DISTINCT", "SELECT").replace(f" FROM {source}", f" FROM {view}"))
     finally:
         spark.catalog.dropTempView(view)
 
