@@ -15,23 +15,43 @@ BLOCK, CHUNK = 32, 1024
 
 
 def let(value: Column, body) -> Column:
-    """body(value), with value computed once a row."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    """body(value), with value computed once a row.
+
+    A fold over nothing, which ends in body. (An element of a transformed array would walk through the whole tree of
+    body for its type, with every row.)
+    """
+    return F.aggregate(F.array().cast("array<int>"), value, lambda held, _: held, body)
+
+
+def let_sql(name: str, value: str, body: str) -> str:
+    """`let` in an expression that is written out: body names the value."""
+    return f"aggregate(cast(array() as array<int>), {value}, ({name}, nothing) -> {name}, {name} -> {body})"
 
 
 #: Running totals of an array a, without the element itself, folded by {f} from {zero}: totals of blocks of about the
 #: square root of its size, then within a block. Written out, so that a plan with many patterns is built fast. (A fold that
 #: gathers an array copies it with each step.)
-_RUNNING = """get(transform(array(greatest({least}, cast(ceil(sqrt(size({a}))) as int))), width ->
-    get(transform(array(transform(sequence(0, (size({a}) - 1) div width), k -> aggregate(slice({a}, k * width + 1, width), {zero}, (p, q) -> {f}))), totals ->
-    get(transform(array(transform(totals, (total, k) -> aggregate(slice(totals, 1, k), {zero}, (p, q) -> {f}))), bases ->
-    transform({a}, (value, i) -> aggregate(slice({a}, i div width * width + 1, i % width), get(bases, i div width), (p, q) -> {f}))), 0)), 0)), 0)"""
+_RUNNING = let_sql(
+    "width", "greatest({least}, cast(ceil(sqrt(size({a}))) as int))",
+    let_sql(
+        "totals", "transform(sequence(0, (size({a}) - 1) div width), k -> aggregate(slice({a}, k * width + 1, width), {zero}, (p, q) -> {f}))",
+        let_sql(
+            "bases", "transform(totals, (total, k) -> aggregate(slice(totals, 1, k), {zero}, (p, q) -> {f}))",
+            "transform({a}, (value, i) -> aggregate(slice({a}, i div width * width + 1, i % width), get(bases, i div width), (p, q) -> {f}))",
+        ),
+    ),
+)
 _ADD, _MOST = {"zero": "0", "f": "p + q"}, {"zero": str(-(2**31)), "f": "greatest(p, q)"}
 
 
+def _applied(value: Column, body: Column) -> Column:
+    """`let` for a body that is written out as a function."""
+    return F.call_function("aggregate", F.array().cast("array<int>"), value, F.expr("(held, nothing) -> held"), body)
+
+
 def _running(array: Column, how: dict) -> Column:
     body = F.expr(f"a -> if(size(a) = 0, a, {_RUNNING.format(a='a', least=BLOCK, **how)})")
-    return F.get(F.call_function("transform", F.array(array.cast("array<int>")), body), F.lit(0))
+    return _applied(array.cast("array<int>"), body)
 
 
 def sums_before(array: Column) -> Column:
@@ -61,10 +81,11 @@ def cut(pieces: Column, start: Column, end: Column) -> Column:
     return F.substring(part, start - first * CHUNK + 1, F.greatest(end - start, F.lit(0)))
 
 
-_SPANS = f"""t -> get(transform(array(regexp_extract_all(t, {{pattern}}, 0)), found -> if(size(found) = 0, cast(array() as array<{SPAN}>),
-    get(transform(array(transform(slice(split(t, {{pattern}}, -1), 1, size(found)), g -> length(g))), gaps ->
-    get(transform(array(zip_with(found, gaps, (v, g) -> g + length(v))), steps ->
-    zip_with(found, zip_with(gaps, {_RUNNING.format(a="steps", least=BLOCK, **_ADD)}, (g, at) -> at + g), (v, at) -> named_struct('start', at, 'end', at + length(v), 'value', v))), 0)), 0))), 0)"""
+_NO_SPANS = f"cast(array() as array<{SPAN}>)"
+_PLACED = f"zip_with(found, zip_with(gaps, {_RUNNING.format(a='steps', least=BLOCK, **_ADD)}, (g, at) -> at + g), (v, at) -> named_struct('start', at, 'end', at + length(v), 'value', v))"
+_GAPS = "transform(slice(split(t, {pattern}, -1), 1, size(found)), g -> length(g))"
+_SOME = let_sql("gaps", _GAPS, let_sql("steps", "zip_with(found, gaps, (v, g) -> g + length(v))", _PLACED))
+_SPANS = "t -> " + let_sql("found", "regexp_extract_all(t, {pattern}, 0)", f"if(size(found) = 0, {_NO_SPANS}, {_SOME})")
 
 
 def regex_spans(text: Column, pattern: str, gate: Column | None = None) -> Column:
@@ -75,7 +96,7 @@ def regex_spans(text: Column, pattern: str, gate: Column | None = None) -> Colum
     """
     quoted = "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
     body = F.expr(_SPANS.format(pattern=quoted))
-    spans = F.get(F.call_function("transform", F.array(text), body), F.lit(0))
+    spans = _applied(text, body)
     return spans if gate is None else F.when(gate, spans).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
