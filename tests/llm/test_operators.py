@@ -178,6 +178,23 @@ def test_suffixes_passage_and_periods(spark, monkeypatch):
         same(suffixes.dedup(spark.createDataFrame(rows, "doc_id long, text string")), _repeated(rows), SPAN_COLUMNS)
 
 
+def test_suffixes_a_text_has_each_file_once(spark, monkeypatch):
+    """Texts with a long period between texts that differ, filed down to the last level: a row for a text's file, not for each of its places."""
+    texts = [f"{i:05d}" * (3 + i) + "Is on. " * 250 + f"{i * 7:04d}" * 20 for i in range(8)]
+    rows, counts = list(enumerate(texts)), []
+
+    def counted(df, label, write=suffixes.materialize):
+        out = write(df, label)
+        if label in ("suffix-files", "suffix-regions"):
+            counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(suffixes, "FILE_BYTES", 1)
+    monkeypatch.setattr(suffixes, "materialize", counted)
+    same(suffixes.dedup(spark.createDataFrame(rows, "doc_id long, text string")), _repeated(rows), SPAN_COLUMNS)
+    assert len(counts) == 8 and max(counts) < 1000
+
+
 def test_licenses(docs, rows, empty):
     out = {(r["doc_id"]): r for r in licenses.scan(docs).collect()}
     for r in rows:
