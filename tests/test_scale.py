@@ -84,3 +84,23 @@ def test_a_value_held_once_is_no_element_of_an_array():
     """An element of a transformed array walks through the tree of the function for its type, with every row."""
     text = str(spans.let(F.col("x"), lambda v: v + v)) + str(spans.regex_spans(F.col("x"), "a"))
     assert "transform(array(" not in text and "get(transform" not in text
+
+
+def test_characters_that_part_words(spark):
+    """Every code point as by the names of scripts and blocks, of which a text without any from U+2E80 on asks nothing."""
+    given = {mnemonics.BREAKS: "[\\p{javaWhitespace}\\p{IsHan}\\p{InCJK_Symbols_and_Punctuation}\\p{InHalfwidth_and_Fullwidth_Forms}]+", mnemonics.HAN: "\\p{IsHan}"}
+    points = spark.range(0x110000).where("id not between 55296 and 57343").select(F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32").alias("c"))
+    for ours, named in given.items():
+        assert points.where(F.rlike("c", F.lit(f"^{ours}\\z")) != F.rlike("c", F.lit(f"^{named}\\z"))).count() == 0
+        assert points.where(F.rlike("c", F.lit(f"^{ours}\\z"))).count() > 90_000
+        assert "\\p{In" not in ours and ours.count("\\p{IsHan}") == ours.count("\\x{2E80}-\\x{10FFFF}&&[\\p{IsHan}]")
+
+
+def test_words_are_looked_up_only_where_their_lengths_allow_a_run(spark):
+    """The gate holds for every text with a run, whatever parts its words, and for no text of words of other lengths."""
+    table = mnemonics.WordTable("english", (0,), ("abcd", "bcde", mnemonics.NONE), (0, 1, -1))
+    words = lambda n, between=" ": between.join(["abcd"] * n)
+    cases = {words(12): 1, words(11): 0, "": 0, "x" * 9 + " " + words(12): 1, "-" + words(12): 0, "-" + words(13): 1, words(11) + " abc": 0, words(12, "　") + "。": 1, "中" + words(12, "中") + "中": 1, "ab  " + words(12, "\n \n") + " ": 1, "\U0001f600bcd " * 12: 1, words(5) + " abcde " + words(11): 0, "\n" + words(12) + "\n": 1}
+    got = spark.createDataFrame(list(cases.items()), "text string, runs int").select("runs", mnemonics.may_run(F.col("text"), table, 12).cast("int").alias("got")).collect()
+    assert all(r["runs"] == r["got"] for r in got)
+    assert "RLIKE" in str(mnemonics.runs_in(F.col("text"), table, 12)).upper().replace("REGEXP_LIKE", "RLIKE")
