@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -195,6 +196,36 @@ def test_suffixes_a_text_has_each_file_once(spark, monkeypatch):
     assert len(counts) == 8 and max(counts) < 1000
 
 
+def test_suffixes_transform_takes_what_may_repeat(monkeypatch):
+    """Regions of one anchor that are alike, alike for half of a string, alike at the anchor only, or there twice; one with its anchor in two places."""
+    rng = random.Random(9)
+    noise = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    anchor = noise(suffixes.GRAM)
+    tail, head, mid = noise(400), noise(400), noise(300)
+    texts = [noise(390) + anchor + tail, noise(390) + anchor + tail[:380] + "!", head + anchor + noise(390), head[1:] + anchor + noise(390), noise(390) + anchor + tail[:190] + noise(200)]
+    texts += [noise(390) + anchor + mid + anchor + noise(90), noise(390) + anchor + noise(390)] + [noise(380) + anchor + noise(380) for _ in range(20)]
+    parts = [t.encode() for t in texts]
+    file = int(suffixes.S.mixed(suffixes._sums(np.frombuffer(anchor.encode(), np.uint8))[-1:]).view(np.int64)[0])
+    times = [2 if k == 6 else 1 for k in range(len(parts))]
+    taken = []
+
+    def counted(data, ends, *more, run=suffixes.shared_prefixes):
+        taken.append(len(data))
+        return run(data, ends, *more)
+
+    monkeypatch.setattr(suffixes, "shared_prefixes", counted)
+    batch = pa.record_batch([pa.array([file] * len(parts)), pa.array([hashlib.md5(t).digest() for t in parts]), pa.array(times), pa.array(parts)], names=["file", "same", "n", "data"])
+    found = {r["same"]: r["runs"] for out in suffixes._repeats(iter([batch])) for r in out.to_pylist()}
+    many = Counter(t[i : i + 400] for t, n in zip(parts, times, strict=True) for i in range(len(t) - 399) for _ in range(n))
+    want = {}
+    for t in parts:
+        edge = np.flatnonzero(np.diff(np.concatenate(([0], [many[t[i : i + 400]] > 1 for i in range(len(t) - 399)], [0])).astype(int))).reshape(-1, 2).tolist()
+        if edge:
+            want[hashlib.md5(t).digest()] = edge
+    assert found == want and len(want) == 5
+    assert sum(taken) <= sum(len(t) + 1 for t in parts[:7])
+
+
 def test_licenses(docs, rows, empty):
     out = {(r["doc_id"]): r for r in licenses.scan(docs).collect()}
     for r in rows:
