@@ -226,6 +226,21 @@ def test_suffixes_transform_takes_what_may_repeat(monkeypatch):
     assert sum(taken) <= sum(len(t) + 1 for t in parts[:7])
 
 
+def test_suffixes_hot_files_are_told_apart_without_a_shuffle(spark, monkeypatch):
+    """However large the other regions are."""
+    monkeypatch.setattr(suffixes, "FILE_BYTES", 3000)
+    rows = [(k % 5 // 4, bytes(16), [k], [k], 1, bytes([k]) * 16, bytes([k]) * 401) for k in range(1, 21)]
+    rows = spark.createDataFrame(rows, suffixes._REGIONS)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        left = next(suffixes._levels(rows))
+        plan = left._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hashpartitioning" not in plan and {r["file"] for r in left.collect()} == {1}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_licenses(docs, rows, empty):
     out = {(r["doc_id"]): r for r in licenses.scan(docs).collect()}
     for r in rows:
