@@ -1,6 +1,7 @@
 """Each operator against brute force on a small fixture with nulls, empty and long texts, ties, repeats, clashing columns."""
 
 import hashlib
+import os
 import random
 import re
 from collections import Counter
@@ -384,6 +385,22 @@ def _fuzzy_pairs(seed, each):
     return out
 
 
+def test_lines_leave_no_keys_behind(spark, docs, monkeypatch):
+    """Tables of keys are the largest: each is deleted as soon as the next one is made."""
+    written, there = [], []
+
+    def noted(df, label, write=lines.materialize):
+        out = write(df, label)
+        written.append((label, out.written_at.removeprefix("file:")))
+        there.append({name for name, at in written if os.path.isdir("/" + at.lstrip("/"))} & {"line-members", "line-named", "line-apart"})
+        return out
+
+    monkeypatch.setattr(lines, "materialize", noted)
+    lines.line_groups(docs).count()
+    assert {"line-members", "line-named", "line-apart"} <= {name for name, _ in written}
+    assert max(map(len, there)) == 2 and not there[-1]
+
+
 def test_fuzzy_lines(spark):
     pairs = _fuzzy_pairs(5, 10)
     texts = [x for _, a, b in pairs for x in (a, b)]
