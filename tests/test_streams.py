@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from veilstream.functions import spans
 from veilstream.operators import mnemonics
-from veilstream.plans import inspection
+from veilstream.plans import inspection, queries
 from veilstream.sources.audit import AuditLog
 from veilstream.sources.wordlists import syllable_wordlist
 from veilstream.streaming import conversations as stream
@@ -112,6 +112,30 @@ def test_audit_log_after_a_restart(spark, tmp_path):
     assert log.retain(spark) == 1 and log.read(spark).count() == 4 and log.drop_before(spark, "2000-01-01") == 0
 
 
+def test_a_log_without_a_batch_is_no_result(spark, tmp_path, monkeypatch):
+    """A batch whose events can't be written fails, after its decisions, unless the failure is asked for."""
+    write = AuditLog.write
+
+    def full(self, events, batch, day=None):
+        if batch == 1:
+            raise OSError("no space left")
+        write(self, events, batch, day)
+
+    monkeypatch.setattr(AuditLog, "write", full)
+    spark.sql("select id as c_custkey, concat('Customer#', id) as c_name from range(9)").write.parquet(f"{tmp_path}/customer.parquet")
+    with pytest.raises(OSError, match="no space left"):
+        queries.QUERIES["audit_log"](spark, str(tmp_path))
+    df, log = spark.createDataFrame([(0, "a@b.com")], "doc_id long, text string"), AuditLog(f"file://{tmp_path}/log")
+    kept, failed = [], []
+    with pytest.raises(OSError, match="no space left"):
+        stream.inspect_batches(lambda d: kept.extend(d.collect()), log, pepper="p")(df, 1)
+    assert [r["action"] for r in kept] == ["MASK"]
+    told = stream.inspect_batches(lambda _: None, log, audit_failed=lambda e, number: failed.append((str(e), number)), pepper="p")
+    told(df, 1)
+    told(df, 2)
+    assert failed == [("no space left", 1)] and [r["batch"] for r in log.read(spark).collect()] == [2]
+
+
 def test_mnemonics_need_no_id(spark):
     phrase, odd = _phrase(spark), _phrase(spark, other=True)
     rows = [(None, f"a@b.com {phrase}"), (1, f"{phrase} a@b.com"), (1, f"one {phrase.upper()}"), (2, phrase), (3, odd), (3, f"mnemonic: {odd}"), (4, phrase.replace(" ", "\n　")), (5, phrase.replace(" ", ", ")), (None, None), (6, "")]

@@ -148,13 +148,20 @@ def cross_turn(turns: DataFrame, wordlist: DataFrame | None = None, **options) -
     return detect(both, "variant", wordlist).select("conv_id", "turn", types.alias("types")).where(F.size("types") > 0)
 
 
-def inspect_batches(write_decisions: Callable[[DataFrame], None], write_audit: Callable[[DataFrame], None] | AuditLog, **options) -> Callable[[DataFrame, int], None]:
-    """A function for foreachBatch: inspects each batch and hands on decisions, then events. A failing audit never stops the stream.
+def inspect_batches(write_decisions: Callable[[DataFrame], None], write_audit: Callable[[DataFrame], None] | AuditLog, audit_failed: Callable[[Exception, int], None] | None = None, **options) -> Callable[[DataFrame, int], None]:
+    """A function for foreachBatch: inspects each batch and hands on decisions, then events. A failing audit never costs a decision.
 
-    An AuditLog gets the batch's number too, so a batch that is run again after a failure leaves its events once.
+    An AuditLog gets the batch's number too, so a batch that is run again after a failure leaves its events once. That is
+    why its failure is raised, once the decisions are written: a log that lacks a batch can't be told from a whole one. The
+    failure of a function is printed, and the stream goes on. audit_failed: gets the failure and the batch's number instead.
     """
     from ..plans.inspection import audit_events, inspect
 
+    def lost(failure: Exception, number: int) -> None:
+        if isinstance(write_audit, AuditLog):
+            raise failure
+        print(f"audit of batch {number} failed: {type(failure).__name__}")
+
     def each(batch: DataFrame, number: int) -> None:
         decisions = inspect(batch, **options).persist()
         try:
@@ -163,7 +170,7 @@ def inspect_batches(write_decisions: Callable[[DataFrame], None], write_audit: C
                 events = audit_events(decisions, options.get("id_col", "doc_id"))
                 write_audit.write(events, number) if isinstance(write_audit, AuditLog) else write_audit(events)
             except Exception as e:  # noqa: BLE001
-                print(f"audit failed: {type(e).__name__}")
+                (audit_failed or lost)(e, number)
         finally:
             decisions.unpersist()
 
