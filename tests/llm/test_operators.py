@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from veilstream.llm import decontamination, jaccard, licenses, lines, mixing, quality, sharding, suffixes, tokens, urls
+from veilstream.llm import decontamination, edits, jaccard, licenses, lines, mixing, quality, sharding, suffixes, tokens, urls
 
 SPACE_WORD, WORD = re.compile("[^\x20\x09-\x0d]+"), re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 SCHEMA = "doc_id long, text string, source string, lang string, size string, shard string, component_id string, n string"
@@ -412,6 +412,51 @@ def test_fuzzy_lines(spark):
     assert len({group[2 * k] for k in range(len(pairs))}) == len(pairs)  # nothing else is linked
 
 
+def test_bound_of_edit_distance():
+    """No pair within a quarter of its length falls away, whatever its characters and lengths; pairs far beyond do."""
+    rng, texts, apart = random.Random(8), [], []
+    for k in range(400):
+        x = "".join(rng.choice("abcdeé日😀 "[: rng.choice([2, 4, 9])]) for _ in range(rng.choice([1, 3, 20, 63, 64, 65, 130, 600])))
+        y = list(x)
+        for _ in range(int(len(x) * rng.choice([0, 0.1, 0.2, 0.27, 0.4]))):
+            i, kind = rng.randrange(len(y) + 1), rng.random()
+            y[i : i + (kind < 0.7)] = rng.choice("abé日 ") if kind > 0.3 else ""
+        texts += [x, "".join(y)]
+    many = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n)) for n in (150, 150, 5000, 5200) for _ in range(9)]
+    texts += many + [many[-1].replace("a", "zz")]
+    a = np.arange(0, 800, 2, dtype=np.int32)
+    unlike = np.array([(800 + i, 800 + j) for i in range(36) for j in range(i) if (i < 18) == (j < 18)], np.int32)
+    a, b = np.concatenate((a, unlike[:, 0], [835, 0])), np.concatenate((a + 1, unlike[:, 1], [836, 0]))
+    may = edits.within(edits.encoded(pa.array(texts)), a.astype(np.int32), b.astype(np.int32))
+    for k in range(400):
+        if _edit_similarity(texts[2 * k], texts[2 * k + 1]) >= 0.75:
+            apart.append(bool(may[k]))
+    assert len(apart) > 200 and all(apart) and may[-2:].all()
+    assert not may[400:-2].any()
+
+
+@pytest.mark.parametrize("block", [1024, 7])
+def test_unlike_lines_of_a_key_are_not_verified(spark, monkeypatch, block):
+    """Lines that share words and no more: hardly a pair reaches edit similarity, and the groups are those of brute force."""
+    rng, written = random.Random(9), {}
+
+    def noted(df, label, write=lines.materialize):
+        written[label] = write(df, label)
+        return written[label]
+
+    monkeypatch.setattr(lines, "materialize", noted)
+    monkeypatch.setattr(lines, "BLOCK_LINES", block, raising=False)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
+    texts = [" ".join([word(), word(), "one", "of", "the", "same", word()]) for _ in range(80)]
+    texts += [t[:-1] + "0" for t in texts[::4]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    group = {r["doc_id"]: r["group"] for r in lines.line_groups(df).collect()}
+    like = {frozenset((i, j)) for i in range(100) for j in range(i) if _edit_similarity(texts[i], texts[j]) >= 0.75}
+    assert like == {frozenset((4 * k, 80 + k)) for k in range(20)}
+    assert {frozenset((i, j)) for i in range(100) for j in range(i) if group[i] == group[j]} == like
+    assert written["line-across"].count() <= len(like)
+
+
 def test_tokens(spark, docs, empty):
     assert tokens.attribute(np.array([2, 5, 9]), np.array([0, 3, 3, 9]))[0].tolist() == [1, 0, 2]
     assert [x.tolist() for x in tokens.attribute(np.array([4]), np.array([0, 2, 4]))] == [[1, 0], [1, 0]]
