@@ -428,9 +428,16 @@ def test_bound_of_edit_distance():
     unlike = np.array([(800 + i, 800 + j) for i in range(36) for j in range(i) if (i < 18) == (j < 18)], np.int32)
     a, b = np.concatenate((a, unlike[:, 0], [835, 0])), np.concatenate((a + 1, unlike[:, 1], [836, 0]))
     may = edits.within(edits.encoded(pa.array(texts)), a.astype(np.int32), b.astype(np.int32))
+    sure = edits.surely(edits.encoded(pa.array(texts)), a, b)
     for k in range(400):
         if _edit_similarity(texts[2 * k], texts[2 * k + 1]) >= 0.75:
             apart.append(bool(may[k]))
+        else:
+            assert not sure[k]
+    assert not sure[400:-2].any() and sure[-1] and sure[:400].sum() > 0.9 * len(apart)
+    # characters that share a class make nothing certain
+    odd = ["".join(chr(0x4E00 + i + k * 40) for i in range(200)) for k in range(3)]
+    assert not edits.surely(edits.encoded(pa.array(odd)), np.array([0, 1]), np.array([1, 2])).any()
     assert len(apart) > 200 and all(apart) and may[-2:].all()
     assert not may[400:-2].any()
 
