@@ -412,6 +412,20 @@ def test_fuzzy_lines(spark):
     assert len({group[2 * k] for k in range(len(pairs))}) == len(pairs)  # nothing else is linked
 
 
+def test_hashes_of_lines_need_no_shuffle(spark):
+    """Majorities of bits and least hashes of runs are those of Spark's own functions, found without an exchange."""
+    rng = random.Random(3)
+    texts = ["a", "中 b", "the " * 300 + "end"] + [" ".join(rng.choice(["the", "of", "élan", "x1", "日本", "zz"]) for _ in range(rng.randrange(1, 30))) for _ in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "h long, norm string")
+    out = lines.simhashes(df)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    rows = df.selectExpr("h", "length(norm) as chars", "split(norm, ' ', -1) as w").selectExpr("h", "chars", "w", "posexplode(w) as (i, x)")
+    rows = rows.selectExpr("h", "chars", "xxhash64(x) as x", "xxhash64(x, get(w, i + 1), get(w, i + 2), get(w, i + 3)) as run")
+    bits = [f"case when sum(shiftrightunsigned(x, {b}) & 1) * 2 > count(1) then {1 << b}L else 0L end" for b in range(62)]
+    want = rows.groupBy("h").agg(F.expr("count(1) as n"), F.max("chars").alias("chars"), F.expr(f"{' | '.join(bits)} as sim"), *(F.expr(f"min(hash(run, {j})) as r{j}") for j in range(10)))
+    assert out.dtypes == want.dtypes and sorted(map(tuple, out.collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_bound_of_edit_distance():
     """No pair within a quarter of its length falls away, whatever its characters and lengths; pairs far beyond do."""
     rng, texts, apart = random.Random(8), [], []
